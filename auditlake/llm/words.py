@@ -94,9 +94,9 @@ def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[Block]:
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(total, total[at] + size, "right")) - 1)
         part = texts.slice(at, end - at)
-        ended = pc.binary_join_element_wise(part, "", pa.scalar(" ", pa.large_string()).as_py())
-        _, _, data = ended.buffers()
-        offsets = np.frombuffer(ended.buffers()[1], np.int64)[ended.offset : ended.offset + len(ended) + 1]
+        ended = pc.binary_join_element_wise(part, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+        _, where, data = ended.buffers()
+        offsets = np.frombuffer(where, np.int64)[ended.offset : ended.offset + len(ended) + 1]
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
         yield Block(at, offsets - offsets[0], raw)
         at = end
