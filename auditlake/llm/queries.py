@@ -6,6 +6,7 @@ from auditlake.llm.op01_warc import OP1_SQL, op1_warc
 from auditlake.llm.op03_exact_dedup import OP3_SQL, op3_exact_dedup
 from auditlake.llm.op04_language import op4_language
 from auditlake.llm.op05_sharding import op5_sharding
+from auditlake.llm.op08_jaccard_join import op8_jaccard_join
 from auditlake.llm.op09_pieces import op9_pieces
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language": op4_language,
     "op5_sharding": op5_sharding,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_pieces": op9_pieces,
 }
 ORACLES = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL}
