@@ -39,6 +39,14 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("rid"), *columns)
 
 
+def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a row key, under a name that clashes with no column, and that name. docs must be a scan of a table."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = SALTS) -> DataFrame:
     """Joins rows to a table of one row per key. Each key is split into `salts` parts, so that no task gets all rows of a hot key."""
     many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

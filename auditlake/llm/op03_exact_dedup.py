@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import having_ids, keyed, lookup, staged
+from auditlake.llm.common import having_ids, keyed, lookup, row_keyed, staged
 
 #: A chunk has at least this many characters, ends at the first cut character after them, and at the latest here.
 LEAST, MOST = 1024, 8192
@@ -80,9 +80,9 @@ def _told_apart(rows: DataFrame, unsure: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    groups = staged(exact_groups(docs), "groups")
-    gone = groups.where(~F.col("kept")).select("rid")
-    return having_ids(docs.withColumn("rid", F.monotonically_increasing_id()), gone, "rid", "left_anti").drop("rid")
+    marked, key = row_keyed(docs)
+    gone = staged(exact_groups(docs).where(~F.col("kept")).select(F.col("rid").alias(key)), "copies")
+    return having_ids(marked, gone, key, "left_anti").drop(key)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

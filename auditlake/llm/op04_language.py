@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import staged
+from auditlake.llm.common import having_ids, row_keyed, staged
 from auditlake.llm.fit import remainder, sampled
 from auditlake.llm.words import blocks
 
@@ -122,14 +122,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(-1, keepdims=True)
 
 
-def _predictor(model):
+def _predictor(model, text: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         table, k = m["table"], len(m["langs"])
         for batch in batches:
+            texts = batch.column(text)
             z = np.zeros((len(batch), max(k, 1)))
             n = np.zeros(len(batch))
-            for block in blocks(batch.column("text")):
+            for block in blocks(texts):
                 own = slice(block.first, block.first + len(block))
                 for h, ok in subwords(block.low, block.bounds):
                     starts = np.minimum(block.bounds[:-1], len(h) - 1)
@@ -137,10 +138,10 @@ def _predictor(model):
                     for j in range(k):
                         z[own, j] += np.add.reduceat(np.where(ok, table[:, j][h], np.float32(0)), starts, dtype=np.float64)
             p = _softmax(z / np.maximum(n, 1)[:, None] * m["heat"])
-            known = _has_letter(batch.column("text")) & (n > 0) & (k > 0)
+            known = _has_letter(texts) & (n > 0) & (k > 0)
             best, top = p.argmax(1), np.where(known, p.max(1), 0.0)
             named = [m["langs"][b] if x else "und" for b, x in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "text"], pa.array(named, pa.string()), pa.array(top), pa.array(known & (top >= m["least"]))], names=[*[c for c in batch.schema.names if c != "text"], "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(named, pa.string()), pa.array(top), pa.array(known & (top >= m["least"]))], names=[*keep, "lang_pred", "score", "accepted"])
 
     return run
 
@@ -159,9 +160,17 @@ def fitted(docs: DataFrame, held: int = 2, of: int = 4, per_language: int = PER_
 def identified(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns with lang_pred, score and accepted, for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep)
-    return rows.mapInArrow(_predictor(shared), f"{fields}, lang_pred string, score double, accepted boolean")
+    return rows.mapInArrow(_predictor(shared, "text", list(keep)), f"{fields}, lang_pred string, score double, accepted boolean")
+
+
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """The documents that are not rejected, with all their columns; the model is fitted on docs."""
+    marked, key = row_keyed(docs)
+    found = identified(marked, fitted(docs), (key,))
+    gone = staged(found.where(~F.col("accepted")).select(key), "rejected")
+    return having_ids(marked, gone, key, "left_anti").drop(key)
 
 
 def op4_language(spark, sf_dir: str) -> DataFrame:

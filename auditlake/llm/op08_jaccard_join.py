@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import having_ids, keyed, lookup, staged
+from auditlake.llm.common import having_ids, keyed, lookup, row_keyed, staged
 from auditlake.llm.components import connected
 from auditlake.llm.words import blocks, mixed, ngrams
 
@@ -316,9 +316,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents that stay: of each component the row with the smallest doc_id, and every text without words."""
     found = staged(near_duplicates(docs), "near")
-    best = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "rid")).alias("m")).select("m.rid")
-    gone = staged(found.where("n_shingles > 0").select("rid").join(best, "rid", "left_anti"), "gone")
-    return having_ids(docs.withColumn("rid", F.monotonically_increasing_id()), gone, "rid", "left_anti").drop("rid")
+    best = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("class_id")).alias("own")).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "rid")).alias("m")).select("m.rid")
+    marked, key = row_keyed(docs)
+    gone = staged(found.where("n_shingles > 0").select("rid").join(best, "rid", "left_anti").withColumnRenamed("rid", key), "gone")
+    return having_ids(marked, gone, key, "left_anti").drop(key)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

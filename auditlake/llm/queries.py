@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from auditlake.llm.op01_warc import OP1_SQL, op1_warc
+from auditlake.llm.op02_decontamination import op2_decontamination
 from auditlake.llm.op03_exact_dedup import OP3_SQL, op3_exact_dedup
 from auditlake.llm.op04_language import op4_language
 from auditlake.llm.op05_sharding import op5_sharding
@@ -11,6 +12,7 @@ from auditlake.llm.op09_pieces import op9_pieces
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_decontamination": op2_decontamination,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language": op4_language,
     "op5_sharding": op5_sharding,
