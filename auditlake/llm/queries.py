@@ -7,6 +7,8 @@ from auditlake.llm.op02_decontamination import op2_decontamination
 from auditlake.llm.op03_exact_dedup import OP3_SQL, op3_exact_dedup
 from auditlake.llm.op04_language import op4_language
 from auditlake.llm.op05_sharding import op5_sharding
+from auditlake.llm.op06_quality import op6_quality
+from auditlake.llm.op07_toxicity import op7_toxicity
 from auditlake.llm.op08_jaccard_join import op8_jaccard_join
 from auditlake.llm.op09_pieces import op9_pieces
 
@@ -16,6 +18,8 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language": op4_language,
     "op5_sharding": op5_sharding,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_pieces": op9_pieces,
 }
