@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import lookup, staged
+from auditlake.llm.common import staged
 
 #: Rounds after which something must be wrong; each round at least halves the longest chain, so 64 suffice for any input.
 ROUNDS = 64
@@ -22,10 +22,10 @@ def connected(edges: DataFrame) -> DataFrame:
         # Large star: from each node, neighbours above it are tied to the smallest of its neighbours and itself.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = lookup(both.where("b > a"), least, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: each node's neighbours at or below it are tied to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = lookup(large, least, "a", "inner").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
+        tied = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
         after = staged(tied.where("a <> b").distinct(), "edges")
         # Done when every node has one neighbour below and no such neighbour has one itself.
         deep = after.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))

@@ -264,7 +264,7 @@ class JaccardJoin:
 
         # 1. Classes of equal sets.
         full = rows.where("n > 0").withColumn("set", F.struct("n", "f1", "f2"))
-        classes = staged(full.groupBy("set").agg(F.min("rid").alias("class"), F.min("doc_id").alias("least_id"), F.min(F.struct("rid", "bins"))["bins"].alias("bins")).select("set", "class", "least_id", "bins", F.col("set.n").alias("size")), "classes")
+        classes = staged(full.groupBy("set").agg(F.min("rid").alias("class"), F.min("doc_id").alias("least_id"), F.min(F.struct("rid", "bins"))["bins"].alias("bins"), F.count("*").alias("members")).select("set", "class", "least_id", "bins", "members", F.col("set.n").alias("size")), "classes")
 
         # 2. Contract families.
         bins = classes.select("class", "size", F.posexplode("bins").alias("bin", "least")).where("least is not null").withColumn("key", F.struct("bin", "least"))
@@ -283,16 +283,22 @@ class JaccardJoin:
         at = staged(at, "at")
         rank = F.struct("comp_size", "comp")
         mixed_ = at.groupBy("gram").agg(F.max(rank).alias("most"), F.min(rank).alias("fewest")).where("most <> fewest").select("gram", F.col("most.comp").alias("main"))
-        own = staged(lookup(at, mixed_, "gram", "inner"), "mixed")
+        # N-grams that the same classes share give the same pairs: one of them is enough.
+        alike = at.groupBy("gram").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("s1"), F.sum(F.xxhash64("class", F.lit(1)) % (1 << 31)).alias("s2"))
+        one = alike.groupBy("n", "s1", "s2").agg(F.min("gram").alias("gram")).select("gram")
+        own = staged(at.join(mixed_.join(one, "gram"), "gram"), "mixed")
         side = own.where("comp <> main").select("gram", F.col("class").alias("x"), F.col("comp").alias("xc"), F.col("size").alias("xs"))
         pairs = own.join(side, "gram").where("comp <> xc").where(_sizes_fit("size", "xs")).where((F.col("comp") == F.col("main")) | (F.col("class") < F.col("x")))
         more = self.verify(pairs.select(F.least("class", "x").alias("probe"), F.greatest("class", "x").alias("other")))
 
-        # Components over all links.
-        every = staged(_labelled(classes, connected(links.unionByName(more))), "components")
-        least = every.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-        named = lookup(every.select("set", "class", "comp"), least, "comp", "inner").select("set", "class", "component_id")
-        found = lookup(full.select("rid", "doc_id", "n", "set"), named, "set", "inner").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), "component_id")
+        # Components over all links. Only rows of classes with copies or links need looking up.
+        nodes = connected(links.unionByName(more))
+        linked = classes.join(nodes.withColumnRenamed("node", "class"), "class").select("class", "root", "least_id")
+        least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
+        comps = staged(linked.join(least, "root").select("class", "component_id"), "components")
+        copied = classes.where("members > 1").select("set", "class", "least_id")
+        found = lookup(full.select("rid", "doc_id", "n", "set"), copied, "set").select("rid", "doc_id", "n", F.coalesce("class", "rid").alias("class"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("least_id"))
+        found = lookup(found, comps.withColumn("linked", F.lit(True)), "class").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"))
         none = rows.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("rid").alias("class_id"), F.col("doc_id").alias("component_id"))
         return found.unionByName(none)
 
@@ -303,9 +309,9 @@ def _sizes_fit(a: str, b: str):
 
 def _labelled(classes: DataFrame, comps: DataFrame) -> DataFrame:
     """classes with comp, the smallest class of their component, and the component's size."""
-    with_comp = classes.join(comps.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
-    sizes = with_comp.groupBy("comp").agg(F.count("*").alias("comp_size")).where("comp_size > 1")
-    return lookup(with_comp, sizes, "comp").withColumn("comp_size", F.coalesce("comp_size", F.lit(1)))
+    sizes = comps.groupBy("root").agg(F.count("*").alias("comp_size"))
+    named = comps.join(sizes, "root").select(F.col("node").alias("class"), F.col("root").alias("comp"), "comp_size")
+    return classes.select("class", "size").join(named, "class", "left").select("class", "size", F.coalesce("comp", "class").alias("comp"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
