@@ -42,7 +42,7 @@ N, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: An n-gram in this many documents of one block is reported as locally frequent.
 LOCAL = 3
 #: And counts as frequent from this many reports on. At most this many n-grams are moved to the end of the order.
-FREQUENT, MOVED = 24, 1 << 19
+FREQUENT, MOVED = 16, 1 << 19
 #: Bins whose minima tie classes in step 2.
 BINS = 4
 #: Prefix n-grams in one counting group, and candidate pairs in one verifying group.
@@ -84,7 +84,7 @@ def _profiles(n: int):
                     held_n += len(s)
                 own = slice(block.first, block.first + len(block))
                 yield pa.RecordBatch.from_arrays([pa.array(rid[own]), doc_id[own], pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(bins, pa.list_(pa.int64()))], names=["rid", "doc_id", "n", "f1", "f2", "bins"])
-                if held_n > 2_000_000:
+                if held_n > 4_000_000:
                     yield frequent()
                     held, held_n = [], 0
             if held:
@@ -217,13 +217,35 @@ def _verified(frequent):
     return run
 
 
-def _sets(n: int):
+def _screened(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs that may be links by their n-grams below a quarter of the hash range and the number of those above."""
+    out = []
+    for probe, rows in pdf.groupby("probe", sort=False):
+        own = rows["other"].isna().to_numpy()
+        sets, sizes = [np.frombuffer(x, np.uint64) for x in rows["grams"]], rows["n"].to_numpy()
+        k = int(np.flatnonzero(own)[0])
+        mine, size = sets[k], sizes[k]
+        rest = [i for i in range(len(sets)) if not own[i]]
+        lengths = np.array([len(sets[i]) for i in rest], np.int64)
+        both = np.concatenate([[0], np.cumsum(np.isin(np.concatenate([sets[i] for i in rest]), mine))])
+        ends = np.cumsum(lengths)
+        overlap = both[ends] - both[ends - lengths]
+        best = overlap + np.minimum(size - len(mine), sizes[rest] - lengths)
+        fit = (NUMERATOR + DENOMINATOR) * best >= NUMERATOR * (size + sizes[rest])
+        out += [(probe, int(o)) for o, ok in zip(rows["other"].to_numpy()[rest], fit, strict=True) if ok]
+    return pd.DataFrame(out, columns=["probe", "other"], dtype="int64")
+
+
+def _sets(n: int, below: int | None = None):
+    def cut(s):
+        return s if below is None else s[: np.searchsorted(s, np.uint64(below))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text")):
                 h = block.hashes()
-                grams = [_set_of(h[block.words[k] : block.words[k + 1]], n).tobytes() for k in range(len(block))]
-                yield pa.RecordBatch.from_arrays([batch.column("rid")[block.first : block.first + len(block)], pa.array(grams, pa.binary())], names=["rid", "grams"])
+                sets = [_set_of(h[block.words[k] : block.words[k + 1]], n) for k in range(len(block))]
+                yield pa.RecordBatch.from_arrays([batch.column("rid")[block.first : block.first + len(block)], pa.array([len(s) for s in sets], pa.int64()), pa.array([cut(s).tobytes() for s in sets], pa.binary())], names=["rid", "n", "grams"])
 
     return run
 
@@ -235,23 +257,31 @@ class JaccardJoin:
         self.spark, self.n = docs.sparkSession, n
         self.texts = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The candidate pairs (probe, other) that are links, as (a, b)."""
-        pairs = staged(pairs.select("probe", "other").distinct(), "pairs")
+    def _compared(self, pairs: DataFrame, compare, schema: str, below: int | None = None) -> DataFrame:
+        """compare, applied to the sets (or their part below a hash) of distinct staged pairs, grouped by probe."""
         n = pairs.count()
-        if not n:
-            return pairs.select(F.col("probe").alias("a"), F.col("other").alias("b"))
         ids = staged(pairs.select(F.explode(F.array("probe", "other")).alias("rid")).distinct(), "ids")
-        sets = staged(having_ids(self.texts, ids, "rid").select("rid", "text").mapInArrow(_sets(self.n), "rid long, grams binary"), "sets")
+        sets = staged(having_ids(self.texts, ids, "rid").select("rid", "text").mapInArrow(_sets(self.n, below), "rid long, n long, grams binary"), "sets")
         # A probe with many candidates is split; each part gets the probe's set.
         parts = pairs.groupBy("probe").agg(F.ceil(F.count("*") / F.lit(PAIRS)).cast("int").alias("parts"))
-        split = lookup(pairs, parts, "probe", "inner").withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int"))
-        groups = max(1, ceil(n / PAIRS))
-        group = F.pmod(F.xxhash64("probe", "part"), F.lit(groups))
-        theirs = split.join(sets.withColumnRenamed("rid", "other"), "other").select("probe", "part", F.col("other"), "grams")
-        mine = parts.select("probe", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(sets.withColumnRenamed("rid", "probe"), "probe").select("probe", "part", F.lit(None).cast("long").alias("other"), "grams")
-        rows = theirs.unionByName(mine).withColumn("group", group)
-        return staged(rows.select("group", "probe", "other", "grams").groupBy("group").applyInPandas(_verified(self.frequent), "a long, b long"), "links")
+        split = pairs.join(parts, "probe").withColumn("part", F.pmod(F.xxhash64("other"), F.col("parts")).cast("int"))
+        group = F.pmod(F.xxhash64("probe", "part"), F.lit(max(1, ceil(n / PAIRS)))).alias("group")
+        theirs = split.join(sets.withColumnRenamed("rid", "other"), "other").select(group, "probe", "other", "n", "grams")
+        each = parts.select("probe", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        mine = each.join(sets.withColumnRenamed("rid", "probe"), "probe").select(group, "probe", F.lit(None).cast("long").alias("other"), "n", "grams")
+        return staged(theirs.unionByName(mine).groupBy("group").applyInPandas(compare, schema), "compared")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The candidate pairs (probe, other) that are links, as (a, b).
+
+        A quarter of each set screens the pairs first: what it leaves open is bounded by the sizes of the rest.
+        """
+        pairs = staged(pairs.select("probe", "other").distinct(), "pairs")
+        if not pairs.isEmpty():
+            pairs = self._compared(pairs, _screened, "probe long, other long", 1 << 62)
+        if pairs.isEmpty():
+            return pairs.select(F.col("probe").alias("a"), F.col("other").alias("b"))
+        return self._compared(pairs, _verified(self.frequent), "a long, b long")
 
     def run(self) -> DataFrame:
         """Per row: rid, doc_id, n_shingles, class_id (row key of its class) and component_id."""
