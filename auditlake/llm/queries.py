@@ -11,6 +11,7 @@ from auditlake.llm.op06_quality import op6_quality
 from auditlake.llm.op07_toxicity import op7_toxicity
 from auditlake.llm.op08_jaccard_join import op8_jaccard_join
 from auditlake.llm.op09_pieces import op9_pieces
+from auditlake.llm.op10_pitman_yor import op10_pitman_yor
 
 QUERIES = {
     "op1_warc": op1_warc,
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_pieces": op9_pieces,
+    "op10_pitman_yor": op10_pitman_yor,
 }
 ORACLES = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL}
