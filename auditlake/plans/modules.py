@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES: list[str] = []
+NAMES = ["ledger_queries"]
 
 
 def load() -> None:
