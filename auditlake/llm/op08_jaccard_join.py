@@ -8,7 +8,7 @@ last, others by hash. Two sets of similarity t or more share an n-gram among the
 2. Classes that share a bin minimum are tied to the smallest of them as candidates. Verified links among these contract
    families of copies into components, so that a large family never has to be compared pair by pair.
 3. Prefix n-grams of the classes are counted; those of two or more classes in different components give the remaining
-   candidate pairs. A class in the largest component at an n-gram is only paired with classes outside that component,
+   candidate pairs, which must share as many of them as their sizes call for. A class in the largest component at an n-gram is only paired with classes outside that component,
    and pairs whose sizes rule out a link are not formed. Pairs within a component need no check: they cannot change it.
 4. Candidates of a probe set are stored in a prefix tree. Its traversal shares the overlap of a common path among all
    sets below it, and leaves a subtree as soon as the lengths that remain cannot reach the overlap that is needed.
@@ -40,9 +40,9 @@ from auditlake.llm.words import blocks, mixed, ngrams
 #: Words of an n-gram; similarity as a fraction, so that the bound is tested in whole numbers.
 N, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: An n-gram in this many documents of one block is reported as locally frequent.
-LOCAL = 3
+LOCAL = 2
 #: And counts as frequent from this many reports on. At most this many n-grams are moved to the end of the order.
-FREQUENT, MOVED = 16, 1 << 19
+FREQUENT, MOVED = 6, 1 << 21
 #: Bins whose minima tie classes in step 2.
 BINS = 4
 #: Prefix n-grams in one counting group, and candidate pairs in one verifying group.
@@ -315,11 +315,15 @@ class JaccardJoin:
         mixed_ = at.groupBy("gram").agg(F.max(rank).alias("most"), F.min(rank).alias("fewest")).where("most <> fewest").select("gram", F.col("most.comp").alias("main"))
         # N-grams that the same classes share give the same pairs: one of them is enough.
         alike = at.groupBy("gram").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("class")).alias("s1"), F.sum(F.xxhash64("class", F.lit(1)) % (1 << 31)).alias("s2"))
-        one = alike.groupBy("n", "s1", "s2").agg(F.min("gram").alias("gram")).select("gram")
+        one = alike.groupBy("n", "s1", "s2").agg(F.min("gram").alias("gram"), F.count("*").alias("weight")).select("gram", "weight")
         own = staged(at.join(mixed_.join(one, "gram"), "gram"), "mixed")
         side = own.where("comp <> main").select("gram", F.col("class").alias("x"), F.col("comp").alias("xc"), F.col("size").alias("xs"))
         pairs = own.join(side, "gram").where("comp <> xc").where(_sizes_fit("size", "xs")).where((F.col("comp") == F.col("main")) | (F.col("class") < F.col("x")))
-        more = self.verify(pairs.select(F.least("class", "x").alias("probe"), F.greatest("class", "x").alias("other")))
+        # Linked sets share this many n-grams of both prefixes: each has at most its size less the overlap of its own.
+        overlap = F.ceil(NUMERATOR * (F.col("least") + F.col("most")) / F.lit(NUMERATOR + DENOMINATOR))
+        shared_n = overlap - F.ceil(NUMERATOR * F.col("most") / F.lit(DENOMINATOR)) + 1
+        counted = pairs.groupBy(F.least("class", "x").alias("probe"), F.greatest("class", "x").alias("other"), F.least("size", "xs").alias("least"), F.greatest("size", "xs").alias("most")).agg(F.sum("weight").alias("n"))
+        more = self.verify(counted.where(F.col("n") >= shared_n))
 
         # Components over all links. Only rows of classes with copies or links need looking up.
         nodes = connected(links.unionByName(more))
