@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of 8 to 24 bytes that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows in a batch that goes to a Python worker.
+BATCH_ROWS = 2000
 #: Parts into which one hot key of a lookup is split.
 SALTS = 16
 
@@ -34,9 +36,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_ROWS rows, so that long texts don't fill a worker's memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns with a row key `rid`, which keeps repeated rows and null ids apart."""
-    return docs.select(F.monotonically_increasing_id().alias("rid"), *columns)
+    return small_batches(docs).select(F.monotonically_increasing_id().alias("rid"), *columns)
 
 
 def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -44,7 +54,7 @@ def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     name = "_row"
     while name in docs.columns:
         name += "_"
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    return small_batches(docs).withColumn(name, F.monotonically_increasing_id()), name
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = SALTS) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import having_ids, row_keyed, staged
+from auditlake.llm.common import having_ids, row_keyed, small_batches, staged
 from auditlake.llm.words import Block, blocks, mixed
 
 #: Words of a seed, share of an item's n-grams that are seeds, seeds near one diagonal that call for an alignment.
@@ -191,7 +191,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str | None = None, least: float = LEAST) -> DataFrame:
     """Per contaminated document and item: rid, doc_id, item_id, score, n_seeds and the aligned words' range."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     rid = F.monotonically_increasing_id() if key is None else F.col(key)
     texts = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     words = staged(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(_item_words, "item_id long, words array<long>"), "items").where(F.size("words") > 0)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import having_ids, row_keyed, staged
+from auditlake.llm.common import having_ids, row_keyed, small_batches, staged
 from auditlake.llm.fit import remainder, sampled
 from auditlake.llm.words import blocks
 
@@ -160,7 +160,7 @@ def fitted(docs: DataFrame, held: int = 2, of: int = 4, per_language: int = PER_
 def identified(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns with lang_pred, score and accepted, for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    rows = small_batches(docs).select(*dict.fromkeys([*keep, "text"]))
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keep)
     return rows.mapInArrow(_predictor(shared, "text", list(keep)), f"{fields}, lang_pred string, score double, accepted boolean")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import staged
+from auditlake.llm.common import small_batches, staged
 from auditlake.llm.fit import remainder, sigmoid
 from auditlake.llm.words import blocks, ngram_positions
 
@@ -168,7 +168,7 @@ class Discriminant:
 
 def quality(docs: DataFrame, labels: DataFrame, y: str = "quality", held: int = 2, of: int = 4) -> DataFrame:
     """Per document: doc_id and score; fitted on labelled documents whose CRC remainder is not `held`."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     measured = staged(rows.mapInArrow(_measured, f"doc_id {kind}, x array<double>"), "statistics")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(y).isNotNull() & (remainder("doc_id", of) != held)).groupBy("doc_id").agg(F.max(F.col(y).cast("int")).alias("y"))

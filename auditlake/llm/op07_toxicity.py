@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import staged
+from auditlake.llm.common import small_batches, staged
 from auditlake.llm.fit import logistic, remainder, sampled, sigmoid
 from auditlake.llm.words import blocks
 
@@ -197,7 +197,7 @@ def fitted(docs: DataFrame, labels: DataFrame, y: str = "toxic", held: int = 0,
 
 def toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
     """Per document: doc_id and score."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -45,6 +45,8 @@ LOCAL = 2
 FREQUENT, MOVED = 6, 1 << 21
 #: Bins whose minima tie classes in step 2.
 BINS = 4
+#: A bin minimum that more classes share ties them to this many of them.
+LARGE, CENTRES = 16, 8
 #: Prefix n-grams in one counting group, and candidate pairs in one verifying group.
 GROUP, PAIRS = 1 << 20, 2000
 
@@ -57,18 +59,18 @@ def _profiles(n: int):
     """Per text: size, fingerprint, bin minima; and rows of locally frequent n-grams, with a null rid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        held_n = 0
+
+        def frequent() -> pa.RecordBatch:
+            u, c = np.unique(np.concatenate(held), return_counts=True)
+            u, c = u[c >= LOCAL], c[c >= LOCAL]
+            none = pa.nulls(len(u), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(u), pa.list_(pa.int64()))], names=["rid", "doc_id", "n", "f1", "f2", "bins"])
+
         for batch in batches:
             rid = np.asarray(batch.column("rid"))
             doc_id = batch.column("doc_id")
-            held: list[np.ndarray] = []
-            held_n = 0
-
-            def frequent() -> pa.RecordBatch:
-                u, c = np.unique(np.concatenate(held), return_counts=True)
-                u, c = u[c >= LOCAL], c[c >= LOCAL]
-                none = pa.nulls(len(u), pa.int64())
-                return pa.RecordBatch.from_arrays([none, none, none, pa.array(u.astype(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(u), pa.list_(pa.int64()))], names=["rid", "doc_id", "n", "f1", "f2", "bins"])
-
             for block in blocks(batch.column("text")):
                 h = block.hashes()
                 size, f1, f2, bins = [], [], [], []
@@ -87,8 +89,8 @@ def _profiles(n: int):
                 if held_n > 4_000_000:
                     yield frequent()
                     held, held_n = [], 0
-            if held:
-                yield frequent()
+        if held:
+            yield frequent()
 
     return run
 
@@ -298,8 +300,11 @@ class JaccardJoin:
 
         # 2. Contract families.
         bins = classes.select("class", "size", F.posexplode("bins").alias("bin", "least")).where("least is not null").withColumn("key", F.struct("bin", "least"))
-        tops = bins.groupBy("key").agg(F.min(F.struct(F.col("class").alias("probe"), F.col("size").alias("probe_size"))).alias("p"), F.count("*").alias("c")).where("c > 1").select("key", "p.probe", "p.probe_size")
-        ties = lookup(bins, tops, "key", "inner").where(F.col("class") != F.col("probe")).where(_sizes_fit("size", "probe_size"))
+        # Two edited copies may be less alike than each is to others, so a large family is tied to several members.
+        one = F.struct(F.col("class").alias("probe"), F.col("size").alias("probe_size"))
+        some = [F.min_by(one, F.xxhash64("class", F.lit(k))) for k in range(CENTRES)]
+        tops = bins.groupBy("key").agg(F.min(one).alias("p"), F.array_distinct(F.array(*some)).alias("many"), F.count("*").alias("c")).where("c > 1").select("key", F.when(F.col("c") > LARGE, F.col("many")).otherwise(F.array("p")).alias("probes"))
+        ties = lookup(bins, tops, "key", "inner").select("class", "size", F.explode("probes").alias("p")).select("class", "size", "p.*").where(F.col("class") != F.col("probe")).where(_sizes_fit("size", "probe_size"))
         links = self.verify(ties.select("probe", F.col("class").alias("other")))
         known = staged(_labelled(classes, connected(links)), "known")
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.llm.common import small_batches
+
 #: Distinct segments a worker keeps, beyond which it starts anew.
 KEPT = 200_000
 #: Compatible pairs a worker keeps.
@@ -222,7 +224,7 @@ def _digests(pieces, keep: list[str], with_ids: bool):
 
 def encoded(docs: DataFrame, model_file: str, with_ids: bool = True) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids; the end id counts."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     pieces = spark.sparkContext.broadcast(load_pieces(model_file))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_digests(pieces, ["doc_id"], with_ids), schema)
