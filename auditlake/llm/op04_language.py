@@ -72,7 +72,7 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of each text: lang, part, buckets, counts."""
+    """Bucket counts of each text as packed 32-bit numbers: lang, part, buckets, counts."""
     for batch in batches:
         found, n = [], []
         for block in blocks(batch.column("text")):
@@ -81,9 +81,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = np.concatenate([e for _, e in got]) if got else np.empty(0, np.int64)
             for k in range(len(block)):
                 u, c = np.unique(h[d == k], return_counts=True)
-                found.append(u.astype(np.int32).tolist())
-                n.append(c.tolist())
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("part"), pa.array(found, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], names=["lang", "part", "buckets", "counts"])
+                found.append(u.astype(np.int32).tobytes())
+                n.append(c.astype(np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("part"), pa.array(found, pa.binary()), pa.array(n, pa.binary())], names=["lang", "part", "buckets", "counts"])
 
 
 def train(rows: list, langs: list[str], epochs: int = 8, rate: float = 0.5, seed: int = 7) -> dict:
@@ -92,7 +92,11 @@ def train(rows: list, langs: list[str], epochs: int = 8, rate: float = 0.5, seed
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     w = np.zeros((len(langs), WIDTH))
     number = {lang: k for k, lang in enumerate(langs)}
-    docs = [(np.asarray(r["buckets"]), np.asarray(r["counts"], float) / max(1, sum(r["counts"])), number[r["lang"]], r["part"]) for r in rows if len(r["buckets"])]
+    docs = []
+    for r in rows:
+        n = np.frombuffer(r["counts"], np.int32)
+        if len(n):
+            docs.append((np.frombuffer(r["buckets"], np.int32), (n / n.sum()).astype(np.float32), number[r["lang"]], r["part"]))
     fit = [d for d in docs if d[3] == 0] or docs
     held = [d for d in docs if d[3] == 1] or docs
     for epoch in range(epochs):
@@ -153,8 +157,9 @@ def fitted(docs: DataFrame, held: int = 2, of: int = 4, per_language: int = PER_
     langs = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
     # The sample has at most about per_language rows a language, so it is broadcast; texts are read in place.
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("lang", "part", "text")
-    found = rows.mapInArrow(_counted, "lang string, part int, buckets array<int>, counts array<long>").collect()
-    return train(sorted(found, key=lambda r: (r["lang"], r["part"], len(r["buckets"]), r["buckets"], r["counts"])), langs)
+    found = rows.mapInArrow(_counted, "lang string, part int, buckets binary, counts binary").toArrow()
+    # In an order of its own, so that the same sample gives the same model.
+    return train(sorted(found.to_pylist(), key=lambda r: (r["lang"], r["part"], r["buckets"], r["counts"])), langs)
 
 
 def identified(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
