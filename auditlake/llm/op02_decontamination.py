@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds find candidate places, Smith-Waterman alignment scores them.
 
 Words are runs of letters and digits, lower-cased, so punctuation and case do not matter. An item's seeds are the rarer
-part of its own n-grams, by the number of training documents that hold them; the part is relative to the item, so an
+part of those of its n-grams that occur, by the number of training documents that hold them; the part is relative to the item, so an
 item whose every n-gram is common, because it leaked often, keeps its seeds. Where seeds of one item lie near one
 diagonal of a text, the item is aligned with that stretch of the text: match +2, other word -1, gap -1. The score is the
 alignment's, over that of the whole item with itself; from `least` on the document counts as contaminated.
@@ -27,6 +27,8 @@ from auditlake.llm.words import Block, blocks, mixed
 
 #: Words of a seed, share of an item's n-grams that are seeds, seeds near one diagonal that call for an alignment.
 SEED, SHARE, SEEDS = 3, 0.7, 2
+#: An item has at least this many seeds, if so many of its n-grams occur.
+FEWEST = 8
 #: Score from which a document is contaminated.
 LEAST = 0.5
 #: Words of all items in one broadcast block.
@@ -87,12 +89,13 @@ class Items:
     def seeded(self, count: np.ndarray) -> Items:
         """The same with seeds alone, by the number of documents that hold each distinct n-gram."""
         held = count[self.number]
-        sort = np.lexsort((self.place, held, self.item))
+        # N-grams that no document holds find nothing and take no place among the seeds.
+        sort = np.lexsort((self.place, np.where(held > 0, held, np.iinfo(np.int64).max), self.item))
         rank = np.empty(len(sort), np.int64)
         starts = np.searchsorted(self.item[sort], np.arange(len(self.ids)))
         rank[sort] = np.arange(len(sort)) - starts[self.item[sort]]
-        total = np.bincount(self.item, minlength=len(self.ids))
-        keep = rank < np.ceil(SHARE * total)[self.item]
+        total = np.bincount(self.item, held > 0, len(self.ids))
+        keep = (held > 0) & (rank < np.maximum(np.ceil(SHARE * total), FEWEST)[self.item])
         out = object.__new__(Items)
         out.ids, out.words = self.ids, self.words
         grams = self.distinct[self.number][keep]

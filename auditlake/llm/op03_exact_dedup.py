@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import having_ids, keyed, lookup, row_keyed, staged
 
-#: A chunk has at least this many characters, ends at the first cut character after them, and at the latest here.
-LEAST, MOST = 1024, 8192
-#: Where to cut: white space after one of these letters; an edit moves no cut but those beside it.
-CUT = r"[aeioustn]\s"
+#: A chunk has at least this many characters, ends at the first cut after them, and at the latest here.
+LEAST, MOST = 256, 8192
+#: Where to cut: after a sequence of letters around white space that prose has every few hundred characters. Cuts must be
+#: about as rare as a chunk is long, or chunks after an edit would take long to fall into step again.
+CUT = r"[aehdl][nrst]\s[a-m][eiouhr]"
 
 
 def chunks(text):

@@ -97,6 +97,8 @@ def train(rows: list, langs: list[str], epochs: int = 8, rate: float = 0.5, seed
         n = np.frombuffer(r["counts"], np.int32)
         if len(n):
             docs.append((np.frombuffer(r["buckets"], np.int32), (n / n.sum()).astype(np.float32), number[r["lang"]], r["part"]))
+    if not docs:
+        return {"langs": [], "table": np.zeros((BUCKETS, 1), np.float32), "heat": 1.0, "least": 0.0}
     fit = [d for d in docs if d[3] == 0] or docs
     held = [d for d in docs if d[3] == 1] or docs
     for epoch in range(epochs):
