@@ -86,8 +86,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("part"), pa.array(found, pa.binary()), pa.array(n, pa.binary())], names=["lang", "part", "buckets", "counts"])
 
 
-def train(rows: list, langs: list[str], epochs: int = 8, rate: float = 0.5, seed: int = 7) -> dict:
-    """Fits embeddings and softmax on part 0, temperature and threshold on part 1."""
+def train(rows: list, langs: list[str], epochs: int = 8, steps: int = 8000, rate: float = 0.5, seed: int = 7) -> dict:
+    """Fits embeddings and softmax on part 0, temperature and threshold on part 1; a small sample is gone through more often."""
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     w = np.zeros((len(langs), WIDTH))
@@ -101,6 +101,7 @@ def train(rows: list, langs: list[str], epochs: int = 8, rate: float = 0.5, seed
         return {"langs": [], "table": np.zeros((BUCKETS, 1), np.float32), "heat": 1.0, "least": 0.0}
     fit = [d for d in docs if d[3] == 0] or docs
     held = [d for d in docs if d[3] == 1] or docs
+    epochs = max(epochs, -(-steps // len(fit)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for k in rng.permutation(len(fit)):
