@@ -23,7 +23,7 @@ def verify_integrity(claims: DataFrame, bundles: DataFrame) -> DataFrame:
     differ = lambda c: ~F.col(c).eqNullSafe(F.col(f"own_{c}"))
     tip = F.concat_ws(" ", F.col("range_to").cast("string"), F.col("tip_ref"))
     rule = (
-        F.when(F.coalesce("schema_version", F.lit("")) != "1", F.concat(F.lit("unsupported caudit schema version: '"), F.coalesce("schema_version", F.lit("")), F.lit("'")))
+        F.when(F.coalesce("schema_version", F.lit("")) != "1", F.concat(F.lit("unsupported schema version: '"), F.coalesce("schema_version", F.lit("")), F.lit("'")))
         .when(F.col("own_sha256").isNull(), "bundle is missing")
         .when(differ("size_bytes"), say("bundle size mismatch", "size_bytes"))
         .when(differ("sha256"), say("bundle sha256 mismatch", "sha256"))
@@ -90,7 +90,7 @@ def build_claims(bundles: DataFrame, chain: DataFrame, files: DataFrame) -> Data
 def load_claims(spark, paths, schema: str) -> DataFrame:
     """Documents of files, one each; another schema version is refused with an error."""
     rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("doc"))
-    bad = F.concat(F.lit("unsupported caudit schema version: '"), F.coalesce(F.col("doc.schema_version"), F.lit("")), F.lit("'"))
+    bad = F.concat(F.lit("unsupported schema version: '"), F.coalesce(F.col("doc.schema_version"), F.lit("")), F.lit("'"))
     return rows.withColumn("doc", F.when(F.coalesce(F.col("doc.schema_version"), F.lit("")) == "1", F.col("doc")).otherwise(F.raise_error(bad)))
 
 

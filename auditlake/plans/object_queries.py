@@ -194,7 +194,7 @@ def _claims(spark, sf):
     return claims, own
 
 
-@query("verify_integrity", duck(["heads"], BUNDLES + """, r AS (SELECT *, CASE bundle_id % 8 WHEN 1 THEN 'unsupported caudit schema version: ''2''' WHEN 2 THEN concat('bundle size mismatch: metadata=', size_bytes + 1, ', actual=', size_bytes) WHEN 3 THEN concat('bundle sha256 mismatch: metadata=x, actual=', sha256)
+@query("verify_integrity", duck(["heads"], BUNDLES + """, r AS (SELECT *, CASE bundle_id % 8 WHEN 1 THEN 'unsupported schema version: ''2''' WHEN 2 THEN concat('bundle size mismatch: metadata=', size_bytes + 1, ', actual=', size_bytes) WHEN 3 THEN concat('bundle sha256 mismatch: metadata=x, actual=', sha256)
   WHEN 4 THEN 'bundle header version mismatch: metadata=v3, actual=v2' WHEN 5 THEN 'bundle prerequisites mismatch between metadata and bundle header' WHEN 6 THEN CASE WHEN (SELECT count(*) FROM heads h WHERE h.bundle_id = b.bundle_id) > 1 THEN 'bundle heads mismatch between metadata and bundle header' END
   WHEN 7 THEN 'metadata tip_ref/range_to_oid must match one bundle head entry' END AS failure FROM b) SELECT bundle_id, failure, failure IS NULL AS ok FROM r"""))
 def verify_integrity(spark, sf):

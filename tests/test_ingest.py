@@ -77,8 +77,8 @@ def test_headers_and_preflight(spark):
 def test_transport(spark):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("b.caudit.json", "{}")
+        z.writestr("b.json", "{}")
         z.writestr("a.bundle", "x")
     files = spark.createDataFrame([("/d/p.zip", out.getvalue()), ("/d/q.bundle", b"y")], "path string, content binary")
     got = [(r.path, r.name, r.size_bytes, r.n_bundles) for r in I.transport_inventory(files).orderBy("path", "name").collect()]
-    assert got == [("/d/p.zip", "a.bundle", 1, 1), ("/d/p.zip", "b.caudit.json", 2, 1), ("/d/q.bundle", "q.bundle", 1, 1)]
+    assert got == [("/d/p.zip", "a.bundle", 1, 1), ("/d/p.zip", "b.json", 2, 1), ("/d/q.bundle", "q.bundle", 1, 1)]
