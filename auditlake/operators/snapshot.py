@@ -60,15 +60,29 @@ def paired(candidates: DataFrame, rounds: int = 1000) -> DataFrame:
         won = checkpointed(ranked.where("rd = 1 and ra = 1").select("d", "a", "score"))
         out = won if out is None else out.unionByName(won)
         left = checkpointed(left.join(won.select("d"), "d", "left_anti").join(won.select("a"), "a", "left_anti"))
+    else:
+        if not left.isEmpty():
+            raise RuntimeError(f"pairs were left after {rounds} rounds")
     return out if out is not None else left
 
 
+def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows with `number`, from 1 within each group in that order; a group is numbered in ranges, never in one task."""
+    parts = checkpointed(rows.repartitionByRange(group, order).withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy(group, "part").agg(F.count("*").alias("n"))
+    before = counts.select(group, "part", (F.sum("n").over(W.Window.partitionBy(group).orderBy("part")) - F.col("n")).alias("before"))
+    within = parts.withColumn("within", F.row_number().over(W.Window.partitionBy(group, "part").orderBy(order)))
+    return within.join(before, [group, "part"]).withColumn("number", F.col("before") + F.col("within")).drop("part", "before", "within")
+
+
 def detect_renames(diff: DataFrame) -> DataFrame:
     """diff with D and A rows of equal content paired as R rows, one to one."""
-    d = diff.where("status = 'D'").select(F.col("path").alias("d"), "old_oid", "old_mode")
-    a = diff.where("status = 'A'").select(F.col("path").alias("a"), "new_oid", "new_mode")
-    pairs = paired(d.join(a, d["old_oid"] == a["new_oid"]).withColumn("score", F.lit(1.0)))
-    moved = pairs.join(d, "d").join(a, "a").select(F.lit("R").alias("status"), F.col("a").alias("path"), F.col("d").alias("old_path"), "old_oid", "new_oid", "old_mode", "new_mode")
+    d = diff.where("status = 'D' AND old_oid IS NOT NULL").select("old_oid", F.col("path").alias("d"), "old_mode")
+    a = diff.where("status = 'A' AND new_oid IS NOT NULL").select("new_oid", F.col("path").alias("a"), "new_mode")
+    # Within one content all scores are equal, so first choices pair the paths in their order.
+    d, a = numbered(d, "old_oid", "d"), numbered(a, "new_oid", "a")
+    pairs = checkpointed(d.join(a, (d["old_oid"] == a["new_oid"]) & (d["number"] == a["number"])).drop("number"))
+    moved = pairs.select(F.lit("R").alias("status"), F.col("a").alias("path"), F.col("d").alias("old_path"), "old_oid", "new_oid", "old_mode", "new_mode")
     rest = diff.join(pairs.select(F.col("d").alias("path"), F.lit("D").alias("status")), ["path", "status"], "left_anti").join(pairs.select(F.col("a").alias("path"), F.lit("A").alias("status")), ["path", "status"], "left_anti")
     return rest.select(*moved.columns).unionByName(moved)
 
@@ -76,7 +90,17 @@ def detect_renames(diff: DataFrame) -> DataFrame:
 def similar_renames(deleted: DataFrame, added: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(d, a, score) one to one: shared bytes of equal lines over the larger text, from deleted(path, text) and added(path, text)."""
     lines = lambda rows, name: rows.select(F.col("path").alias(name), F.octet_length("text").alias(f"{name}_size"), F.explode(F.split("text", "\n")).alias("line")).groupBy(name, f"{name}_size", "line").agg(F.count("*").alias(f"{name}_n"))
-    both = lines(deleted, "d").join(lines(added, "a"), "line")
+    d, a = checkpointed(lines(deleted, "d")), checkpointed(lines(added, "a"))
+    # Lines from rare to common: a pair at the threshold shares one that, with those after it, is so much of both texts.
+    held = d.select("line").unionByName(a.select("line")).groupBy("line").agg(F.count("*").alias("held"))
+
+    def rare(rows: DataFrame, name: str) -> DataFrame:
+        later = W.Window.partitionBy(name).orderBy(F.desc("held"), F.desc("line"))
+        left = F.sum(F.col(f"{name}_n") * (F.octet_length("line") + 1)).over(later.rowsBetween(W.Window.unboundedPreceding, 0))
+        return rows.join(held, "line").withColumn("left", left).where(F.col("left") >= threshold * (F.col(f"{name}_size") + 1) - 1e-6).select(name, "line")
+
+    candidates = rare(d, "d").join(rare(a, "a"), "line").select("d", "a").distinct()
+    both = candidates.join(d, "d").join(a, ["a", "line"])
     shared = F.sum(F.least("d_n", "a_n") * (F.octet_length("line") + 1))
     scored = both.groupBy("d", "a").agg((shared / F.greatest(F.max("d_size") + 1, F.max("a_size") + 1)).alias("score"))
     return paired(scored.where(F.col("score") >= threshold))

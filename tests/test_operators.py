@@ -1,5 +1,6 @@
 """Edge rules on tiny tables."""
 
+import pytest
 from pyspark.sql import Row
 
 from auditlake.operators import history as H
@@ -40,3 +41,41 @@ def test_swapped_sides_mirror(spark):
     one = {(r.path, r.status) for r in S.snapshot_diff(old, new).collect()}
     two = {(r.path, r.status) for r in S.snapshot_diff(new, old).collect()}
     assert one == {("a", "T"), ("b", "D"), ("c", "A")} and two == {("a", "T"), ("b", "A"), ("c", "D")}
+
+
+def test_all_copies_of_one_content_are_renamed(spark):
+    columns = "status string, path string, old_path string, old_oid string, new_oid string, old_mode string, new_mode string"
+    rows = [("D", f"d{k:05}", f"d{k:05}", "x", None, "100644", None) for k in range(1203)] + [("A", f"a{k:05}", None, None, "x", None, "100644") for k in range(1201)]
+    rows += [("D", "e", "e", "y", None, "100644", None), ("A", "f", None, None, "z", None, "100644")]
+    got = S.detect_renames(spark.createDataFrame(rows, columns)).collect()
+    assert {(r.old_path, r.path) for r in got if r.status == "R"} == {(f"d{k:05}", f"a{k:05}") for k in range(1201)}
+    assert {(r.status, r.path) for r in got if r.status != "R"} == {("D", "d01201"), ("D", "d01202"), ("D", "e"), ("A", "f")}
+
+
+def test_pairs_left_after_the_last_round_are_an_error(spark):
+    rows = spark.createDataFrame([(f"d{i}", f"a{j}", 1.0) for i in range(3) for j in range(3)], "d string, a string, score double")
+    assert {(r.d, r.a) for r in S.paired(rows, 3).collect()} == {("d0", "a0"), ("d1", "a1"), ("d2", "a2")}
+    with pytest.raises(RuntimeError):
+        S.paired(rows, 2)
+
+
+def test_similar_renames_by_brute_force(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    text = lambda: "\n".join(rng.choice(["", "}", "return", "x = 1", "some longer line", "another one"]) for _ in range(rng.randint(1, 7)))
+    old, new = ([(f"{s}{k}", text()) for k in range(25)] for s in "da")
+    left = []
+    for d, x in old:
+        for a, y in new:
+            p, q = Counter(x.split("\n")), Counter(y.split("\n"))
+            score = sum(min(n, q[w]) * (len(w) + 1) for w, n in p.items()) / (max(len(x), len(y)) + 1)
+            left += [(-score, d, a)] if score >= 0.5 else []
+    want = set()
+    while left:
+        best = min(left)
+        want.add((best[1], best[2], round(-best[0], 9)))
+        left = [r for r in left if r[1] != best[1] and r[2] != best[2]]
+    pair = lambda rows: spark.createDataFrame(rows, "path string, text string")
+    assert {(r.d, r.a, round(r.score, 9)) for r in S.similar_renames(pair(old), pair(new)).collect()} == want
