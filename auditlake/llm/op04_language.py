@@ -6,9 +6,11 @@ their bucket counts are made on the executors from whole texts, and embeddings a
 driver. Because the model is linear in the mean, embedding and softmax fold into one score per bucket and language for
 prediction over all documents.
 
-Calibrated rejection: a temperature is fitted on the half of the sample that is not trained on, and the threshold is
-the score that all but `reject` of that half's rightly labelled documents reach. A document is rejected when its score is
-below the threshold or it has no letter.
+Calibrated rejection: a temperature is fitted on the half of the sample that is not trained on. A softmax takes text of any
+other language as one it knows, so familiarity is measured as well: the mean log-frequency of a text's subwords in the
+training half, in standard deviations from the mean of its language, where short texts deviate more. Both thresholds are
+what all but half of `reject` of the calibrating half's rightly labelled documents reach. A document is rejected when its
+score or its familiarity is below its threshold or it has no letter.
 
 Defined results: null text or text without a letter is `und` with score 0; no labelled row at all makes every document
 `und`; ties go to the first language in sorted order. lang, source and doc_id are never inputs of a prediction.
@@ -96,16 +98,16 @@ def train(rows: list, langs: list[str], epochs: int = 8, steps: int = 8000, rate
     for r in rows:
         n = np.frombuffer(r["counts"], np.int32)
         if len(n):
-            docs.append((np.frombuffer(r["buckets"], np.int32), (n / n.sum()).astype(np.float32), number[r["lang"]], r["part"]))
+            docs.append((np.frombuffer(r["buckets"], np.int32), (n / n.sum()).astype(np.float32), number[r["lang"]], r["part"], int(n.sum())))
     if not docs:
-        return {"langs": [], "table": np.zeros((BUCKETS, 1), np.float32), "heat": 1.0, "least": 0.0}
+        return {"langs": [], "table": np.zeros((BUCKETS, 1), np.float32), "heat": 1.0, "least": 0.0, "usual": np.zeros(BUCKETS, np.float32), "mean": np.zeros(1), "spread": (1.0, 0.0), "strange": -np.inf}
     fit = [d for d in docs if d[3] == 0] or docs
     held = [d for d in docs if d[3] == 1] or docs
     epochs = max(epochs, -(-steps // len(fit)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for k in rng.permutation(len(fit)):
-            at, share, y, _ = fit[k]
+            at, share, y = fit[k][:3]
             h = share @ e[at]
             p = _softmax(w @ h)
             p[y] -= 1
@@ -113,15 +115,48 @@ def train(rows: list, langs: list[str], epochs: int = 8, steps: int = 8000, rate
             w -= step * np.outer(p, h)
             e[at] -= step * 10 * share[:, None] * back
     table = (e @ w.T).astype(np.float32)
-    z = np.array([s @ table[at] for at, s, _, _ in held])
+    z = np.array([s @ table[at] for at, s, *_ in held])
     y = np.array([d[2] for d in held])
     heats = np.geomspace(0.25, 64, 49)
     heat = heats[int(np.argmin([-np.log(np.maximum(_softmax(z * t)[np.arange(len(y)), y], 1e-12)).mean() for t in heats]))]
     p = _softmax(z * heat)
-    right = np.sort(p.max(1)[p.argmax(1) == y])
-    least = float(right[int(len(right) * REJECT)]) if len(right) else 0.0
-    # A threshold above this would turn away texts that one language leads.
-    return {"langs": langs, "table": table, "heat": float(heat), "least": min(least, 0.4)}
+    usual = _frequencies(fit, len(langs))
+    f = np.array([s @ usual[at] for at, s, *_ in held])
+    n = np.array([d[4] for d in held])
+    right = p.argmax(1) == y
+    mean = np.array([f[right & (y == k)].mean() if (right & (y == k)).any() else f.mean() for k in range(len(langs))])
+    # The variance of a mean falls with the number of subwords, down to what texts of a language differ by.
+    square = (f - mean[p.argmax(1)])[right] ** 2
+    spread = _line(1 / n[right], square)
+    model = {"langs": langs, "table": table, "heat": float(heat), "usual": usual, "mean": mean, "spread": spread}
+    lowest = lambda x: float(np.sort(x)[int(len(x) * REJECT / 2)]) if len(x) else -np.inf
+    return {**model, "least": lowest(p.max(1)[right]), "strange": lowest(familiarity(model, f, n, p.argmax(1))[right])}
+
+
+def _frequencies(fit: list, n_langs: int) -> np.ndarray:
+    """Logarithm of each bucket's share of subwords, the languages alike; half a count more for each bucket."""
+    share = np.zeros(BUCKETS)
+    for k in range(n_langs):
+        count = np.full(BUCKETS, 0.5)
+        for at, s, y, _, n in fit:
+            if y == k:
+                np.add.at(count, at, s * n)
+        share += count / count.sum() / n_langs
+    return np.log(share).astype(np.float32)
+
+
+def _line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Least squares y = a + b x with neither below 0; a is kept above 0."""
+    if len(x) < 2 or x.min() == x.max():
+        return (float(y.mean()) if len(y) else 1.0) + 1e-6, 0.0
+    b = max(float(np.cov(x, y, bias=True)[0, 1] / x.var()), 0.0)
+    return max(float(y.mean() - b * x.mean()), 0.0) + 1e-6, b
+
+
+def familiarity(model: dict, f: np.ndarray, n: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Standard deviations of the mean log-frequencies f of texts of n subwords from the mean of their languages."""
+    a, b = model["spread"]
+    return (f - model["mean"][best]) / np.sqrt(a + b / np.maximum(n, 1))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -136,19 +171,21 @@ def _predictor(model, text: str, keep: list[str]):
         for batch in batches:
             texts = batch.column(text)
             z = np.zeros((len(batch), max(k, 1)))
-            n = np.zeros(len(batch))
+            n, f = np.zeros(len(batch)), np.zeros(len(batch))
             for block in blocks(texts):
                 own = slice(block.first, block.first + len(block))
                 for h, ok in subwords(block.low, block.bounds):
                     starts = np.minimum(block.bounds[:-1], len(h) - 1)
                     n[own] += np.add.reduceat(ok, starts, dtype=np.int64)
+                    f[own] += np.add.reduceat(np.where(ok, m["usual"][h], np.float32(0)), starts, dtype=np.float64)
                     for j in range(k):
                         z[own, j] += np.add.reduceat(np.where(ok, table[:, j][h], np.float32(0)), starts, dtype=np.float64)
             p = _softmax(z / np.maximum(n, 1)[:, None] * m["heat"])
             known = _has_letter(texts) & (n > 0) & (k > 0)
             best, top = p.argmax(1), np.where(known, p.max(1), 0.0)
+            strange = familiarity(m, f / np.maximum(n, 1), n, best) < m["strange"]
             named = [m["langs"][b] if x else "und" for b, x in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(named, pa.string()), pa.array(top), pa.array(known & (top >= m["least"]))], names=[*keep, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(named, pa.string()), pa.array(top), pa.array(known & (top >= m["least"]) & ~strange)], names=[*keep, "lang_pred", "score", "accepted"])
 
     return run
 
