@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Rows in a batch that goes to a Python worker.
 BATCH_ROWS = 2000
+#: Bits of a row key for the place within a file.
+FILE_BITS = 40
 #: Parts into which one hot key of a lookup is split.
 SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only in local mode, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="auditlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -44,17 +48,40 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def located(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a row key under the given name: the number of a row's file, by path, and its place in the file.
+
+    The key belongs to the stored row, so it is the same in every scan, however the files are cut and whatever executors
+    come and go. What is not a plain scan of files is written to the shared folder first.
+    """
+    docs = small_batches(docs)
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = staged(docs, "rows")
+    place = docs.metadataColumn("_metadata")
+    path, row = _new_name(docs, "_path"), _new_name(docs, "_place")
+    # One row for each file, of which the driver holds the list anyway.
+    paths = sorted(r[0] for r in docs.select(place["file_path"]).distinct().collect())
+    numbers = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), f"{path} string, {name} long")
+    rows = docs.withColumns({path: place["file_path"], row: place["row_index"]}).join(F.broadcast(numbers), path)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], (F.shiftleft(name, FILE_BITS) + F.col(row)).alias(name))
+
+
+def _new_name(docs: DataFrame, name: str) -> str:
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    return name
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns with a row key `rid`, which keeps repeated rows and null ids apart."""
-    return small_batches(docs).select(F.monotonically_increasing_id().alias("rid"), *columns)
+    key = _new_name(docs, "rid")
+    return located(docs, key).select(F.col(key).alias("rid"), *columns)
 
 
 def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a row key, under a name that clashes with no column, and that name. docs must be a scan of a table."""
-    name = "_row"
-    while name in docs.columns:
-        name += "_"
-    return small_batches(docs).withColumn(name, F.monotonically_increasing_id()), name
+    """docs with a row key, under a name that clashes with no column, and that name."""
+    name = _new_name(docs, "_row")
+    return located(docs, name), name
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = SALTS) -> DataFrame:
