@@ -1,7 +1,8 @@
 """Exact duplicates by recipes of content-defined chunks, with DataFrame functions alone.
 
-A text is cut where its own characters say so, each chunk gets a short identifier, and texts are compared by their
-ordered identifier lists. A long text is read once, where it lies; what moves is eight bytes per chunk.
+A text's bytes are cut where the bytes themselves say so, in any script, each distinct chunk is put into a dictionary, and
+texts are compared by their ordered lists of chunk identifiers. A long text is read once, where it lies; what moves is a
+row per distinct chunk of a task, and eight bytes per chunk of a text.
 
 An identifier is verified before it counts: the dictionary of distinct (identifier, length, SHA-256) shows whether two
 different chunks ever share one. Chunks under such an ambiguous identifier are told apart by their rank among the
@@ -19,28 +20,35 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import having_ids, keyed, lookup, row_keyed, staged
 
-#: A chunk has at least this many characters, ends at the first cut after them, and at the latest here.
+#: A chunk has at least this many bytes, ends at the first cut after them, and at the latest here.
 LEAST, MOST = 256, 8192
-#: Where to cut: after a sequence of letters around white space that prose has every few hundred characters. Cuts must be
-#: about as rare as a chunk is long, or chunks after an edit would take long to fall into step again.
-CUT = r"[aehdl][nrst]\s[a-m][eiouhr]"
+#: Where to cut: after bytes, STRIDE apart, whose numbers leave these remainders by 4. With characters of one, two or three
+#: bytes those are like parts of characters, so in any script one in a few hundred places is such, and chunks fall into
+#: step again soon after an edit.
+CUT, STRIDE = (2, 0, 2, 3), 6
+
+
+def _bytes(remainder: int) -> str:
+    return "[" + "".join(rf"\x{b:02x}" for b in range(256) if b % 4 == remainder) + "]"
 
 
 def chunks(text):
-    """The chunks of a text column, in order; their concatenation is the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{LEAST},{MOST}}}?(?:(?<={CUT})|\z)|.{{{MOST}}}|.+"), F.lit(0))
+    """The chunks of a text column, in order, with a character for each byte; their concatenation is the text."""
+    raw = F.decode(text.cast("binary"), "ISO-8859-1")
+    cut = f".{{{STRIDE - 1}}}".join(map(_bytes, CUT))
+    return F.regexp_extract_all(raw, F.lit(rf"(?s).{{{LEAST},{MOST}}}?(?:(?<={cut})|\z)|.{{{MOST}}}|.+"), F.lit(0))
 
 
 def chunk_recipes(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `recipe`: per chunk its 64-bit identifier, length in bytes and SHA-256."""
-    return docs.withColumn("recipe", F.transform(chunks(F.coalesce(F.col(text), F.lit(""))), lambda c: F.struct(F.xxhash64(c).alias("chunk_id"), F.octet_length(c).alias("n_bytes"), F.sha2(c.cast("binary"), 256).alias("sha256"))))
+    return docs.withColumn("recipe", F.transform(chunks(F.coalesce(F.col(text), F.lit(""))), lambda c: F.struct(F.xxhash64(c).alias("chunk_id"), F.length(c).alias("n_bytes"), F.unhex(F.sha2(F.encode(c, "ISO-8859-1"), 256)).alias("sha256"))))
 
 
 def chunk_dictionary(recipes: DataFrame) -> DataFrame:
-    """Distinct chunks: chunk_id, n_bytes, sha256, `uses` and `rank` among the chunks that share the chunk_id (0 is the usual case)."""
-    distinct = recipes.select(F.explode("recipe").alias("c")).groupBy("c.chunk_id", "c.n_bytes", "c.sha256").agg(F.count("*").alias("uses"))
-    shared = distinct.groupBy("chunk_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("sha256")).alias("all")).where("n > 1")
-    return distinct.join(shared, "chunk_id", "left").withColumn("rank", F.coalesce(F.array_position("all", F.col("sha256")) - 1, F.lit(0))).drop("n", "all")
+    """Distinct chunks: chunk_id, n_bytes, sha256, `uses`, and `rank` among the chunks that share the chunk_id (null where it is alone)."""
+    distinct = staged(recipes.select(F.explode("recipe").alias("c")).groupBy("c.chunk_id", "c.n_bytes", "c.sha256").agg(F.count("*").alias("uses")), "chunks")
+    shared = distinct.groupBy("chunk_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.struct("sha256", "n_bytes"))).alias("all")).where("n > 1")
+    return distinct.join(shared, "chunk_id", "left").withColumn("rank", F.array_position("all", F.struct("sha256", "n_bytes"))).drop("n", "all")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
@@ -49,8 +57,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         "rid", "doc_id", "recipe", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256")
     )
     rows = staged(cut, "recipes")
-    pairs = rows.select(F.explode("recipe").alias("c")).select("c.chunk_id", F.xxhash64("c.sha256", "c.n_bytes").alias("check"))
-    unsure = staged(pairs.groupBy("chunk_id").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("chunk_id"), "unsure")
+    unsure = staged(chunk_dictionary(rows).where(F.col("rank").isNotNull()).drop("uses"), "unsure")
     known = F.transform("recipe", lambda c: c["chunk_id"])
     listed = rows.select("rid", "doc_id", "text_sha256", F.size("recipe").alias("n_chunks"), known.alias("ids"))
     if not unsure.isEmpty():
@@ -71,12 +78,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def _told_apart(rows: DataFrame, unsure: DataFrame) -> DataFrame:
-    """Recipes whose chunks under an ambiguous identifier carry the whole digest instead."""
-    each = rows.select("rid", "doc_id", "text_sha256", F.size("recipe").alias("n_chunks"), F.posexplode_outer("recipe").alias("pos", "c"))
-    marked = each.withColumn("chunk_id", F.col("c.chunk_id")).join(unsure.withColumn("bad", F.lit(True)), "chunk_id", "left")
-    name = F.when(F.col("bad"), F.concat(F.lit("#"), "c.sha256")).otherwise(F.col("chunk_id").cast("string"))
-    lists = marked.groupBy("rid", "doc_id", "text_sha256", "n_chunks").agg(F.array_sort(F.collect_list(F.struct("pos", name.alias("id")))).alias("l"))
-    return lists.select("rid", "doc_id", "text_sha256", "n_chunks", F.filter(F.transform("l", lambda x: x["id"]), lambda x: x.isNotNull()).alias("ids"))
+    """Recipes whose chunks under an ambiguous identifier carry their rank as well."""
+    each = rows.select("rid", "doc_id", "text_sha256", F.size("recipe").alias("n_chunks"), F.posexplode_outer("recipe").alias("pos", "c")).select("*", "c.*")
+    marked = each.join(unsure, ["chunk_id", "n_bytes", "sha256"], "left")
+    name = F.concat_ws(":", F.col("chunk_id").cast("string"), F.col("rank").cast("string"))
+    lists = marked.groupBy("rid", "doc_id", "text_sha256", "n_chunks").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", name.alias("id"))))).alias("l"))
+    return lists.select("rid", "doc_id", "text_sha256", "n_chunks", F.transform("l", lambda x: x["id"]).alias("ids"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
