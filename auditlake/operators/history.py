@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from auditlake.functions.columns import decoration_label, decoration_rank
-from auditlake.operators.iterate import checkpointed, closure, generations, hops
+from auditlake.operators.iterate import checkpointed, closure, followed, generations, hops
 
 MISSING_SUBJECT = "<prerequisite commit unavailable>"
 
@@ -132,24 +132,20 @@ def dangling(heads: DataFrame, prereqs: DataFrame, commits: DataFrame, edges: Da
     return lost.unionByName(parents.select("bundle_id", F.lit("parent").alias("kind"), "oid"))
 
 
-def resolve_refs(refs: DataFrame, tags: DataFrame, commits: DataFrame, rounds: int = 16) -> DataFrame:
-    """(repo, ref_name, target_oid, commit_oid, error): symbolic refs followed, tags peeled; a missing ref has nulls."""
-    plain = refs.select("repo", F.col("ref_name").alias("at"), F.col("target_oid").alias("next_oid"), F.col("symbolic_target").alias("next_ref"))
-    now = refs.select("repo", "ref_name", "target_oid", F.col("symbolic_target").alias("at"))
-    for _ in range(rounds):
-        now = checkpointed(now.join(plain, ["repo", "at"], "left").select("repo", "ref_name", F.coalesce("target_oid", "next_oid").alias("target_oid"), F.when(F.col("target_oid").isNull(), F.col("next_ref")).alias("at")))
-        if now.where("at is not null and target_oid is null").isEmpty():
-            break
-    peel = tags.select(F.col("oid").alias("peeled"), F.col("target_oid").alias("inner"))
-    now = now.drop("at").withColumn("peeled", F.col("target_oid"))
-    for _ in range(rounds):
-        now = checkpointed(now.join(peel, "peeled", "left").withColumns({"peeled": F.coalesce("inner", "peeled"), "moved": F.col("inner").isNotNull()}).drop("inner"))
-        if now.where("moved").isEmpty():
-            break
-        now = now.drop("moved")
-    known = commits.select(F.col("id").cast("string").alias("peeled")).distinct().withColumn("is_commit", F.lit(True))
-    found = now.join(known, "peeled", "left")
-    return found.select("repo", "ref_name", "target_oid", F.when(F.col("is_commit"), F.col("peeled")).alias("commit_oid"), F.when(F.col("target_oid").isNotNull() & F.col("is_commit").isNull(), "target is not a commit").alias("error"))
+def resolve_refs(refs: DataFrame, tags: DataFrame, commits: DataFrame) -> DataFrame:
+    """(repo, ref_name, target_oid, commit_oid, error): symbolic refs followed, tags peeled; a missing ref has nulls.
+
+    Chains are followed by doubling: after k rounds 2 ** k links. A ref in a circle of symbolic refs is an error row.
+    """
+    at = lambda c: F.struct("repo", F.col(c).alias("name"))
+    links = refs.select(at("ref_name").alias("node"), F.when(F.col("target_oid").isNull() & F.col("symbolic_target").isNotNull(), at("symbolic_target")).alias("next"))
+    ends = followed(links).select(F.col("node.repo").alias("repo"), F.col("node.name").alias("ref_name"), F.col("root.name").alias("end"), "circular")
+    found = ends.join(refs.select("repo", F.col("ref_name").alias("end"), "target_oid"), ["repo", "end"], "left").drop("end")
+    peeled = followed(tags.select(F.col("oid").alias("node"), F.col("target_oid").alias("next"))).select(F.col("node").alias("target_oid"), F.col("root").alias("peeled"))
+    known = commits.select(F.col("id").cast("string").alias("last")).distinct().withColumn("is_commit", F.lit(True))
+    rows = found.join(peeled, "target_oid", "left").withColumn("last", F.coalesce("peeled", "target_oid")).join(known, "last", "left")
+    error = F.when(F.col("circular"), "symbolic refs form a circle").when(F.col("target_oid").isNotNull() & F.col("is_commit").isNull(), "target is not a commit")
+    return rows.select("repo", "ref_name", "target_oid", F.when(F.col("is_commit"), F.col("last")).alias("commit_oid"), error.alias("error"))
 
 
 def commit_entries(commits: DataFrame) -> DataFrame:
@@ -180,3 +176,33 @@ def head_base(heads: DataFrame, prereqs: DataFrame, edges: DataFrame) -> DataFra
     base = F.when(n == 0, F.col("first_parent")).when(n == 1, F.col("only")).when(h == 1, F.col("hit"))
     error = F.when((n > 1) & (h == 0), "no prerequisite is an ancestor").when((n > 1) & (h > 1), "several prerequisites are ancestors")
     return rows.withColumns({"base_oid": base, "error": error}).drop("n", "only", "first_parent", "hits", "hit")
+
+
+def _parents(edges: DataFrame) -> DataFrame:
+    """(id, parent_oids), first parent first."""
+    return edges.groupBy(F.col("child").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("parent_index", "parent"))), lambda x: x["parent"]).alias("parent_oids"))
+
+
+def commit_chain(ranges: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """(range_id, position, oid, tree_oid, parent_oids, subject, author, committer) of each range's commits, parents first."""
+    inside = checkpointed(commit_range(ranges, edges).withColumnRenamed("node", "id"))
+    nodes = inside.select("id").distinct()
+    links = edges.join(nodes.withColumnRenamed("id", "child"), "child", "left_semi").join(nodes.withColumnRenamed("id", "parent"), "parent", "left_semi")
+    gen = generations(nodes.withColumnRenamed("id", "node"), links).withColumnRenamed("node", "id")
+    rows = inside.join(commits, "id").join(gen, "id").join(_parents(edges), "id", "left")
+    order = F.row_number().over(W.Window.partitionBy("range_id").orderBy("generation", "time", "id")) - 1
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return rows.select("range_id", order.alias("position"), F.col("id").alias("oid"), "tree_oid", F.coalesce("parent_oids", F.array().cast(dict(rows.dtypes)["parent_oids"])).alias("parent_oids"), text("subject"), text("author"), text("committer"))
+
+
+def head_entries(heads: DataFrame, commits: DataFrame, edges: DataFrame, stats: DataFrame) -> DataFrame:
+    """(bundle_id, head_index, position, commit columns, files): each head's commits beyond its base, oldest first, with line stats.
+
+    heads(bundle_id, head_index, oid, base_oid), stats(commit, path, additions, deletions).
+    """
+    ranges = heads.select(F.struct("bundle_id", "head_index").alias("range_id"), F.col("oid").alias("tip"), F.col("base_oid").alias("hidden"))
+    chain = commit_chain(ranges, commit_entries(commits.withColumn("committer", F.col("author"))), edges)
+    files = stats.groupBy(F.col("commit").alias("oid")).agg(F.array_sort(F.collect_list(F.struct("path", "additions", "deletions"))).alias("files"))
+    rows = chain.join(files, "oid", "left").join(commit_entries(commits).select(F.col("id").alias("oid"), "message"), "oid")
+    none = F.array().cast(files.schema["files"].dataType)
+    return rows.select("range_id.*", "position", F.col("oid").alias("id"), "tree_oid", "parent_oids", "subject", "message", "author", F.coalesce("files", none).alias("files"))

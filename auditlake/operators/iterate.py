@@ -17,9 +17,11 @@ ROUNDS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set in local mode."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="auditlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -74,6 +76,22 @@ def doubled(links: DataFrame, key: str = "node", to: str = "next") -> DataFrame:
     raise RuntimeError("the links form a cycle")
 
 
+def followed(links: DataFrame) -> DataFrame:
+    """(node, root, circular): the last node of the chain from each node, over links(node, next) with one successor or null.
+
+    A successor that is no node itself is a root. Pointers double each round; a chain that does not end within as many
+    links as there are nodes is circular and has no root.
+    """
+    now = checkpointed(links.select("node", "next", F.when(F.col("next").isNull(), F.col("node")).alias("root")))
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        if now.where("root is null").isEmpty():
+            break
+        that = now.select(F.col("node").alias("next"), F.col("next").alias("n2"), F.col("root").alias("r2"), F.lit(True).alias("here"))
+        far = now.where("root is null").join(that, "next", "left").select("node", F.col("n2").alias("next"), F.when(F.col("here").isNull(), F.col("next")).otherwise(F.col("r2")).alias("root"))
+        now = checkpointed(now.where("root is not null").unionByName(far))
+    return now.select("node", "root", F.col("root").isNull().alias("circular"))
+
+
 def generations(nodes: DataFrame, edges: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """(node, generation): the length of the longest path from each node to one without parents, by rounds of relaxation."""
     links = steps if steps is not None else hops(edges)

@@ -12,7 +12,8 @@ from pyspark.sql import window as W
 
 from auditlake.functions.columns import short_oid
 from auditlake.operators.history import is_descendant, merge_base
-from auditlake.operators.iterate import checkpointed, closure
+from auditlake.operators.iterate import ROUNDS, checkpointed, closure
+from auditlake.operators.lines import merge_texts
 
 STATUSES = ["target_missing", "already_present", "fast_forward_ok", "target_ahead", "diverged_merge_required"]
 DIVERGED = "diverged_merge_required"
@@ -55,8 +56,8 @@ def can_apply(plan: DataFrame, merge: DataFrame, policy: str) -> DataFrame:
 
 
 def blocking_rows(plan: DataFrame, merge: DataFrame, policy: str) -> DataFrame:
-    """Rows that stand against the policy, with reason and next step."""
-    rows = plan.where(F.col("status") == DIVERGED).join(merge.select("bundle_id", "target_ref", F.col("status").alias("merge_status")), ["bundle_id", "target_ref"], "left")
+    """Rows that stand against the policy, with reason, next step and the paths in conflict."""
+    rows = plan.where(F.col("status") == DIVERGED).join(merge.select("bundle_id", "target_ref", F.col("status").alias("merge_status"), "conflict_paths"), ["bundle_id", "target_ref"], "left")
     if policy == "create-refs-only":
         rows = rows.where(F.lit(False))
     if policy == "merge":
@@ -66,7 +67,7 @@ def blocking_rows(plan: DataFrame, merge: DataFrame, policy: str) -> DataFrame:
         if policy != "merge"
         else F.when(F.col("merge_status") == "conflicted", "merge would conflict").when(F.col("merge_status") == "unknown", "mergeability check failed").otherwise("mergeability check missing")
     )
-    return rows.select("bundle_id", "target_ref", "target", "incoming", "merge_base", reason.alias("reason"), F.lit("merge required").alias("next_step"))
+    return rows.select("bundle_id", "target_ref", "target", "incoming", "merge_base", reason.alias("reason"), F.lit("merge required").alias("next_step"), "conflict_paths")
 
 
 def planned_updates(plan: DataFrame, merged: DataFrame, policy: str) -> DataFrame:
@@ -89,13 +90,30 @@ def planned_updates(plan: DataFrame, merged: DataFrame, policy: str) -> DataFram
 def apply_updates(refs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The refs after all updates of each bundle whose every expected value holds, and the updates that fail.
 
-    refs(repo, ref_name, oid), updates(bundle_id, repo, ref_name, expected_old, new_oid).
+    refs(repo, ref_name, oid), updates(bundle_id, repo, ref_name, expected_old, new_oid). Bundles that name one ref are
+    taken in order of their ids: once one has moved the ref, the value that the others expect no longer stands.
     """
     checked = checkpointed(updates.join(refs, ["repo", "ref_name"], "left").withColumn("holds", F.col("oid").eqNullSafe(F.col("expected_old"))))
     passed = checked.groupBy("bundle_id").agg(F.bool_and("holds").alias("all_hold"))
-    good = checked.join(passed.where("all_hold"), "bundle_id").select("repo", "ref_name", "new_oid")
-    after = refs.join(good, ["repo", "ref_name"], "full").select("repo", "ref_name", F.coalesce("new_oid", "oid").alias("oid"))
-    return after, checked.where("not holds").select("bundle_id", "repo", "ref_name", "expected_old", F.col("oid").alias("actual"))
+    left = checkpointed(checked.join(passed.where("all_hold"), "bundle_id").select("bundle_id", "repo", "ref_name", "new_oid"))
+    good = left.where("false")
+    for _ in range(ROUNDS):
+        if left.isEmpty():
+            break
+        first = left.groupBy("repo", "ref_name").agg(F.min("bundle_id").alias("first"))
+        won = left.join(first, ["repo", "ref_name"]).groupBy("bundle_id").agg(F.bool_and(F.col("first") == F.col("bundle_id")).alias("won")).where("won")
+        now = checkpointed(left.join(won.select("bundle_id"), "bundle_id", "left_semi"))
+        good = good.unionByName(now)
+        beaten = left.join(now.select("repo", "ref_name"), ["repo", "ref_name"], "left_semi").select("bundle_id").distinct()
+        left = checkpointed(left.join(beaten, "bundle_id", "left_anti"))
+    else:
+        raise RuntimeError(f"updates were left after {ROUNDS} rounds")
+    good = checkpointed(good)
+    moved = good.select("repo", "ref_name", F.col("bundle_id").alias("by"), "new_oid")
+    after = refs.join(moved, ["repo", "ref_name"], "full").select("repo", "ref_name", F.coalesce("new_oid", "oid").alias("oid"))
+    late = checked.where("holds").join(moved.drop("new_oid").withColumnRenamed("by", "winner"), ["repo", "ref_name"]).where("winner <> bundle_id").join(moved.drop("by").withColumnRenamed("new_oid", "now"), ["repo", "ref_name"])
+    failed = checked.where("not holds").select("bundle_id", "repo", "ref_name", "expected_old", F.col("oid").alias("actual"))
+    return after, failed.unionByName(late.select("bundle_id", "repo", "ref_name", "expected_old", F.col("now").alias("actual")))
 
 
 def roll_back(refs: DataFrame, applied: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -164,6 +182,84 @@ def merge_paths(rows: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).withColumn("merged", merged)
 
 
+def simulate_merges(plan: DataFrame, files: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For the diverged rows of the plan: checks and, path by path, what a merge gives.
+
+    files(commit, path, mode, oid, text), commits(id, subject). Checks: bundle_id, target_ref, the three ids and subjects,
+    status clean, conflicted or unknown, detail, conflict_paths. Paths: bundle_id, target_ref, path, kind, mode, oid, conflict.
+    """
+    rows = checkpointed(plan.where(F.col("status") == DIVERGED).select("bundle_id", "target_ref", "target", "incoming", "merge_base"))
+    key = ["bundle_id", "target_ref"]
+    side = lambda commit, name: rows.where("merge_base is not null").select(*key, F.col(commit).alias("commit"), F.lit(name).alias("side")).join(files, "commit").drop("commit")
+    each = side("merge_base", "b").unionByName(side("target", "o")).unionByName(side("incoming", "t"))
+    of = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    names = {"b": "base", "o": "ours", "t": "theirs"}
+    wide = each.groupBy(*key, "path").agg(*[of(s, c).alias(f"{n}_{c}") for s, n in names.items() for c in ("mode", "oid", "text")])
+    what = lambda n: F.concat_ws(":", F.col(f"{n}_oid"), F.col(f"{n}_mode"))
+    told = merge_paths(wide.withColumns({n: F.when(F.col(f"{n}_oid").isNotNull(), what(n)) for n in names.values()})).drop(*names.values(), "merged")
+    plain = F.lit(True)
+    for n in names.values():
+        plain = plain & F.col(f"{n}_mode").isin("100644", "100755")
+    both = F.col("kind") == "both-modified"
+    text = lambda n: F.when(both & plain, F.col(f"{n}_text")).alias(n)
+    tried = merge_texts(told.select(*[c for c in told.columns if not c.endswith("_text")], text("base"), text("ours"), text("theirs"))).drop(*names.values())
+    new_id = F.sha1(F.concat(F.concat(F.lit("blob "), F.octet_length("merged").cast("string")).cast("binary"), F.lit(b"\0"), F.col("merged").cast("binary")))
+    pick = lambda c, own: F.when(F.col("kind").isin("same", "take-ours"), F.col(f"ours_{c}")).when(F.col("kind") == "take-theirs", F.col(f"theirs_{c}")).when(both & plain & F.col("merged").isNotNull(), own)
+    mode = F.when(F.col("ours_mode") == F.col("base_mode"), F.col("theirs_mode")).otherwise(F.col("ours_mode"))
+    conflict = F.col("kind").isin("add/add", "modify/delete") | (both & (~plain | F.col("merged").isNull()))
+    paths = checkpointed(tried.select(*key, "path", "kind", pick("mode", mode).alias("mode"), pick("oid", new_id).alias("oid"), conflict.alias("conflict")))
+    bad = paths.groupBy(*key).agg(F.count_if("conflict").alias("n_bad"), F.array_sort(F.collect_set(F.when(F.col("conflict"), F.col("path")))).alias("conflict_paths"))
+    named = rows
+    for c in ("target", "incoming", "merge_base"):
+        named = named.join(commits.select(F.col("id").alias(c), F.col("subject").alias(f"{c}_subject"), F.lit(True).alias(f"{c}_here")), c, "left")
+    lost = F.coalesce("target_here", F.lit(False)) & F.coalesce("incoming_here", F.lit(False))
+    why = F.when(F.col("target").isNull(), "target oid unavailable for merge simulation").when(~lost, "merge simulation failed: a commit is absent").when(F.col("merge_base").isNull(), "merge simulation failed: no common ancestor")
+    n = F.coalesce("n_bad", F.lit(0))
+    status = F.when(why.isNotNull(), "unknown").when(n > 0, "conflicted").otherwise("clean")
+    detail = F.coalesce(why, F.when(n > 0, "merge simulation produced index conflicts").otherwise("merge simulation completed without conflicts"))
+    none = F.expr("cast(array() as array<string>)")
+    checks = named.join(bad, key, "left").select(*key, "target", "target_subject", "incoming", "incoming_subject", "merge_base", "merge_base_subject", status.alias("status"), detail.alias("detail"), F.coalesce("conflict_paths", none).alias("conflict_paths"))
+    return checks, paths
+
+
+def merged_snapshot(checks: DataFrame, paths: DataFrame) -> DataFrame:
+    """(bundle_id, target_ref, path, mode, oid) of what each clean merge leaves."""
+    clean = checks.where("status = 'clean'").select("bundle_id", "target_ref")
+    return paths.where("oid is not null").join(clean, ["bundle_id", "target_ref"], "left_semi").select("bundle_id", "target_ref", "path", "mode", "oid")
+
+
+def merge_commits(checks: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """(bundle_id, target_ref, id, tree_digest, parent_oids, message): the commit of each clean merge, whose snapshot may be empty.
+
+    The digest of a tree sums hashes of its entries, so no task holds a whole snapshot; the id is one of parents, message
+    and digest.
+    """
+    one = F.xxhash64("path", "mode", "oid")
+    trees = snapshot.groupBy("bundle_id", "target_ref").agg(F.concat_ws("-", F.hex(F.bit_xor(one)), F.hex(F.sum(F.pmod(one, F.lit(1 << 32)))), F.hex(F.count("*"))).alias("tree_digest"))
+    say = F.concat(F.lit("receive merge for "), F.col("target_ref"), F.lit("\n\nTarget: "), F.col("target"), F.lit("\nIncoming: "), F.col("incoming"), F.lit("\n"))
+    rows = checks.where("status = 'clean'").join(trees, ["bundle_id", "target_ref"], "left").withColumns({"message": say, "tree_digest": F.coalesce("tree_digest", F.lit("0-0-0"))})
+    return rows.select("bundle_id", "target_ref", F.sha1(F.concat_ws("\n", "tree_digest", "target", "incoming", "message")).alias("id"), "tree_digest", F.array("target", "incoming").alias("parent_oids"), "message")
+
+
+def dry_run_document(bundles: DataFrame, plan: DataFrame, checks: DataFrame, stats: DataFrame, policy: str) -> DataFrame:
+    """(bundle_id, document): plan, merge checks and line stats of each of bundles(bundle_id, n_heads, version) as JSON, null values kept."""
+
+    def listed(rows: DataFrame, name: str, *columns) -> DataFrame:
+        return rows.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    kept = F.concat(F.lit("refs/sync/incoming/"), F.col("bundle_id").cast("string"), F.lit("/"), F.regexp_replace("target_ref", "^refs/", ""))
+    oid = lambda c: F.col(c).cast("string").alias(f"{c}_oid")
+    plan_rows = listed(plan, "preflight_plan", "target_ref", "status", oid("target"), oid("incoming"), oid("merge_base"), kept.alias("preserved_incoming_ref"))
+    check_rows = listed(checks, "mergeability_checks", "target_ref", oid("target"), F.col("target_subject").alias("target_summary"), oid("incoming"), F.col("incoming_subject").alias("incoming_summary"), oid("merge_base"), F.col("merge_base_subject").alias("merge_base_summary"), "status", "detail", "conflict_paths")
+    stat_rows = listed(stats, "line_stats", "path", "additions", "deletions")
+    rows = bundles.join(can_apply(plan, checks, policy), "bundle_id", "left")
+    for part in (plan_rows, check_rows, stat_rows):
+        rows = rows.join(part, "bundle_id", "left")
+    some = lambda part, name: F.coalesce(F.col(name), F.from_json(F.lit("[]"), part.schema[name].dataType)).alias(name)
+    body = F.struct(F.col("version").alias("bundle_version"), F.col("n_heads").alias("would_import_heads"), F.coalesce("allowed", F.lit(True)).alias("can_apply_without_conflicts"), some(plan_rows, "preflight_plan"), some(check_rows, "mergeability_checks"), some(stat_rows, "line_stats"))
+    return rows.select("bundle_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))
+
+
 def mergeability(paths: DataFrame) -> DataFrame:
     """(bundle_id, status, conflict_paths) by paths alone: any path changed on both sides is a conflict."""
     bad = F.col("kind").isin("add/add", "modify/delete", "both-modified")

@@ -6,11 +6,16 @@ diff(status, path, old_path, old_oid, new_oid, old_mode, new_mode).
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from auditlake.operators.iterate import checkpointed
+from auditlake.operators.lines import line_counts
 
 #: Bytes of a file in which a NUL makes it binary.
 BINARY_WITHIN = 8000
@@ -38,14 +43,14 @@ def file_type(mode: str) -> Column:
     return F.when(F.col(mode) == "120000", "link").when(F.col(mode) == "160000", "commit").otherwise("file")
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, keep_unchanged: bool = False) -> DataFrame:
-    """A, D, M and T rows between two snapshots by path; an empty old snapshot makes all rows A."""
-    a = old.select("path", F.col("mode").alias("old_mode"), F.col("oid").alias("old_oid"))
-    b = new.select("path", F.col("mode").alias("new_mode"), F.col("oid").alias("new_oid"))
-    rows = a.join(b, "path", "full")
+def snapshot_diff(old: DataFrame, new: DataFrame, keep_unchanged: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """A, D, M and T rows between two snapshots by path; an empty old snapshot makes all rows A. With `by`, many pairs of snapshots at once."""
+    a = old.select(*by, "path", F.col("mode").alias("old_mode"), F.col("oid").alias("old_oid"))
+    b = new.select(*by, "path", F.col("mode").alias("new_mode"), F.col("oid").alias("new_oid"))
+    rows = a.join(b, [*by, "path"], "full")
     gone, come = F.col("new_oid").isNull(), F.col("old_oid").isNull()
     status = F.when(come, "A").when(gone, "D").when(file_type("old_mode") != file_type("new_mode"), "T").when((F.col("old_oid") != F.col("new_oid")) | (F.col("old_mode") != F.col("new_mode")), "M").otherwise("=")
-    rows = rows.withColumn("status", status).withColumn("old_path", F.when(~come, F.col("path"))).select("status", "path", "old_path", "old_oid", "new_oid", "old_mode", "new_mode")
+    rows = rows.withColumn("status", status).withColumn("old_path", F.when(~come, F.col("path"))).select(*by, "status", "path", "old_path", "old_oid", "new_oid", "old_mode", "new_mode")
     return rows if keep_unchanged else rows.where("status <> '='")
 
 
@@ -66,27 +71,59 @@ def paired(candidates: DataFrame, rounds: int = 1000) -> DataFrame:
     return out if out is not None else left
 
 
-def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+def numbered(rows: DataFrame, group: list[str], order: str) -> DataFrame:
     """rows with `number`, from 1 within each group in that order; a group is numbered in ranges, never in one task."""
-    parts = checkpointed(rows.repartitionByRange(group, order).withColumn("part", F.spark_partition_id()))
-    counts = parts.groupBy(group, "part").agg(F.count("*").alias("n"))
-    before = counts.select(group, "part", (F.sum("n").over(W.Window.partitionBy(group).orderBy("part")) - F.col("n")).alias("before"))
-    within = parts.withColumn("within", F.row_number().over(W.Window.partitionBy(group, "part").orderBy(order)))
-    return within.join(before, [group, "part"]).withColumn("number", F.col("before") + F.col("within")).drop("part", "before", "within")
+    parts = checkpointed(rows.repartitionByRange(*group, order).withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy(*group, "part").agg(F.count("*").alias("n"))
+    before = counts.select(*group, "part", (F.sum("n").over(W.Window.partitionBy(*group).orderBy("part")) - F.col("n")).alias("before"))
+    within = parts.withColumn("within", F.row_number().over(W.Window.partitionBy(*group, "part").orderBy(order)))
+    return within.join(before, [*group, "part"]).withColumn("number", F.col("before") + F.col("within")).drop("part", "before", "within")
 
 
-def detect_renames(diff: DataFrame) -> DataFrame:
-    """diff with D and A rows of equal content paired as R rows, one to one."""
-    d = diff.where("status = 'D' AND old_oid IS NOT NULL").select("old_oid", F.col("path").alias("d"), "old_mode")
-    a = diff.where("status = 'A' AND new_oid IS NOT NULL").select("new_oid", F.col("path").alias("a"), "new_mode")
+def detect_renames(diff: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """diff with D and A rows of equal content paired as R rows, one to one, within each `by`."""
+    d = diff.where("status = 'D' AND old_oid IS NOT NULL").select(*by, F.col("old_oid").alias("oid"), F.col("path").alias("d"), "old_mode")
+    a = diff.where("status = 'A' AND new_oid IS NOT NULL").select(*by, F.col("new_oid").alias("oid"), F.col("path").alias("a"), "new_mode")
     # Within one content all scores are equal, so first choices pair the paths in their order.
-    d, a = numbered(d, "old_oid", "d"), numbered(a, "new_oid", "a")
-    pairs = checkpointed(d.join(a, (d["old_oid"] == a["new_oid"]) & (d["number"] == a["number"])).drop("number"))
-    moved = pairs.select(F.lit("R").alias("status"), F.col("a").alias("path"), F.col("d").alias("old_path"), "old_oid", "new_oid", "old_mode", "new_mode")
-    rest = diff.join(pairs.select(F.col("d").alias("path"), F.lit("D").alias("status")), ["path", "status"], "left_anti").join(pairs.select(F.col("a").alias("path"), F.lit("A").alias("status")), ["path", "status"], "left_anti")
+    pairs = checkpointed(numbered(d, [*by, "oid"], "d").join(numbered(a, [*by, "oid"], "a"), [*by, "oid", "number"]).drop("number"))
+    moved = pairs.select(*by, F.lit("R").alias("status"), F.col("a").alias("path"), F.col("d").alias("old_path"), F.col("oid").alias("old_oid"), F.col("oid").alias("new_oid"), "old_mode", "new_mode")
+    taken = pairs.select(*by, F.col("d").alias("path"), F.lit("D").alias("status")).unionByName(pairs.select(*by, F.col("a").alias("path"), F.lit("A").alias("status")))
+    rest = diff.join(taken, [*by, "path", "status"], "left_anti")
     return rest.select(*moved.columns).unionByName(moved)
 
 
+def changed_texts(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """Changes between two commits' files, with both texts and non_text, for each of pairs(pair, old_commit, new_commit).
+
+    files(commit, path, mode, oid, text); a null old_commit is the empty snapshot. Equal contents are paired as renames.
+    """
+    side = lambda c: pairs.select("pair", F.col(c).alias("commit")).join(files, "commit").drop("commit")
+    old, new = side("old_commit"), side("new_commit")
+    rows = detect_renames(snapshot_diff(old, new, by=("pair",)), ("pair",))
+    before = old.select("pair", F.col("path").alias("old_path"), F.col("text").alias("old_text"))
+    after = new.select("pair", "path", F.col("text").alias("new_text"))
+    texts = rows.join(before, ["pair", "old_path"], "left").join(after, ["pair", "path"], "left")
+    return texts.withColumn("non_text", non_text("old_mode", "new_mode", "old_text", "new_text"))
+
+
+def line_stats(changes: DataFrame) -> DataFrame:
+    """(pair, path, additions, deletions) of changed_texts' rows; files that are no text have 0 and 0."""
+    plain = lambda c: F.when(~F.col("non_text"), F.col(c)).alias(c)
+    return line_counts(changes.select("pair", "path", plain("old_text"), plain("new_text"))).drop("old_text", "new_text")
+
+
+def commit_line_stats(commits: DataFrame, files: DataFrame) -> DataFrame:
+    """(commit, path, additions, deletions) of commits(id, first_parent) against their first parent, or the empty tree."""
+    pairs = commits.select(F.col("id").alias("pair"), F.col("first_parent").alias("old_commit"), F.col("id").alias("new_commit"))
+    return line_stats(changed_texts(pairs, files)).withColumnRenamed("pair", "commit")
+
+
+def head_line_stats(heads: DataFrame, files: DataFrame) -> DataFrame:
+    """(bundle_id, head_index, path, additions, deletions) of heads(bundle_id, head_index, oid, base_oid) against their base."""
+    pairs = heads.select(F.struct("bundle_id", "head_index").alias("pair"), F.col("base_oid").alias("old_commit"), F.col("oid").alias("new_commit"))
+    return line_stats(changed_texts(pairs, files)).select("pair.*", "path", "additions", "deletions")
+
+
 def similar_renames(deleted: DataFrame, added: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(d, a, score) one to one: shared bytes of equal lines over the larger text, from deleted(path, text) and added(path, text)."""
     lines = lambda rows, name: rows.select(F.col("path").alias(name), F.octet_length("text").alias(f"{name}_size"), F.explode(F.split("text", "\n")).alias("line")).groupBy(name, f"{name}_size", "line").agg(F.count("*").alias(f"{name}_n"))
@@ -115,50 +152,10 @@ def find_copies(diff_all: DataFrame) -> DataFrame:
 def non_text(old_mode: str, new_mode: str, old_text: str, new_text: str) -> Column:
     """Whether either side is binary or not a regular file; null modes and texts mean an absent side."""
     odd = lambda m: F.coalesce(~F.col(m).isin("100644", "100755"), F.lit(False))
-    nul = lambda t: F.coalesce(F.instr(F.left(F.col(t), F.lit(BINARY_WITHIN)), "\0") > 0, F.lit(False))
+    nul = lambda t: F.coalesce(F.contains(F.substring(F.col(t).cast("binary"), 1, BINARY_WITHIN), F.lit(b"\0")), F.lit(False))
     return odd(old_mode) | odd(new_mode) | nul(old_text) | nul(new_text)
 
 
-def text_lines(text) -> Column:
-    """Lines of a text; empty text has none and a final newline adds none."""
-    c = F.col(text) if isinstance(text, str) else text
-    lines = F.split(F.coalesce(c, F.lit("")), "\n")
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-
-
-def line_counts(pairs: DataFrame, old: str = "old_text", new: str = "new_text") -> DataFrame:
-    """pairs with additions and deletions of a shortest edit script.
-
-    Common beginnings and ends are cut off, and the longest common subsequence of what is left is found row by row.
-    """
-    cut = pairs.withColumns({"_a": text_lines(old), "_b": text_lines(new)})
-    same = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y) & x.isNotNull()), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, e: F.struct((s["n"] + (s["go"] & e).cast("int")).alias("n"), (s["go"] & e).alias("go")), lambda s: s["n"])
-    cut = cut.withColumn("_h", same(F.col("_a"), F.col("_b")))
-    tail = lambda c: F.slice(c, F.col("_h") + 1, F.greatest(F.size(c) - F.col("_h"), F.lit(0)))
-    cut = cut.withColumns({"_a": tail("_a"), "_b": tail("_b")})
-    cut = cut.withColumn("_t", same(F.reverse("_a"), F.reverse("_b")))
-    head = lambda c: F.slice(c, 1, F.size(c) - F.col("_t"))
-    cut = cut.withColumns({"_a": head("_a"), "_b": head("_b")})
-    zeros = F.transform(F.col("_b"), lambda _: F.lit(0))
-
-    def next_row(row, line):
-        # Best of the row so far, the diagonal's length and the cell above, from left to right.
-        steps = F.arrays_zip(F.col("_b").alias("b"), row.alias("up"))
-        done = F.aggregate(
-            steps,
-            F.struct(F.lit(0).alias("left"), F.lit(0).alias("diagonal"), F.expr("cast(array() as array<int>)").alias("out")),
-            lambda s, e: F.struct(
-                F.when(e["b"] == line, s["diagonal"] + 1).otherwise(F.greatest(s["left"], e["up"])).alias("left"),
-                e["up"].alias("diagonal"),
-                F.concat(s["out"], F.array(F.when(e["b"] == line, s["diagonal"] + 1).otherwise(F.greatest(s["left"], e["up"])))).alias("out"),
-            ),
-        )
-        return done["out"]
-
-    common = F.coalesce(F.element_at(F.when(F.size("_b") > 0, F.aggregate(F.col("_a"), zeros, next_row)), -1), F.lit(0))
-    return cut.withColumn("_c", common).withColumns({"additions": (F.size("_b") - F.col("_c")).cast("long"), "deletions": (F.size("_a") - F.col("_c")).cast("long")}).drop("_a", "_b", "_h", "_t", "_c")
-
-
 def bundle_line_stats(stats: DataFrame) -> DataFrame:
     """stats(bundle_id, path, additions, deletions) summed by path."""
     return stats.groupBy("bundle_id", "path").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
@@ -201,8 +198,29 @@ def number_patch(lines: DataFrame) -> DataFrame:
     return rows.withColumns({"old_line": F.when(F.col("kind").isin("deleted", "context"), old), "new_line": F.when(F.col("kind").isin("added", "context"), new)}).drop("starts", "hunk")
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes and digests of the bundles' patches, which come in order of bundle, then path."""
+    done, now, sha, size = [], None, None, 0
+
+    def put(rows):
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("bundle", pa.string()), ("size_bytes", pa.int64()), ("sha256", pa.string())]))
+
+    for batch in batches:
+        for bundle, patch in zip(batch.column("bundle"), batch.column("patch"), strict=True):
+            if sha is None or bundle.as_py() != now:
+                if sha is not None:
+                    done.append({"bundle": now, "size_bytes": size, "sha256": sha.hexdigest()})
+                now, sha, size = bundle.as_py(), hashlib.sha256(), 0
+            data = (patch.as_py() or "").encode()
+            sha.update(data)
+            size += len(data)
+        yield put(done)
+        done = []
+    if sha is not None:
+        yield put([{"bundle": now, "size_bytes": size, "sha256": sha.hexdigest()}])
+
+
 def patch_sidecar(patches: DataFrame) -> DataFrame:
-    """(bundle_id, format, size_bytes, sha256) of patches(bundle_id, path, patch) joined in order of path."""
-    text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("path", "patch"))), lambda x: x["patch"]))
-    joined = patches.groupBy("bundle_id").agg(text.alias("text"))
-    return joined.select("bundle_id", F.lit("unified-diff").alias("format"), F.octet_length("text").cast("long").alias("size_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    """(bundle_id, format, size_bytes, sha256) of patches(bundle_id, path, patch) joined in order of path, digested as a stream."""
+    rows = patches.select(F.col("bundle_id").cast("string").alias("bundle"), "path", "patch").repartition("bundle").sortWithinPartitions("bundle", "path")
+    return rows.select("bundle", "patch").mapInArrow(_digested, "bundle string, size_bytes long, sha256 string").select(F.col("bundle").alias("bundle_id"), F.lit("unified-diff").alias("format"), "size_bytes", "sha256")

@@ -205,30 +205,6 @@ def plan_summary(spark, sf):
     return R.plan_summary(_plan(spark, sf)[0])
 
 
-@query("can_apply", duck(_V, PLAN + """ SELECT p.bundle_id, true AS create_only, bool_and(p.status <> 'diverged_merge_required') AS forward, bool_and(p.status <> 'diverged_merge_required' OR coalesce(m.status, '') = 'clean') AS merge
-  FROM plan p LEFT JOIN merge m USING (bundle_id, target_ref) GROUP BY p.bundle_id""", True))
-def can_apply(spark, sf):
-    plan, merge = _plan(spark, sf)
-    one = lambda policy, name: R.can_apply(plan, merge, policy).withColumnRenamed("allowed", name)
-    return one("create-refs-only", "create_only").join(one("fast-forward-only", "forward"), "bundle_id").join(one("merge", "merge"), "bundle_id")
-
-
-@query("blocking_rows", duck(_V, PLAN + """ SELECT p.bundle_id, target_ref, target, incoming, merge_base, CASE m.status WHEN 'conflicted' THEN 'merge would conflict' WHEN 'unknown' THEN 'mergeability check failed' ELSE 'mergeability check missing' END AS reason, 'merge required' AS next_step
-  FROM plan p LEFT JOIN merge m USING (bundle_id, target_ref) WHERE p.status = 'diverged_merge_required' AND coalesce(m.status, '') <> 'clean'""", True))
-def blocking_rows(spark, sf):
-    plan, merge = _plan(spark, sf)
-    return R.blocking_rows(plan, merge, "merge")
-
-
-@query("planned_updates", duck(_V, PLAN + """ SELECT bundle_id, target_ref AS ref_name, target::varchar AS expected_old, incoming::varchar AS new_oid, 1 AS step FROM plan WHERE status IN ('target_missing', 'fast_forward_ok')
-  UNION ALL SELECT bundle_id, CASE s WHEN 1 THEN concat('refs/sync/merge-test/', bundle_id, '/', substr(target_ref, 6)) ELSE target_ref END, CASE s WHEN 2 THEN target::varchar END, concat('m', cust), s
-  FROM plan, unnest([1, 2]) t(s) WHERE status = 'diverged_merge_required' AND cust % 3 = 0""", True))
-def planned_updates(spark, sf):
-    plan, _ = _plan(spark, sf)
-    merged = plan.where("cust % 3 = 0").select("bundle_id", "target_ref", F.concat(F.lit("m"), "cust").alias("merge_oid"))
-    return R.planned_updates(plan, merged, "merge")
-
-
 UPDATES = """+ refs AS (SELECT repo, target_ref AS ref_name, target::varchar AS oid FROM pairs WHERE target IS NOT NULL),
 updates AS (SELECT repo AS bundle_id, repo, target_ref AS ref_name, CASE WHEN cust % 41 = 0 THEN 'stale' ELSE target::varchar END AS expected_old, incoming::varchar AS new_oid FROM pairs WHERE cust % 2 = 0),
 checked AS (SELECT u.*, r.oid, r.oid IS NOT DISTINCT FROM expected_old AS holds FROM updates u LEFT JOIN refs r USING (repo, ref_name)),

@@ -32,7 +32,9 @@ def flatten(spark, sf):
     return S.flatten(spark.createDataFrame([("root",)], "root string"), view(spark, sf, "tree_entries"))
 
 
-@query("detect_renames", None)
+@query("detect_renames", duck(_SNAP, DIFF + """, d AS (SELECT *, row_number() OVER (PARTITION BY old_oid ORDER BY path) AS n FROM diff WHERE status = 'D'), a AS (SELECT *, row_number() OVER (PARTITION BY new_oid ORDER BY path) AS n FROM diff WHERE status = 'A'),
+  r AS (SELECT a.path, d.path AS gone, d.old_oid, a.new_oid, d.old_mode, a.new_mode FROM d JOIN a ON a.new_oid = d.old_oid AND a.n = d.n)
+  SELECT * FROM diff WHERE NOT (status = 'D' AND path IN (SELECT gone FROM r)) AND NOT (status = 'A' AND path IN (SELECT path FROM r)) UNION ALL SELECT 'R', path, gone, old_oid, new_oid, old_mode, new_mode FROM r"""))
 def detect_renames(spark, sf):
     return S.detect_renames(_diff(spark, sf))
 
@@ -69,60 +71,3 @@ def non_text(spark, sf):
     old = view(spark, sf, "snap_base").select("path", F.col("text").alias("old_text"))
     new = view(spark, sf, "snap_tip").select("path", F.when(F.ascii(F.substring("path", 5, 1)) % 2 == 0, F.concat(F.lit("\0"), "text")).otherwise(F.col("text")).alias("new_text"))
     return rows.join(old, "path", "left").join(new, "path", "left").select("path", S.non_text("old_mode", "new_mode", "old_text", "new_text").alias("non_text"))
-
-
-@query("line_counts", duck(["line_pairs"], "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 + (old_text = '')::int * 0 ELSE 0 END AS additions, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS deletions FROM line_pairs WHERE old_text NOT LIKE '%' || chr(10) AND old_text <> ''"))
-def line_counts(spark, sf):
-    rows = view(spark, sf, "line_pairs").where(~F.col("old_text").endswith("\n") & (F.col("old_text") != ""))
-    even = F.col("doc_id") % 2 == 0
-    swapped = rows.select("doc_id", F.when(even, F.col("old_text")).otherwise(F.col("new_text")).alias("old_text"), F.when(even, F.col("new_text")).otherwise(F.col("old_text")).alias("new_text"))
-    return S.line_counts(swapped).select("doc_id", "additions", "deletions")
-
-
-@query("bundle_line_stats", duck(["line_pairs"], "SELECT source AS bundle_id, concat('p', doc_id % 40) AS path, sum(doc_id % 7) AS additions, sum(doc_id % 3) AS deletions FROM line_pairs GROUP BY ALL"))
-def bundle_line_stats(spark, sf):
-    rows = view(spark, sf, "line_pairs").select(F.col("source").alias("bundle_id"), F.concat(F.lit("p"), (F.col("doc_id") % 40).cast("string")).alias("path"), (F.col("doc_id") % 7).alias("additions"), (F.col("doc_id") % 3).alias("deletions"))
-    return S.bundle_line_stats(rows)
-
-
-@query("find_change", duck(_SNAP, DIFF + """, asked AS (SELECT DISTINCT path AS want FROM snap_base UNION SELECT path FROM snap_tip)
-  SELECT 'c1' AS commit, want, d.status, d.path, CASE WHEN d.path IS NULL THEN 'not-changed' WHEN coalesce(old_mode = '120000', false) OR coalesce(new_mode = '120000', false) THEN 'non-text' ELSE 'text' END AS outcome FROM asked LEFT JOIN diff d ON d.path = want"""))
-def find_change(spark, sf):
-    odd = F.coalesce(F.col("old_mode") == "120000", F.lit(False)) | F.coalesce(F.col("new_mode") == "120000", F.lit(False))
-    diffs = _diff(spark, sf).select(F.lit("c1").alias("commit"), "status", "path", "old_path", odd.alias("is_non_text"))
-    asked = view(spark, sf, "snap_base").select("path").union(view(spark, sf, "snap_tip").select("path")).distinct().select(F.lit("c1").alias("commit"), F.col("path").alias("want"))
-    return S.find_change(asked, diffs)
-
-
-PATCH = """+ parts AS (SELECT doc_id, ['diff --git a/x b/x', '--- a/x', '+++ b/x', concat('@@ -', doc_id + 1, ',2 +', doc_id + 3, ',3 @@'), ' context', '-old', '+new', '+more', ' end', '\\ No newline'] AS l FROM line_pairs),
-lines AS (SELECT doc_id AS patch_id, unnest(range(1, 11)) AS pos, unnest(l) AS line FROM parts)"""
-
-
-def _patch(spark, sf):
-    d = F.col("doc_id")
-    hunk = F.concat(F.lit("@@ -"), (d + 1).cast("string"), F.lit(",2 +"), (d + 3).cast("string"), F.lit(",3 @@"))
-    lines = F.array(F.lit("diff --git a/x b/x"), F.lit("--- a/x"), F.lit("+++ b/x"), hunk, *[F.lit(x) for x in (" context", "-old", "+new", "+more", " end", "\\ No newline")])
-    return view(spark, sf, "line_pairs").select(d.alias("patch_id"), F.posexplode(lines).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
-
-
-@query("classify_patch", duck(["line_pairs"], PATCH + " SELECT patch_id, pos, CASE WHEN pos <= 3 THEN 'header' WHEN pos = 4 THEN 'hunk' WHEN pos IN (5, 9) THEN 'context' WHEN pos = 6 THEN 'deleted' WHEN pos IN (7, 8) THEN 'added' ELSE 'other' END AS kind FROM lines"))
-def classify_patch(spark, sf):
-    return _patch(spark, sf).select("patch_id", "pos", S.line_kind().alias("kind"))
-
-
-@query("hunk_starts", duck(["line_pairs"], PATCH + " SELECT patch_id, pos, CASE WHEN pos = 4 THEN patch_id + 1 END AS old_start, CASE WHEN pos = 4 THEN patch_id + 3 END AS new_start FROM lines"))
-def hunk_starts(spark, sf):
-    return _patch(spark, sf).withColumn("s", S.hunk_starts()).select("patch_id", "pos", "s.old_start", "s.new_start")
-
-
-@query("number_patch", duck(["line_pairs"], PATCH + " SELECT patch_id, pos, CASE pos WHEN 5 THEN patch_id + 1 WHEN 6 THEN patch_id + 2 WHEN 9 THEN patch_id + 3 END AS old_line, CASE pos WHEN 5 THEN patch_id + 3 WHEN 7 THEN patch_id + 4 WHEN 8 THEN patch_id + 5 WHEN 9 THEN patch_id + 6 END AS new_line FROM lines"))
-def number_patch(spark, sf):
-    return S.number_patch(_patch(spark, sf)).select("patch_id", "pos", "old_line", "new_line")
-
-
-@query("patch_sidecar", duck(["line_pairs"], PATCH + """, joined AS (SELECT source AS bundle_id, string_agg(p, '' ORDER BY doc_id) AS t FROM line_pairs JOIN (SELECT patch_id AS doc_id, string_agg(line || chr(10), '' ORDER BY pos) AS p FROM lines GROUP BY 1) USING (doc_id) GROUP BY 1)
-  SELECT bundle_id, 'unified-diff' AS format, strlen(t) AS size_bytes, sha256(t) AS sha256 FROM joined"""))
-def patch_sidecar(spark, sf):
-    one = _patch(spark, sf).groupBy("patch_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: F.concat(x["line"], F.lit("\n")))).alias("patch"))
-    rows = one.join(view(spark, sf, "line_pairs").select(F.col("doc_id").alias("patch_id"), F.col("source").alias("bundle_id")), "patch_id")
-    return S.patch_sidecar(rows.select("bundle_id", F.lpad(F.col("patch_id").cast("string"), 12, "0").alias("path"), "patch"))

@@ -70,7 +70,59 @@ VIEWS: dict[str, tuple[list[str], str]] = {
            UNION ALL SELECT concat('n', c_nationkey), cast(c_custkey AS bigint), '100644', c_name, concat('c', c_custkey), 'blob' FROM customer
            UNION ALL SELECT concat('n', s_nationkey), cast(1000000000 + s_suppkey AS bigint), '160000', s_name, concat('s', s_suppkey), 'commit' FROM supplier""",
     ),
-    "line_pairs": (["docs"], "SELECT doc_id, source, text AS old_text, concat(text, chr(10), 'tail line ', doc_id) AS new_text FROM docs WHERE doc_id % 5 = 0"),
+    "line_pairs": (
+        ["docs"],
+        """SELECT doc_id, source, lines, text AS old_text,
+             CASE doc_id % 4 WHEN 0 THEN concat('head line ', doc_id, chr(10), text)
+               WHEN 1 THEN CASE WHEN instr(text, chr(10)) > 0 THEN concat('new first ', doc_id, substr(text, instr(text, chr(10)))) ELSE concat('new first ', doc_id) END
+               WHEN 2 THEN concat(substr(text, instr(text, chr(10)) + 1), CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10))) ELSE '' END)
+               ELSE text END AS new_text
+           FROM (SELECT doc_id, source, CASE WHEN text = '' THEN '' WHEN substr(text, -1) = chr(10) THEN text ELSE concat(text, chr(10)) END AS text,
+                   length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR substr(text, -1) = chr(10) THEN 0 ELSE 1 END AS lines FROM docs) x""",
+    ),
+    "revised": (
+        ["docs"],
+        """SELECT doc_id, source AS bundle_id, concat(lang, '/', doc_id, '.txt') AS path0, concat(CASE WHEN doc_id % 13 = 0 THEN 'moved/' ELSE '' END, lang, '/', doc_id, '.txt') AS path,
+             CASE WHEN doc_id % 17 = 0 THEN '120000' ELSE '100644' END AS mode, text AS t1,
+             CASE doc_id % 5 WHEN 0 THEN concat('head line ', doc_id, chr(10), text)
+               WHEN 1 THEN CASE WHEN instr(text, chr(10)) > 0 THEN concat('new first ', doc_id, substr(text, instr(text, chr(10)))) ELSE concat('new first ', doc_id) END
+               WHEN 2 THEN CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END
+               ELSE text END AS t2 FROM docs""",
+    ),
+    "rev_files": (
+        ["revised"],
+        """SELECT bundle_id, concat(bundle_id, '/r1') AS commit, doc_id, path0 AS path, '100644' AS mode, bloboid(t1) AS oid, t1 AS text FROM revised WHERE doc_id % 7 <> 0
+           UNION ALL SELECT bundle_id, concat(bundle_id, '/r2'), doc_id, path, mode, bloboid(t2), t2 FROM revised WHERE doc_id % 11 <> 0
+           UNION ALL SELECT bundle_id, concat(bundle_id, '/r3'), doc_id, path, mode, bloboid(t3), t3 FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN concat('top ', doc_id, chr(10), t2) ELSE t2 END AS t3 FROM revised) x WHERE doc_id % 11 <> 0 AND doc_id % 19 <> 0""",
+    ),
+    "rev_commits": (
+        ["docs"],
+        """SELECT bundle_id, concat(bundle_id, '/r', n) AS id, CASE WHEN n > 1 THEN concat(bundle_id, '/r', n - 1) END AS first_parent, n, concat('tree', n) AS tree_oid, concat('revision ', n) AS subject, concat('revision ', n, chr(10)) AS message, concat('user', n) AS author
+           FROM (SELECT DISTINCT source AS bundle_id FROM docs) b CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) v""",
+    ),
+    "rev_pairs": (["rev_commits"], "SELECT id AS pair, first_parent AS old_commit, id AS new_commit, 'commit' AS what FROM rev_commits UNION ALL SELECT concat(bundle_id, '#', n - 2), concat(bundle_id, '/r1'), id, 'head' FROM rev_commits WHERE n > 1"),
+    "forked": (
+        ["docs"],
+        """SELECT doc_id, source AS bundle_id, (doc_id DIV 20) % 10 AS k, concat('d', doc_id, '.txt') AS path, text,
+             CASE WHEN doc_id % 7 <> 0 THEN text END AS base,
+             CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN concat(text, chr(10), 'ours tail') ELSE text END AS ours,
+             CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN text END WHEN doc_id % 11 = 0 THEN text
+               WHEN (doc_id DIV 20) % 10 % 3 = 1 AND doc_id % 5 = 0 THEN concat(text, chr(10), 'theirs tail') WHEN doc_id % 3 = 0 THEN concat('theirs head', chr(10), text) ELSE text END AS theirs
+           FROM docs""",
+    ),
+    "fork_refs": (["forked"], "SELECT DISTINCT bundle_id, k, concat('refs/heads/k', k) AS target_ref, concat(bundle_id, '/o', k) AS target, concat(bundle_id, '/t', k) AS incoming, CASE WHEN k % 3 <> 2 THEN concat(bundle_id, '/b', k) END AS base_commit FROM forked"),
+    "fork_files": (
+        ["forked"],
+        """SELECT concat(bundle_id, '/b', k) AS commit, path, '100644' AS mode, bloboid(base) AS oid, base AS text FROM forked WHERE base IS NOT NULL
+           UNION ALL SELECT concat(bundle_id, '/o', k), path, '100644', bloboid(ours), ours FROM forked WHERE ours IS NOT NULL
+           UNION ALL SELECT concat(bundle_id, '/t', k), path, '100644', bloboid(theirs), theirs FROM forked WHERE theirs IS NOT NULL""",
+    ),
+    "fork_commits": (
+        ["fork_refs"],
+        """SELECT concat(bundle_id, '/b', k) AS id, bundle_id AS repo, 0 AS time, concat('base ', k) AS subject FROM fork_refs
+           UNION ALL SELECT target, bundle_id, 1, concat('ours ', k) FROM fork_refs UNION ALL SELECT incoming, bundle_id, 1, concat('theirs ', k) FROM fork_refs""",
+    ),
+    "fork_edges": (["fork_refs"], "SELECT target AS child, base_commit AS parent, 0 AS parent_index FROM fork_refs WHERE base_commit IS NOT NULL UNION ALL SELECT incoming, base_commit, 0 FROM fork_refs WHERE base_commit IS NOT NULL"),
     "decor_refs": (
         ["all_heads", "commits"],
         """SELECT repo, concat('refs/tags/t', id) AS ref_name, id AS oid FROM commits WHERE id % 20 = 0

@@ -4,15 +4,17 @@ import pytest
 from pyspark.sql import Row
 
 from auditlake.operators import history as H
+from auditlake.operators import lines as L
 from auditlake.operators import receive as R
 from auditlake.operators import snapshot as S
 
 
 def test_line_counts(spark):
-    pairs = [("a\nb\nc", "a\nx\nc"), ("", "a\n"), ("a\n", "a"), ("a\nb\nc\nd", "b\nd\ne"), (None, None)]
+    # A last line without newline differs from the same line with one.
+    pairs = [("a\nb\nc", "a\nx\nc"), ("", "a\n"), ("a\n", "a"), ("a\nb\nc\nd\n", "b\nd\ne\n"), (None, None)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, old_text string, new_text string")
-    got = {r.i: (r.additions, r.deletions) for r in S.line_counts(df).collect()}
-    assert got == {0: (1, 1), 1: (1, 0), 2: (0, 0), 3: (1, 2), 4: (0, 0)}
+    got = {r.i: (r.additions, r.deletions) for r in L.line_counts(df).collect()}
+    assert got == {0: (1, 1), 1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (0, 0)}
 
 
 def test_merge_base_and_range(spark):
