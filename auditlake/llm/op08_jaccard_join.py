@@ -45,7 +45,7 @@ from auditlake.llm.words import blocks, mixed, ngrams
 #: Words of an n-gram; similarity as a fraction, so that the bound is tested in whole numbers.
 N, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: An n-gram in this many documents of one block of BLOCK n-grams is widespread. With a set's usual size, only so many can be.
-WIDESPREAD, BLOCK = 32, 4_000_000
+WIDESPREAD, BLOCK = 8, 1_000_000
 #: Widespread n-grams that are looked up, the commonest first, so that no counting group gets all rows of one.
 MOVED = 1 << 18
 #: Bins whose minima tie classes in step 2.
@@ -60,8 +60,8 @@ SPARE = 10
 RUN = 10
 #: Classes up to which those of one n-gram are paired; beyond, they are compared in blocks.
 PAIRED = 32
-#: N-grams of the sets in one tree, and in one verifying group of pairs.
-TREE = 1 << 19
+#: N-grams of the sets in one verifying group of pairs, and in the tree or the probes of one block.
+TREE, PROBED = 1 << 19, 1 << 16
 
 def _set_of(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngrams(h, n))
@@ -413,7 +413,7 @@ class JaccardJoin:
         members = staged(at.select("class", "size", "comp").distinct().join(cluster, "class"), "members")
         main = members.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
         members = members.join(main, "cluster").withColumn("side", F.col("comp") != F.col("main"))
-        parts = members.groupBy("cluster", "side").agg(F.ceil(F.sum("size") / TREE).cast("int").alias("parts"))
+        parts = members.groupBy("cluster", "side").agg(F.ceil(F.sum("size") / PROBED).cast("int").alias("parts"))
         members = staged(members.join(parts, ["cluster", "side"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")), "members")
         sets = self._sets(members.select(F.col("class").alias("rid"))).select(F.col("rid").alias("class"), "grams")
         sides = parts.where("side").select("cluster", F.col("parts").alias("probe_parts"))
