@@ -1,14 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds find candidate places, Smith-Waterman alignment scores them.
 
-Words are runs of letters and digits, lower-cased, so punctuation and case do not matter. An item's seeds are the rarer
-part of those of its n-grams that occur, by the number of training documents that hold them; the part is relative to the item, so an
-item whose every n-gram is common, because it leaked often, keeps its seeds. Where seeds of one item lie near one
-diagonal of a text, the item is aligned with that stretch of the text: match +2, other word -1, gap -1. The score is the
-alignment's, over that of the whole item with itself; from `least` on the document counts as contaminated.
+Words are runs of letters and digits, lower-cased, so punctuation and case do not matter. An item's seeds are those of its
+word pairs that at most a small share of all documents hold, or the rarer half of its pairs where fewer are so rare, as
+when it leaked often; the seed of an item of one word is that word. One seed in a text calls for an alignment of the item
+with the stretch of text around it, unless the stretch has too few of the item's words for the score to be reached:
+match +2, other word -1, gap -1. The score is the alignment's, over that of the whole item with itself; a document counts
+as contaminated with `least` of it, or with an exact run of `run` of the item's words.
 
 Items are handled in blocks of a fixed number of n-grams, each broadcast, against all rows in place: texts are never
 shuffled. Two passes over the texts are made for each block, one to count and one to align.
 
+Not found: a copy without any two seed words of the item side by side, such as an item of three words with the middle one
+replaced.
+
 Defined results: null and empty texts are never contaminated, items without words contaminate nothing; repeated rows are
 each reported; a null doc_id or item_id is reported as null; an empty benchmark gives no rows.
 """
@@ -25,12 +29,10 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import having_ids, row_keyed, small_batches, staged
 from auditlake.llm.words import Block, blocks, mixed
 
-#: Words of a seed, share of an item's n-grams that are seeds, seeds near one diagonal that call for an alignment.
-SEED, SHARE, SEEDS = 3, 0.7, 2
-#: An item has at least this many seeds, if so many of its n-grams occur.
-FEWEST = 8
-#: Score from which a document is contaminated.
-LEAST = 0.5
+#: Words of a seed; share of all documents up to which a seed is rare; at least this share of an item's pairs are seeds.
+SEED, RARE, SHARE = 2, 1 / 500, 0.5
+#: Score, and exact run of words, from which a document is contaminated.
+LEAST, RUN = 0.5, 25
 #: Words of all items in one broadcast block.
 BLOCK_WORDS = 1_000_000
 MATCH, OTHER, GAP = 2, -1, -1
@@ -59,43 +61,49 @@ def seeds_of(h: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment: score, and where in the text it begins (an estimate by its length) and ends."""
-    before = np.zeros(len(text) + 1, np.int64)
+def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
+    """Best local alignment: score, where in the text it begins (an estimate by its length) and ends; and the longest exact run."""
+    before, runs = np.zeros(len(text) + 1, np.int64), np.zeros(len(text) + 1, np.int64)
     slope = GAP * np.arange(len(text) + 1)
-    best, end, row = 0, 0, 0
+    best, end, row, longest = 0, 0, 0, 0
     for i, w in enumerate(item):
+        same = text == w
         h = np.zeros(len(text) + 1, np.int64)
-        h[1:] = np.maximum(before[:-1] + np.where(text == w, MATCH, OTHER), before[1:] + GAP)
+        h[1:] = np.maximum(before[:-1] + np.where(same, MATCH, OTHER), before[1:] + GAP)
         h = np.maximum(np.maximum.accumulate(np.maximum(h, 0) - slope) + slope, 0)
+        runs[1:] = np.where(same, runs[:-1] + 1, 0)
+        longest = max(longest, int(runs.max()))
         k = int(h.argmax())
         if h[k] > best:
             best, end, row = int(h[k]), k, i + 1
         before = h
-    return best, max(0, end - row), end
+    return best, max(0, end - row), end, longest
 
 
 class Items:
-    """A block of items: word hashes, and the sorted table of n-grams with the items and places that have them."""
+    """A block of items: word hashes, and the sorted table of seeds with the items and places that have them.
+
+    A seed is a pair of words; that of an item of one word is the word itself, hashed otherwise.
+    """
 
     def __init__(self, ids: list, words: list[np.ndarray]):
         self.ids, self.words = ids, words
-        grams = [seeds_of(w) for w in words]
+        grams = [seeds_of(w) if len(w) > 1 else mixed(w) for w in words]
         self.item = np.concatenate([np.full(len(g), k) for k, g in enumerate(grams)] or [np.empty(0, np.int64)]).astype(np.int64)
         self.place = np.concatenate([np.arange(len(g)) for g in grams] or [np.empty(0, np.int64)]).astype(np.int64)
         grams = np.concatenate(grams or [np.empty(0, np.uint64)])
         self.distinct, self.number = np.unique(grams, return_inverse=True)
 
-    def seeded(self, count: np.ndarray) -> Items:
-        """The same with seeds alone, by the number of documents that hold each distinct n-gram."""
+    def seeded(self, count: np.ndarray, documents: int) -> Items:
+        """The same with seeds alone, by the number of documents that hold each distinct pair."""
         held = count[self.number]
-        # N-grams that no document holds find nothing and take no place among the seeds.
+        # Pairs that no document holds find nothing and take no place among the seeds.
         sort = np.lexsort((self.place, np.where(held > 0, held, np.iinfo(np.int64).max), self.item))
         rank = np.empty(len(sort), np.int64)
         starts = np.searchsorted(self.item[sort], np.arange(len(self.ids)))
         rank[sort] = np.arange(len(sort)) - starts[self.item[sort]]
         total = np.bincount(self.item, held > 0, len(self.ids))
-        keep = (held > 0) & (rank < np.maximum(np.ceil(SHARE * total), FEWEST)[self.item])
+        keep = (held > 0) & ((held <= RARE * documents) | (rank < np.ceil(SHARE * total)[self.item]))
         out = object.__new__(Items)
         out.ids, out.words = self.ids, self.words
         grams = self.distinct[self.number][keep]
@@ -104,6 +112,19 @@ class Items:
         return out
 
 
+def _found(table: np.ndarray, h: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block's words: where a seed of the table is, in which text, and which seed; pairs lie within one text."""
+    at, g = [], []
+    for n, grams in ((SEED, seeds_of(h)), (1, mixed(h))):
+        hit = _hits(table, grams)
+        doc = np.searchsorted(words, hit, "right") - 1
+        hit = hit[hit + n <= words[doc + 1]]
+        at.append(hit)
+        g.append(grams[hit])
+    at, g = np.concatenate(at), np.concatenate(g)
+    return at, np.searchsorted(words, at, "right") - 1, g
+
+
 def _hits(sorted_grams: np.ndarray, g: np.ndarray) -> np.ndarray:
     if not len(sorted_grams):
         return np.empty(0, np.int64)
@@ -112,72 +133,69 @@ def _hits(sorted_grams: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def _counter(items):
-    """Documents that hold each of the block's n-grams, summed over a task."""
+    """Documents that hold each of the block's pairs, summed over a task; place -1 counts all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = items.value.distinct
-        total = np.zeros(len(table), np.int64)
+        total, documents = np.zeros(len(table), np.int64), 0
         for batch in batches:
+            documents += len(batch)
             for block in blocks(batch.column("text")):
                 h, words = plain_words(block)
-                g = seeds_of(h)
-                hit = _hits(table, g)
-                doc = np.searchsorted(words, hit, "right") - 1
-                hit, doc = hit[hit + SEED <= words[doc + 1]], doc[hit + SEED <= words[doc + 1]]
-                pairs = np.unique(np.searchsorted(table, g[hit]) * len(block) + doc)
+                _, doc, g = _found(table, h, words)
+                pairs = np.unique(np.searchsorted(table, g) * len(block) + doc)
                 total += np.bincount(pairs // len(block), minlength=len(table))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], documents))], names=["gram", "n"])
 
     return run
 
 
-def _aligner(items, least: float):
-    names = ["rid", "doc_id", "item_id", "score", "n_seeds", "first_word", "last_word"]
+def _aligner(items, least: float, run_of: int):
+    names = ["rid", "doc_id", "item_id", "score", "run", "n_seeds", "first_word", "last_word"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = items.value
+        lengths = np.array([len(w) for w in t.words], np.int64)
+        # An alignment or run that counts has at least so many of the item's words.
+        fewest = np.minimum(np.ceil(least * lengths - 1e-9).astype(np.int64), run_of)
         for batch in batches:
             out = []
             rids, doc_ids = batch.column("rid").to_pylist(), batch.column("doc_id").to_pylist()
             for block in blocks(batch.column("text")):
                 h, words = plain_words(block)
-                g = seeds_of(h)
-                hit = _hits(t.grams, g)
+                hit, doc, g = _found(t.grams, h, words)
                 if not len(hit):
                     continue
-                first, last = np.searchsorted(t.grams, g[hit]), np.searchsorted(t.grams, g[hit], "right")
+                first, last = np.searchsorted(t.grams, g), np.searchsorted(t.grams, g, "right")
                 n = last - first
-                at = np.repeat(hit, n)
+                at, doc = np.repeat(hit, n), np.repeat(doc, n)
                 entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
                 item, place = t.item[entry], t.place[entry]
-                doc = np.searchsorted(words, at, "right") - 1
-                own = at + SEED <= words[doc + 1]
-                at, item, place, doc = at[own], item[own], place[own], doc[own]
                 diagonal = at - place
                 sort = np.lexsort((diagonal, item, doc))
-                at, item, place, doc, diagonal = at[sort], item[sort], place[sort], doc[sort], diagonal[sort]
-                if not len(at):
-                    continue
+                item, place, doc, diagonal = item[sort], place[sort], doc[sort], diagonal[sort]
                 # A stretch ends where the text, the item or, by more than a third of the item, the diagonal changes.
-                slack = np.array([len(w) for w in t.words])[item] // 3 + 4
+                slack = lengths[item] // 3 + 4
                 new = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) > slack[1:])) + 1
                 best: dict[tuple[int, int], tuple] = {}
-                for a, b in zip(np.concatenate([[0], new]), np.concatenate([new, [len(at)]]), strict=True):
+                for a, b in zip(np.concatenate([[0], new]), np.concatenate([new, [len(item)]]), strict=True):
                     k, d, w = int(item[a]), int(doc[a]), t.words[int(item[a])]
-                    seeds = len(np.unique(place[a:b]))
-                    if seeds < min(SEEDS, len(w) - SEED + 1):
-                        continue
-                    pad = len(w) // 3 + 4
+                    # Insertions make a copy longer than the item, by as much as its score allows.
+                    pad = len(w) + 4
                     lo = max(int(words[d]), int(diagonal[a]) - pad)
                     hi = min(int(words[d + 1]), int(diagonal[b - 1]) + len(w) + pad)
-                    points, start, end = aligned(w, h[lo:hi])
+                    stretch = h[lo:hi]
+                    if np.isin(stretch, w).sum() < fewest[k]:
+                        continue
+                    points, start, end, exact = aligned(w, stretch)
                     score = points / (MATCH * len(w))
-                    if score >= least and score > best.get((d, k), (0.0,))[0]:
-                        best[d, k] = (score, seeds, lo + start - int(words[d]), lo + end - int(words[d]))
+                    if (score >= least or exact >= run_of) and score > best.get((d, k), (0.0,))[0]:
+                        best[d, k] = (score, exact, len(np.unique(place[a:b])), lo + start - int(words[d]), lo + end - int(words[d]))
                 out += [(rids[block.first + d], doc_ids[block.first + d], t.ids[k], *v) for (d, k), v in best.items()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return run
 
@@ -192,11 +210,12 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["item_id", "words"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str | None = None, least: float = LEAST) -> DataFrame:
-    """Per contaminated document and item: rid, doc_id, item_id, score, n_seeds and the aligned words' range."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str | None = None, least: float = LEAST, run: int = RUN) -> DataFrame:
+    """Per contaminated document and item: rid, doc_id, item_id, score, longest exact run, n_seeds and the aligned words' range."""
+    if key is None:
+        docs, key = row_keyed(docs)
     spark = small_batches(docs).sparkSession
-    rid = F.monotonically_increasing_id() if key is None else F.col(key)
-    texts = docs.select(rid.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    texts = docs.select(F.col(key).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     words = staged(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(_item_words, "item_id long, words array<long>"), "items").where(F.size("words") > 0)
     total = words.agg(F.sum(F.size("words"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_WORDS))
@@ -205,11 +224,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str | None = None,
         rows = words.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n_blocks)) == b).orderBy("item_id", "words").collect()
         items = Items([r["item_id"] for r in rows], [np.array(r["words"], np.int64).astype(np.uint64) for r in rows])
         counted = texts.select("text").mapInArrow(_counter(spark.sparkContext.broadcast(items)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        count = np.zeros(len(items.distinct), np.int64)
+        count, documents = np.zeros(len(items.distinct), np.int64), 0
         for r in counted.collect():
-            count[r["gram"]] = r["n"]
-        seeded = spark.sparkContext.broadcast(items.seeded(count))
-        part = texts.mapInArrow(_aligner(seeded, least), "rid long, doc_id long, item_id long, score double, n_seeds long, first_word long, last_word long")
+            if r["gram"] < 0:
+                documents = r["n"]
+            else:
+                count[r["gram"]] = r["n"]
+        seeded = spark.sparkContext.broadcast(items.seeded(count, documents))
+        part = texts.mapInArrow(_aligner(seeded, least, run), "rid long, doc_id long, item_id long, score double, run long, n_seeds long, first_word long, last_word long")
         found = part if found is None else found.unionByName(part)
     return found
 
