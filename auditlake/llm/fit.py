@@ -30,12 +30,12 @@ def sampled(labels: DataFrame, y: str, per_class: int, salt: int = 1) -> DataFra
     return known.where(hashed < share).select("doc_id", y, F.pmod(F.xxhash64("doc_id", F.lit(salt + 1)), F.lit(2)).cast("int").alias("part"))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Weights, intercept last, of a logistic regression by Newton's method; classes count alike."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60, balanced: bool = True) -> np.ndarray:
+    """Weights, intercept last, of a logistic regression by Newton's method; balanced: the classes count alike."""
     if not len(y) or y.min() == y.max():
         return np.append(np.ones(x.shape[1]), 0.0)
     a = np.column_stack([x, np.ones(len(x))])
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y) if balanced else np.ones(len(y))
     w = np.zeros(a.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))

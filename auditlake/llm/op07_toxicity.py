@@ -2,9 +2,11 @@
 
 Two models, of toxic and of ordinary labelled documents, give each byte of a word a probability after up to five bytes
 before it in the word. The highest orders have counts of their own class; the lower ones, continuation counts that both
-classes share, smooth rare expressions, so that a word unknown to both tells nothing. A word's evidence is the difference
-of its two log-likelihoods, normalised by the root of its length; a document's score is a logistic function of its strongest words' evidence and
-of the number of its words, which accounts for the chance finds of a long text.
+classes share, smooth rare expressions, so that a word unknown to both tells nothing. A document's evidence is the
+difference of its two log-likelihoods over all its words, normalised by its length and by the root of its length. A long
+document's ordinary words add up to much noise, so three more sums go with it: that of what each word's difference has
+beyond a margin, normalised likewise, the differences of its strongest words, and its length. A logistic function joins
+them; its threshold of 0.5 is where precision and recall on the calibrating half balance best.
 
 Models are fitted on a bounded sample (`per_class` documents of each label); one half of it is counted, on the executors,
 and the other calibrates the logistic function. Scoring covers every word of every text.
@@ -30,8 +32,10 @@ from auditlake.llm.words import blocks
 ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 #: Labelled documents of each class in the sample.
 PER_CLASS = 3000
-#: Strongest words of a document that count.
-TOP = 3
+#: Strongest words of a document whose differences are further inputs, and what a word's difference must be beyond to count as strong.
+TOP, MARGIN = 3, 2.0
+#: Inputs of the logistic function.
+INPUTS = 5 + TOP
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +114,7 @@ def fit_models(words: list[bytes], counts: np.ndarray) -> dict:
 
 
 def evidence(model: dict, words: list[bytes]) -> np.ndarray:
-    """Per word the difference of its log-likelihoods, toxic less ordinary, over the root of its length."""
+    """Per word the difference of its log-likelihoods, toxic less ordinary."""
     if not len(words):
         return np.empty(0)
     flat, at, back = spelled(words)
@@ -132,32 +136,58 @@ def evidence(model: dict, words: list[bytes]) -> np.ndarray:
         if not len(left):
             break
     lengths = np.array([len(w) + 1 for w in words])
-    return np.add.reduceat(out, np.concatenate([[0], np.cumsum(lengths)[:-1]])) / np.sqrt(lengths + 1)
+    return np.add.reduceat(out, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
 
 
 def _features(model):
-    """Per text: number of words and the evidence of its TOP strongest words."""
+    """Per text the inputs of the logistic function; those of a text without words are 0."""
 
     def of(texts: pa.Array) -> np.ndarray:
-        out = np.zeros((len(texts), TOP + 1))
+        out = np.zeros((len(texts), INPUTS))
         for block in blocks(texts, 2 << 20):
             h = block.hashes()
             if not len(h):
                 continue
             _, first, number = np.unique(h, return_index=True, return_inverse=True)
             raw, s, e = block.low.tobytes(), block.starts[first], block.ends[first]
+            lengths = (e - s + 1)[number]
             value = evidence(model, [raw[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)])[number]
             for k in range(len(block)):
-                v = value[block.words[k] : block.words[k + 1]]
+                own = slice(block.words[k], block.words[k + 1])
+                v, n = value[own], lengths[own]
                 if len(v):
-                    top = np.sort(np.partition(v, len(v) - min(TOP, len(v)))[-TOP:])[::-1]
-                    out[block.first + k, : len(top)] = np.maximum(top, 0)
-                    out[block.first + k, TOP] = np.log1p(len(v))
+                    total, root = n.sum(), np.sqrt(n.sum())
+                    strong = np.maximum(v - MARGIN, 0).sum()
+                    each = v / np.sqrt(n + 1)
+                    top = np.sort(np.partition(each, len(v) - min(TOP, len(v)))[-TOP:])[::-1]
+                    x = out[block.first + k]
+                    x[:5] = v.sum() / total, v.sum() / root, strong / total, strong / root, np.log1p(len(v))
+                    x[5 : 5 + len(top)] = np.maximum(top, 0)
         return out
 
     return of
 
 
+def _balanced(score: np.ndarray, y: np.ndarray) -> float:
+    """The score from which on calling documents toxic has the best harmonic mean of precision and recall."""
+    order = np.argsort(-score, kind="stable")
+    hit = np.cumsum(y[order])
+    best = int(np.argmax(2 * hit / (np.arange(1, len(y) + 1) + y.sum())))
+    after = score[order[best + 1]] if best + 1 < len(y) else score[order[best]] - 1
+    return float(score[order[best]] + after) / 2
+
+
+def calibrated(x: np.ndarray, y: np.ndarray) -> dict:
+    """Means and deviations of the inputs, and weights with the intercept last."""
+    if not len(y) or y.min() == y.max():
+        return {"mean": np.zeros(INPUTS), "deviation": np.ones(INPUTS), "weights": np.append(np.eye(INPUTS)[0], 0.0)}
+    mean, deviation = x.mean(0), x.std(0) + 1e-9
+    z = (x - mean) / deviation
+    w = logistic(z, y, balanced=False)
+    w[-1] -= _balanced(z @ w[:-1] + w[-1], y)
+    return {"mean": mean, "deviation": deviation, "weights": w}
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         y = np.asarray(batch.column("y"))
@@ -191,8 +221,7 @@ def fitted(docs: DataFrame, labels: DataFrame, y: str = "toxic", held: int = 0,
 
     held_rows = rows.where("part = 1").select(F.col("y").cast("int").alias("y"), "text").mapInArrow(measured, "y int, x array<double>").collect()
     x, t = np.array([r["x"] for r in held_rows]), np.array([r["y"] for r in held_rows])
-    model["logistic"] = logistic(x, t) if len(held_rows) else np.append(np.ones(TOP + 1), 0.0)
-    return model
+    return model | calibrated(x, t)
 
 
 def toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -204,9 +233,10 @@ def toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
 
     def scored(batches):
         of_texts = _features(shared.value)
-        w = shared.value["logistic"]
+        m = shared.value
+        w = m["weights"]
         for batch in batches:
-            x = of_texts(batch.column("text"))
+            x = (of_texts(batch.column("text")) - m["mean"]) / m["deviation"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sigmoid(x @ w[:-1] + w[-1]))], names=["doc_id", "score"])
 
     return rows.mapInArrow(scored, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
