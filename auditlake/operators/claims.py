@@ -87,6 +87,11 @@ def build_claims(bundles: DataFrame, chain: DataFrame, files: DataFrame) -> Data
     return rows.select("bundle_id", F.to_json(F.struct(F.lit("1").alias("schema_version"), *[c for c in rows.columns if c != "bundle_id"])).alias("json"))
 
 
+def write_documents(docs: DataFrame, folder: str, name: str = "bundle_id", column: str = "json") -> None:
+    """Writes each document of docs to files of its own, in a subfolder named after its bundle."""
+    docs.select(name, column).write.partitionBy(name).option("maxRecordsPerFile", 1).text(folder)
+
+
 def load_claims(spark, paths, schema: str) -> DataFrame:
     """Documents of files, one each; another schema version is refused with an error."""
     rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("doc"))
@@ -102,3 +107,62 @@ def report_tables(proofs: DataFrame, transport: DataFrame, inventory: DataFrame)
         "transport": transport.select("name", "size_bytes", "sha256"),
         "objects": inventory.select("bundle_id", "oid", "kind", "size_bytes", yes("reachable").alias("reachable"), F.coalesce("path", F.lit("-")).alias("path")),
     }
+
+
+def verify_truth(claims: DataFrame, known: DataFrame, guard: DataFrame, chain: tuple[DataFrame, DataFrame], files: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """(bundle_id, failure) of claims(bundle_id, range_from, range_to): the first thing that is not as claimed, null if all is.
+
+    known(oid) are commits that exist, guard(bundle_id, linear) says whether the range's end descends from its beginning;
+    chain and files are claimed and recomputed rows(bundle_id, pos, ...), which must be alike in content and order.
+    """
+    here = known.select("oid").distinct()
+    ends = claims
+    for c in ("range_from", "range_to"):
+        ends = ends.join(here.select(F.col("oid").alias(c), F.lit(True).alias(f"{c}_here")), c, "left")
+
+    def differing(pair: tuple[DataFrame, DataFrame], name: str) -> DataFrame:
+        columns = [c for c in pair[0].columns if c not in ("bundle_id", "pos")]
+        return mismatched_rows(*pair, ["bundle_id", "pos"], columns).groupBy("bundle_id").agg(F.min("pos").alias(name))
+
+    rows = ends.join(guard.select("bundle_id", "linear"), "bundle_id", "left").join(differing(chain, "chain_pos"), "bundle_id", "left").join(differing(files, "file_pos"), "bundle_id", "left")
+    at = lambda what, c: F.concat(F.lit(f"{what} differs from the repository at position "), F.col(c).cast("string"))
+    rule = (
+        F.when(F.col("range_from_here").isNull(), "range_from_oid does not exist")
+        .when(F.col("range_to_here").isNull(), "range_to_oid does not exist")
+        .when(~F.coalesce("linear", F.lit(False)), "range_to_oid does not descend from range_from_oid")
+        .when(F.col("chain_pos").isNotNull(), at("commit_chain", "chain_pos"))
+        .when(F.col("file_pos").isNotNull(), at("changed_files", "file_pos"))
+    )
+    return rows.select("bundle_id", rule.alias("failure"))
+
+
+def audit_document(bundles: DataFrame, heads: DataFrame, prereqs: DataFrame, transport: DataFrame, proofs: DataFrame, ledger: DataFrame, inventory: DataFrame, details: DataFrame, ledger_mode: str = "summary", detail_mode: str = "light") -> DataFrame:
+    """(bundle_id, document): a package's audit as JSON, null values kept.
+
+    ledger(bundle_id, section, idx, ...) are a ledger export's rows by section; object rows are left out only where there
+    is neither a ledger nor detail, details(bundle_id, oid, ...) only come with detail mode full.
+    """
+
+    def listed(rows: DataFrame, name: str, order: list[str], *columns) -> DataFrame:
+        return rows.groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_{c}") for c in order], F.struct(*columns).alias("x")))), lambda r: r["x"]).alias(name))
+
+    entry = [c for c in ledger.columns if c not in ("bundle_id", "section")]
+    sections = {"first_entries": "first", "last_entries": "last", "unresolved_entry_rows": "unresolved", "entries": "entries"}
+    parts = [listed(ledger.where(F.col("section") == s), n, ["idx"], *entry) for n, s in sections.items()]
+    parts += [listed(heads, "heads", ["head_index"], "oid", "reference"), listed(prereqs, "prerequisites", ["pos"], "oid"), listed(transport, "transport_entries", ["name"], "name", "size_bytes", "sha256")]
+    shown = inventory if (detail_mode, ledger_mode) != ("light", "none") else inventory.where("false")
+    parts.append(listed(shown, "pack_objects", ["position"], "oid", "kind", "size_bytes", F.col("reachable").alias("reachable_from_heads"), F.col("head_index").alias("context_head_index"), F.col("commit_order").alias("context_commit_order"), F.col("path").alias("context_path")))
+    told = [c for c in details.columns if c != "bundle_id"]
+    parts.append(listed(details if detail_mode == "full" else details.where("false"), "object_details", ["oid"], *told))
+    of = lambda k: F.count_if(F.col("kind") == k).alias(f"{k}_objects")
+    known = ["commit", "tree", "blob", "tag"]
+    summary = inventory.groupBy("bundle_id").agg(F.count("*").alias("total_objects"), F.count_if("reachable").alias("reachable_objects"), F.count_if(~F.col("reachable")).alias("unreachable_objects"), *[of(k) for k in known], F.count_if(~F.col("kind").isin(known)).alias("unknown_objects"))
+    proof = proofs.select("bundle_id", F.struct(*[c for c in proofs.columns if c != "bundle_id"]).alias("pack_proof"))
+    rows = bundles.join(proof, "bundle_id", "left").join(summary.select("bundle_id", F.struct(*summary.columns[1:]).alias("pack_summary")), "bundle_id", "left")
+    for part in parts:
+        rows = rows.join(part, "bundle_id", "left")
+    some = lambda n: F.coalesce(F.col(n), F.from_json(F.lit("[]"), rows.schema[n].dataType)).alias(n)
+    own = [c for c in bundles.columns if c != "bundle_id"]
+    book = F.struct(F.lit(ledger_mode).alias("mode"), F.col("pack_proof.entries_declared").alias("declared_entries"), F.col("pack_proof.entries_parsed").alias("parsed_entries"), *[some(n) for n in sections])
+    body = F.struct(F.lit("1").alias("schema_version"), *own, F.transform(some("prerequisites"), lambda x: x["oid"]).alias("prerequisites"), some("heads"), some("transport_entries"), "pack_proof", book.alias("entry_ledger"), "pack_summary", some("pack_objects"), F.lit(detail_mode).alias("object_detail_mode"), some("object_details"))
+    return rows.select("bundle_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))

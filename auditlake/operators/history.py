@@ -24,11 +24,8 @@ def ancestors(starts: DataFrame, edges: DataFrame) -> DataFrame:
 def commit_range(ranges: DataFrame, edges: DataFrame) -> DataFrame:
     """(range_id, node): ancestors of each range's tips without those of its hidden commits. ranges(range_id, tip, hidden)."""
     steps = hops(edges)
-    ends = ranges.select(F.explode(F.array("tip", "hidden")).alias("start")).where("start is not null").distinct()
-    reach = checkpointed(closure(ends, edges, steps))
-    shown = ranges.select("range_id", F.col("tip").alias("start")).join(reach, "start").select("range_id", "node").distinct()
-    hidden = ranges.where("hidden is not null").select("range_id", F.col("hidden").alias("start")).join(reach, "start").select("range_id", "node").distinct()
-    return shown.join(hidden, ["range_id", "node"], "left_anti")
+    side = lambda c: closure(ranges.where(F.col(c).isNotNull()).select(F.col("range_id").alias("start"), F.col(c).alias("node")), edges, steps)
+    return side("tip").join(side("hidden"), ["start", "node"], "left_anti").withColumnRenamed("start", "range_id")
 
 
 def is_descendant(pairs: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
@@ -114,22 +111,48 @@ def decorations(refs: DataFrame, heads: DataFrame, shown: DataFrame) -> DataFram
 
 def assume_present(revs: DataFrame, tips: DataFrame, edges: DataFrame) -> DataFrame:
     """revs(range_id, pos, oid) that a receiver has: reachable from the range's tip, not its base, first of repeats. tips(range_id, tip, base)."""
-    reach = closure(tips.select(F.col("tip").alias("start")), edges)
-    inside = tips.join(reach.withColumnRenamed("start", "tip"), "tip").select("range_id", F.col("node").alias("oid"), "base").distinct()
-    kept = revs.join(inside, ["range_id", "oid"]).where("base is null or oid <> base").drop("base")
-    first = F.row_number().over(W.Window.partitionBy("range_id", "oid").orderBy("pos"))
-    return kept.withColumn("n", first).where("n = 1").select("range_id", "pos", "oid")
+    reach = closure(tips.select(F.col("range_id").alias("start"), F.col("tip").alias("node")), edges).select(F.col("start").alias("range_id"), F.col("node").alias("oid"))
+    bases = tips.where("base is not null").select("range_id", F.col("base").alias("oid")).distinct()
+    kept = revs.join(reach, ["range_id", "oid"], "left_semi").join(bases, ["range_id", "oid"], "left_anti")
+    return kept.groupBy("range_id", "oid").agg(F.min("pos").alias("pos")).select("range_id", "pos", "oid")
 
 
-def dangling(heads: DataFrame, prereqs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """References to commits that are absent: (bundle_id, kind, oid), kind head or parent; prerequisites may be absent."""
+def _walked(heads: DataFrame, prereqs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """(bundle_id, oid) of present commits that a bundle's heads reach and its prerequisites don't."""
     here = commits.select(F.col("id").alias("oid"))
-    lost = heads.select("bundle_id", "oid").join(here, "oid", "left_anti").select("bundle_id", F.lit("head").alias("kind"), "oid")
-    present = edges.join(here.withColumnRenamed("oid", "child"), "child", "left_semi")
-    reach = closure(heads.select(F.col("oid").alias("start")).join(here.withColumnRenamed("oid", "start"), "start", "left_semi"), present)
-    owned = heads.select("bundle_id", F.col("oid").alias("start")).join(reach, "start").select("bundle_id", F.col("node").alias("oid")).distinct()
-    parents = owned.join(heads.select("bundle_id", "oid"), ["bundle_id", "oid"], "left_anti").join(here, "oid", "left_anti").join(prereqs.select("bundle_id", "oid"), ["bundle_id", "oid"], "left_anti")
-    return lost.unionByName(parents.select("bundle_id", F.lit("parent").alias("kind"), "oid"))
+    present = edges.join(here.withColumnRenamed("oid", "child"), "child", "left_semi").join(here.withColumnRenamed("oid", "parent"), "parent", "left_semi")
+    side = lambda rows: closure(rows.join(here, "oid", "left_semi").select(F.col("bundle_id").alias("start"), F.col("oid").alias("node")), present)
+    return checkpointed(side(heads).join(side(prereqs), ["start", "node"], "left_anti").select(F.col("start").alias("bundle_id"), F.col("node").alias("oid")))
+
+
+def dangling(heads: DataFrame, prereqs: DataFrame, commits: DataFrame, edges: DataFrame, tree_entries: DataFrame | None = None, objects: DataFrame | None = None) -> DataFrame:
+    """References to what is absent: (bundle_id, kind, oid), kind head, parent, tree, entry or unknown; prerequisites may be absent.
+
+    Trees are looked at if tree_entries(tree_oid, child_oid, child_kind) and objects(oid) are given; commits then have
+    tree_oid. An entry whose child_kind is null is of unknown kind.
+    """
+    here = commits.select(F.col("id").alias("oid"))
+    lost = heads.select("bundle_id", "oid").distinct().join(here, "oid", "left_anti").select("bundle_id", F.lit("head").alias("kind"), "oid")
+    walked = _walked(heads, prereqs, commits, edges)
+    parents = walked.join(edges.select(F.col("child").alias("oid"), "parent"), "oid").select("bundle_id", F.col("parent").alias("oid")).distinct().join(here, "oid", "left_anti").join(prereqs.select("bundle_id", "oid"), ["bundle_id", "oid"], "left_anti")
+    found = lost.unionByName(parents.select("bundle_id", F.lit("parent").alias("kind"), "oid"))
+    if tree_entries is None:
+        return found
+    from auditlake.operators.objects import tree_objects
+
+    met = checkpointed(tree_objects(walked, commits, tree_entries))
+    absent = met.join(objects.select("oid").distinct(), "oid", "left_anti").where("kind is not null")
+    told = absent.select("bundle_id", F.when(F.col("kind") == "tree", "tree").otherwise("entry").alias("kind"), "oid")
+    odd = met.where("kind = 'tree'").select("bundle_id", F.col("oid").alias("tree_oid")).join(tree_entries.where("child_kind is null"), "tree_oid").select("bundle_id", F.lit("unknown").alias("kind"), F.col("child_oid").alias("oid")).distinct()
+    return found.unionByName(told).unionByName(odd)
+
+
+def needed_by(found: DataFrame, heads: DataFrame, edges: DataFrame) -> DataFrame:
+    """found(bundle_id, kind, oid) of kind head or parent with `reference`: the first of the bundle's heads that reaches it."""
+    ends = heads.join(found.select("bundle_id").distinct(), "bundle_id", "left_semi")
+    reach = closure(ends.select(F.struct("bundle_id", "head_index", "reference").alias("start"), F.col("oid").alias("node")), edges)
+    first = reach.select("start.*", F.col("node").alias("oid")).join(found.select("bundle_id", "oid").distinct(), ["bundle_id", "oid"], "left_semi").groupBy("bundle_id", "oid").agg(F.min_by("reference", "head_index").alias("reference"))
+    return found.join(first, ["bundle_id", "oid"], "left")
 
 
 def resolve_refs(refs: DataFrame, tags: DataFrame, commits: DataFrame) -> DataFrame:

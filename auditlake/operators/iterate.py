@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rounds after which a loop is given up with an error.
 ROUNDS = 10_000
+#: Rounds after which what a loop has found is written anew, in one table.
+COMPACT = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,18 +51,21 @@ def hops(edges: DataFrame, doublings: int = 3) -> DataFrame:
 def closure(starts: DataFrame, edges: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """(start, node): all nodes that each start reaches over edges(child, parent), itself included.
 
-    Pairs reached so far are joined with the ancestors some steps away; a round's new pairs are those not seen before.
-    All starts go together, so the number of rounds depends on the longest path alone.
+    starts(start) are nodes; with starts(start, node), a start is a name for any number of nodes, walked together, so that
+    what they reach in common is met once. Pairs reached so far are joined with the ancestors some steps away; a round's new
+    pairs are those not seen before. All starts go together, so the number of rounds depends on the longest path alone.
     """
     links = (steps if steps is not None else hops(edges)).select("node", "next")
-    frontier = checkpointed(starts.select("start", F.col("start").alias("node")).distinct())
+    frontier = checkpointed(starts.select("start", F.col("node" if "node" in starts.columns else "start").alias("node")).distinct())
     seen = frontier
-    for _ in range(ROUNDS):
+    for k in range(ROUNDS):
         reached = frontier.join(links, "node").select("start", F.col("next").alias("node")).distinct()
         frontier = checkpointed(reached.join(seen, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if k % COMPACT == COMPACT - 1:
+            seen = checkpointed(seen)
     raise RuntimeError(f"not closed after {ROUNDS} rounds")
 
 
@@ -93,13 +98,16 @@ def followed(links: DataFrame) -> DataFrame:
 
 
 def generations(nodes: DataFrame, edges: DataFrame, steps: DataFrame | None = None) -> DataFrame:
-    """(node, generation): the length of the longest path from each node to one without parents, by rounds of relaxation."""
+    """(node, generation): the length of the longest path from each node to one without parents, by rounds of relaxation.
+
+    In a round only nodes that grew in the one before are looked at from their descendants.
+    """
     links = steps if steps is not None else hops(edges)
-    now = checkpointed(nodes.select("node").distinct().withColumn("generation", F.lit(0).cast("long")))
+    now = checkpointed(nodes.select("node").distinct().withColumns({"generation": F.lit(0).cast("long"), "grew": F.lit(True)}))
     for _ in range(ROUNDS):
-        up = links.join(now.select(F.col("node").alias("next"), F.col("generation").alias("g")), "next").groupBy("node").agg(F.max(F.col("g") + F.col("d")).alias("g"))
-        after = checkpointed(now.join(up, "node", "left").select("node", F.greatest("generation", F.coalesce("g", F.lit(0))).alias("generation"), (F.coalesce("g", F.lit(0)) > F.col("generation")).alias("grew")))
-        now = after.drop("grew")
-        if after.where("grew").isEmpty():
-            return now
+        up = links.join(now.where("grew").select(F.col("node").alias("next"), F.col("generation").alias("g")), "next").groupBy("node").agg(F.max(F.col("g") + F.col("d")).alias("g"))
+        grew = F.coalesce(F.col("g") > F.col("generation"), F.lit(False))
+        now = checkpointed(now.drop("grew").join(up, "node", "left").select("node", F.when(grew, F.col("g")).otherwise(F.col("generation")).alias("generation"), grew.alias("grew")))
+        if now.where("grew").isEmpty():
+            return now.drop("grew")
     raise RuntimeError(f"not ordered after {ROUNDS} rounds")

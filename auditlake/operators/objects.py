@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from auditlake.functions.columns import kind_rank
-from auditlake.operators.iterate import closure
+from auditlake.operators.iterate import checkpointed, closure
 
+#: Levels of a directory tree after which something must be wrong.
+LEVELS = 1000
 #: Blobs above this size keep a preview alone, of this many bytes.
 WHOLE, PREVIEW = 4 * 1024 * 1024, 8192
 #: Paths kept of a blob, in order of visit.
@@ -68,17 +70,31 @@ def explode_trees(trees: DataFrame) -> DataFrame:
 
 def reachable(heads: DataFrame, commits: DataFrame, edges: DataFrame, tree_entries: DataFrame) -> DataFrame:
     """(bundle_id, oid, kind) of what heads(bundle_id, oid) reach: commits(id, tree_oid) that are present, their trees and
-    every entry of those trees, present or not. All are strings."""
+    every entry of those trees, present or not. All are strings. Each bundle is walked once, from all its heads."""
     present = commits.select(F.col("id").alias("oid"))
     starts = heads.join(present, "oid", "left_semi")
     own = edges.join(present.withColumnRenamed("oid", "child"), "child", "left_semi").join(present.withColumnRenamed("oid", "parent"), "parent", "left_semi")
-    reach = closure(starts.select(F.col("oid").alias("start")), own)
-    seen = starts.select("bundle_id", F.col("oid").alias("start")).join(reach, "start").select("bundle_id", F.col("node").alias("oid")).distinct()
-    roots = seen.join(commits.select(F.col("id").alias("oid"), "tree_oid"), "oid").select("bundle_id", F.col("tree_oid").alias("oid")).distinct()
+    seen = checkpointed(closure(starts.select(F.col("bundle_id").alias("start"), F.col("oid").alias("node")), own).select(F.col("start").alias("bundle_id"), F.col("node").alias("oid")))
+    return seen.withColumn("kind", F.lit("commit")).unionByName(tree_objects(seen, commits, tree_entries))
+
+
+def tree_objects(seen: DataFrame, commits: DataFrame, tree_entries: DataFrame) -> DataFrame:
+    """(bundle_id, oid, kind) of the trees of seen(bundle_id, oid) commits and all entries below them."""
+    roots = seen.join(commits.select(F.col("id").alias("oid"), "tree_oid"), "oid").select(F.col("bundle_id").alias("start"), F.col("tree_oid").alias("node")).distinct()
     links = tree_entries.where("child_kind = 'tree'").select(F.col("tree_oid").alias("child"), F.col("child_oid").alias("parent"))
-    trees = roots.withColumnRenamed("oid", "start").join(closure(roots.select(F.col("oid").alias("start")), links), "start").select("bundle_id", F.col("node").alias("oid")).distinct()
+    trees = checkpointed(closure(roots, links).select(F.col("start").alias("bundle_id"), F.col("node").alias("oid")))
     entries = trees.join(tree_entries.select(F.col("tree_oid").alias("oid"), "child_oid", "child_kind"), "oid").where("child_kind <> 'tree'").select("bundle_id", F.col("child_oid").alias("oid"), F.col("child_kind").alias("kind")).distinct()
-    return seen.withColumn("kind", F.lit("commit")).unionByName(trees.withColumn("kind", F.lit("tree"))).unionByName(entries).distinct()
+    return trees.withColumn("kind", F.lit("tree")).unionByName(entries)
+
+
+def objects_to_ship(ranges: DataFrame, commits: DataFrame, edges: DataFrame, tree_entries: DataFrame) -> DataFrame:
+    """(range_id, oid, kind) of a package: commits, trees and entries of each range less all that its hidden commits reach.
+
+    ranges(range_id, tip), hidden ones in further rows ranges(range_id, hidden).
+    """
+    side = lambda c: ranges.where(F.col(c).isNotNull()).select(F.col("range_id").alias("bundle_id"), F.col(c).alias("oid")).distinct()
+    shown, known = reachable(side("tip"), commits, edges, tree_entries), reachable(side("hidden"), commits, edges, tree_entries)
+    return shown.join(known.select("bundle_id", "oid"), ["bundle_id", "oid"], "left_anti").withColumnRenamed("bundle_id", "range_id")
 
 
 def blob_paths(visits: DataFrame, n: int = PATHS) -> DataFrame:
@@ -165,3 +181,80 @@ def blob_preview(lines: DataFrame, max_rows: int) -> DataFrame:
     clipped = F.col("n") > max_rows
     kept = rows.where(~clipped | (F.col("pos") < max_rows))
     return kept.select("oid", "pos", F.when(clipped & (F.col("pos") == max_rows - 1), more).otherwise(F.col("line")).alias("line"))
+
+
+def _text_of(content: str = "content"):
+    return F.make_valid_utf8(F.decode(content, "utf-8"))
+
+
+def object_lines(objects: DataFrame) -> DataFrame:
+    """(bundle_id, oid, pos, line) of objects of any kind: what a detail view shows of each.
+
+    A commit shows its id, its tree, parent, author and committer lines, and its message; a tree its entries, aligned; a
+    tag its text; a blob what blob_lines gives; an object of unknown kind a notice.
+    """
+    lines = content_lines(_text_of())
+    blank = F.array_position(lines, "").cast("int")
+    ends = F.when(blank > 0, blank - 1).otherwise(F.size(lines))
+    shown = F.filter(F.slice(lines, F.lit(1), ends), lambda x: x.rlike("^(tree|parent|author|committer) "))
+    rest = F.when(blank > 0, F.slice(lines, blank, F.size(lines))).otherwise(F.expr("cast(array() as array<string>)"))
+    head = lambda k, *more: F.array(F.concat(F.lit(f"{k} "), "oid"), *[F.lit(m) for m in more])
+    told = (
+        F.when(F.col("kind") == "commit", F.concat(head("commit"), shown, rest))
+        .when(F.col("kind") == "tag", F.concat(head("tag", ""), lines))
+        .when(~F.col("kind").isin("tree", "blob"), head("object", "unsupported object type for detail rendering"))
+    )
+    plain = objects.where("kind not in ('tree', 'blob')").select("bundle_id", "oid", F.posexplode(told).alias("pos", "line"))
+    trees = objects.where("kind = 'tree'")
+    entries = explode_trees(trees.select("oid", "content").dropDuplicates(["oid"])).where("error is null")
+    entry = F.concat(F.lpad("mode", 6, " "), F.lit(" "), F.rpad("child_kind", 7, " "), F.lit(" "), F.col("child_oid"), F.lit(" "), F.col("name"))
+    within = entries.select(F.col("tree_oid").alias("oid"), (F.col("pos") + 2).cast("int").alias("pos"), entry.alias("line"))
+    tree_head = trees.select("bundle_id", "oid", F.posexplode(head("tree", "")).alias("pos", "line"))
+    tree_body = trees.select("bundle_id", "oid").join(within, "oid").select("bundle_id", "oid", "pos", "line")
+    return plain.unionByName(tree_head).unionByName(tree_body).unionByName(blob_lines(objects))
+
+
+def preview_lines(objects: DataFrame, lines: DataFrame, paths: DataFrame, reached: DataFrame, shown: int = 8) -> DataFrame:
+    """(bundle_id, oid, pos, line) of a preview: blobs begin with their kind of content, line count and paths; others as in lines.
+
+    lines: object_lines' rows; paths(oid, paths); reached(bundle_id, oid).
+    """
+    rows = text_stats(objects.where("kind = 'blob'")).join(paths, "oid", "left").join(reached.select("bundle_id", "oid").distinct().withColumn("seen", F.lit(True)), ["bundle_id", "oid"], "left")
+    n = F.coalesce(F.size("paths"), F.lit(0))
+    none = F.when(F.col("seen"), "blob paths: (none found in advertised-head trees)").otherwise("blob paths: (none; object is unreachable from advertised heads)")
+    listed = F.concat(F.array(F.concat(F.lit("blob paths: "), n.cast("string"))), F.transform(F.slice("paths", 1, shown), lambda x: F.concat(F.lit("  - "), x)), F.when(n > shown, F.array(F.concat(F.lit("  ... and "), (n - shown).cast("string"), F.lit(" more")))).otherwise(F.expr("cast(array() as array<string>)")))
+    counted = F.col("line_count").isNotNull()
+    head = F.concat(
+        F.array(F.concat(F.lit("blob "), "oid"), F.concat(F.lit("size: "), F.col("size_bytes").cast("string"), F.lit(" bytes")), F.concat(F.lit("content: "), F.when(counted, "text").otherwise("binary")), F.concat(F.lit("text lines: "), F.coalesce(F.col("line_count").cast("string"), F.lit("-")))),
+        F.when(n > 0, listed).otherwise(F.array(none)),
+    )
+    heads = rows.select("bundle_id", "oid", head.alias("head"))
+    blobs = objects.where("kind = 'blob'").select("bundle_id", "oid")
+    # A blob's own header takes four lines; what follows is its content.
+    body = lines.join(blobs, ["bundle_id", "oid"], "left_semi").where("pos >= 4").join(heads.select("bundle_id", "oid", F.size("head").alias("n")), ["bundle_id", "oid"]).select("bundle_id", "oid", (F.col("pos") - 2 + F.col("n")).cast("int").alias("pos"), "line")
+    some = body.select("bundle_id", "oid").distinct().withColumn("some", F.lit(True))
+    told = F.when(F.col("some"), F.concat("head", F.array(F.lit(""), F.lit("content preview:")))).otherwise(F.col("head"))
+    top = heads.join(some, ["bundle_id", "oid"], "left").select("bundle_id", "oid", F.posexplode(told).alias("pos", "line"))
+    others = lines.join(blobs, ["bundle_id", "oid"], "left_anti")
+    return others.select("bundle_id", "oid", "pos", "line").unionByName(top).unionByName(body)
+
+
+def tree_context(visits: DataFrame, commits: DataFrame, tree_entries: DataFrame) -> DataFrame:
+    """(bundle_id, oid, head_index, commit_order, path): where trees and their entries are first met.
+
+    visits(bundle_id, id, head_index, commit_order) is the order of commits, commits(id, tree_oid) their trees. An object
+    keeps the first commit that has it, in order of heads and commits, and there its first path by place in the trees; a
+    commit's own tree has no path.
+    """
+    first = F.min(F.struct("head_index", "commit_order", "key", "path"))
+    roots = visits.join(commits.select("id", "tree_oid"), "id").select("bundle_id", "head_index", "commit_order", F.col("tree_oid").alias("oid"), F.expr("cast(array() as array<bigint>)").alias("key"), F.lit(None).cast("string").alias("path"))
+    level = checkpointed(roots.groupBy("bundle_id", "oid").agg(first.alias("f")).select("bundle_id", "oid", "f.*"))
+    found, links = level, tree_entries.select(F.col("tree_oid").alias("oid"), "pos", "name", "child_oid", "child_kind")
+    for _ in range(LEVELS):
+        below = level.join(links, "oid").select("bundle_id", F.col("child_oid").alias("oid"), "head_index", "commit_order", F.concat("key", F.array("pos")).alias("key"), F.concat_ws("/", "path", "name").alias("path"), (F.col("child_kind") == "tree").alias("deeper"))
+        level = checkpointed(below.groupBy("bundle_id", "oid").agg(first.alias("f"), F.max("deeper").alias("deeper")).select("bundle_id", "oid", "f.*", "deeper"))
+        if level.isEmpty():
+            return found.groupBy("bundle_id", "oid").agg(first.alias("f")).select("bundle_id", "oid", "f.head_index", "f.commit_order", "f.path")
+        found = found.unionByName(level.drop("deeper"))
+        level = level.where("deeper").drop("deeper")
+    raise RuntimeError(f"a tree is deeper than {LEVELS} levels")

@@ -2,7 +2,7 @@
 
 import importlib
 
-NAMES = ["ledger_queries", "history_queries", "snapshot_queries", "object_queries", "change_queries"]
+NAMES = ["ledger_queries", "history_queries", "snapshot_queries", "object_queries", "change_queries", "package_queries"]
 
 
 def load() -> None:

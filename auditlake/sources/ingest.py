@@ -45,12 +45,12 @@ def bundle_headers(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     good = rows.where("error is null")
     kept = lambda p: F.filter("_body", lambda x: x.rlike(p))
     prereqs = good.select("path", F.posexplode(kept("^-")).alias("pos", "l")).select("path", "pos", F.substring("l", 2, 40).alias("oid"))
-    heads = good.select("path", F.posexplode(kept("^[0-9a-f]")).alias("head_index", "l")).select("path", "head_index", F.left("l", F.lit(40)).alias("oid"), F.substring("l", 42, 100_000).alias("reference"))
+    heads = good.select("path", F.posexplode(kept("^[0-9a-f]")).alias("head_index", "l")).select("path", "head_index", F.left("l", F.lit(40)).alias("oid"), F.substr("l", F.lit(42), F.length("l")).alias("reference"))
     return rows.select("path", "version", "pack", "error"), prereqs, heads
 
 
 def transport_inventory(files: DataFrame) -> DataFrame:
-    """(path, name, size_bytes, sha256) of each member of archives and each plain file, and how many .bundle members there are."""
+    """(path, name, size_bytes, sha256) of each member of archives and each plain file, how many .bundle members there are, and an error unless an archive has one."""
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -70,7 +70,8 @@ def transport_inventory(files: DataFrame) -> DataFrame:
 
     rows = files.mapInPandas(members, "path string, name string, size_bytes long, sha256 string")
     n = rows.groupBy("path").agg(F.count_if(F.col("name").endswith(".bundle")).alias("n_bundles"))
-    return rows.join(n, "path")
+    odd = F.col("path").endswith(".zip") & (F.col("n_bundles") != 1)
+    return rows.join(n, "path").withColumn("error", F.when(odd, F.concat(F.lit("archive must hold exactly one .bundle member, not "), F.col("n_bundles").cast("string"))))
 
 
 def _number(data: bytes, at: int) -> tuple[int, int]:
@@ -179,14 +180,54 @@ def _entries(pack: bytes, baseline: dict[str, tuple[str, bytes]]) -> Iterator[di
 LEDGER = "bundle_id string, idx long, offs long, kind string, out_size long, reconstructed_size long, base_distance long, base_offset long, base_oid string, result_oid string, result_kind string, resolved_via string, error string, content binary"
 
 
+def _named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ids of the bases that packs name, and do not hold before."""
+    for frame in frames:
+        for bundle, pack in zip(frame["bundle_id"], frame["pack"], strict=True):
+            ids = list(dict.fromkeys(_bases(bytes(pack))))
+            yield pd.DataFrame({"bundle_id": [bundle] * len(ids), "oid": ids})
+
+
+def _bases(pack: bytes) -> Iterator[str]:
+    """Ids that a pack's reference deltas name, as far as its entries can be told apart."""
+    at, view, end = 12, memoryview(pack), len(pack) - TRAILER
+    for _ in range(int.from_bytes(pack[8:12], "big")):
+        if at >= end:
+            return
+        byte, pos = pack[at], at + 1
+        code = byte >> 4 & 7
+        while byte >= 128 and pos < end:
+            byte, pos = pack[pos], pos + 1
+        if code == 6:
+            while pos < end and pack[pos] >= 128:
+                pos += 1
+            pos += 1
+        elif code == 7:
+            yield pack[pos : pos + 20].hex()
+            pos += 20
+        z = zlib.decompressobj()
+        try:
+            while not z.eof and pos < end:
+                part = view[pos : min(pos + STEP, end)]
+                z.decompress(part)
+                pos += len(part)
+        except zlib.error:
+            return
+        if not z.eof:
+            return
+        at = pos - len(z.unused_data)
+
+
 def ingest_packs(bundles: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """Ledger rows with content of bundles(bundle_id, pack), many packages in parallel; a package's first failure ends it with an error row.
 
-    baseline(bundle_id, oid, kind, content) has the receiver's objects that a package may build upon; it is joined to the
-    package's row beforehand, so that no task looks anything up.
+    baseline(bundle_id, oid, kind, content) has the receiver's objects that a package may build upon. Those of them that the
+    package's deltas name are joined to its row beforehand, so that no task looks anything up.
     """
     if baseline is not None:
-        known = baseline.groupBy("bundle_id").agg(F.collect_list(F.struct("oid", "kind", "content")).alias("known"))
+        named = bundles.select("bundle_id", "pack").mapInPandas(_named, "bundle_id string, oid string")
+        wanted = baseline.join(named, ["bundle_id", "oid"], "left_semi")
+        known = wanted.groupBy("bundle_id").agg(F.collect_list(F.struct("oid", "kind", "content")).alias("known"))
         rows = bundles.select("bundle_id", "pack").join(known, "bundle_id", "left")
     else:
         rows = bundles.select("bundle_id", "pack", F.expr("cast(array() as array<struct<oid: string, kind: string, content: binary>>)").alias("known"))
