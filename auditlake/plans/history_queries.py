@@ -100,38 +100,39 @@ def boundary(spark, sf):
 @query(
     "decorations",
     duck(["decor_refs", "all_heads"], """+ l AS (SELECT oid AS id, 1 AS rank, substr(ref_name, 12) AS label FROM decor_refs WHERE ref_name LIKE 'refs/heads/%' UNION ALL SELECT oid, 2, 'tag: ' || substr(ref_name, 11) FROM decor_refs WHERE ref_name LIKE 'refs/tags/%'
-      UNION ALL SELECT oid, 0, 'HEAD -> ' || substr(reference, 12) FROM all_heads WHERE cust % 10 = 1)
-      SELECT id, string_agg(label, ', ' ORDER BY rank, label) AS labels FROM (SELECT id, label, min(rank) AS rank FROM l WHERE id % 2 = 0 GROUP BY ALL) GROUP BY id"""),
+      UNION ALL SELECT oid, 0, 'HEAD -> ' || substr(reference, 12) FROM all_heads)
+      SELECT id, string_agg(label, ', ' ORDER BY rank, label) AS labels FROM (SELECT id, label, min(rank) AS rank FROM l GROUP BY ALL) GROUP BY id"""),
 )
 def decorations(spark, sf):
-    shown = view(spark, sf, "commits").where("id % 2 = 0").select("id")
+    shown = view(spark, sf, "commits").select("id")
     return H.decorations(view(spark, sf, "decor_refs"), view(spark, sf, "heads"), shown)
 
 
 @query(
     "assume_present",
-    duck(["heads", "edges", "ranked", "commits"], REACH + """, revs AS (SELECT h.oid AS range_id, h.cust, c.id AS oid FROM heads h JOIN commits c ON c.repo = h.bundle_id WHERE c.id % 3 = 0)
+    duck(["heads", "edges", "ranked", "commits"], REACH + """, revs AS (SELECT h.oid AS range_id, h.cust, c.id AS oid FROM heads h JOIN commits c ON c.cust = h.cust)
     SELECT range_id, revs.oid AS pos, revs.oid FROM revs JOIN reach ON start = range_id AND node = revs.oid LEFT JOIN ranked r ON r.cust = revs.cust AND r.r = 3 WHERE r.id IS NULL OR r.id <> revs.oid""", True),
 )
 def assume_present(spark, sf):
     heads = view(spark, sf, "heads")
     third = view(spark, sf, "ranked").where("r = 3").select("cust", F.col("id").alias("base"))
     tips = heads.join(third, "cust", "left").select(F.col("oid").alias("range_id"), F.col("oid").alias("tip"), "base")
-    revs = heads.select("bundle_id", F.col("oid").alias("range_id")).join(view(spark, sf, "commits").where("id % 3 = 0").select(F.col("repo").alias("bundle_id"), F.col("id").alias("oid")), "bundle_id").select("range_id", F.col("oid").alias("pos"), "oid")
+    revs = heads.select("cust", F.col("oid").alias("range_id")).join(view(spark, sf, "commits").select("cust", F.col("id").alias("oid")), "cust").select("range_id", F.col("oid").alias("pos"), "oid")
     twice = revs.unionByName(revs.withColumn("pos", F.col("pos") + 1_000_000_000))
     return H.assume_present(twice, tips, view(spark, sf, "edges"))
 
 
 @query(
     "dangling",
-    duck(["heads", "edges", "commits"], """+ here AS (SELECT id FROM commits WHERE id % 50 <> 0),
-    reach(bundle_id, node) AS (SELECT bundle_id, oid FROM heads WHERE oid % 50 <> 0 UNION SELECT r.bundle_id, e.parent FROM reach r JOIN edges e ON e.child = r.node JOIN here h ON h.id = r.node)
+    duck(["heads", "edges", "commits"], """+ here AS (SELECT id FROM commits WHERE id % 50 <> 0), pre AS (SELECT repo AS bundle_id, id AS oid FROM commits WHERE id % 40 = 0),
+    c(bundle_id, side, oid) AS (SELECT bundle_id, 'tip', oid FROM heads WHERE oid % 50 <> 0 UNION SELECT bundle_id, 'pre', oid FROM pre WHERE oid % 50 <> 0 UNION SELECT c.bundle_id, c.side, e.parent FROM c JOIN edges e ON e.child = c.oid JOIN here h ON h.id = e.parent),
+    walked AS (SELECT bundle_id, oid FROM c WHERE side = 'tip' EXCEPT SELECT bundle_id, oid FROM c WHERE side = 'pre')
     SELECT bundle_id, 'head' AS kind, oid FROM heads WHERE oid % 50 = 0
-    UNION ALL SELECT bundle_id, 'parent', node FROM reach WHERE node % 50 = 0 AND (bundle_id, node) NOT IN (SELECT (repo, id) FROM commits WHERE id % 100 = 0) AND (bundle_id, node) NOT IN (SELECT (bundle_id, oid) FROM heads)""", True),
+    UNION ALL SELECT DISTINCT w.bundle_id, 'parent', e.parent FROM walked w JOIN edges e ON e.child = w.oid WHERE e.parent % 50 = 0 AND (w.bundle_id, e.parent) NOT IN (SELECT (bundle_id, oid) FROM pre)""", True),
 )
 def dangling(spark, sf):
     commits = view(spark, sf, "commits")
-    prereqs = commits.where("id % 100 = 0").select(F.col("repo").alias("bundle_id"), F.col("id").alias("oid"))
+    prereqs = commits.where("id % 40 = 0").select(F.col("repo").alias("bundle_id"), F.col("id").alias("oid"))
     return H.dangling(view(spark, sf, "heads"), prereqs, commits.where("id % 50 <> 0"), view(spark, sf, "edges"))
 
 

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import columns as X
 from auditlake.operators import claims as C
+from auditlake.operators import history as H
 from auditlake.operators import ledger as L
 from auditlake.operators import objects as O
+from auditlake.operators.iterate import checkpointed
 from auditlake.plans.ledger_queries import _VIEWS, RESOLVED
 from auditlake.plans.registry import query
 from auditlake.plans.views import duck, view
+from auditlake.sources import ingest as I
 
 
 def _column(name: str, table: str, key: str, make, sql: str):
@@ -111,17 +114,25 @@ def reachable(spark, sf):
 
 
 INVENTORY = RESOLVED.rstrip().rstrip(",") + """, ix AS (SELECT bundle_id, oid, arg_min(kind, idx) AS kind, arg_min(out_size, idx) AS size_bytes, min(idx) AS first_entry_idx FROM resolved WHERE resolved GROUP BY ALL),
-inv AS (SELECT *, first_entry_idx % 3 <> 0 AS reachable, CASE WHEN first_entry_idx % 4 <> 0 THEN first_entry_idx % 2 END AS head_index, CASE WHEN first_entry_idx % 4 <> 0 THEN first_entry_idx % 11 END AS commit_order, CASE WHEN first_entry_idx % 5 <> 0 THEN concat('p', first_entry_idx) END AS path,
-  row_number() OVER (PARTITION BY bundle_id ORDER BY CASE kind WHEN 'commit' THEN 0 WHEN 'tree' THEN 1 WHEN 'blob' THEN 2 WHEN 'tag' THEN 3 ELSE 4 END, oid) - 1 AS position FROM ix)"""
+m AS (SELECT source AS bundle_id, bloboid(text) AS oid, min(doc_id) FILTER (doc_id % 3 = 1) AS d1, min(doc_id) AS d2 FROM docs WHERE doc_id % 3 <> 0 GROUP BY ALL),
+inv AS (SELECT ix.*, d2 IS NOT NULL AS reachable, CASE WHEN d2 IS NOT NULL THEN 0 END AS head_index, CASE WHEN d1 IS NOT NULL THEN 1 WHEN d2 IS NOT NULL THEN 2 END AS commit_order, CASE WHEN d2 IS NOT NULL THEN concat(coalesce(d1, d2), '.txt') END AS path,
+  row_number() OVER (PARTITION BY bundle_id ORDER BY CASE kind WHEN 'commit' THEN 0 WHEN 'tree' THEN 1 WHEN 'blob' THEN 2 WHEN 'tag' THEN 3 ELSE 4 END, oid) - 1 AS position FROM ix LEFT JOIN m USING (bundle_id, oid))""".replace("bloboid(text)", "sha1(concat('blob ', strlen(text), chr(0), text))")
 
 
 def _inventory(spark, sf):
-    resolved = L.resolve_bases(view(spark, sf, "ledger"), view(spark, sf, "baseline"))
+    """Each bundle's head has every third document in its tree, and its parent two of three."""
+    resolved = checkpointed(L.resolve_bases(view(spark, sf, "ledger"), view(spark, sf, "baseline")))
     index = L.object_index(resolved).drop("copies")
-    i = F.col("first_entry_idx")
-    some = i % 4 != 0
-    context = index.select("bundle_id", "oid", F.when(some, i % 2).alias("head_index"), F.when(some, i % 11).alias("commit_order"), F.when(i % 5 != 0, F.concat(F.lit("p"), i.cast("string"))).alias("path"))
-    return O.object_inventory(index, index.where("first_entry_idx % 3 <> 0"), context), resolved
+    rows = view(spark, sf, "objects").select("doc_id", "bundle_id", "oid")
+    name = lambda p: F.concat(F.lit(p), "bundle_id")
+    in_tree = lambda t, some: rows.where(some).select(name(t).alias("tree_oid"), F.col("doc_id").alias("pos"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("oid").alias("child_oid"), F.lit("blob").alias("child_kind"))
+    entries = in_tree("ta/", "doc_id % 3 = 1").unionByName(in_tree("tb/", "doc_id % 3 <> 0"))
+    bundles = rows.select("bundle_id").distinct()
+    commits = bundles.select(name("ca/").alias("id"), name("ta/").alias("tree_oid")).unionByName(bundles.select(name("cb/"), name("tb/")).toDF("id", "tree_oid"))
+    edges = bundles.select(name("ca/").alias("child"), name("cb/").alias("parent"), F.lit(0).alias("parent_index"))
+    heads = bundles.select("bundle_id", F.lit(0).alias("head_index"), name("ca/").alias("oid"))
+    context = O.tree_context(H.visit_order(heads, commits, edges), commits, entries)
+    return O.object_inventory(index, O.reachable(heads, commits, edges, entries), context), resolved
 
 
 @query("object_inventory", duck(_VIEWS, INVENTORY + " SELECT bundle_id, oid, kind, size_bytes, first_entry_idx, reachable, head_index, commit_order, path, position FROM inv"))
@@ -152,7 +163,8 @@ def ledger_targets(spark, sf):
 
 @query("transport_inventory", "SELECT concat('page_', page_id, '.html') AS name, strlen(coalesce(html, '')) AS size_bytes, sha256(coalesce(html, '')) AS sha256 FROM pages")
 def transport_inventory(spark, sf):
-    return view(spark, sf, "transport").select("name", F.octet_length("html").cast("long").alias("size_bytes"), X.content_digest("html").alias("sha256"))
+    files = view(spark, sf, "transport").select(F.col("name").alias("path"), F.col("html").cast("binary").alias("content"))
+    return I.transport_inventory(files).select("name", "size_bytes", "sha256")
 
 
 PROOF = RESOLVED.rstrip().rstrip(",")
@@ -230,12 +242,12 @@ def check_contract(spark, sf):
     return found.select("doc_id", F.concat_ws("|", "violations").alias("violations"))
 
 
-@query("build_claims", duck(["heads", "commits"], "SELECT bundle_id, i AS pos, c.id AS oid, c.message AS subject FROM (SELECT repo AS bundle_id, row_number() OVER (PARTITION BY repo ORDER BY time, id) - 1 AS i, id, message FROM commits WHERE id % 10 = 0) c"))
+@query("build_claims", duck(["heads", "commits"], "SELECT bundle_id, i AS pos, c.id AS oid, c.message AS subject FROM (SELECT repo AS bundle_id, row_number() OVER (PARTITION BY repo ORDER BY time, id) - 1 AS i, id, message FROM commits) c"))
 def build_claims(spark, sf):
     """Documents are built, read again and taken apart."""
     from pyspark.sql import window as W
 
-    chain = view(spark, sf, "commits").where("id % 10 = 0").select(F.col("repo").alias("bundle_id"), (F.row_number().over(W.Window.partitionBy("repo").orderBy("time", "id")) - 1).alias("pos"), F.col("id").alias("oid"), F.col("message").alias("subject"))
+    chain = view(spark, sf, "commits").select(F.col("repo").alias("bundle_id"), (F.row_number().over(W.Window.partitionBy("repo").orderBy("time", "id")) - 1).alias("pos"), F.col("id").alias("oid"), F.col("message").alias("subject"))
     docs = C.build_claims(chain.select("bundle_id").distinct(), chain, chain.where("pos < 3").withColumnRenamed("subject", "path"))
     read = docs.withColumn("d", F.from_json("json", "schema_version string, commit_chain array<struct<oid: long, subject: string>>"))
     return read.select("bundle_id", F.posexplode("d.commit_chain").alias("pos", "c")).select("bundle_id", "pos", "c.oid", "c.subject")

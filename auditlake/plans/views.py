@@ -45,7 +45,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "edges": (["commits"], "SELECT id AS child, p1 AS parent, 0 AS parent_index FROM commits WHERE p1 IS NOT NULL UNION ALL SELECT id, p2, CASE WHEN p1 IS NULL THEN 0 ELSE 1 END FROM commits WHERE p2 IS NOT NULL"),
     "ranked": (["commits"], "SELECT id, repo, cust, row_number() OVER (PARTITION BY cust ORDER BY time DESC, id DESC) AS r FROM commits"),
     "all_heads": (["ranked"], "SELECT repo AS bundle_id, id AS oid, cust, concat('refs/heads/c', cust) AS reference, row_number() OVER (PARTITION BY repo ORDER BY cust) - 1 AS head_index FROM ranked WHERE r = 1"),
-    "heads": (["all_heads"], "SELECT * FROM all_heads WHERE cust % 10 = 1"),
+    "heads": (["all_heads"], "SELECT * FROM all_heads"),
     "pairs": (
         ["ranked"],
         """SELECT repo, cust, concat('refs/heads/c', cust) AS target_ref, CASE WHEN cust % 5 = 3 THEN coalesce(r2, r1) ELSE r1 END AS incoming,
