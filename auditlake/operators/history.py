@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from auditlake.functions.columns import decoration_label, decoration_rank
-from auditlake.operators.iterate import checkpointed, closure, followed, generations, hops
+from auditlake.operators.iterate import ROUNDS, checkpointed, closure, followed, generations, hops
 
 MISSING_SUBJECT = "<prerequisite commit unavailable>"
 
@@ -28,17 +28,21 @@ def commit_range(ranges: DataFrame, edges: DataFrame) -> DataFrame:
     return side("tip").join(side("hidden"), ["start", "node"], "left_anti").withColumnRenamed("start", "range_id")
 
 
-def is_descendant(pairs: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+def is_descendant(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs(a, b) with `descends`: whether a is a strict descendant of b."""
-    reach = closure(pairs.where("a is not null").select(F.col("a").alias("start")), edges) if reach is None else reach
-    known = reach.select(F.col("start").alias("a"), F.col("node").alias("b")).where("a <> b").withColumn("yes", F.lit(True))
-    return pairs.join(known, ["a", "b"], "left").withColumn("descends", F.coalesce("yes", F.lit(False))).drop("yes")
+    return _related(pairs, edges).withColumn("descends", F.coalesce((F.col("a") != F.col("b")) & (F.col("merge_base") == F.col("b")), F.lit(False))).drop("merge_base")
 
 
 def range_guard(ranges: DataFrame, edges: DataFrame) -> DataFrame:
     """ranges(range_id, tip, base) with `linear`: the tip equals the base or descends from it."""
-    found = is_descendant(ranges.withColumnsRenamed({"tip": "a", "base": "b"}), edges)
-    return found.withColumn("linear", F.coalesce((F.col("a") == F.col("b")) | F.col("descends"), F.lit(False))).withColumnsRenamed({"a": "tip", "b": "base"}).drop("descends")
+    found = _related(ranges.withColumnsRenamed({"tip": "a", "base": "b"}), edges)
+    return found.withColumn("linear", F.coalesce((F.col("a") == F.col("b")) | (F.col("merge_base") == F.col("b")), F.lit(False))).withColumnsRenamed({"a": "tip", "b": "base"}).drop("merge_base")
+
+
+def _related(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs with a merge base, of commits that need not be listed; that of a and its ancestor b is b."""
+    ends = edges.select(F.explode(F.array("child", "parent")).alias("id")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("id"))).where("id is not null").distinct()
+    return merge_base(pairs, ends.withColumn("time", F.lit(0)), edges)
 
 
 def topological(commits: DataFrame, edges: DataFrame, by: str = "repo") -> DataFrame:
@@ -48,17 +52,30 @@ def topological(commits: DataFrame, edges: DataFrame, by: str = "repo") -> DataF
     return commits.join(gen, "id").withColumn("position", F.row_number().over(order) - 1)
 
 
-def merge_base(pairs: DataFrame, commits: DataFrame, edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
-    """pairs(a, b) with merge_base: of common ancestors the greatest by (generation, time, id), null if unrelated."""
-    steps = hops(edges)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("start")).where("start is not null").distinct()
-    reach = checkpointed(closure(ends, edges, steps)) if reach is None else reach
+def merge_base(pairs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs(a, b) with merge_base: of common ancestors the greatest by (generation, time, id), null if unrelated.
+
+    Both sides of a pair are walked at once, and no farther than to commits of the best common ancestor's generation, so a
+    pair costs what lies between its ends and that ancestor, however long the history below.
+    """
+    steps = checkpointed(hops(edges, 2))
     gen = checkpointed(generations(commits.select(F.col("id").alias("node")), edges, steps).join(commits.select(F.col("id").alias("node"), "time"), "node"))
     keys = pairs.select("a", "b").where("a is not null and b is not null").distinct()
-    left = keys.join(reach.select(F.col("start").alias("a"), "node"), "a")
-    both = left.join(reach.select(F.col("start").alias("b"), "node"), ["b", "node"])
-    best = both.join(gen, "node").groupBy("a", "b").agg(F.max_by("node", F.struct("generation", "time", "node")).alias("merge_base"))
-    return pairs.join(best, ["a", "b"], "left")
+    key = ["a", "b", "node"]
+    start = keys.select("a", "b", F.col("a").alias("node"), F.lit(1).alias("sides")).unionByName(keys.select("a", "b", F.col("b").alias("node"), F.lit(2).alias("sides")))
+    seen = checkpointed(start.groupBy(*key).agg(F.bit_or("sides").alias("sides")).join(gen, "node").withColumn("fresh", F.col("sides")))
+    for _ in range(ROUNDS):
+        best = seen.where("sides = 3").groupBy("a", "b").agg(F.max(F.struct("generation", "time", "node")).alias("best"))
+        told = seen.join(best, ["a", "b"], "left")
+        frontier = told.where("fresh <> 0 and (best is null or generation > best.generation)")
+        if frontier.isEmpty():
+            return pairs.join(best.select("a", "b", F.col("best.node").alias("merge_base")), ["a", "b"], "left")
+        reached = frontier.join(steps.select("node", "next"), "node").groupBy("a", "b", F.col("next").alias("node")).agg(F.bit_or("fresh").alias("more"), F.max("best.generation").alias("floor"))
+        reached = reached.join(gen.withColumnsRenamed({"generation": "g", "time": "t"}), "node").where("floor is null or g >= floor").drop("floor")
+        both = told.drop("best", "fresh").join(reached, key, "full")
+        sides, more = F.coalesce("sides", F.lit(0)), F.coalesce("more", F.lit(0))
+        seen = checkpointed(both.select(*key, sides.bitwiseOR(more).alias("sides"), F.coalesce("generation", "g").alias("generation"), F.coalesce("time", "t").alias("time"), more.bitwiseAND(F.bitwise_not(sides)).alias("fresh")))
+    raise RuntimeError(f"not settled after {ROUNDS} rounds")
 
 
 def visit_order(heads: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -67,8 +84,6 @@ def visit_order(heads: DataFrame, commits: DataFrame, edges: DataFrame) -> DataF
     On an acyclic graph this is the order of the smallest path key [head, parent index, parent index, ...]; keys are
     propagated by minimum until none changes. A commit reached from an earlier head keeps that head.
     """
-    from auditlake.operators.iterate import ROUNDS
-
     inside = commits.select(F.col("id").alias("node"))
     now = checkpointed(heads.join(inside.withColumnRenamed("node", "oid"), "oid", "left_semi").groupBy("bundle_id", F.col("oid").alias("node")).agg(F.min(F.array(F.col("head_index").cast("int"))).alias("key")).withColumn("fresh", F.lit(True)))
     for _ in range(ROUNDS):
@@ -192,8 +207,8 @@ def head_base(heads: DataFrame, prereqs: DataFrame, edges: DataFrame) -> DataFra
     first = edges.where("parent_index = 0").select(F.col("child").alias("oid"), F.col("parent").alias("first_parent"))
     per = prereqs.groupBy("bundle_id").agg(F.count("*").alias("n"), F.min("oid").alias("only"))
     many = heads.join(per.where("n > 1").select("bundle_id"), "bundle_id", "left_semi")
-    reach = closure(many.select(F.col("oid").alias("start")), edges)
-    hits = many.select("bundle_id", "oid").distinct().join(reach.withColumnRenamed("start", "oid"), "oid").join(prereqs.select("bundle_id", F.col("oid").alias("node")), ["bundle_id", "node"]).groupBy("bundle_id", "oid").agg(F.count("*").alias("hits"), F.min("node").alias("hit"))
+    reach = closure(many.select(F.struct("bundle_id", "oid").alias("start"), F.col("oid").alias("node")), edges)
+    hits = reach.select("start.*", "node").join(prereqs.select("bundle_id", F.col("oid").alias("node")), ["bundle_id", "node"]).groupBy("bundle_id", "oid").agg(F.count("*").alias("hits"), F.min("node").alias("hit"))
     rows = heads.join(per, "bundle_id", "left").join(first, "oid", "left").join(hits, ["bundle_id", "oid"], "left")
     n, h = F.coalesce("n", F.lit(0)), F.coalesce("hits", F.lit(0))
     base = F.when(n == 0, F.col("first_parent")).when(n == 1, F.col("only")).when(h == 1, F.col("hit"))

@@ -22,9 +22,12 @@ def resolve_bases(ledger: DataFrame, baseline: DataFrame | None, mode: str = "ba
     """
     at = ledger.select("bundle_id", F.col("offs").alias("base_offset"), F.col("idx").alias("ofs_idx"))
     key = ["bundle_id", "idx"]
-    named = ledger.select("bundle_id", F.col("oid").alias("base_oid"), F.col("idx").alias("o_idx"))
-    refs = ledger.where("kind = 'ref-delta'").select("bundle_id", "base_oid", "idx")
-    earlier = refs.join(named, ["bundle_id", "base_oid"]).where("o_idx < idx").groupBy(*key).agg(F.max("o_idx").alias("ref_idx"))
+    # Entries under their own id and deltas under their base's, in order: the last entry before a delta is its base.
+    named = ledger.where("oid is not null").select("bundle_id", F.col("oid").alias("id"), "idx", F.col("idx").alias("o_idx"))
+    refs = ledger.where("kind = 'ref-delta'").select("bundle_id", F.col("base_oid").alias("id"), "idx", F.lit(None).cast("long").alias("o_idx"))
+    before = W.Window.partitionBy("bundle_id", "id").orderBy("idx").rangeBetween(W.Window.unboundedPreceding, -1)
+    asked = refs.withColumn("ask", F.lit(True)).unionByName(named.withColumn("ask", F.lit(False)))
+    earlier = asked.withColumn("ref_idx", F.max("o_idx").over(before)).where("ask").select(*key, "ref_idx")
     found = ledger.join(at, ["bundle_id", "base_offset"], "left").join(earlier, key, "left")
     if mode == "baseline" and baseline is not None:
         known = baseline.select(F.col("oid").alias("base_oid")).distinct().withColumn("known", F.lit(True))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from auditlake.functions.columns import short_oid
-from auditlake.operators.history import is_descendant, merge_base
-from auditlake.operators.iterate import ROUNDS, checkpointed, closure
+from auditlake.operators.history import merge_base
+from auditlake.operators.iterate import ROUNDS, checkpointed
 from auditlake.operators.lines import merge_texts
 
 STATUSES = ["target_missing", "already_present", "fast_forward_ok", "target_ahead", "diverged_merge_required"]
@@ -27,17 +27,15 @@ def incoming_refs(heads: DataFrame) -> DataFrame:
 
 
 def receive_plan(incoming: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """incoming with status and merge_base, tested in the order of STATUSES."""
-    ends = incoming.select(F.explode(F.array("incoming", "target")).alias("start")).where("start is not null").distinct()
-    reach = checkpointed(closure(ends, edges))
+    """incoming with status and merge_base, tested in the order of STATUSES.
+
+    One walk over pairs tells all: the merge base of two commits of which one descends from the other is the elder.
+    """
     pairs = incoming.select(F.col("incoming").alias("a"), F.col("target").alias("b")).distinct()
-    ahead = is_descendant(pairs, edges, reach).withColumnRenamed("descends", "forward")
-    behind = is_descendant(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), edges, reach).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("descends").alias("backward"))
-    base = merge_base(pairs, commits, edges, reach)
-    known = pairs.join(ahead, ["a", "b"], "left").join(behind, ["a", "b"], "left").join(base, ["a", "b"], "left").withColumnsRenamed({"a": "incoming", "b": "target"})
-    rows = incoming.join(known, ["incoming", "target"], "left")
-    status = F.when(F.col("target").isNull(), STATUSES[0]).when(F.col("target") == F.col("incoming"), STATUSES[1]).when(F.col("forward"), STATUSES[2]).when(F.col("backward"), STATUSES[3]).otherwise(DIVERGED)
-    return rows.withColumn("status", status).drop("forward", "backward")
+    rows = incoming.join(merge_base(pairs, commits, edges).withColumnsRenamed({"a": "incoming", "b": "target"}), ["incoming", "target"], "left")
+    at = lambda c: F.coalesce(F.col("merge_base") == F.col(c), F.lit(False))
+    status = F.when(F.col("target").isNull(), STATUSES[0]).when(F.col("target") == F.col("incoming"), STATUSES[1]).when(at("target"), STATUSES[2]).when(at("incoming"), STATUSES[3]).otherwise(DIVERGED)
+    return rows.withColumn("status", status)
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:

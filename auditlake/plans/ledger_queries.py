@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditlake.operators import ledger as L
+from auditlake.operators.iterate import checkpointed
 from auditlake.plans.registry import query
 from auditlake.plans.views import duck, view
 
@@ -33,7 +34,7 @@ def _sql(body: str) -> str:
 
 
 def _resolved(spark, sf):
-    return L.resolve_bases(view(spark, sf, "ledger"), view(spark, sf, "baseline"))
+    return checkpointed(L.resolve_bases(view(spark, sf, "ledger"), view(spark, sf, "baseline")))
 
 
 @query("resolve_bases", _sql("SELECT bundle_id, idx, kind, base_idx, resolved, resolved_via, note FROM resolved"))
