@@ -163,6 +163,6 @@ def audit_document(bundles: DataFrame, heads: DataFrame, prereqs: DataFrame, tra
         rows = rows.join(part, "bundle_id", "left")
     some = lambda n: F.coalesce(F.col(n), F.from_json(F.lit("[]"), rows.schema[n].dataType)).alias(n)
     own = [c for c in bundles.columns if c != "bundle_id"]
-    book = F.struct(F.lit(ledger_mode).alias("mode"), F.col("pack_proof.entries_declared").alias("declared_entries"), F.col("pack_proof.entries_parsed").alias("parsed_entries"), *[some(n) for n in sections])
+    book = F.struct(F.lit(ledger_mode).alias("mode"), F.col("pack_proof.entries_declared").alias("declared_entries"), F.col("pack_proof.entries_parsed").alias("parsed_entries"), F.size(some("unresolved_entry_rows")).alias("unresolved_entries"), *[some(n) for n in sections])
     body = F.struct(F.lit("1").alias("schema_version"), *own, F.transform(some("prerequisites"), lambda x: x["oid"]).alias("prerequisites"), some("heads"), some("transport_entries"), "pack_proof", book.alias("entry_ledger"), "pack_summary", some("pack_objects"), F.lit(detail_mode).alias("object_detail_mode"), some("object_details"))
     return rows.select("bundle_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("document"))

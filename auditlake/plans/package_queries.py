@@ -318,3 +318,80 @@ def verify_truth(spark, sf):
     turned = chain.join(names, "bundle_id").withColumn("pos", F.when((k == 4) & (F.col("pos") < 2), 1 - F.col("pos")).otherwise(F.col("pos"))).drop("k")
     altered = files.join(names, "bundle_id").withColumn("status", F.when((k == 5) & (F.col("pos") == 0), "C").otherwise(F.col("status"))).drop("k")
     return C.verify_truth(claims, view(spark, sf, "rev_commits").select(F.col("id").alias("oid")), guard, (turned, chain), (altered, files))
+
+
+# Documents against their contracts: whole ones from every document, by turns spoilt in one field.
+CREATION_FAULTS = ["", "schema_version is no schema", "heads[].oid is no oid", "commit_chain[].author.offset_minutes is missing", "changed_files[].status is no status", "patch_sidecar.sha256 is no digest", "document has other fields", "prerequisites is no list"]
+AUDIT_FAULTS = ["", "pack_proof.hash_algorithm is no hash", "entry_ledger.first_entries[].resolved_via is no via", "pack_objects[] has other fields", "object_detail_mode is no detail mode", "bundle_size_bytes is no count", "pack_summary.tree_objects is missing", "transport_entries[].name is no text"]
+
+
+def _faults_sql(names):
+    return "SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + " END AS faults FROM objects"
+
+
+def _common(k):
+    text = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    return [F.lit("t").alias("tool_version"), F.col("doc_id").alias("generated_at_unix_secs"), F.lit("u").alias("generated_by_username"), F.lit("h").alias("generated_by_hostname"), text.alias("bundle_path"), F.sha2("oid", 256).alias("bundle_sha256"), F.lit("v2").alias("bundle_header_version")]
+
+
+@query("creation_contract", duck(["objects"], _faults_sql(CREATION_FAULTS)))
+def creation_contract(spark, sf):
+    from auditlake.operators.contracts import contract_faults
+
+    k = F.col("doc_id") % 8
+    spoilt = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    person = lambda some: F.struct(F.lit("n").alias("name"), F.lit("").alias("email"), F.col("doc_id").alias("time_seconds"), (F.when(k != 3, F.lit(-60)) if some else F.lit(0)).alias("offset_minutes"))
+    doc = F.struct(
+        spoilt(1, "2", "1").alias("schema_version"),
+        *_common(k),
+        F.col("size_bytes").alias("bundle_size_bytes"),
+        F.when(k != 7, F.array("oid")).alias("prerequisites"),
+        F.array(F.struct(spoilt(2, "HEAD", F.col("oid")).alias("oid"), F.lit("refs/heads/main").alias("reference"))).alias("heads"),
+        F.col("oid").alias("range_from_oid"),
+        F.col("oid").alias("range_to_oid"),
+        F.lit("refs/heads/main").alias("tip_ref"),
+        F.array(F.struct("oid", F.col("oid").alias("tree_oid"), F.array("oid").alias("parent_oids"), F.lit("").alias("subject"), person(True).alias("author"), person(False).alias("committer"))).alias("commit_chain"),
+        F.array(F.struct(spoilt(4, "X", "M").alias("status"), F.lit("p").alias("path"), F.lit("q").alias("old_path"), F.col("oid").alias("old_oid"), F.col("oid").alias("new_oid"), F.lit("100644").alias("old_mode"), F.lit("100755").alias("new_mode"), F.lit(False).alias("is_binary"))).alias("changed_files"),
+        F.struct(F.lit("p").alias("path"), F.lit("unified-diff").alias("format"), F.lit(1).alias("size_bytes"), spoilt(5, "x", F.sha2("oid", 256)).alias("sha256")).alias("patch_sidecar"),
+        F.when(k == 6, 1).alias("surprise"),
+    )
+    # Absent fields are left out; a null prerequisites field stands for one that is no list.
+    json = F.regexp_replace(F.to_json(doc), r"^\{", F.when(k == 7, F.lit('{"prerequisites":5,')).otherwise(F.lit("{")))
+    found = contract_faults(view(spark, sf, "objects").select("doc_id", json.alias("json")), "creation")
+    return found.select("doc_id", F.concat_ws("|", "faults").alias("faults"))
+
+
+@query("audit_contract", duck(["objects"], _faults_sql(AUDIT_FAULTS)))
+def audit_contract(spark, sf):
+    from auditlake.operators.contracts import CONTRACTS, contract_faults
+
+    k = F.col("doc_id") % 8
+    spoilt = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    one = F.lit(1)
+    entry = F.struct(one.alias("idx"), one.alias("offset"), F.lit("blob").alias("kind"), one.alias("out_size"), F.lit(None).cast("int").alias("reconstructed_size"), F.lit(None).cast("string").alias("base"), F.col("oid").alias("result_oid"), F.lit("blob").alias("result_kind"), F.lit(True).alias("resolved"), spoilt(2, "elsewhere", "in-pack").alias("resolved_via"), F.lit(None).cast("string").alias("note"))
+    special = {"verification_status": F.lit("ok"), "pack_version": F.lit(2), "checksum_verified": F.lit(True), "thin_pack_detected": F.lit(False), "transfer_allowed": F.lit(True), "blocked_reason": F.lit(None).cast("string"), "hash_algorithm": spoilt(1, "md5", "sha1"), "computed_pack_checksum": F.col("oid"), "trailer_pack_checksum": F.col("oid")}
+    proof = F.struct(*[special.get(c, one).alias(c) for c in CONTRACTS["audit"]["pack_proof"]])
+    book = F.struct(F.lit("summary").alias("mode"), *[one.alias(c) for c in ("declared_entries", "parsed_entries", "unresolved_entries")], F.array(entry).alias("first_entries"), *[F.array().cast("array<string>").alias(c) for c in ("last_entries", "unresolved_entry_rows", "entries")])
+    whole = list(CONTRACTS["audit"]["pack_summary"])
+    summary = F.to_json(F.struct(*[one.alias(c) for c in whole]))
+    less = F.to_json(F.struct(*[one.alias(c) for c in whole if c != "tree_objects"]))
+    thing = [F.col("oid").alias("oid"), F.lit("blob").alias("kind"), one.alias("size_bytes")]
+    shown = F.to_json(F.array(F.struct(*thing, F.lit(True).alias("reachable_from_heads"), *[F.lit(None).cast("int").alias(c) for c in ("context_head_index", "context_commit_order")], F.lit("p").alias("context_path"))), {"ignoreNullFields": "false"})
+    doc = F.struct(
+        F.lit("1").alias("schema_version"),
+        *_common(k),
+        spoilt(5, F.lit(-1), F.col("size_bytes")).alias("bundle_size_bytes"),
+        F.array("oid").alias("prerequisites"),
+        F.array(F.struct("oid", F.lit("refs/heads/main").alias("reference"))).alias("heads"),
+        F.array(F.struct(spoilt(7, "", "n").alias("name"), one.alias("size_bytes"), F.sha2("oid", 256).alias("sha256"))).alias("transport_entries"),
+        proof.alias("pack_proof"),
+        book.alias("entry_ledger"),
+        F.lit("@summary").alias("pack_summary"),
+        F.lit("@objects").alias("pack_objects"),
+        spoilt(4, "some", "light").alias("object_detail_mode"),
+        F.array(F.struct(*thing, F.lit(None).cast("string").alias("syntax_path_hint"), F.array(F.lit("p")).alias("blob_paths"), one.alias("text_line_count"), F.array(F.lit("")).alias("lines"))).alias("object_details"),
+    )
+    json = F.replace(F.to_json(doc, {"ignoreNullFields": "false"}), F.lit('"@summary"'), F.when(k == 6, less).otherwise(summary))
+    json = F.replace(json, F.lit('"@objects"'), F.when(k == 3, F.replace(shown, F.lit('"kind"'), F.lit('"odd":1,"kind"'))).otherwise(shown))
+    found = contract_faults(view(spark, sf, "objects").select("doc_id", json.alias("json")), "audit")
+    return found.select("doc_id", F.concat_ws("|", "faults").alias("faults"))

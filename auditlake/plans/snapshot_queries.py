@@ -59,10 +59,15 @@ def find_copies(spark, sf):
     return S.find_copies(_diff(spark, sf, keep_unchanged=True))
 
 
-@query("changed_files", duck(_SNAP, DIFF + " SELECT status, path, lpad(coalesce(old_mode, '0'), 6, '0') AS old_mode, lpad(coalesce(new_mode, '0'), 6, '0') AS new_mode FROM diff"))
+RENAMED = DIFF + """, d AS (SELECT *, row_number() OVER (PARTITION BY old_oid ORDER BY path) AS n FROM diff WHERE status = 'D'), a AS (SELECT *, row_number() OVER (PARTITION BY new_oid ORDER BY path) AS n FROM diff WHERE status = 'A'),
+  r AS (SELECT a.path, d.path AS gone, d.old_oid, a.new_oid, d.old_mode, a.new_mode FROM d JOIN a ON a.new_oid = d.old_oid AND a.n = d.n),
+  renamed AS (SELECT * FROM diff WHERE NOT (status = 'D' AND path IN (SELECT gone FROM r)) AND NOT (status = 'A' AND path IN (SELECT path FROM r)) UNION ALL SELECT 'R', path, gone, old_oid, new_oid, old_mode, new_mode FROM r)"""
+
+
+@query("changed_files", duck(_SNAP, RENAMED + " SELECT status, path, old_path, lpad(coalesce(old_mode, '0'), 6, '0') AS old_mode, lpad(coalesce(new_mode, '0'), 6, '0') AS new_mode FROM renamed"))
 def changed_files(spark, sf):
     mode = lambda c: F.lpad(F.coalesce(c, F.lit("0")), 6, "0").alias(c)
-    return _diff(spark, sf).select("status", "path", mode("old_mode"), mode("new_mode"))
+    return S.detect_renames(_diff(spark, sf)).select("status", "path", "old_path", mode("old_mode"), mode("new_mode"))
 
 
 @query("non_text", duck(_SNAP, DIFF + " SELECT path, coalesce(old_mode NOT IN ('100644', '100755'), false) OR coalesce(new_mode NOT IN ('100644', '100755'), false) OR (ord(substr(path, 5, 1)) % 2 = 0 AND new_mode IS NOT NULL) AS non_text FROM rows_ WHERE status <> '='"))
