@@ -107,6 +107,12 @@ def short_oid(oid, n: int = 12) -> Column:
     return F.coalesce(F.left(_c(oid), F.lit(n)), F.lit("-"))
 
 
+def short_subject(oid, subject) -> Column:
+    """First characters of an id and the subject, if there is one; '-' without an id."""
+    said = F.nullif(F.trim(_c(subject)), F.lit(""))
+    return F.when(_c(oid).isNull(), "-").otherwise(F.concat_ws(" ", short_oid(oid), F.when(said.isNotNull(), _c(subject))))
+
+
 def object_id(kind, content) -> Column:
     """SHA-1 of kind, length and content; null for a kind that has no ids."""
     raw = _c(content).cast("binary")

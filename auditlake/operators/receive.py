@@ -38,6 +38,15 @@ def receive_plan(incoming: DataFrame, commits: DataFrame, edges: DataFrame) -> D
     return rows.withColumn("status", status)
 
 
+def with_targets(incoming: DataFrame, resolved: DataFrame) -> DataFrame:
+    """incoming(bundle_id, repo, target_ref, incoming) with target_oid, what the ref names, and target, the commit that is.
+
+    resolved(repo, ref_name, target_oid, commit_oid) are refs followed and tags peeled; a missing ref has neither.
+    """
+    refs = resolved.select("repo", F.col("ref_name").alias("target_ref"), "target_oid", F.col("commit_oid").alias("target"))
+    return incoming.join(refs, ["repo", "target_ref"], "left")
+
+
 def plan_summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("bundle_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count("*").alias("total"))
 
@@ -114,12 +123,17 @@ def apply_updates(refs: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataF
     return after, failed.unionByName(late.select("bundle_id", "repo", "ref_name", "expected_old", F.col("now").alias("actual")))
 
 
-def roll_back(refs: DataFrame, applied: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The refs with applied updates undone where the new value still stands, and per update restored, deleted or untouched."""
+def roll_back(refs: DataFrame, applied: DataFrame, stage: str = "update") -> tuple[DataFrame, DataFrame]:
+    """The refs with applied updates undone where the new value still stands, and per update restored, deleted or untouched.
+
+    The report names the stage at which applying failed, and why an update was left as it is.
+    """
     rows = checkpointed(applied.join(refs, ["repo", "ref_name"], "left"))
     stands = F.coalesce(F.col("oid") == F.col("new_oid"), F.lit(False))
     outcome = F.when(~stands, "untouched").when(F.col("expected_old").isNull(), "deleted").otherwise("restored")
-    report = rows.select("bundle_id", "repo", "ref_name", outcome.alias("outcome"))
+    now = F.coalesce(F.col("oid").cast("string"), F.lit("none"))
+    reason = F.when(~stands, F.concat(F.lit("ref is at "), now, F.lit(", not at the applied "), F.col("new_oid").cast("string")))
+    report = rows.select("bundle_id", "repo", "ref_name", outcome.alias("outcome"), F.lit(stage).alias("stage"), reason.alias("reason"))
     undone = rows.where(stands).select("repo", "ref_name", F.col("expected_old").alias("old"), F.lit(True).alias("undo"))
     after = refs.join(undone, ["repo", "ref_name"], "left").where("undo is null or old is not null").select("repo", "ref_name", F.when(F.col("undo"), F.col("old")).otherwise(F.col("oid")).alias("oid"))
     return after, report

@@ -229,13 +229,38 @@ def failed_updates(spark, sf):
     return R.apply_updates(*_updates(spark, sf))[1]
 
 
-@query("roll_back", duck(["pairs"], UPDATES + """, after AS (SELECT coalesce(r.repo, g.repo) AS repo, coalesce(r.ref_name, g.ref_name) AS ref_name, coalesce(new_oid, oid) AS oid FROM refs r FULL JOIN good g ON g.repo = r.repo AND g.ref_name = r.ref_name)
-  SELECT bundle_id, u.repo, u.ref_name, CASE WHEN a.oid IS DISTINCT FROM new_oid THEN 'untouched' WHEN expected_old IS NULL THEN 'deleted' ELSE 'restored' END AS outcome FROM updates u LEFT JOIN after a ON a.repo = u.repo AND a.ref_name = u.ref_name"""))
+AFTER = UPDATES + """, after AS (SELECT coalesce(r.repo, g.repo) AS repo, coalesce(r.ref_name, g.ref_name) AS ref_name, coalesce(new_oid, oid) AS oid FROM refs r FULL JOIN good g ON g.repo = r.repo AND g.ref_name = r.ref_name)"""
+
+
+@query("roll_back", duck(["pairs"], AFTER + """
+  SELECT bundle_id, u.repo, u.ref_name, CASE WHEN a.oid IS DISTINCT FROM new_oid THEN 'untouched' WHEN expected_old IS NULL THEN 'deleted' ELSE 'restored' END AS outcome, 'update' AS stage,
+    CASE WHEN a.oid IS DISTINCT FROM new_oid THEN concat('ref is at ', coalesce(a.oid, 'none'), ', not at the applied ', new_oid) END AS reason FROM updates u LEFT JOIN after a ON a.repo = u.repo AND a.ref_name = u.ref_name"""))
 def roll_back(spark, sf):
     refs, updates = _updates(spark, sf)
     return R.roll_back(R.apply_updates(refs, updates)[0], updates)[1]
 
 
+@query("rolled_back_refs", duck(["pairs"], AFTER + """, undone AS (SELECT u.repo, u.ref_name, u.expected_old FROM updates u JOIN after a ON a.repo = u.repo AND a.ref_name = u.ref_name AND a.oid = new_oid)
+  SELECT a.repo, a.ref_name, CASE WHEN u.ref_name IS NULL THEN a.oid ELSE u.expected_old END AS oid FROM after a LEFT JOIN undone u ON u.repo = a.repo AND u.ref_name = a.ref_name WHERE u.ref_name IS NULL OR u.expected_old IS NOT NULL"""))
+def rolled_back_refs(spark, sf):
+    refs, updates = _updates(spark, sf)
+    return R.roll_back(R.apply_updates(refs, updates)[0], updates)[0]
+
+
+@query("plan_targets", duck(_V, PLAN + " SELECT bundle_id, target_ref, CASE WHEN target IS NOT NULL THEN concat(CASE WHEN cust % 2 = 0 THEN 't' ELSE '' END, target) END AS target_oid, target::varchar AS target, incoming::varchar AS incoming, merge_base::varchar AS merge_base, status FROM plan", True))
+def plan_targets(spark, sf):
+    """The plan from refs as they are: half of them name a tag of their commit."""
+    p = _pairs(spark, sf)
+    text = lambda c: F.col(c).cast("string")
+    there = p.where("target is not null")
+    refs = there.select("repo", F.col("target_ref").alias("ref_name"), F.when(F.col("cust") % 2 == 0, F.concat(F.lit("t"), text("target"))).otherwise(text("target")).alias("target_oid"), F.lit(None).cast("string").alias("symbolic_target"))
+    tags = there.select(F.concat(F.lit("t"), text("target")).alias("oid"), text("target").alias("target_oid")).distinct()
+    resolved = H.resolve_refs(refs, tags, view(spark, sf, "commits"))
+    incoming = R.with_targets(p.select(F.col("repo").alias("bundle_id"), "repo", "target_ref", "incoming"), resolved).withColumn("target", F.col("target").cast("long"))
+    plan = R.receive_plan(incoming, view(spark, sf, "commits"), view(spark, sf, "edges"))
+    return plan.select("bundle_id", "target_ref", "target_oid", text("target").alias("target"), text("incoming").alias("incoming"), text("merge_base").alias("merge_base"), "status")
+
+
 @query("already_applied", duck(["all_heads", "pairs"], "SELECT bundle_id, bool_and(coalesce(target = oid, false)) AS applied FROM all_heads LEFT JOIN pairs ON target_ref = reference GROUP BY bundle_id"))
 def already_applied(spark, sf):
     refs = _pairs(spark, sf).select(F.col("target_ref").alias("ref_name"), F.col("target").alias("oid"))

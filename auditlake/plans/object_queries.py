@@ -43,6 +43,7 @@ _column("x12_kind_rank", "docs", "doc_id", lambda: X.kind_rank(F.expr(_KINDS)),
 _column("x13_tree_mode_kind", "docs", "doc_id", lambda: X.tree_mode_kind(F.expr(_MODES)), "CASE doc_id % 4 WHEN 1 THEN 'commit' WHEN 3 THEN 'blob' ELSE 'tree' END")
 _column("x14_parent_label", "commits", "id", lambda: X.parent_label(F.array_compact(F.array(F.col("p1").cast("string"), F.col("p2").cast("string")))), "coalesce(nullif(concat_ws(', ', p1, p2), ''), '-')")
 _column("x15_short_oid", "objects", "doc_id", lambda: F.concat_ws(" ", X.short_oid(F.when(_k("doc_id", 3) != 0, F.col("oid"))), X.short_oid("oid", 7)), "concat(CASE WHEN doc_id % 3 <> 0 THEN substr(oid, 1, 12) ELSE '-' END, ' ', substr(oid, 1, 7))")
+_column("x15_short_subject", "objects", "doc_id", lambda: X.short_subject(F.when(_k("doc_id", 3) != 0, F.col("oid")), F.when(_k("doc_id", 2) == 0, F.col("bundle_id")).when(_k("doc_id", 5) == 0, "  ")), "CASE WHEN doc_id % 3 = 0 THEN '-' ELSE concat(substr(oid, 1, 12), CASE WHEN doc_id % 2 = 0 THEN concat(' ', bundle_id) ELSE '' END) END")
 _column("h1_object_id", "docs", "doc_id", lambda: X.object_id(F.when(_k("doc_id", 5) == 0, "other").otherwise("blob"), "text"), "CASE WHEN doc_id % 5 <> 0 THEN sha1(concat('blob ', strlen(text), chr(0), text)) END")
 _column("h2_content_digest", "transport", "page_id", lambda: F.concat_ws(" ", X.content_digest("html"), X.bundle_id("html")), "concat(sha256(html), ' ', substr(sha256(html), 1, 12))")
 
