@@ -36,6 +36,8 @@ LEAST, RUN = 0.5, 25
 #: Words of all items in one broadcast block.
 BLOCK_WORDS = 1_000_000
 MATCH, OTHER, GAP = 2, -1, -1
+#: Cells of a table's row, over all alignments worked on together.
+CELLS = 1 << 16
 
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
@@ -61,23 +63,33 @@ def seeds_of(h: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def aligned(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Best local alignment: score, where in the text it begins (an estimate by its length) and ends; and the longest exact run."""
-    before, runs = np.zeros(len(text) + 1, np.int64), np.zeros(len(text) + 1, np.int64)
-    slope = GAP * np.arange(len(text) + 1)
-    best, end, row, longest = 0, 0, 0, 0
-    for i, w in enumerate(item):
-        same = text == w
-        h = np.zeros(len(text) + 1, np.int64)
-        h[1:] = np.maximum(before[:-1] + np.where(same, MATCH, OTHER), before[1:] + GAP)
-        h = np.maximum(np.maximum.accumulate(np.maximum(h, 0) - slope) + slope, 0)
-        runs[1:] = np.where(same, runs[:-1] + 1, 0)
-        longest = max(longest, int(runs.max()))
-        k = int(h.argmax())
-        if h[k] > best:
-            best, end, row = int(h[k]), k, i + 1
+def aligned(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """Best local alignments of items with texts, one by one: rows of score, begin in the text (an estimate by its length), end, longest exact run.
+
+    All tables are filled together, a row of each at a time; shorter ones are filled up with words that match nothing.
+    """
+    n, wide, high = len(items), max(map(len, texts)), max(map(len, items))
+    text, item = np.zeros((n, wide), np.uint64), np.zeros((n, high), np.uint64)
+    some, real = np.zeros((n, wide), bool), np.zeros((n, high), bool)
+    for k, (w, t) in enumerate(zip(items, texts, strict=True)):
+        text[k, : len(t)], item[k, : len(w)] = t, w
+        some[k, : len(t)] = real[k, : len(w)] = True
+    before, runs = np.zeros((n, wide + 1), np.int32), np.zeros((n, wide + 1), np.int32)
+    slope = (GAP * np.arange(wide + 1)).astype(np.int32)
+    best, end, row, longest = (np.zeros(n, np.int64) for _ in range(4))
+    for i in range(high):
+        same = (text == item[:, i : i + 1]) & some & real[:, i : i + 1]
+        h = np.zeros((n, wide + 1), np.int32)
+        h[:, 1:] = np.maximum(before[:, :-1] + np.where(same, MATCH, OTHER), before[:, 1:] + GAP)
+        h = np.maximum(np.maximum.accumulate(np.maximum(h, 0) - slope, axis=1) + slope, 0)
+        runs[:, 1:] = np.where(same, runs[:, :-1] + 1, 0)
+        longest = np.maximum(longest, runs.max(1))
+        at = h.argmax(1)
+        top = h[np.arange(n), at]
+        better = top > best
+        best, end, row = np.where(better, top, best), np.where(better, at, end), np.where(better, i + 1, row)
         before = h
-    return best, max(0, end - row), end, longest
+    return np.column_stack([best, np.maximum(0, end - row), end, longest])
 
 
 class Items:
@@ -151,6 +163,18 @@ def _counter(items):
     return run
 
 
+def _together(asked: list[tuple], lengths: np.ndarray) -> Iterator[list[tuple]]:
+    """Alignments of like size together, in tables of CELLS at most unless one alone is larger."""
+    held: list[tuple] = []
+    for x in sorted(asked, key=lambda x: (x[3] - x[2], lengths[x[1]])):
+        if held and (len(held) + 1) * (x[3] - x[2] + 1) > CELLS:
+            yield held
+            held = []
+        held.append(x)
+    if held:
+        yield held
+
+
 def _aligner(items, least: float, run_of: int):
     names = ["rid", "doc_id", "item_id", "score", "run", "n_seeds", "first_word", "last_word"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -179,20 +203,22 @@ def _aligner(items, least: float, run_of: int):
                 # A stretch ends where the text, the item or, by more than a third of the item, the diagonal changes.
                 slack = lengths[item] // 3 + 4
                 new = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(diagonal) > slack[1:])) + 1
-                best: dict[tuple[int, int], tuple] = {}
+                asked = []
                 for a, b in zip(np.concatenate([[0], new]), np.concatenate([new, [len(item)]]), strict=True):
                     k, d, w = int(item[a]), int(doc[a]), t.words[int(item[a])]
                     # Insertions make a copy longer than the item, by as much as its score allows.
                     pad = len(w) + 4
                     lo = max(int(words[d]), int(diagonal[a]) - pad)
                     hi = min(int(words[d + 1]), int(diagonal[b - 1]) + len(w) + pad)
-                    stretch = h[lo:hi]
-                    if np.isin(stretch, w).sum() < fewest[k]:
-                        continue
-                    points, start, end, exact = aligned(w, stretch)
-                    score = points / (MATCH * len(w))
-                    if (score >= least or exact >= run_of) and score > best.get((d, k), (0.0,))[0]:
-                        best[d, k] = (score, exact, len(np.unique(place[a:b])), lo + start - int(words[d]), lo + end - int(words[d]))
+                    if np.isin(w, h[lo:hi]).sum() >= fewest[k]:
+                        asked.append((d, k, lo, hi, len(np.unique(place[a:b]))))
+                best: dict[tuple[int, int], tuple] = {}
+                for few in _together(asked, lengths):
+                    found = aligned([t.words[k] for _, k, *_ in few], [h[lo:hi] for _, _, lo, hi, _ in few])
+                    for (d, k, lo, _, seeds), (points, start, end, exact) in zip(few, found.tolist(), strict=True):
+                        score = points / (MATCH * int(lengths[k]))
+                        if (score >= least or exact >= run_of) and score > best.get((d, k), (0.0,))[0]:
+                            best[d, k] = (score, exact, seeds, lo + start - int(words[d]), lo + end - int(words[d]))
                 out += [(rids[block.first + d], doc_ids[block.first + d], t.ids[k], *v) for (d, k), v in best.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), types, strict=True)], names=names)
