@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import having_ids, keyed, lookup, row_keyed, staged
+from auditlake.llm.common import having_ids, keyed, lookup, released, row_keyed, staged
 from auditlake.llm.components import connected
 from auditlake.llm.words import blocks, mixed, ngrams
 
@@ -103,6 +103,8 @@ def _profiles(n: int):
                     held, held_n = [], 0
         if held:
             yield widespread()
+        held = []
+        released()
 
     return run
 
@@ -202,6 +204,8 @@ def _numbered(widespread, n: int, bits: int, groups: int, orders: int):
                     held, rids, total = [], [], 0
         if held:
             yield rows(held, rids)
+        held, rids = [], []
+        released()
 
     return run
 
@@ -218,6 +222,8 @@ def _counted(orders: int):
         count = np.repeat(n, n)
         keep = count > 1
         out = list(_dealt(_by_class(r[keep], orders), 1, g[keep], r[keep], count[keep].astype(np.uint64)))
+        del g, r, sort, count, keep
+        released()
         return pd.DataFrame(out, columns=[x.split()[0] for x in PACK.split(", ")])
 
     return run
@@ -359,6 +365,7 @@ def _sets(n: int, below: int | None = None):
                 h = block.hashes()
                 sets = [_set_of(h[block.words[k] : block.words[k + 1]], n) for k in range(len(block))]
                 yield pa.RecordBatch.from_arrays([batch.column("rid")[block.first : block.first + len(block)], pa.array([len(s) for s in sets], pa.int64()), pa.array([cut(s).tobytes() for s in sets], pa.binary())], names=["rid", "n", "grams"])
+        released()
 
     return run
 

@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import small_batches
+from auditlake.llm.common import released, small_batches
 
 #: Distinct segments a worker keeps: those of late, and as many from before that.
-KEPT = 100_000
+KEPT = 40_000
 #: Pairs of pieces of which a worker keeps whether they are compatible.
-PAIRS = 500_000
+PAIRS = 250_000
 #: Bytes of the texts worked on at once; a longer text is taken alone.
-BYTES = 4_000_000
+BYTES = 1_500_000
 #: Segments of a block beyond which Arrow's 32-bit offsets may not do.
 MANY = 1 << 26
 MARK = "▁"
@@ -260,16 +260,6 @@ class _Seen:
         return [late[s] for s in segments]
 
 
-_kept: list = [None, None]
-
-
-def _seen_with(pieces: Pieces) -> _Seen:
-    """The table of these pieces, made once in a worker."""
-    if _kept[0] is not pieces:
-        _kept[:] = [pieces, _Seen(PrefixTable(pieces))]
-    return _kept[1]
-
-
 def _parts(texts: pa.Array) -> Iterator[pa.Array]:
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
     at = 0
@@ -288,7 +278,7 @@ def _joined(bounds: np.ndarray, values: list[str], at: pa.Array, by: str) -> lis
 
 def _digests(pieces, keep: list[str], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _seen_with(pieces.value)
+        seen = _Seen(PrefixTable(pieces.value))
         table, end = seen.table, str(seen.table.end)
         for batch in batches:
             first = 0
@@ -309,6 +299,8 @@ def _digests(pieces, keep: list[str], with_ids: bool):
                     own["ids"] = pa.array([[int(i) for i in x.split(" ")] for x in ids], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(first, len(texts)) for c in keep} | own)
                 first += len(texts)
+        del seen, table
+        released()
 
     return run
 
