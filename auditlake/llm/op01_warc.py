@@ -88,7 +88,7 @@ def _writer(folder: str, chunk: int):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)
                 if row["chunk_no"] == 0:
                     close()
                     gz, n = zlib.compressobj(6, zlib.DEFLATED, 31), n + 1
@@ -207,6 +207,8 @@ def _reader(chunk: int, rows: int = 64):
             while line := data.line():
                 k, _, v = line.decode().partition(":")
                 head[k.strip().lower()] = v.strip()
+            if line is None or not {"content-length", "warc-payload-digest", "warc-record-id", "warc-type", "warc-payload-length"} <= head.keys():
+                raise ValueError(f"{path}: the archive ends within a record's header")
             left, no, at, sha = int(head["content-length"]), 0, 0, hashlib.sha1()
             stated = head["warc-payload-digest"].removeprefix("sha1:")
             known = (path, _name(head["warc-record-id"]), head["warc-type"], head.get("warc-target-uri"), _name(head.get("warc-refers-to")), int(head["warc-payload-length"]), stated)
@@ -229,19 +231,23 @@ def _reader(chunk: int, rows: int = 64):
         from pyarrow import fs
 
         for batch in batches:
-            for uri in batch.column("path").to_pylist():
+            for uri, want in zip(batch.column("path").to_pylist(), batch.column("n_records").to_pylist(), strict=True):
                 store, path = fs.FileSystem.from_uri(uri)
+                n_read = 0
                 held: list[tuple] = []
                 size = 0
-                with store.open_input_stream(path) as f:
+                with store.open_input_stream(path, compression=None) as f:
                     for row in records(path, f):
                         held.append(row)
                         size += len(row[9])
+                        n_read += row[11]
                         if len(held) >= rows * 16 or size >= rows * chunk:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
                             held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _SCHEMA.types, strict=True)], schema=_SCHEMA)
+                if n_read != want:
+                    raise ValueError(f"{path}: {n_read} records were read, {want} were written")
 
     return read
 
@@ -250,7 +256,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, chunk:
     """The chunk rows of all archives in the manifest, one archive per task at a time."""
     scheme = folder.partition("://")[0] + "://" if "://" in folder else "file://"
     n = max(1, manifest.count())
-    files = manifest.select(F.concat(F.lit(scheme), "path").alias("path")).repartition(n, "path")
+    files = manifest.select(F.concat(F.lit(scheme), "path").alias("path"), "n_records").repartition(n, "path")
     return files.mapInArrow(_reader(chunk), CHUNKS)
 
 

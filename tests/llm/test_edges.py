@@ -44,6 +44,30 @@ def test_warc(spark):
     assert empty.count() == 0 and op01_warc.read_archives(spark, empty, folder).count() == 0
 
 
+def test_cut_archives_are_errors(spark):
+    import gzip
+
+    pages = staged(spark.createDataFrame([(k, "u", f"page {k} " * 50) for k in range(6)], "page_id long, url string, html string").repartition(1), "pages")
+    folder = new_folder(spark, "warc")
+    manifest = op01_warc.write_archives(pages, folder)
+    path = next(r.path for r in manifest.collect() if r.n_records > 1)
+    whole = gzip.decompress(open(path, "rb").read())
+    second = whole.index(b"WARC/1.1", 10)
+    # At a record's end, within a header, within a payload.
+    for end in (second, second + 60, second - 30):
+        with open(path, "wb") as f:
+            f.write(gzip.compress(whole[:end]))
+        with pytest.raises(Exception, match="records were read|ends within a record"):
+            op01_warc.read_archives(spark, manifest, folder).collect()
+
+
+def test_ids_that_occur_twice(spark):
+    pages = staged(spark.createDataFrame([(1, "u", "a" * 2000), (1, "u", "b" * 2000), (2, "u", "a" * 2000)], "page_id long, url string, html string"), "pages")
+    folder = new_folder(spark, "warc")
+    got = op01_warc.read_archives(spark, op01_warc.write_archives(pages, folder), folder).where("is_last").collect()
+    assert sorted((r.record_id, r.record_type, r.refers_to) for r in got) == sorted([("1", "revisit", "2"), ("1", "response", None), ("2", "response", None)], key=str)
+
+
 def test_exact(docs, none):
     got = op03_exact_dedup.exact_groups(docs).collect()
     assert len(got) == 11 and sum(r.kept for r in got) == 8
