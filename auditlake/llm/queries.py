@@ -12,6 +12,7 @@ from auditlake.llm.op07_toxicity import op7_toxicity
 from auditlake.llm.op08_jaccard_join import op8_jaccard_join
 from auditlake.llm.op09_pieces import op9_pieces
 from auditlake.llm.op10_pitman_yor import op10_pitman_yor
+from auditlake.llm.op11_spelling import OP11_SQL, op11_spelling
 
 QUERIES = {
     "op1_warc": op1_warc,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_pieces": op9_pieces,
     "op10_pitman_yor": op10_pitman_yor,
+    "op11_spelling": op11_spelling,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op11_spelling": OP11_SQL}
