@@ -13,6 +13,8 @@ from auditlake.llm.op08_jaccard_join import op8_jaccard_join
 from auditlake.llm.op09_pieces import op9_pieces
 from auditlake.llm.op10_pitman_yor import op10_pitman_yor
 from auditlake.llm.op11_spelling import OP11_SQL, op11_spelling
+from auditlake.llm.op12_ranking import OP12_SQL, op12_ranking
+from auditlake.llm.op13_neighbours import op13_neighbours
 
 QUERIES = {
     "op1_warc": op1_warc,
@@ -26,5 +28,7 @@ QUERIES = {
     "op9_pieces": op9_pieces,
     "op10_pitman_yor": op10_pitman_yor,
     "op11_spelling": op11_spelling,
+    "op12_ranking": op12_ranking,
+    "op13_neighbours": op13_neighbours,
 }
-ORACLES = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op11_spelling": OP11_SQL}
+ORACLES = {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op11_spelling": OP11_SQL, "op12_ranking": OP12_SQL}

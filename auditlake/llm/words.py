@@ -52,9 +52,9 @@ class Block:
     first, last: range of texts within the column; bounds: byte offsets of the texts; words: offsets into starts.
     """
 
-    def __init__(self, first: int, bounds: np.ndarray, raw: np.ndarray):
+    def __init__(self, first: int, bounds: np.ndarray, raw: np.ndarray, table: np.ndarray = _LOWER):
         self.first, self.bounds, self.raw = first, bounds, raw
-        self.low = _LOWER[raw]
+        self.low = table[raw]
         gap = self.low == 32
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
         if len(gap) and not gap[0]:
@@ -81,8 +81,8 @@ class Block:
         return self.low[self.starts[k] : self.ends[k]].tobytes().decode("utf-8", "replace")
 
 
-def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[Block]:
-    """Blocks of consecutive texts; null counts as empty."""
+def blocks(texts: pa.Array, size: int = BLOCK, table: np.ndarray = _LOWER) -> Iterator[Block]:
+    """Blocks of consecutive texts; null counts as empty. table: what each byte stands for, a space where words end."""
     if not len(texts):
         return
     if isinstance(texts, pa.ChunkedArray):
@@ -98,7 +98,7 @@ def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[Block]:
         _, where, data = ended.buffers()
         offsets = np.frombuffer(where, np.int64)[ended.offset : ended.offset + len(ended) + 1]
         raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
-        yield Block(at, offsets - offsets[0], raw)
+        yield Block(at, offsets - offsets[0], raw, table)
         at = end
 
 
