@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEX40, HEX64 = "^[0-9a-f]{40}$", "^[0-9a-f]{64}$"
-
 
 def verify_integrity(claims: DataFrame, bundles: DataFrame) -> DataFrame:
     """The first rule a claim breaks, with what is claimed and what is so; both null when all hold.
@@ -56,26 +54,6 @@ def mismatched_rows(claimed: DataFrame, actual: DataFrame, key: list[str], colum
     return rows.select(*key, F.when(F.col("claimed").isNull(), "not claimed").when(F.col("actual").isNull(), "not so").otherwise("different").alias("mismatch"))
 
 
-def check_contract(docs: DataFrame) -> DataFrame:
-    """Creation metadata as JSON(doc_id, json): the broken rules, in the order they are stated; extra keys count."""
-    allowed = ["schema_version", "bundle_file", "bundle_size_bytes", "bundle_sha256", "range_from_oid", "range_to_oid", "commit_chain", "changed_files", "tip_ref", "patch"]
-    need = ["schema_version", "bundle_size_bytes", "bundle_sha256", "range_to_oid"]
-    keys = F.json_object_keys("json")
-    value = lambda k: F.get_json_object("json", f"$.{k}")
-    broken = F.array_compact(
-        F.array(
-            F.when(keys.isNull(), "not an object"),
-            *[F.when(keys.isNotNull() & ~F.array_contains(keys, k), f"{k} is missing") for k in need],
-            F.when(value("schema_version") != "1", "schema_version is not 1"),
-            F.when(~value("bundle_sha256").rlike(HEX64), "bundle_sha256 is no digest"),
-            F.when(~value("range_to_oid").rlike(HEX40), "range_to_oid is no object id"),
-            F.when(F.coalesce(value("bundle_size_bytes").try_cast("long"), F.lit(-1)) < 0, "bundle_size_bytes is below 0"),
-            F.when(F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))) > 0, "extra keys"),
-        )
-    )
-    return docs.select("doc_id", broken.alias("violations"))
-
-
 def build_claims(bundles: DataFrame, chain: DataFrame, files: DataFrame) -> DataFrame:
     """(bundle_id, json): one document per bundle from chain(bundle_id, pos, ...) and files(bundle_id, pos, ...), in order."""
 

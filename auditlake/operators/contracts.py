@@ -1,7 +1,7 @@
 """Contracts of the two documents as data, and which of their rules a document breaks.
 
 A contract names a document's fields: each with a rule, or the fields of an object, or a list of one of these. Every field
-is required, no other is allowed, and a value is null only where its rule says so.
+is required, no other is allowed, and a value is null only where its rule says so. A rule has a JSON type and a pattern.
 """
 
 from __future__ import annotations
@@ -66,36 +66,64 @@ CONTRACTS = {
 }
 
 
-def _rules(shape, path: str) -> list[tuple[str, Callable[[Column], Column]]]:
-    """What may be wrong with a JSON value of a shape, and whether it is, as a function of the value; of absent parts, nothing is."""
+#: JSON types of values by rule; other rules are for text. A number too large for a long is a decimal without fraction.
+TYPES = {"flag": "^BOOLEAN$", "count": r"^(BIGINT|DECIMAL\(\d+,0\))$", "integer": r"^(BIGINT|DECIMAL\(\d+,0\))$", "pack version": "^BIGINT$"}
+
+
+def _faults(shape, path: str, says: list[str]) -> Callable[[Column], Column]:
+    """A function from a JSON value to the numbers in `says` of what is wrong with it, where says gets all that may be, in order."""
+
+    def say(text: str) -> Callable[[Column], Column]:
+        says.append(text)
+        number = len(says) - 1
+        return lambda wrong: F.when(wrong, F.array(F.lit(number))).otherwise(F.array().cast("array<int>"))
+
+    one = lambda value, then: F.flatten(F.transform(F.array(value), then))  # noqa: E731  evaluates the value once
     if isinstance(shape, str):
         rule, null = shape.removesuffix("?"), shape.endswith("?")
-        wrong = (lambda v: v.isNotNull() & ~v.rlike(RULES[rule])) if null else (lambda v: v.isNull() | ~v.rlike(RULES[rule]))
-        return [(f"{path} is no {rule}", lambda v: F.coalesce(wrong(v), F.lit(True)))]
+        told = say(f"{path} is no {rule}")
+
+        def leaf(v: Column) -> Column:
+            right = F.schema_of_variant(v).rlike(TYPES.get(rule, "^STRING$")) & F.try_variant_get(v, "$", "string").rlike(RULES[rule])
+            return told(~F.coalesce(F.is_variant_null(v) | right if null else right, F.lit(False)))
+
+        return leaf
     if isinstance(shape, list):
-        listed = lambda v: F.from_json(v, "array<string>")
-        some = lambda f: lambda v: F.coalesce(F.exists(listed(v), f), F.lit(False))
-        return [(f"{path} is no list", lambda v: listed(v).isNull()), *[(say, some(f)) for say, f in _rules(shape[0], f"{path}[]")]]
-    names = [n.removesuffix("?") for n in shape]
-    keys = F.json_object_keys
-    other = lambda v: F.coalesce(F.size(F.array_except(keys(v), F.array(*[F.lit(n) for n in names]))) > 0, F.lit(False))
-    found = [(f"{path or 'document'} is no object", lambda v: keys(v).isNull()), (f"{path or 'document'} has other fields", other)]
-
-    def field(own: str, inner, null: bool) -> None:
-        at = f"{path}.{own}" if path else own
-        here = lambda v: F.coalesce(F.array_contains(keys(v), own), F.lit(False))
-        part = lambda v: F.get_json_object(v, f"$.{own}")
-        known = (lambda v: here(v) & part(v).isNotNull()) if null else here
-        within = lambda f: lambda v: known(v) & f(part(v))
-        found.append((f"{at} is missing", lambda v: keys(v).isNotNull() & ~here(v)))
-        found.extend((say, within(f)) for say, f in _rules(inner, at))
-
-    for name, inner in shape.items():
-        field(name.removesuffix("?"), inner, name.endswith("?"))
-    return found
+        told = say(f"{path} is no list")
+        inner = _faults(shape[0], f"{path}[]", says)
+        listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
+        none = F.array().cast("array<array<int>>")
+        return lambda v: one(listed(v), lambda l: F.concat(told(l.isNull()), F.flatten(F.coalesce(F.transform(l, inner), none))))
+    at = path or "document"
+    told, other = say(f"{at} is no object"), say(f"{at} has other fields")
+    names = F.array(*[F.lit(n.removesuffix("?")) for n in shape])
+    fields = []
+    for name, part in shape.items():
+        own = name.removesuffix("?")
+        deeper = f"{path}.{own}" if path else own
+        missing = say(f"{deeper} is missing")
+        fields.append((own, name.endswith("?"), missing, _faults(part, deeper, says)))
+
+    def within(m: Column) -> Column:
+        found = [told(m.isNull()), other(F.coalesce(F.size(F.array_except(F.map_keys(m), names)) > 0, F.lit(False)))]
+        for own, null, missing, inner in fields:
+            part = F.try_element_at(m, F.lit(own))
+            found.append(missing(m.isNotNull() & part.isNull()))
+            some = part.isNotNull() & ~F.is_variant_null(part) if null else part.isNotNull()
+            found.append(F.when(some, one(part, inner)).otherwise(F.array().cast("array<int>")))
+        return F.concat(*found)
+
+    return lambda v: one(F.try_variant_get(v, "$", "map<string,variant>"), within)
 
 
 def contract_faults(docs: DataFrame, which: str, key: str = "doc_id", column: str = "json") -> DataFrame:
-    """(key, faults) of documents as JSON text: the rules of the contract `which` that each breaks, in the contract's order."""
-    broken = [F.when(wrong(F.col(column)), F.lit(say)) for say, wrong in _rules(CONTRACTS[which], "")]
-    return docs.select(key, F.array_compact(F.array(*broken)).alias("faults"))
+    """(key, faults) of documents as JSON text: the rules of the contract `which` that each breaks, in the contract's order.
+
+    Each document is parsed once, to a variant whose values keep their JSON types: a number in quotes is no count. What is no JSON,
+    or has a field twice, is no object.
+    """
+    says: list[str] = []
+    check = _faults(CONTRACTS[which], "", says)
+    value = docs.select(key, F.coalesce(F.try_parse_json(F.col(column)), F.parse_json(F.lit("null"))).alias("v"))
+    numbers = value.select(key, F.array_sort(F.array_distinct(check(F.col("v")))).alias("n"))
+    return numbers.select(key, F.transform("n", lambda n: F.get(F.array(*[F.lit(x) for x in says]), n)).alias("faults"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from auditlake.functions.columns import decoration_label, decoration_rank
-from auditlake.operators.iterate import ROUNDS, checkpointed, closure, followed, generations, hops
+from auditlake.operators.iterate import ROUNDS, checkpointed, closure, followed, generations, hops, least_reaching
 
 MISSING_SUBJECT = "<prerequisite commit unavailable>"
 
@@ -117,11 +117,14 @@ def boundary(shown: DataFrame, edges: DataFrame, all_commits: DataFrame) -> Data
 
 
 def decorations(refs: DataFrame, heads: DataFrame, shown: DataFrame) -> DataFrame:
-    """(id, labels): branch (rank 1), tag: name (rank 2), HEAD -> branch (rank 0) of shown commits, best rank of each label."""
-    plain = refs.select(F.col("oid").alias("id"), decoration_rank("ref_name").alias("rank"), decoration_label("ref_name").alias("label"))
-    own = heads.where(F.col("reference").startswith("refs/heads/")).select(F.col("oid").alias("id"), F.lit(0).alias("rank"), F.concat(F.lit("HEAD -> "), decoration_label("reference")).alias("label"))
-    kept = plain.unionByName(own).where("rank is not null and label <> ''").join(shown.select("id"), "id", "left_semi").groupBy("id", "label").agg(F.min("rank").alias("rank"))
-    return kept.groupBy("id").agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"])).alias("labels"))
+    """(repo, id, labels): branch (rank 1), tag: name (rank 2), HEAD -> branch (rank 0) of each repository's shown commits, best rank of each label.
+
+    refs(repo, ref_name, oid), heads(repo, reference, oid), shown(repo, id): another repository's refs to the same commit do not count.
+    """
+    plain = refs.select("repo", F.col("oid").alias("id"), decoration_rank("ref_name").alias("rank"), decoration_label("ref_name").alias("label"))
+    own = heads.where(F.col("reference").startswith("refs/heads/")).select("repo", F.col("oid").alias("id"), F.lit(0).alias("rank"), F.concat(F.lit("HEAD -> "), decoration_label("reference")).alias("label"))
+    kept = plain.unionByName(own).where("rank is not null and label <> ''").join(shown.select("repo", "id"), ["repo", "id"], "left_semi").groupBy("repo", "id", "label").agg(F.min("rank").alias("rank"))
+    return kept.groupBy("repo", "id").agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"])).alias("labels"))
 
 
 def assume_present(revs: DataFrame, tips: DataFrame, edges: DataFrame) -> DataFrame:
@@ -132,42 +135,50 @@ def assume_present(revs: DataFrame, tips: DataFrame, edges: DataFrame) -> DataFr
     return kept.groupBy("range_id", "oid").agg(F.min("pos").alias("pos")).select("range_id", "pos", "oid")
 
 
-def _walked(heads: DataFrame, prereqs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
-    """(bundle_id, oid) of present commits that a bundle's heads reach and its prerequisites don't."""
-    here = commits.select(F.col("id").alias("oid"))
-    present = edges.join(here.withColumnRenamed("oid", "child"), "child", "left_semi").join(here.withColumnRenamed("oid", "parent"), "parent", "left_semi")
-    side = lambda rows: closure(rows.join(here, "oid", "left_semi").select(F.col("bundle_id").alias("start"), F.col("oid").alias("node")), present)
-    return checkpointed(side(heads).join(side(prereqs), ["start", "node"], "left_anti").select(F.col("start").alias("bundle_id"), F.col("node").alias("oid")))
+def _walked(heads: DataFrame, prereqs: DataFrame, here: DataFrame, edges: DataFrame) -> DataFrame:
+    """(at, repo, oid) of commits that a package's heads reach and its prerequisites don't, over commits that its repository has."""
+    place = lambda c: F.struct("repo", F.col(c).alias("oid"))
+    own = here.join(heads.select("repo").distinct(), "repo", "left_semi")
+    present = edges.join(own.withColumnRenamed("oid", "child"), "child").join(own.withColumnRenamed("oid", "parent"), ["repo", "parent"], "left_semi").select(place("child").alias("child"), place("parent").alias("parent"))
+    steps = hops(present)
+    side = lambda rows: closure(rows.join(here, ["repo", "oid"], "left_semi").select(F.col("at").alias("start"), place("oid").alias("node")), present, steps)
+    return checkpointed(side(heads).join(side(prereqs), ["start", "node"], "left_anti").select(F.col("start").alias("at"), "node.repo", "node.oid"))
 
 
 def dangling(heads: DataFrame, prereqs: DataFrame, commits: DataFrame, edges: DataFrame, tree_entries: DataFrame | None = None, objects: DataFrame | None = None) -> DataFrame:
-    """References to what is absent: (bundle_id, kind, oid), kind head, parent, tree, entry or unknown; prerequisites may be absent.
+    """References to what a package's repository lacks: (bundle_id, repo, kind, oid), kind head, parent, tree, entry or unknown; prerequisites may be absent.
 
-    Trees are looked at if tree_entries(tree_oid, child_oid, child_kind) and objects(oid) are given; commits then have
-    tree_oid. An entry whose child_kind is null is of unknown kind.
+    heads(bundle_id, repo, oid) name the repository that receives each package; commits(repo, id) and objects(repo, oid) are what
+    repositories have, with the package's own among them. An object of another repository closes no gap. Trees are looked at if
+    tree_entries(tree_oid, child_oid, child_kind) and objects are given; commits then have tree_oid. An entry whose child_kind is null
+    is of unknown kind.
     """
-    here = commits.select(F.col("id").alias("oid"))
-    lost = heads.select("bundle_id", "oid").distinct().join(here, "oid", "left_anti").select("bundle_id", F.lit("head").alias("kind"), "oid")
-    walked = _walked(heads, prereqs, commits, edges)
-    parents = walked.join(edges.select(F.col("child").alias("oid"), "parent"), "oid").select("bundle_id", F.col("parent").alias("oid")).distinct().join(here, "oid", "left_anti").join(prereqs.select("bundle_id", "oid"), ["bundle_id", "oid"], "left_anti")
-    found = lost.unionByName(parents.select("bundle_id", F.lit("parent").alias("kind"), "oid"))
-    if tree_entries is None:
-        return found
-    from auditlake.operators.objects import tree_objects
-
-    met = checkpointed(tree_objects(walked, commits, tree_entries))
-    absent = met.join(objects.select("oid").distinct(), "oid", "left_anti").where("kind is not null")
-    told = absent.select("bundle_id", F.when(F.col("kind") == "tree", "tree").otherwise("entry").alias("kind"), "oid")
-    odd = met.where("kind = 'tree'").select("bundle_id", F.col("oid").alias("tree_oid")).join(tree_entries.where("child_kind is null"), "tree_oid").select("bundle_id", F.lit("unknown").alias("kind"), F.col("child_oid").alias("oid")).distinct()
-    return found.unionByName(told).unionByName(odd)
+    here = commits.select("repo", F.col("id").alias("oid")).distinct()
+    own = checkpointed(heads.select(F.struct("bundle_id", "repo").alias("at"), "repo", "oid").distinct())
+    known = prereqs.select("bundle_id", "oid").join(own.select("at.bundle_id", "at", "repo").distinct(), "bundle_id").select("at", "repo", "oid")
+    lost = own.join(here, ["repo", "oid"], "left_anti").select("at", F.lit("head").alias("kind"), "oid")
+    walked = _walked(own, known, here, edges)
+    parents = walked.join(edges.select(F.col("child").alias("oid"), "parent"), "oid").select("at", "repo", F.col("parent").alias("oid")).distinct().join(here, ["repo", "oid"], "left_anti").join(known.select("at", "oid"), ["at", "oid"], "left_anti")
+    found = lost.unionByName(parents.select("at", F.lit("parent").alias("kind"), "oid"))
+    if tree_entries is not None:
+        from auditlake.operators.objects import tree_objects
+
+        met = checkpointed(tree_objects(walked.select(F.col("at").alias("bundle_id"), "oid"), commits.select("id", "tree_oid").distinct(), tree_entries).select(F.col("bundle_id").alias("at"), "bundle_id.repo", "oid", "kind"))
+        absent = met.join(objects.select("repo", "oid").distinct(), ["repo", "oid"], "left_anti").where("kind is not null")
+        told = absent.select("at", F.when(F.col("kind") == "tree", "tree").otherwise("entry").alias("kind"), "oid")
+        odd = met.where("kind = 'tree'").select("at", F.col("oid").alias("tree_oid")).join(tree_entries.where("child_kind is null"), "tree_oid").select("at", F.lit("unknown").alias("kind"), F.col("child_oid").alias("oid")).distinct()
+        found = found.unionByName(told).unionByName(odd)
+    return found.select("at.*", "kind", "oid")
 
 
 def needed_by(found: DataFrame, heads: DataFrame, edges: DataFrame) -> DataFrame:
-    """found(bundle_id, kind, oid) of kind head or parent with `reference`: the first of the bundle's heads that reaches it."""
+    """found(bundle_id, kind, oid) of kind head or parent with `reference`: the first of the bundle's heads that reaches it.
+
+    The first head goes down the graph, the least of those that meet at a commit, so a bundle is walked once whatever its heads.
+    """
     ends = heads.join(found.select("bundle_id").distinct(), "bundle_id", "left_semi")
-    reach = closure(ends.select(F.struct("bundle_id", "head_index", "reference").alias("start"), F.col("oid").alias("node")), edges)
-    first = reach.select("start.*", F.col("node").alias("oid")).join(found.select("bundle_id", "oid").distinct(), ["bundle_id", "oid"], "left_semi").groupBy("bundle_id", "oid").agg(F.min_by("reference", "head_index").alias("reference"))
-    return found.join(first, ["bundle_id", "oid"], "left")
+    first = least_reaching(ends.select(F.col("bundle_id").alias("start"), F.col("oid").alias("node"), F.struct("head_index", "reference").alias("value")), edges)
+    return found.join(first.select(F.col("start").alias("bundle_id"), F.col("node").alias("oid"), "value.reference"), ["bundle_id", "oid"], "left")
 
 
 def resolve_refs(refs: DataFrame, tags: DataFrame, commits: DataFrame) -> DataFrame:

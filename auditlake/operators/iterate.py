@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 #: Rounds after which a loop is given up with an error.
 ROUNDS = 10_000
@@ -35,6 +36,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def numbered(rows: DataFrame, group: list[str], *order: str) -> DataFrame:
+    """rows with `number`, from 1 within each group in that order; a group is numbered in ranges, never in one task."""
+    parts = checkpointed(rows.repartitionByRange(*group, *order).withColumn("part", F.spark_partition_id()))
+    counts = parts.groupBy(*group, "part").agg(F.count("*").alias("n"))
+    before = counts.select(*group, "part", (F.sum("n").over(W.Window.partitionBy(*group).orderBy("part")) - F.col("n")).alias("before"))
+    within = parts.withColumn("within", F.row_number().over(W.Window.partitionBy(*group, "part").orderBy(*order)))
+    return within.join(before, [*group, "part"]).withColumn("number", F.col("before") + F.col("within")).drop("part", "before", "within")
+
+
 def hops(edges: DataFrame, doublings: int = 3) -> DataFrame:
     """(node, next, d): ancestors within 2 ** doublings steps of edges(child, parent), with the longest such path's length.
 
@@ -69,16 +79,16 @@ def closure(starts: DataFrame, edges: DataFrame, steps: DataFrame | None = None)
     raise RuntimeError(f"not closed after {ROUNDS} rounds")
 
 
-def doubled(links: DataFrame, key: str = "node", to: str = "next") -> DataFrame:
-    """(key, root, distance) by pointer doubling over links with one successor (or null) per node."""
-    now = checkpointed(links.select(F.col(key).alias("k"), F.col(to).alias("n"), F.lit(None).cast(dict(links.dtypes)[key]).alias("root")).withColumn("d", F.when(F.col("n").isNull(), 0).otherwise(1)))
-    now = now.withColumn("root", F.when(F.col("n").isNull(), F.col("k")))
-    for _ in range(64):
-        if now.where("n is not null").isEmpty():
-            return now.select(F.col("k").alias(key), "root", F.col("d").alias("distance"))
-        that = now.select(F.col("k").alias("n"), F.col("n").alias("n2"), F.col("root").alias("r2"), F.col("d").alias("d2"))
-        now = checkpointed(now.join(that, "n", "left").select("k", F.col("n2").alias("n"), F.coalesce("root", "r2", F.when(F.col("d2").isNull(), F.col("n"))).alias("root"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")))
-    raise RuntimeError("the links form a cycle")
+def least_reaching(starts: DataFrame, edges: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """(start, node, value): the least value of starts(start, node, value) from which each node is reached over edges(child, parent)."""
+    links = (steps if steps is not None else hops(edges)).select("node", "next")
+    now = checkpointed(starts.groupBy("start", "node").agg(F.min("value").alias("value")).withColumn("fresh", F.lit(True)))
+    while True:
+        met = now.where("fresh").join(links, "node").groupBy("start", F.col("next").alias("node")).agg(F.min("value").alias("other"))
+        less = F.coalesce(F.col("other") < F.col("value"), F.col("other").isNotNull())
+        now = checkpointed(now.drop("fresh").join(met, ["start", "node"], "full").select("start", "node", F.when(less, F.col("other")).otherwise(F.col("value")).alias("value"), less.alias("fresh")))
+        if now.where("fresh").isEmpty():
+            return now.drop("fresh")
 
 
 def followed(links: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import window as W
 
 #: Rows shown at either end of a ledger in summary mode.
 EDGE = 20
+#: Bytes before a pack's first entry.
+PACK_HEADER = 12
 
 
 def resolve_bases(ledger: DataFrame, baseline: DataFrame | None, mode: str = "baseline") -> DataFrame:
@@ -76,12 +78,19 @@ def cut_ledger(resolved: DataFrame) -> DataFrame:
 
 
 def framing_check(ledger: DataFrame, bundles: DataFrame) -> DataFrame:
-    """bundles(bundle_id, declared, trailer_offset): how many entries are missing, whether bytes are left before the trailer and whether entries follow each other without gaps."""
-    nxt = F.lead("offs").over(W.Window.partitionBy("bundle_id").orderBy("idx"))
-    ends = ledger.withColumn("next", nxt).withColumn("end", F.col("offs") + F.col("out_size") + 20)
-    per = ends.groupBy("bundle_id").agg(F.count("*").alias("parsed"), F.max("end").alias("last_end"), F.count_if(F.col("next") != F.col("end")).alias("gaps"))
-    joined = bundles.join(per, "bundle_id", "left").fillna(0, ["parsed", "gaps"]).withColumn("last_end", F.coalesce("last_end", F.lit(12).cast("long")))
-    status = F.when(F.col("parsed") < F.col("declared"), "entries missing").when(F.col("last_end") < F.col("trailer_offset"), "trailing bytes").when(F.col("gaps") > 0, "gap between entries").otherwise("ok")
+    """bundles(bundle_id, declared, trailer_offset): how many entries are missing, the bytes between the last entry and the trailer, and after how many entries no other follows at once.
+
+    ledger(bundle_id, offs, end_offs) has where each entry begins and ends; an entry without an end was not read. A pack's
+    entries begin after its header.
+    """
+    read = ledger.where("end_offs is not null").select("bundle_id", "offs", "end_offs")
+    # An entry's end must be where another begins, unless it is the last one's.
+    begins = read.select("bundle_id", F.col("offs").alias("at")).distinct()
+    ends = read.select("bundle_id", F.col("end_offs").alias("at")).unionByName(bundles.select("bundle_id", F.lit(PACK_HEADER).cast("long").alias("at")))
+    loose = ends.join(begins, ["bundle_id", "at"], "left_anti").groupBy("bundle_id").agg(F.count("*").alias("loose"))
+    per = read.groupBy("bundle_id").agg(F.count("*").alias("parsed"), F.max("end_offs").alias("last_end"))
+    joined = bundles.join(per, "bundle_id", "left").join(loose, "bundle_id", "left").fillna(0, ["parsed", "loose"]).withColumns({"last_end": F.coalesce("last_end", F.lit(PACK_HEADER).cast("long"))}).withColumn("gaps", F.greatest(F.col("loose") - 1, F.lit(0)))
+    status = F.when(F.col("parsed") < F.col("declared"), "entries missing").when(F.col("gaps") > 0, "gap between entries").when(F.col("last_end") < F.col("trailer_offset"), "trailing bytes").otherwise("ok")
     return joined.select("bundle_id", "declared", "parsed", (F.col("trailer_offset") - F.col("last_end")).alias("bytes_left"), "gaps", status.alias("status"))
 
 

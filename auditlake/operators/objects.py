@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from auditlake.functions.columns import kind_rank
+from auditlake.functions.columns import kind_rank, object_id
 from auditlake.operators.iterate import checkpointed, closure
 
 #: Levels of a directory tree after which something must be wrong.
@@ -68,6 +68,30 @@ def explode_trees(trees: DataFrame) -> DataFrame:
     return trees.select("oid", "content").mapInArrow(_tree_rows, "tree_oid string, pos long, mode string, name string, child_oid string, child_kind string, error string")
 
 
+def build_trees(files: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, dir, oid, content): the tree objects of files(by, path, mode, oid), oid in hex, from the deepest directories up.
+
+    A directory's entries are its files and the trees of the directories in it, in byte order of their names, those of directories
+    as if they ended in a slash; the root is the directory ''. A tree is digested in one task, for its id is that of its
+    bytes in order; directories go level by level, all snapshots at once.
+    """
+    split = F.length("path") - F.length(F.substring_index("path", "/", -1))
+    parts = checkpointed(files.select(*by, F.substring(F.col("path"), F.lit(1), split - 1).alias("dir"), F.substring_index("path", "/", -1).alias("name"), F.regexp_replace("mode", "^0+", "").alias("mode"), "oid", F.length(F.regexp_replace("path", "[^/]", "")).alias("depth")))
+    name = F.col("name").cast("binary")
+    entry = F.struct(F.when(F.col("mode") == "40000", F.concat(name, F.lit(b"/"))).otherwise(name).alias("order"), F.hex(F.concat(F.encode(F.concat("mode", F.lit(" ")), "utf-8"), name, F.lit(b"\0"), F.unhex("oid"))).alias("bytes"))
+    deepest = parts.agg(F.max("depth")).first()[0]
+    found = below = None
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        entries = parts.where(F.col("depth") == depth).drop("depth")
+        if below is not None:
+            up = F.length("dir") - F.length(F.substring_index("dir", "/", -1))
+            entries = entries.unionByName(below.select(*by, F.substring(F.col("dir"), F.lit(1), up - 1).alias("dir"), F.substring_index("dir", "/", -1).alias("name"), F.lit("40000").alias("mode"), "oid"))
+        content = F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["bytes"]), ""))
+        below = checkpointed(entries.groupBy(*by, "dir").agg(content.alias("content")).select(*by, "dir", object_id(F.lit("tree"), "content").alias("oid"), "content"))
+        found = below if found is None else found.unionByName(below)
+    return found if found is not None else parts.select(*by, "dir", "oid", F.lit(b"").alias("content"))
+
+
 def reachable(heads: DataFrame, commits: DataFrame, edges: DataFrame, tree_entries: DataFrame) -> DataFrame:
     """(bundle_id, oid, kind) of what heads(bundle_id, oid) reach: commits(id, tree_oid) that are present, their trees and
     every entry of those trees, present or not. All are strings. Each bundle is walked once, from all its heads."""

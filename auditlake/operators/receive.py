@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from auditlake.functions.columns import short_oid
+from auditlake.functions.columns import object_id, short_oid
 from auditlake.operators.history import merge_base
 from auditlake.operators.iterate import ROUNDS, checkpointed
 from auditlake.operators.lines import merge_texts
+from auditlake.operators.objects import build_trees
 
 STATUSES = ["target_missing", "already_present", "fast_forward_ok", "target_ahead", "diverged_merge_required"]
 DIVERGED = "diverged_merge_required"
@@ -140,9 +141,15 @@ def roll_back(refs: DataFrame, applied: DataFrame, stage: str = "update") -> tup
 
 
 def already_applied(heads: DataFrame, refs: DataFrame, commits: DataFrame) -> DataFrame:
-    """(bundle_id, applied): every head's ref points at it and its commit exists."""
-    known = heads.join(refs.select(F.col("ref_name").alias("reference"), F.col("oid").alias("now")), "reference", "left").join(commits.select(F.col("id").alias("oid")).withColumn("here", F.lit(True)), "oid", "left")
-    return known.groupBy("bundle_id").agg(F.bool_and(F.coalesce((F.col("now") == F.col("oid")) & F.col("here"), F.lit(False))).alias("applied"))
+    """(bundle_id, repo, applied): whether in a receiving repository every head's ref points at it and its commit exists.
+
+    heads(bundle_id, repo, reference, oid) name the repository that each package is for, refs(repo, ref_name, oid) and
+    commits(repo, id) what the repositories have; another repository's refs and commits do not count.
+    """
+    now = refs.select("repo", F.col("ref_name").alias("reference"), F.col("oid").alias("now"))
+    here = commits.select("repo", F.col("id").alias("oid")).distinct().withColumn("here", F.lit(True))
+    known = heads.join(now, ["repo", "reference"], "left").join(here, ["repo", "oid"], "left")
+    return known.groupBy("bundle_id", "repo").agg(F.bool_and(F.coalesce((F.col("now") == F.col("oid")) & F.col("here"), F.lit(False))).alias("applied"))
 
 
 def plan_actions(plan: DataFrame, policy: str, dry_run: bool) -> DataFrame:
@@ -174,9 +181,16 @@ def no_heads(bundles: DataFrame, heads: DataFrame) -> DataFrame:
     return bundles.join(heads.select("bundle_id"), "bundle_id", "left_anti")
 
 
-def keep_incoming(refs: DataFrame, incoming: DataFrame) -> DataFrame:
-    """refs with the incoming names set, whatever the policy decides afterwards. incoming(repo, ref_name, oid)."""
-    return refs.join(incoming.select("repo", "ref_name"), ["repo", "ref_name"], "left_anti").unionByName(incoming.select(*refs.columns))
+def keep_incoming(refs: DataFrame, incoming: DataFrame, mirrors: bool = False, analysed: DataFrame | None = None) -> DataFrame:
+    """refs(repo, ref_name, oid) with the incoming names set, whatever the policy decides afterwards.
+
+    incoming(bundle_id, repo, incoming_ref, branch_ref, oid) are incoming_refs' rows; with mirrors, each has a branch of its own name too.
+    A run that only analyses packages already applied, analysed(bundle_id, repo), writes none of theirs.
+    """
+    names = F.array("incoming_ref", F.when(F.lit(mirrors), F.col("branch_ref")))
+    kept = incoming.join(analysed.select("bundle_id", "repo"), ["bundle_id", "repo"], "left_anti") if analysed is not None else incoming
+    rows = kept.select("repo", F.explode(F.array_compact(names)).alias("ref_name"), "oid")
+    return refs.join(rows.select("repo", "ref_name"), ["repo", "ref_name"], "left_anti").unionByName(rows.select(*refs.columns))
 
 
 def merge_paths(rows: DataFrame) -> DataFrame:
@@ -240,17 +254,19 @@ def merged_snapshot(checks: DataFrame, paths: DataFrame) -> DataFrame:
     return paths.where("oid is not null").join(clean, ["bundle_id", "target_ref"], "left_semi").select("bundle_id", "target_ref", "path", "mode", "oid")
 
 
-def merge_commits(checks: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """(bundle_id, target_ref, id, tree_digest, parent_oids, message): the commit of each clean merge, whose snapshot may be empty.
+def merge_commits(checks: DataFrame, snapshot: DataFrame, who: str = "receive <receive@local>", seconds: int = 0, zone: str = "+0000") -> DataFrame:
+    """(bundle_id, target_ref, id, tree_oid, parent_oids, message, content): the commit object of each clean merge, whose snapshot may be empty.
 
-    The digest of a tree sums hashes of its entries, so no task holds a whole snapshot; the id is one of parents, message
-    and digest.
+    The tree is built from the merged snapshot's files, directories below it first (objects.build_trees), and the id is that of the
+    commit's bytes. Who merges and when is the caller's to say, so that results repeat.
     """
-    one = F.xxhash64("path", "mode", "oid")
-    trees = snapshot.groupBy("bundle_id", "target_ref").agg(F.concat_ws("-", F.hex(F.bit_xor(one)), F.hex(F.sum(F.pmod(one, F.lit(1 << 32)))), F.hex(F.count("*"))).alias("tree_digest"))
+    key = ("bundle_id", "target_ref")
+    trees = build_trees(snapshot, key).where("dir = ''").select(*key, F.col("oid").alias("tree_oid"))
     say = F.concat(F.lit("receive merge for "), F.col("target_ref"), F.lit("\n\nTarget: "), F.col("target"), F.lit("\nIncoming: "), F.col("incoming"), F.lit("\n"))
-    rows = checks.where("status = 'clean'").join(trees, ["bundle_id", "target_ref"], "left").withColumns({"message": say, "tree_digest": F.coalesce("tree_digest", F.lit("0-0-0"))})
-    return rows.select("bundle_id", "target_ref", F.sha1(F.concat_ws("\n", "tree_digest", "target", "incoming", "message")).alias("id"), "tree_digest", F.array("target", "incoming").alias("parent_oids"), "message")
+    rows = checks.where("status = 'clean'").join(trees, list(key), "left").withColumns({"message": say, "tree_oid": F.coalesce("tree_oid", object_id(F.lit("tree"), F.lit(b"")))})
+    stamp = f"{who} {seconds} {zone}"
+    content = F.concat(F.lit("tree "), "tree_oid", F.lit("\nparent "), "target", F.lit("\nparent "), "incoming", F.lit(f"\nauthor {stamp}\ncommitter {stamp}\n\n"), "message")
+    return rows.select(*key, object_id(F.lit("commit"), content).alias("id"), "tree_oid", F.array("target", "incoming").alias("parent_oids"), "message", content.alias("content"))
 
 
 def dry_run_document(bundles: DataFrame, plan: DataFrame, checks: DataFrame, stats: DataFrame, policy: str) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from auditlake.operators.iterate import checkpointed
+from auditlake.operators.iterate import checkpointed, numbered
+from auditlake.operators.likeness import regular, similar_renames
 from auditlake.operators.lines import line_counts
 
 #: Bytes of a file in which a NUL makes it binary.
@@ -54,32 +55,6 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keep_unchanged: bool = False,
     return rows if keep_unchanged else rows.where("status <> '='")
 
 
-def paired(candidates: DataFrame, rounds: int = 1000) -> DataFrame:
-    """One-to-one pairs of (d, a) by descending score, then d, then a: mutual first choices, repeated on what is left."""
-    left, out = checkpointed(candidates.select("d", "a", "score")), None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        order = [F.desc("score"), F.asc("d"), F.asc("a")]
-        ranked = left.withColumns({"rd": F.row_number().over(W.Window.partitionBy("d").orderBy(*order)), "ra": F.row_number().over(W.Window.partitionBy("a").orderBy(*order))})
-        won = checkpointed(ranked.where("rd = 1 and ra = 1").select("d", "a", "score"))
-        out = won if out is None else out.unionByName(won)
-        left = checkpointed(left.join(won.select("d"), "d", "left_anti").join(won.select("a"), "a", "left_anti"))
-    else:
-        if not left.isEmpty():
-            raise RuntimeError(f"pairs were left after {rounds} rounds")
-    return out if out is not None else left
-
-
-def numbered(rows: DataFrame, group: list[str], order: str) -> DataFrame:
-    """rows with `number`, from 1 within each group in that order; a group is numbered in ranges, never in one task."""
-    parts = checkpointed(rows.repartitionByRange(*group, order).withColumn("part", F.spark_partition_id()))
-    counts = parts.groupBy(*group, "part").agg(F.count("*").alias("n"))
-    before = counts.select(*group, "part", (F.sum("n").over(W.Window.partitionBy(*group).orderBy("part")) - F.col("n")).alias("before"))
-    within = parts.withColumn("within", F.row_number().over(W.Window.partitionBy(*group, "part").orderBy(order)))
-    return within.join(before, [*group, "part"]).withColumn("number", F.col("before") + F.col("within")).drop("part", "before", "within")
-
-
 def detect_renames(diff: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """diff with D and A rows of equal content paired as R rows, one to one, within each `by`."""
     d = diff.where("status = 'D' AND old_oid IS NOT NULL").select(*by, F.col("old_oid").alias("oid"), F.col("path").alias("d"), "old_mode")
@@ -92,18 +67,38 @@ def detect_renames(diff: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return rest.select(*moved.columns).unionByName(moved)
 
 
+def changed_files(old: DataFrame, new: DataFrame, by: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
+    """Changes between two snapshots(by, path, mode, oid, text) with both texts and non_text; moved files are R rows.
+
+    Equal contents are paired first, then, of what is left, text files whose lines are alike; so a file that was moved and
+    edited is one row with its edits, not a deleted and an added file.
+    """
+    by = tuple(by)
+    rows = checkpointed(detect_renames(snapshot_diff(old, new, by=by), by))
+    before = old.select(*by, F.col("path").alias("old_path"), F.col("text").alias("old_text"))
+    after = new.select(*by, "path", F.col("text").alias("new_text"))
+
+    def alone(status: str, side: DataFrame, mode: str) -> DataFrame:
+        asked = rows.where((F.col("status") == status) & regular(mode)).select(*by, "path")
+        return side.join(asked, [*by, "path"], "left_semi").select(*by, "path", "text").where(~binary("text"))
+
+    pairs = checkpointed(similar_renames(alone("D", old, "old_mode"), alone("A", new, "new_mode"), threshold, by).select(*by, "d", "a"))
+    gone = rows.where("status = 'D'").select(*by, F.col("path").alias("d"), "old_oid", "old_mode")
+    come = rows.where("status = 'A'").select(*by, F.col("path").alias("a"), "new_oid", "new_mode")
+    moved = pairs.join(gone, [*by, "d"]).join(come, [*by, "a"]).select(*by, F.lit("R").alias("status"), F.col("a").alias("path"), F.col("d").alias("old_path"), "old_oid", "new_oid", "old_mode", "new_mode")
+    taken = pairs.select(*by, F.col("d").alias("path"), F.lit("D").alias("status")).unionByName(pairs.select(*by, F.col("a").alias("path"), F.lit("A").alias("status")))
+    told = rows.join(taken, [*by, "path", "status"], "left_anti").select(*moved.columns).unionByName(moved)
+    texts = told.join(before, [*by, "old_path"], "left").join(after, [*by, "path"], "left")
+    return texts.withColumn("non_text", non_text("old_mode", "new_mode", "old_text", "new_text"))
+
+
 def changed_texts(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """Changes between two commits' files, with both texts and non_text, for each of pairs(pair, old_commit, new_commit).
+    """changed_files of two commits' files(commit, path, mode, oid, text) for each of pairs(pair, old_commit, new_commit).
 
-    files(commit, path, mode, oid, text); a null old_commit is the empty snapshot. Equal contents are paired as renames.
+    A null old_commit is the empty snapshot.
     """
     side = lambda c: pairs.select("pair", F.col(c).alias("commit")).join(files, "commit").drop("commit")
-    old, new = side("old_commit"), side("new_commit")
-    rows = detect_renames(snapshot_diff(old, new, by=("pair",)), ("pair",))
-    before = old.select("pair", F.col("path").alias("old_path"), F.col("text").alias("old_text"))
-    after = new.select("pair", "path", F.col("text").alias("new_text"))
-    texts = rows.join(before, ["pair", "old_path"], "left").join(after, ["pair", "path"], "left")
-    return texts.withColumn("non_text", non_text("old_mode", "new_mode", "old_text", "new_text"))
+    return changed_files(side("old_commit"), side("new_commit"), ("pair",))
 
 
 def line_stats(changes: DataFrame) -> DataFrame:
@@ -124,36 +119,21 @@ def head_line_stats(heads: DataFrame, files: DataFrame) -> DataFrame:
     return line_stats(changed_texts(pairs, files)).select("pair.*", "path", "additions", "deletions")
 
 
-def similar_renames(deleted: DataFrame, added: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(d, a, score) one to one: shared bytes of equal lines over the larger text, from deleted(path, text) and added(path, text)."""
-    lines = lambda rows, name: rows.select(F.col("path").alias(name), F.octet_length("text").alias(f"{name}_size"), F.explode(F.split("text", "\n")).alias("line")).groupBy(name, f"{name}_size", "line").agg(F.count("*").alias(f"{name}_n"))
-    d, a = checkpointed(lines(deleted, "d")), checkpointed(lines(added, "a"))
-    # Lines from rare to common: a pair at the threshold shares one that, with those after it, is so much of both texts.
-    held = d.select("line").unionByName(a.select("line")).groupBy("line").agg(F.count("*").alias("held"))
-
-    def rare(rows: DataFrame, name: str) -> DataFrame:
-        later = W.Window.partitionBy(name).orderBy(F.desc("held"), F.desc("line"))
-        left = F.sum(F.col(f"{name}_n") * (F.octet_length("line") + 1)).over(later.rowsBetween(W.Window.unboundedPreceding, 0))
-        return rows.join(held, "line").withColumn("left", left).where(F.col("left") >= threshold * (F.col(f"{name}_size") + 1) - 1e-6).select(name, "line")
-
-    candidates = rare(d, "d").join(rare(a, "a"), "line").select("d", "a").distinct()
-    both = candidates.join(d, "d").join(a, ["a", "line"])
-    shared = F.sum(F.least("d_n", "a_n") * (F.octet_length("line") + 1))
-    scored = both.groupBy("d", "a").agg((shared / F.greatest(F.max("d_size") + 1, F.max("a_size") + 1)).alias("score"))
-    return paired(scored.where(F.col("score") >= threshold))
-
-
 def find_copies(diff_all: DataFrame) -> DataFrame:
     """C rows: added paths whose content an unchanged path has, the smallest such path; diff_all keeps unchanged rows."""
     kept = diff_all.where("status = '='").groupBy(F.col("new_oid").alias("oid")).agg(F.min("path").alias("old_path"))
     return diff_all.where("status = 'A'").drop("old_path", "status").join(kept, F.col("new_oid") == F.col("oid")).select(F.lit("C").alias("status"), "path", "old_path", F.col("new_oid").alias("old_oid"), "new_oid", "new_mode")
 
 
+def binary(text: str) -> Column:
+    """Whether a text has a NUL near its beginning; a null text has none."""
+    return F.coalesce(F.contains(F.substring(F.col(text).cast("binary"), 1, BINARY_WITHIN), F.lit(b"\0")), F.lit(False))
+
+
 def non_text(old_mode: str, new_mode: str, old_text: str, new_text: str) -> Column:
     """Whether either side is binary or not a regular file; null modes and texts mean an absent side."""
-    odd = lambda m: F.coalesce(~F.col(m).isin("100644", "100755"), F.lit(False))
-    nul = lambda t: F.coalesce(F.contains(F.substring(F.col(t).cast("binary"), 1, BINARY_WITHIN), F.lit(b"\0")), F.lit(False))
-    return odd(old_mode) | odd(new_mode) | nul(old_text) | nul(new_text)
+    odd = lambda m: F.coalesce(~regular(m), F.lit(False))
+    return odd(old_mode) | odd(new_mode) | binary(old_text) | binary(new_text)
 
 
 def bundle_line_stats(stats: DataFrame) -> DataFrame:

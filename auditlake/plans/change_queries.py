@@ -10,7 +10,7 @@ from auditlake.operators import receive as R
 from auditlake.operators import snapshot as S
 from auditlake.operators.iterate import checkpointed
 from auditlake.plans.registry import query
-from auditlake.plans.views import duck, view
+from auditlake.plans.views import alike, duck, view
 
 _REV = ["rev_files", "rev_pairs", "rev_commits"]
 
@@ -19,20 +19,32 @@ def _lines(t: str) -> str:
     return f"(length({t}) - length(replace({t}, chr(10), '')) + CASE WHEN {t} = '' OR substr({t}, -1) = chr(10) THEN 0 ELSE 1 END)"
 
 
-# Equal contents are numbered by path on either side and paired. M rows change as the view edits texts.
+def _pieces(t: str) -> str:
+    """Lines with their newlines, the last without one if it has none."""
+    return f"list_filter(list_concat(list_transform(string_split({t}, chr(10))[:-2], lambda x: concat(x, chr(10))), string_split({t}, chr(10))[-1:]), lambda x: x <> '')"
+
+
+# Equal contents are numbered by path on either side and paired; what is left is paired by likeness. M rows change as the view
+# edits texts; the lines of an R row are counted as sets, which tells a script's length as long as common lines keep their order.
 CHANGES = f"""+ old AS (SELECT pair, what, f.* FROM rev_pairs p JOIN rev_files f ON f.commit = old_commit), new AS (SELECT pair, what, f.* FROM rev_pairs p JOIN rev_files f ON f.commit = new_commit),
 diff AS (SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.what, b.what) AS what, coalesce(a.path, b.path) AS path, a.path AS old_path, a.oid AS old_oid, b.oid AS new_oid, a.mode AS old_mode, b.mode AS new_mode, a.text AS old_text, b.text AS new_text, b.commit AS new_commit, coalesce(a.doc_id, b.doc_id) AS doc_id,
   CASE WHEN a.oid IS NULL THEN 'A' WHEN b.oid IS NULL THEN 'D' WHEN (a.mode = '120000') <> (b.mode = '120000') THEN 'T' WHEN a.oid <> b.oid OR a.mode <> b.mode THEN 'M' ELSE '=' END AS status FROM old a FULL JOIN new b ON a.pair = b.pair AND a.path = b.path),
 d AS (SELECT *, row_number() OVER (PARTITION BY pair, old_oid ORDER BY path) AS n FROM diff WHERE status = 'D'), a AS (SELECT *, row_number() OVER (PARTITION BY pair, new_oid ORDER BY path) AS n FROM diff WHERE status = 'A'),
-r AS (SELECT a.pair, a.what, a.path, d.path AS old_path, d.old_oid, a.new_oid, d.old_mode, a.new_mode, d.old_text, a.new_text, 'R' AS status, a.doc_id FROM d JOIN a ON a.pair = d.pair AND a.new_oid = d.old_oid AND a.n = d.n),
+same AS (SELECT d.pair, d.path AS gone, a.path FROM d JOIN a ON a.pair = d.pair AND a.new_oid = d.old_oid AND a.n = d.n),
+left_d AS (SELECT pair, path, old_text AS text FROM d WHERE old_mode <> '120000' AND NOT contains(old_text, chr(0)) AND NOT EXISTS (SELECT 1 FROM same WHERE same.pair = d.pair AND same.gone = d.path)),
+left_a AS (SELECT pair, path, new_text AS text FROM a WHERE new_mode <> '120000' AND NOT contains(new_text, chr(0)) AND NOT EXISTS (SELECT 1 FROM same WHERE same.pair = a.pair AND same.path = a.path)),
+{alike("left_d", "left_a", "near")},
+r AS (SELECT a.pair, a.what, a.path, d.path AS old_path, d.old_oid, a.new_oid, d.old_mode, a.new_mode, d.old_text, a.new_text, 'R' AS status, a.doc_id FROM (SELECT pair, gone, path FROM same UNION ALL SELECT pair, gone, path FROM near) m JOIN d ON d.pair = m.pair AND d.path = m.gone JOIN a ON a.pair = m.pair AND a.path = m.path),
 changes AS (SELECT pair, what, status, path, old_path, old_oid, new_oid, old_mode, new_mode, old_text, new_text, doc_id FROM diff x WHERE status <> '=' AND NOT (status = 'D' AND EXISTS (SELECT 1 FROM r WHERE r.pair = x.pair AND r.old_path = x.path)) AND NOT (status = 'A' AND EXISTS (SELECT 1 FROM r WHERE r.pair = x.pair AND r.path = x.path))
   UNION ALL SELECT pair, what, status, path, old_path, old_oid, new_oid, old_mode, new_mode, old_text, new_text, doc_id FROM r),
 told AS (SELECT *, coalesce(old_mode = '120000', false) OR coalesce(new_mode = '120000', false) OR coalesce(contains(old_text, chr(0)), false) OR coalesce(contains(new_text, chr(0)), false) AS non_text, pair LIKE '%/r3' AS third, pair LIKE '%#1' OR pair LIKE '%/r2' AS second FROM changes),
-stats AS (SELECT *,
-  CASE WHEN non_text OR status IN ('R', 'D') THEN 0 WHEN status = 'A' THEN {_lines('new_text')}
-    ELSE (CASE WHEN NOT third AND doc_id % 5 IN (0, 1) THEN 1 ELSE 0 END) + (CASE WHEN NOT second AND doc_id % 3 = 0 THEN 1 ELSE 0 END) END AS additions,
-  CASE WHEN non_text OR status IN ('R', 'A') THEN 0 WHEN status = 'D' THEN {_lines('old_text')}
-    ELSE CASE WHEN NOT third AND doc_id % 5 IN (1, 2) AND old_text <> '' THEN 1 ELSE 0 END END AS deletions FROM told)"""
+kept AS (SELECT pair, path, sum(least(o.n, w.n)) AS kept FROM (SELECT pair, path, line, count(*) AS n FROM (SELECT pair, path, unnest({_pieces("old_text")}) AS line FROM r WHERE old_oid <> new_oid) GROUP BY ALL) o
+  JOIN (SELECT pair, path, line, count(*) AS n FROM (SELECT pair, path, unnest({_pieces("new_text")}) AS line FROM r WHERE old_oid <> new_oid) GROUP BY ALL) w USING (pair, path, line) GROUP BY ALL),
+stats AS (SELECT told.*,
+  CASE WHEN non_text OR status = 'D' THEN 0 WHEN status = 'A' THEN {_lines("new_text")} WHEN status = 'R' THEN CASE WHEN old_oid = new_oid THEN 0 ELSE {_lines("new_text")} - kept END
+    ELSE (CASE WHEN NOT third AND doc_id % 5 IN (0, 1) THEN 1 ELSE 0 END) + (CASE WHEN NOT second AND doc_id % 3 = 0 THEN 1 ELSE 0 END) END::bigint AS additions,
+  CASE WHEN non_text OR status = 'A' THEN 0 WHEN status = 'D' THEN {_lines("old_text")} WHEN status = 'R' THEN CASE WHEN old_oid = new_oid THEN 0 ELSE {_lines("old_text")} - kept END
+    ELSE CASE WHEN NOT third AND doc_id % 5 IN (1, 2) AND old_text <> '' THEN 1 ELSE 0 END END::bigint AS deletions FROM told LEFT JOIN kept USING (pair, path))"""
 
 
 def _changes(spark, sf, what):
@@ -95,8 +107,8 @@ def _marked(t: str, sign: str) -> str:
 
 PATCHED = CHANGES + f""", p AS (SELECT *, {_lines('old_text')} AS old_n, {_lines('new_text')} AS new_n,
   additions - (CASE WHEN status = 'A' THEN {_marked('new_text', '[+][+]')} ELSE 0 END) AS added,
-  deletions - (CASE WHEN status = 'D' THEN {_marked('old_text', '--')} WHEN status = 'M' AND deletions > 0 AND starts_with(old_text, '--') THEN 1 ELSE 0 END) AS deleted,
-  CASE WHEN status = 'M' AND additions + deletions > 0 THEN least(3, {_lines('old_text')} - deletions) ELSE 0 END AS context FROM stats WHERE what = 'commit' AND NOT non_text)"""
+  deletions - (CASE WHEN status = 'D' THEN {_marked('old_text', '--')} WHEN status IN ('M', 'R') AND deletions > 0 AND starts_with(old_text, '--') THEN 1 ELSE 0 END) AS deleted,
+  CASE WHEN status IN ('M', 'R') AND additions + deletions > 0 THEN least(3, {_lines('old_text')} - deletions) ELSE 0 END AS context FROM stats WHERE what = 'commit' AND NOT non_text)"""
 
 
 @query("patches", None)
@@ -202,13 +214,27 @@ def merged_snapshot(spark, sf):
     return R.merged_snapshot(checks, paths).select("bundle_id", "target_ref", "path", "mode", "oid")
 
 
-@query("merge_commits", duck(_FORK, MERGED + " SELECT bundle_id, target_ref, target AS first_parent, incoming AS second_parent, concat('receive merge for ', target_ref, chr(10), chr(10), 'Target: ', target, chr(10), 'Incoming: ', incoming, chr(10)) AS message FROM merge WHERE status = 'clean'"))
+def _level(name: str, depth: int, more: str = "") -> str:
+    """DuckDB view of the trees of directories so many slashes deep, with the ids of trees below them."""
+    return f"""{name} AS (SELECT bundle_id, k, dir, sha1(unhex(concat(hex(concat('tree ', strlen(c) // 2)), '00', c))) AS oid FROM (SELECT bundle_id, k, dir, string_agg(concat(hex(concat(mode, ' ', name)), '00', oid), '' ORDER BY CASE mode WHEN '40000' THEN concat(name, '/') ELSE name END) AS c
+  FROM (SELECT bundle_id, k, dir, name, '100644' AS mode, oid FROM placed WHERE depth = {depth}{more}) GROUP BY ALL))"""
+
+
+TREES = MERGED + """, placed AS (SELECT m.bundle_id, r.k, strlen(path) - strlen(replace(path, '/', '')) AS depth, regexp_extract(path, '[^/]*$') AS name, regexp_replace(path, '/?[^/]*$', '') AS dir, sha1(concat('blob ', strlen(merged), chr(0), merged)) AS oid
+  FROM merge m JOIN resolved r ON r.bundle_id = m.bundle_id AND r.k = m.k WHERE status = 'clean' AND merged IS NOT NULL),
+""" + ",\n".join([_level("t2", 2), _level("t1", 1, " UNION ALL SELECT bundle_id, k, regexp_replace(dir, '/[^/]*$', ''), regexp_extract(dir, '[^/]*$'), '40000', oid FROM t2"), _level("t0", 0, " UNION ALL SELECT bundle_id, k, '', dir, '40000', oid FROM t1")]) + """,
+made AS (SELECT m.*, coalesce(t0.oid, '4b825dc642cb6eb9a060e54bf8d69288fbee4904') AS tree_oid, concat('receive merge for ', target_ref, chr(10), chr(10), 'Target: ', target, chr(10), 'Incoming: ', incoming, chr(10)) AS message FROM merge m LEFT JOIN t0 ON t0.bundle_id = m.bundle_id AND t0.k = m.k WHERE status = 'clean'),
+stamped AS (SELECT *, concat('tree ', tree_oid, chr(10), 'parent ', target, chr(10), 'parent ', incoming, chr(10), 'author receive <receive@local> 0 +0000', chr(10), 'committer receive <receive@local> 0 +0000', chr(10), chr(10), message) AS content FROM made),
+commits_made AS (SELECT *, sha1(concat('commit ', strlen(content), chr(0), content)) AS id FROM stamped)"""
+
+
+@query("merge_commits", duck(_FORK, TREES + " SELECT bundle_id, target_ref, id, tree_oid, target AS first_parent, incoming AS second_parent, message FROM commits_made"))
 def merge_commits(spark, sf):
     plan = _fork_plan(spark, sf)
     checks, paths = _fork_merge(spark, sf, plan)
     checks = checkpointed(checks)
     made = R.merge_commits(checks, R.merged_snapshot(checks, paths))
-    return made.select("bundle_id", "target_ref", F.get("parent_oids", F.lit(0)).alias("first_parent"), F.get("parent_oids", F.lit(1)).alias("second_parent"), "message")
+    return made.select("bundle_id", "target_ref", "id", "tree_oid", F.get("parent_oids", F.lit(0)).alias("first_parent"), F.get("parent_oids", F.lit(1)).alias("second_parent"), "message")
 
 
 @query("merge_texts", duck(_FORK, MERGED + " SELECT bundle_id, path, NOT bad AS clean, CASE WHEN NOT bad THEN sha256(merged) END AS merged FROM resolved WHERE kind = 'both-modified'"))
@@ -232,13 +258,13 @@ def blocking_rows(spark, sf):
     return rows.select("bundle_id", "target_ref", "target", "incoming", "reason", "next_step", F.concat_ws(",", "conflict_paths").alias("conflict_paths"))
 
 
-@query("planned_updates", duck(_FORK, MERGED + " SELECT bundle_id, CASE s WHEN 1 THEN concat('refs/sync/merge-test/', bundle_id, '/heads/k', k) ELSE target_ref END AS ref_name, CASE s WHEN 2 THEN target END AS expected_old, s AS step FROM merge, unnest([1, 2]) t(s) WHERE status = 'clean'"))
+@query("planned_updates", duck(_FORK, TREES + " SELECT bundle_id, CASE s WHEN 1 THEN concat('refs/sync/merge-test/', bundle_id, '/heads/k', k) ELSE target_ref END AS ref_name, CASE s WHEN 2 THEN target END AS expected_old, id AS new_oid, s AS step FROM commits_made, unnest([1, 2]) t(s)"))
 def planned_updates(spark, sf):
     plan = _fork_plan(spark, sf)
     checks, paths = _fork_merge(spark, sf, plan)
     checks = checkpointed(checks)
     made = R.merge_commits(checks, R.merged_snapshot(checks, paths)).select("bundle_id", "target_ref", F.col("id").alias("merge_oid"))
-    return R.planned_updates(plan, made, "merge").select("bundle_id", "ref_name", "expected_old", "step")
+    return R.planned_updates(plan, made, "merge").select("bundle_id", "ref_name", "expected_old", "new_oid", "step")
 
 
 @query("dry_run_document", duck(_FORK, MERGED + " SELECT bundle_id, 'v2' AS bundle_version, count(*) AS heads, bool_and(status = 'clean') AS can_apply, count(*) AS plan_rows, string_agg(concat(target_ref, '=', status), ',' ORDER BY target_ref) AS checks FROM merge GROUP BY bundle_id"))

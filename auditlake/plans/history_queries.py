@@ -99,13 +99,16 @@ def boundary(spark, sf):
 
 @query(
     "decorations",
-    duck(["decor_refs", "all_heads"], """+ l AS (SELECT oid AS id, 1 AS rank, substr(ref_name, 12) AS label FROM decor_refs WHERE ref_name LIKE 'refs/heads/%' UNION ALL SELECT oid, 2, 'tag: ' || substr(ref_name, 11) FROM decor_refs WHERE ref_name LIKE 'refs/tags/%'
-      UNION ALL SELECT oid, 0, 'HEAD -> ' || substr(reference, 12) FROM all_heads)
-      SELECT id, string_agg(label, ', ' ORDER BY rank, label) AS labels FROM (SELECT id, label, min(rank) AS rank FROM l GROUP BY ALL) GROUP BY id"""),
+    duck(["decor_refs", "all_heads"], """+ l AS (SELECT repo, oid AS id, 1 AS rank, substr(ref_name, 12) AS label FROM decor_refs WHERE ref_name LIKE 'refs/heads/%' UNION ALL SELECT repo, oid, 2, 'tag: ' || substr(ref_name, 11) FROM decor_refs WHERE ref_name LIKE 'refs/tags/%'
+      UNION ALL SELECT bundle_id, oid, 0, 'HEAD -> ' || substr(reference, 12) FROM all_heads UNION ALL SELECT repo + 100, oid, 1, concat('copy', oid % 3) FROM decor_refs WHERE ref_name LIKE 'refs/tags/%')
+      SELECT repo, id, string_agg(label, ', ' ORDER BY rank, label) AS labels FROM (SELECT repo, id, label, min(rank) AS rank FROM l GROUP BY ALL) GROUP BY repo, id"""),
 )
 def decorations(spark, sf):
-    shown = view(spark, sf, "commits").select("id")
-    return H.decorations(view(spark, sf, "decor_refs"), view(spark, sf, "heads"), shown)
+    """Each repository has a copy, with all of its commits and refs of its own to some of them."""
+    refs, commits = view(spark, sf, "decor_refs"), view(spark, sf, "commits").select("repo", "id")
+    copied = refs.where("ref_name like 'refs/tags/%'").select((F.col("repo") + 100).alias("repo"), F.concat(F.lit("refs/heads/copy"), (F.col("oid") % 3).cast("string")).alias("ref_name"), "oid")
+    heads = view(spark, sf, "heads").withColumnRenamed("bundle_id", "repo")
+    return H.decorations(refs.unionByName(copied), heads, commits.unionByName(commits.withColumn("repo", F.col("repo") + 100)))
 
 
 @query(
@@ -122,18 +125,35 @@ def assume_present(spark, sf):
     return H.assume_present(twice, tips, view(spark, sf, "edges"))
 
 
-@query(
-    "dangling",
-    duck(["heads", "edges", "commits"], """+ here AS (SELECT id FROM commits WHERE id % 50 <> 0), pre AS (SELECT repo AS bundle_id, id AS oid FROM commits WHERE id % 40 = 0),
-    c(bundle_id, side, oid) AS (SELECT bundle_id, 'tip', oid FROM heads WHERE oid % 50 <> 0 UNION SELECT bundle_id, 'pre', oid FROM pre WHERE oid % 50 <> 0 UNION SELECT c.bundle_id, c.side, e.parent FROM c JOIN edges e ON e.child = c.oid JOIN here h ON h.id = e.parent),
-    walked AS (SELECT bundle_id, oid FROM c WHERE side = 'tip' EXCEPT SELECT bundle_id, oid FROM c WHERE side = 'pre')
-    SELECT bundle_id, 'head' AS kind, oid FROM heads WHERE oid % 50 = 0
-    UNION ALL SELECT DISTINCT w.bundle_id, 'parent', e.parent FROM walked w JOIN edges e ON e.child = w.oid WHERE e.parent % 50 = 0 AND (w.bundle_id, e.parent) NOT IN (SELECT (bundle_id, oid) FROM pre)""", True),
-)
-def dangling(spark, sf):
-    commits = view(spark, sf, "commits")
+# Each package is received by two repositories that lack commits of their own: those whose id 50, or 30, divides.
+LACKING = """+ here AS (SELECT repo + s AS repo, id FROM commits, unnest([0, 100]) t(s) WHERE id % (CASE s WHEN 0 THEN 50 ELSE 30 END) <> 0), pre AS (SELECT repo AS bundle_id, id AS oid FROM commits WHERE id % 40 = 0),
+    tips AS (SELECT bundle_id, bundle_id + s AS repo, oid FROM heads, unnest([0, 100]) t(s)),
+    c(bundle_id, repo, side, oid) AS (SELECT bundle_id, tips.repo, 'tip', oid FROM tips JOIN here ON here.repo = tips.repo AND here.id = oid UNION SELECT bundle_id, h.repo, 'pre', oid FROM pre JOIN here h ON h.id = oid AND h.repo % 100 = bundle_id
+      UNION SELECT c.bundle_id, c.repo, c.side, e.parent FROM c JOIN edges e ON e.child = c.oid JOIN here h ON h.id = e.parent AND h.repo = c.repo),
+    walked AS (SELECT bundle_id, repo, oid FROM c WHERE side = 'tip' EXCEPT SELECT bundle_id, repo, oid FROM c WHERE side = 'pre'),
+    lost AS (SELECT bundle_id, repo, 'head' AS kind, oid FROM tips WHERE NOT EXISTS (SELECT 1 FROM here h WHERE h.repo = tips.repo AND h.id = oid)
+      UNION ALL SELECT DISTINCT w.bundle_id, w.repo, 'parent', e.parent FROM walked w JOIN edges e ON e.child = w.oid WHERE NOT EXISTS (SELECT 1 FROM here h WHERE h.repo = w.repo AND h.id = e.parent) AND (w.bundle_id, e.parent) NOT IN (SELECT (bundle_id, oid) FROM pre))"""
+
+
+def _lacking(spark, sf):
+    commits, heads = view(spark, sf, "commits"), view(spark, sf, "heads")
+    twice = lambda rows, c: rows.withColumn("s", F.explode(F.array(F.lit(0), F.lit(100)))).withColumn("repo", F.col(c) + F.col("s"))
+    here = twice(commits, "repo").where(F.col("id") % F.when(F.col("s") == 0, 50).otherwise(30) != 0)
     prereqs = commits.where("id % 40 = 0").select(F.col("repo").alias("bundle_id"), F.col("id").alias("oid"))
-    return H.dangling(view(spark, sf, "heads"), prereqs, commits.where("id % 50 <> 0"), view(spark, sf, "edges"))
+    return H.dangling(twice(heads, "bundle_id").select("bundle_id", "repo", "oid"), prereqs, here, view(spark, sf, "edges"))
+
+
+@query("dangling", duck(["heads", "edges", "commits"], LACKING + " SELECT * FROM lost", True))
+def dangling(spark, sf):
+    return _lacking(spark, sf)
+
+
+@query("needed_by", duck(["heads", "edges", "commits"], LACKING + """, first(bundle_id, oid, k) AS (SELECT bundle_id, oid, head_index FROM heads UNION SELECT f.bundle_id, e.parent, k FROM first f JOIN edges e ON e.child = f.oid),
+    least AS (SELECT bundle_id, oid, min(k) AS k FROM first GROUP BY ALL)
+    SELECT lost.*, reference FROM lost JOIN least l ON l.bundle_id = lost.bundle_id AND l.oid = lost.oid JOIN heads h ON h.bundle_id = lost.bundle_id AND h.head_index = l.k""", True))
+def needed_by(spark, sf):
+    """Which head needs each commit that a repository lacks."""
+    return H.needed_by(_lacking(spark, sf), view(spark, sf, "heads"), view(spark, sf, "edges"))
 
 
 @query(
@@ -261,10 +281,15 @@ def plan_targets(spark, sf):
     return plan.select("bundle_id", "target_ref", "target_oid", text("target").alias("target"), text("incoming").alias("incoming"), text("merge_base").alias("merge_base"), "status")
 
 
-@query("already_applied", duck(["all_heads", "pairs"], "SELECT bundle_id, bool_and(coalesce(target = oid, false)) AS applied FROM all_heads LEFT JOIN pairs ON target_ref = reference GROUP BY bundle_id"))
+@query("already_applied", duck(["all_heads", "pairs"], """+ r AS (SELECT repo + s AS repo, target_ref, CASE WHEN s = 0 THEN target ELSE incoming END AS now FROM pairs, unnest([0, 100]) t(s))
+  SELECT bundle_id, bundle_id + s AS repo, bool_and(coalesce(now = oid, false) AND (s = 0 OR bundle_id % 2 = 0 OR oid % 7 <> 0)) AS applied FROM all_heads, unnest([0, 100]) t(s) LEFT JOIN r ON target_ref = reference AND r.repo = bundle_id + s GROUP BY ALL"""))
 def already_applied(spark, sf):
-    refs = _pairs(spark, sf).select(F.col("target_ref").alias("ref_name"), F.col("target").alias("oid"))
-    return R.already_applied(view(spark, sf, "all_heads"), refs, view(spark, sf, "commits"))
+    """Two repositories with refs of the same names: what the pairs name as their target, and as incoming; of the second, half lack commits."""
+    p, heads, commits = _pairs(spark, sf), view(spark, sf, "all_heads"), view(spark, sf, "commits").select("repo", "id")
+    refs = p.select("repo", F.col("target_ref").alias("ref_name"), F.col("target").alias("oid")).unionByName(p.select((F.col("repo") + 100).alias("repo"), F.col("target_ref").alias("ref_name"), F.col("incoming").alias("oid")))
+    here = commits.unionByName(commits.where("repo % 2 = 0 or id % 7 <> 0").withColumn("repo", F.col("repo") + 100))
+    asked = heads.withColumn("repo", F.explode(F.array("bundle_id", F.col("bundle_id") + 100)))
+    return R.already_applied(asked, refs, here)
 
 
 @query("plan_actions", duck(_V, PLAN + """ SELECT bundle_id, target_ref, status, CASE WHEN status IN ('target_missing', 'fast_forward_ok') THEN concat('would update ', target_ref, ' from ', coalesce(substr(target::varchar, 1, 12), '-'), ' to ', substr(incoming::varchar, 1, 12), ' (merge policy; no merge commit needed)')
@@ -285,11 +310,17 @@ def no_heads(spark, sf):
     return R.no_heads(rows.select("bundle_id").distinct(), rows.where("cust % 50 = 1"))
 
 
-@query("keep_incoming", duck(["pairs"], "SELECT repo, target_ref AS ref_name, target AS oid FROM pairs WHERE target IS NOT NULL AND cust % 3 <> 0 UNION ALL SELECT repo, target_ref, incoming FROM pairs WHERE cust % 3 = 0"))
+@query("keep_incoming", duck(["pairs"], """+ names AS (SELECT repo, target_ref, incoming, unnest([concat('refs/sync/incoming/', repo, substr(target_ref, 5)), concat('refs/heads/incoming/', repo, substr(target_ref, 5))]) AS ref_name FROM pairs WHERE repo % 4 <> 1)
+  SELECT repo, target_ref AS ref_name, target AS oid FROM pairs WHERE target IS NOT NULL UNION ALL SELECT repo, ref_name, incoming FROM names
+  UNION ALL SELECT repo, concat('refs/sync/incoming/', repo, substr(target_ref, 5)), 0 FROM pairs WHERE cust % 3 = 0 AND repo % 4 = 1"""))
 def keep_incoming(spark, sf):
+    """Incoming names and branch mirrors, some already set; packages of every fourth repository are only analysed."""
     p = _pairs(spark, sf)
+    incoming = R.incoming_refs(p.select(F.col("repo").alias("bundle_id"), "repo", F.col("target_ref").alias("reference"), F.col("incoming").alias("oid"), "cust"))
     refs = p.where("target is not null").select("repo", F.col("target_ref").alias("ref_name"), F.col("target").alias("oid"))
-    return R.keep_incoming(refs, p.where("cust % 3 = 0").select("repo", F.col("target_ref").alias("ref_name"), F.col("incoming").alias("oid")))
+    old = incoming.where("cust % 3 = 0").select("repo", F.col("incoming_ref").alias("ref_name"), F.lit(0).cast("long").alias("oid"))
+    analysed = p.where("repo % 4 = 1").select(F.col("repo").alias("bundle_id"), "repo").distinct()
+    return R.keep_incoming(refs.unionByName(old), incoming, True, analysed)
 
 
 MERGE = """+ m AS (SELECT *, CASE WHEN ours IS NOT DISTINCT FROM theirs THEN 'same' WHEN base IS NOT DISTINCT FROM ours THEN 'take-theirs' WHEN base IS NOT DISTINCT FROM theirs THEN 'take-ours' WHEN base IS NULL THEN 'add/add'

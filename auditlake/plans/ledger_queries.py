@@ -75,18 +75,6 @@ def cut_ledger(spark, sf):
     return L.cut_ledger(_resolved(spark, sf)).select("bundle_id", "idx", "kind", "resolved")
 
 
-@query(
-    "framing_check",
-    duck(["ledger", "declared"], """+ ends AS (SELECT bundle_id, count(*) AS parsed, max(offs + out_size + 20) AS last_end FROM ledger GROUP BY bundle_id)
-    SELECT bundle_id, declared, parsed, (CASE WHEN bundle_id = 'src1' THEN 7 ELSE 0 END) AS bytes_left, 0 AS gaps,
-      CASE WHEN parsed < declared THEN 'entries missing' WHEN bundle_id = 'src1' THEN 'trailing bytes' ELSE 'ok' END AS status FROM declared JOIN ends USING (bundle_id)"""),
-)
-def framing_check(spark, sf):
-    rows = view(spark, sf, "ledger")
-    ends = rows.groupBy("bundle_id").agg(F.max(F.col("offs") + F.col("out_size") + 20).alias("e")).withColumn("trailer_offset", F.col("e") + F.when(F.col("bundle_id") == "src1", 7).otherwise(0))
-    return L.framing_check(rows, view(spark, sf, "declared").join(ends.drop("e"), "bundle_id"))
-
-
 @query("materialised", _sql("SELECT bundle_id, idx, resolved AND oid IS NOT NULL AS materialised FROM resolved"))
 def materialised(spark, sf):
     return _resolved(spark, sf).select("bundle_id", "idx", L.is_materialised().alias("materialised"))

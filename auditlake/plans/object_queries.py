@@ -229,20 +229,6 @@ def mismatched_rows(spark, sf):
     return C.mismatched_rows(claimed, rows.where("cust % 97 = 0 or cust % 89 = 0 or cust % 83 <> 0"), ["repo", "id"], ["p1", "p2", "message"])
 
 
-@query("check_contract", duck(["objects"], """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'bundle_sha256 is missing' WHEN 2 THEN 'range_to_oid is no object id' WHEN 3 THEN 'extra keys' ELSE 'schema_version is not 1|bundle_size_bytes is below 0' END AS violations FROM objects"""))
-def check_contract(spark, sf):
-    k = F.col("doc_id") % 5
-    doc = F.struct(
-        F.when(k == 4, "2").otherwise("1").alias("schema_version"),
-        F.when(k == 4, -1).otherwise(F.col("size_bytes")).alias("bundle_size_bytes"),
-        F.when(k != 1, F.sha2(F.col("text").cast("binary"), 256)).alias("bundle_sha256"),
-        F.when(k == 2, "HEAD").otherwise(F.col("oid")).alias("range_to_oid"),
-        F.when(k == 3, "x").alias("surprise"),
-    )
-    found = C.check_contract(view(spark, sf, "objects").select("doc_id", F.to_json(doc).alias("json")))
-    return found.select("doc_id", F.concat_ws("|", "violations").alias("violations"))
-
-
 @query("build_claims", duck(["heads", "commits"], "SELECT bundle_id, i AS pos, c.id AS oid, c.message AS subject FROM (SELECT repo AS bundle_id, row_number() OVER (PARTITION BY repo ORDER BY time, id) - 1 AS i, id, message FROM commits) c"))
 def build_claims(spark, sf):
     """Documents are built, read again and taken apart."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import uuid
@@ -17,7 +18,7 @@ from auditlake.operators import claims as C
 from auditlake.operators import history as H
 from auditlake.operators import ledger as L
 from auditlake.operators import objects as O
-from auditlake.operators.iterate import shared_dir
+from auditlake.operators.iterate import checkpointed, shared_dir
 from auditlake.plans.object_queries import _VIEWS, INVENTORY, _inventory, transport_inventory
 from auditlake.plans.registry import query
 from auditlake.plans.views import duck, view
@@ -64,13 +65,10 @@ def _grown(base: bytes, more: bytes) -> bytes:
     return bytes(out) + bytes([len(more)]) + more
 
 
-def _written(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One group's bundle file, by turns sound or spoilt in one of four ways."""
-    import hashlib
-
-    pdf = pdf.sort_values("doc_id")
-    body, offsets, before, at = bytearray(), [], b"", 12
-    for idx, (doc_id, text) in enumerate(zip(pdf["doc_id"], pdf["text"], strict=True)):
+def _body(rows: Iterator[tuple[int, str]]) -> tuple[bytes, bytes]:
+    """Entries of a pack, and the last of them by itself."""
+    body, offsets, before, at, e = bytearray(), [], b"", 12, b""
+    for idx, (doc_id, text) in enumerate(rows):
         data = text.encode()
         offsets.append(at)
         if idx % 4 == 1:
@@ -81,9 +79,19 @@ def _written(pdf: pd.DataFrame) -> pd.DataFrame:
             e = _entry(_ENTRY_BLOB, data)
         body += e
         at, before = at + len(e), data
+    return bytes(body), e
+
+
+def _pack(n: int, body: bytes) -> bytes:
+    pack = b"PACK" + struct.pack(">II", 2, n) + body
+    return pack + hashlib.sha1(pack).digest()
+
+
+def _written(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One group's bundle file, by turns sound or spoilt in one of four ways."""
+    pdf = pdf.sort_values("doc_id")
+    pack = _pack(len(pdf), _body(zip(pdf["doc_id"], pdf["text"], strict=True))[0])
     part, source = int(pdf["part"].iloc[0]), pdf["source"].iloc[0]
-    pack = b"PACK" + struct.pack(">II", 2, len(pdf)) + bytes(body)
-    pack += hashlib.sha1(pack).digest()
     oid = lambda t: hashlib.sha1(f"blob {len(t)}\0".encode() + t).hexdigest()
     kind = int(pdf["doc_id"].iloc[0]) // 20 // 25 % 5
     pack = {1: pack[:-1] + bytes([pack[-1] ^ 1]), 2: pack[:4] + b"\0\0\0\x09" + pack[8:], 3: pack[:20]}.get(kind, pack)
@@ -92,9 +100,31 @@ def _written(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"path": [f"{source}/{part}"], "content": [header.encode() + pack]})
 
 
+def _framed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One group's pack, its checksum right, by turns whole, with five bytes before its trailer, or with one entry less than it says."""
+    pdf = pdf.sort_values("doc_id")
+    body, last = _body(zip(pdf["doc_id"], pdf["text"], strict=True))
+    kind = int(pdf["doc_id"].iloc[0]) % 3
+    body = {1: body + b"\0" * 5, 2: body[: len(body) - len(last)]}.get(kind, body)
+    return pd.DataFrame({"bundle_id": [f"{pdf['source'].iloc[0]}/{int(pdf['part'].iloc[0])}"], "pack": [_pack(len(pdf), body)]})
+
+
+def _thin(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One group's pack of every second document, as deltas on those between, which the pack does not hold."""
+    pdf, out = pdf.sort_values("doc_id"), []
+    rows = list(zip(pdf["doc_id"], pdf["text"], strict=True))
+    for (_, base), (doc_id, _) in zip(rows[::2], rows[1::2], strict=False):
+        data = base.encode()
+        out.append(_entry(_ENTRY_REF, _grown(data, f"#{doc_id}".encode()), hashlib.sha1(f"blob {len(data)}\0".encode() + data).digest()))
+    return pd.DataFrame({"bundle_id": [f"{pdf['source'].iloc[0]}/{int(pdf['part'].iloc[0])}"], "pack": [_pack(len(out), b"".join(out))]})
+
+
+def _groups(spark, sf):
+    return view(spark, sf, "docs").select("doc_id", "source", "text", F.expr("(doc_id div 20) div 25").alias("part")).groupBy("source", "part")
+
+
 def _files(spark, sf):
-    docs = view(spark, sf, "docs").select("doc_id", "source", "text", F.expr("(doc_id div 20) div 25").alias("part"))
-    return docs.groupBy("source", "part").applyInPandas(_written, "path string, content binary")
+    return _groups(spark, sf).applyInPandas(_written, "path string, content binary")
 
 
 _KIND = "(first_id // 20 // 25) % 5"
@@ -126,6 +156,29 @@ def ingest_packs(spark, sf):
     return rows.select("bundle_id", "idx", "kind", "result_kind", "resolved_via", "reconstructed_size", "result_oid", F.octet_length("content").cast("long").alias("n_bytes"), "error")
 
 
+@query("framing_check", duck(["docs"], PACKED + """ SELECT bundle AS bundle_id, n AS declared, n - (first_id % 3 = 2)::int AS parsed, CASE first_id % 3 WHEN 1 THEN 5 ELSE 0 END AS bytes_left, 0 AS gaps, CASE first_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'trailing bytes' ELSE 'entries missing' END AS status FROM p"""))
+def framing_check(spark, sf):
+    """Real packs as read: whole ones, some with bytes before the trailer, some with an entry too few."""
+    packs = checkpointed(_groups(spark, sf).applyInPandas(_framed, "bundle_id string, pack binary"))
+    told = L.pack_preflight(packs.withColumnRenamed("bundle_id", "path")).select(F.col("path").alias("bundle_id"), "declared", F.col("checksum_verified").alias("sound"))
+    bundles = packs.select("bundle_id", (F.octet_length("pack") - I.TRAILER).alias("trailer_offset")).join(told.where("sound").drop("sound"), "bundle_id")
+    return L.framing_check(I.ingest_packs(packs), bundles)
+
+
+@query("ingest_thin_packs", duck(["docs"], PACKED + """, bases AS (SELECT DISTINCT source, sha1(concat('blob ', strlen(text), chr(0), text)) AS oid FROM docs WHERE doc_id % 97 <> 0),
+  t AS (SELECT bundle, (idx - 1) // 2 AS idx, sha1(concat('blob ', strlen(before), chr(0), before)) AS base_oid, sha1(concat('blob ', strlen(content), chr(0), content)) AS oid, source FROM e WHERE idx % 2 = 1),
+  m AS (SELECT t.*, b.oid IS NOT NULL AS known, EXISTS (SELECT 1 FROM t x WHERE x.bundle = t.bundle AND x.idx < t.idx AND x.oid = t.base_oid) AS own FROM t LEFT JOIN bases b ON b.source = t.source AND b.oid = t.base_oid),
+  f AS (SELECT bundle, min(idx) AS failed FROM m WHERE NOT known AND NOT own GROUP BY bundle)
+  SELECT m.bundle AS bundle_id, idx, base_oid, CASE WHEN idx = failed THEN NULL WHEN own THEN 'in-pack' ELSE 'baseline' END AS resolved_via, CASE WHEN idx IS DISTINCT FROM failed THEN m.oid END AS result_oid, CASE WHEN idx = failed THEN concat('ref-delta references unresolved base object ', base_oid, ' (external dependency/thin pack)') END AS error
+  FROM m LEFT JOIN f ON f.bundle = m.bundle WHERE failed IS NULL OR idx <= failed"""))
+def ingest_thin_packs(spark, sf):
+    """Packs that build upon what the receiver has, which lacks some of it."""
+    packs = checkpointed(_groups(spark, sf).applyInPandas(_thin, "bundle_id string, pack binary"))
+    held = view(spark, sf, "docs").where("doc_id % 97 <> 0").select("source", X.object_id(F.lit("blob"), "text").alias("oid"), F.lit("blob").alias("kind"), F.col("text").cast("binary").alias("content"))
+    own = packs.select("bundle_id", F.split_part("bundle_id", F.lit("/"), F.lit(1)).alias("source"))
+    return I.ingest_packs(packs, own.join(held, "source").drop("source")).select("bundle_id", "idx", "base_oid", "resolved_via", "result_oid", "error")
+
+
 # Archives: ten pages each, with or without the one bundle that an archive must have.
 
 
@@ -253,18 +306,19 @@ def objects_to_ship(spark, sf):
   c(bundle_id, side, oid) AS (SELECT bundle_id, 'tip', oid FROM all_heads WHERE oid % 50 <> 0 UNION SELECT bundle_id, 'pre', oid FROM pre WHERE oid % 50 <> 0 UNION SELECT c.bundle_id, c.side, e.parent FROM c JOIN edges e ON e.child = c.oid JOIN here h ON h.id = e.parent),
   walked AS (SELECT bundle_id, oid FROM c WHERE side = 'tip' EXCEPT SELECT bundle_id, oid FROM c WHERE side = 'pre'),
   t(bundle_id, oid) AS (SELECT bundle_id, CASE WHEN oid % 2 = 0 THEN concat('r', oid % 5) ELSE concat('n', oid % 25) END FROM walked UNION SELECT t.bundle_id, child_oid FROM t JOIN entries ON tree_oid = t.oid WHERE child_kind = 'tree')
-  SELECT bundle_id, 'head' AS kind, oid::varchar AS oid FROM all_heads WHERE oid % 50 = 0
-  UNION ALL SELECT DISTINCT w.bundle_id, 'parent', e.parent::varchar FROM walked w JOIN edges e ON e.child = w.oid WHERE e.parent % 50 = 0 AND (w.bundle_id, e.parent) NOT IN (SELECT (bundle_id, oid) FROM pre)
-  UNION ALL SELECT bundle_id, 'tree', oid FROM t WHERE oid LIKE '%4' UNION ALL SELECT DISTINCT bundle_id, 'entry', child_oid FROM t JOIN entries ON tree_oid = t.oid WHERE child_kind <> 'tree' AND child_oid LIKE '%4'
-  UNION ALL SELECT DISTINCT bundle_id, 'unknown', child_oid FROM t JOIN entries ON tree_oid = t.oid WHERE child_kind IS NULL""", True))
+  SELECT bundle_id, bundle_id AS repo, 'head' AS kind, oid::varchar AS oid FROM all_heads WHERE oid % 50 = 0
+  UNION ALL SELECT DISTINCT w.bundle_id, w.bundle_id, 'parent', e.parent::varchar FROM walked w JOIN edges e ON e.child = w.oid WHERE e.parent % 50 = 0 AND (w.bundle_id, e.parent) NOT IN (SELECT (bundle_id, oid) FROM pre)
+  UNION ALL SELECT bundle_id, bundle_id, 'tree', oid FROM t WHERE oid LIKE '%4' OR bundle_id % 2 = 1 AND oid LIKE '%5' UNION ALL SELECT DISTINCT bundle_id, bundle_id, 'entry', child_oid FROM t JOIN entries ON tree_oid = t.oid WHERE child_kind <> 'tree' AND (child_oid LIKE '%4' OR bundle_id % 2 = 1 AND child_oid LIKE '%5')
+  UNION ALL SELECT DISTINCT bundle_id, bundle_id, 'unknown', child_oid FROM t JOIN entries ON tree_oid = t.oid WHERE child_kind IS NULL""", True))
 def connectivity(spark, sf):
-    """Commits whose id is a multiple of 50 and objects whose id ends in 4 are absent; links that end in 7 are of unknown kind."""
+    """Commits whose id is a multiple of 50 and objects whose id ends in 4 are absent, and, from half of the repositories, those in 5; links that end in 7 are of unknown kind."""
     commits, edges, entries = _graph(spark, sf)
-    heads = view(spark, sf, "all_heads").select("bundle_id", "head_index", F.col("oid").cast("string").alias("oid"))
+    heads = view(spark, sf, "all_heads").select("bundle_id", F.col("bundle_id").alias("repo"), F.col("oid").cast("string").alias("oid"))
     prereqs = view(spark, sf, "commits").where("id % 40 = 0").select(F.col("repo").alias("bundle_id"), F.col("id").cast("string").alias("oid"))
     odd = entries.select("tree_oid", "child_oid", F.when(~F.col("child_oid").rlike("^s.*7$"), F.col("child_kind")).alias("child_kind"))
-    objects = entries.select(F.explode(F.array("tree_oid", "child_oid")).alias("oid")).distinct().where("oid not like '%4'")
-    return H.dangling(heads, prereqs, commits.where("cast(id as bigint) % 50 <> 0"), edges, odd, objects)
+    objects = entries.select(F.explode(F.array("tree_oid", "child_oid")).alias("oid")).distinct().where("oid not like '%4'").withColumn("repo", F.explode(F.sequence(F.lit(0), F.lit(24)))).where("repo % 2 = 0 or oid not like '%5'")
+    here = commits.where("cast(id as bigint) % 50 <> 0").join(view(spark, sf, "commits").select(F.col("id").cast("string").alias("id"), "repo"), "id")
+    return H.dangling(heads, prereqs, here, edges, odd, objects)
 
 
 # Documents and whole checks.
@@ -321,12 +375,22 @@ def verify_truth(spark, sf):
 
 
 # Documents against their contracts: whole ones from every document, by turns spoilt in one field.
-CREATION_FAULTS = ["", "schema_version is no schema", "heads[].oid is no oid", "commit_chain[].author.offset_minutes is missing", "changed_files[].status is no status", "patch_sidecar.sha256 is no digest", "document has other fields", "prerequisites is no list"]
-AUDIT_FAULTS = ["", "pack_proof.hash_algorithm is no hash", "entry_ledger.first_entries[].resolved_via is no via", "pack_objects[] has other fields", "object_detail_mode is no detail mode", "bundle_size_bytes is no count", "pack_summary.tree_objects is missing", "transport_entries[].name is no text"]
+CREATION_FAULTS = ["", "schema_version is no schema", "heads[].oid is no oid", "commit_chain[].author.offset_minutes is missing", "changed_files[].status is no status", "patch_sidecar.sha256 is no digest", "document has other fields", "prerequisites is no list", "bundle_size_bytes is no count", "schema_version is no schema", "commit_chain[].subject is no any", "changed_files[].is_binary is no flag", "heads is no list", "commit_chain[].parent_oids[] is no oid", "commit_chain[].committer.offset_minutes is no integer", "tip_ref is no text"]
+# By turns from the ninth: what is found in the sound document, and the same value with another JSON type.
+CREATION_TYPES = [(r'"bundle_size_bytes":(\d+)', '"bundle_size_bytes":"$1"'), ('"schema_version":"1"', '"schema_version":1'), ('"subject":""', '"subject":{}'), ('"is_binary":false', '"is_binary":"false"'), (r'"heads":\[(\{[^}]*\})\]', '"heads":$1'), (r'"parent_oids":\["[^"]*"\]', '"parent_oids":[7]'), ('"offset_minutes":0', '"offset_minutes":0.5'), ('"tip_ref":"[^"]*"', '"tip_ref":null')]
+AUDIT_FAULTS = ["", "pack_proof.hash_algorithm is no hash", "entry_ledger.first_entries[].resolved_via is no via", "pack_objects[] has other fields", "object_detail_mode is no detail mode", "bundle_size_bytes is no count", "pack_summary.tree_objects is missing", "transport_entries[].name is no text", "pack_proof.checksum_verified is no flag", "pack_proof.pack_version is no pack version", "pack_summary is no object", "entry_ledger.last_entries is no list", "object_details[].lines[] is no any", "pack_proof.blocked_reason is no any", "pack_objects[].context_head_index is no count", "entry_ledger.first_entries[].resolved is no flag"]
+AUDIT_TYPES = [('"checksum_verified":true', '"checksum_verified":"true"'), ('"pack_version":2', '"pack_version":"2"'), (r'"pack_summary":\{[^}]*\}', '"pack_summary":[]'), (r'"last_entries":\[\]', '"last_entries":{}'), (r'"lines":\[""\]', '"lines":["",null]'), ('"blocked_reason":null', '"blocked_reason":false'), ('"context_head_index":null', '"context_head_index":-1'), ('"resolved":true', '"resolved":1')]
+
+
+def _retyped(json, types):
+    """By turns of sixteen, from the ninth, a document with one value of another JSON type."""
+    for n, (pattern, other) in enumerate(types, 8):
+        json = F.when(F.col("doc_id") % 16 == n, F.regexp_replace(json, pattern, other)).otherwise(json)
+    return json
 
 
 def _faults_sql(names):
-    return "SELECT doc_id, CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + " END AS faults FROM objects"
+    return "SELECT doc_id, CASE doc_id % 16 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + " END AS faults FROM objects"
 
 
 def _common(k):
@@ -334,11 +398,10 @@ def _common(k):
     return [F.lit("t").alias("tool_version"), F.col("doc_id").alias("generated_at_unix_secs"), F.lit("u").alias("generated_by_username"), F.lit("h").alias("generated_by_hostname"), text.alias("bundle_path"), F.sha2("oid", 256).alias("bundle_sha256"), F.lit("v2").alias("bundle_header_version")]
 
 
-@query("creation_contract", duck(["objects"], _faults_sql(CREATION_FAULTS)))
-def creation_contract(spark, sf):
+def _creation_faults(spark, sf):
     from auditlake.operators.contracts import contract_faults
 
-    k = F.col("doc_id") % 8
+    k = F.col("doc_id") % 16
     spoilt = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
     person = lambda some: F.struct(F.lit("n").alias("name"), F.lit("").alias("email"), F.col("doc_id").alias("time_seconds"), (F.when(k != 3, F.lit(-60)) if some else F.lit(0)).alias("offset_minutes"))
     doc = F.struct(
@@ -357,15 +420,25 @@ def creation_contract(spark, sf):
     )
     # Absent fields are left out; a null prerequisites field stands for one that is no list.
     json = F.regexp_replace(F.to_json(doc), r"^\{", F.when(k == 7, F.lit('{"prerequisites":5,')).otherwise(F.lit("{")))
-    found = contract_faults(view(spark, sf, "objects").select("doc_id", json.alias("json")), "creation")
-    return found.select("doc_id", F.concat_ws("|", "faults").alias("faults"))
+    return contract_faults(view(spark, sf, "objects").select("doc_id", _retyped(json, CREATION_TYPES).alias("json")), "creation")
+
+
+@query("creation_contract", duck(["objects"], _faults_sql(CREATION_FAULTS)))
+def creation_contract(spark, sf):
+    return _creation_faults(spark, sf).select("doc_id", F.concat_ws("|", "faults").alias("faults"))
+
+
+@query("check_contract", duck(["objects"], "SELECT doc_id, doc_id % 16 = 0 AS sound, (doc_id % 16 <> 0)::int AS n_faults FROM objects"))
+def check_contract(spark, sf):
+    """Which documents may be taken, and how many rules the others break."""
+    return _creation_faults(spark, sf).select("doc_id", (F.size("faults") == 0).alias("sound"), F.size("faults").alias("n_faults"))
 
 
 @query("audit_contract", duck(["objects"], _faults_sql(AUDIT_FAULTS)))
 def audit_contract(spark, sf):
     from auditlake.operators.contracts import CONTRACTS, contract_faults
 
-    k = F.col("doc_id") % 8
+    k = F.col("doc_id") % 16
     spoilt = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
     one = F.lit(1)
     entry = F.struct(one.alias("idx"), one.alias("offset"), F.lit("blob").alias("kind"), one.alias("out_size"), F.lit(None).cast("int").alias("reconstructed_size"), F.lit(None).cast("string").alias("base"), F.col("oid").alias("result_oid"), F.lit("blob").alias("result_kind"), F.lit(True).alias("resolved"), spoilt(2, "elsewhere", "in-pack").alias("resolved_via"), F.lit(None).cast("string").alias("note"))
@@ -393,5 +466,5 @@ def audit_contract(spark, sf):
     )
     json = F.replace(F.to_json(doc, {"ignoreNullFields": "false"}), F.lit('"@summary"'), F.when(k == 6, less).otherwise(summary))
     json = F.replace(json, F.lit('"@objects"'), F.when(k == 3, F.replace(shown, F.lit('"kind"'), F.lit('"odd":1,"kind"'))).otherwise(shown))
-    found = contract_faults(view(spark, sf, "objects").select("doc_id", json.alias("json")), "audit")
+    found = contract_faults(view(spark, sf, "objects").select("doc_id", _retyped(json, AUDIT_TYPES).alias("json")), "audit")
     return found.select("doc_id", F.concat_ws("|", "faults").alias("faults"))

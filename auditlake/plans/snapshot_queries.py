@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators import snapshot as S
 from auditlake.plans.registry import query
-from auditlake.plans.views import duck, view
+from auditlake.plans.views import alike, duck, view
 
 _SNAP = ["snap_base", "snap_tip"]
 DIFF = """+ rows_ AS (SELECT coalesce(a.path, b.path) AS path, a.path AS old_path, a.oid AS old_oid, b.oid AS new_oid, a.mode AS old_mode, b.mode AS new_mode, a.text AS old_text, b.text AS new_text,
@@ -46,8 +46,17 @@ def rename_counts(spark, sf):
     return S.detect_renames(_diff(spark, sf)).where("status = 'R'").groupBy(F.col("new_oid").alias("oid")).agg(F.count("*").alias("renames"))
 
 
-@query("similar_renames", None)
+def _texts(spark, sf, name):
+    return view(spark, sf, name).select("path", "mode", "oid", "text")
+
+
+_D = "(SELECT '' AS pair, path, old_text AS text FROM rows_ WHERE status = 'D')"
+_A = "(SELECT '' AS pair, path, new_text AS text FROM rows_ WHERE status = 'A')"
+
+
+@query("similar_renames", duck(_SNAP, DIFF + f", {alike(_D, _A, 'near')} SELECT gone AS d, path AS a, score FROM near"))
 def similar_renames(spark, sf):
+    """Deleted and added texts alike by half, those of equal content too."""
     rows = _diff(spark, sf)
     pick = lambda status, snap: rows.where(f"status = '{status}'").select("path").join(view(spark, sf, snap).select("path", "text"), "path")
     return S.similar_renames(pick("D", "snap_base"), pick("A", "snap_tip"))
@@ -64,10 +73,16 @@ RENAMED = DIFF + """, d AS (SELECT *, row_number() OVER (PARTITION BY old_oid OR
   renamed AS (SELECT * FROM diff WHERE NOT (status = 'D' AND path IN (SELECT gone FROM r)) AND NOT (status = 'A' AND path IN (SELECT path FROM r)) UNION ALL SELECT 'R', path, gone, old_oid, new_oid, old_mode, new_mode FROM r)"""
 
 
-@query("changed_files", duck(_SNAP, RENAMED + " SELECT status, path, old_path, lpad(coalesce(old_mode, '0'), 6, '0') AS old_mode, lpad(coalesce(new_mode, '0'), 6, '0') AS new_mode FROM renamed"))
+_LEFT = """(SELECT '' AS pair, path, {0}_text AS text FROM rows_ WHERE status = '{1}' AND {0}_mode <> '120000' AND NOT contains({0}_text, chr(0)) AND path NOT IN (SELECT {2} FROM r))"""
+CHANGED = RENAMED + f""", {alike(_LEFT.format("old", "D", "gone"), _LEFT.format("new", "A", "path"), "near")},
+  changed AS (SELECT * FROM renamed WHERE NOT (status = 'D' AND path IN (SELECT gone FROM near)) AND NOT (status = 'A' AND path IN (SELECT path FROM near))
+    UNION ALL SELECT 'R', n.path, gone, d.old_oid, a.new_oid, d.old_mode, a.new_mode FROM near n JOIN diff d ON d.path = gone AND d.status = 'D' JOIN diff a ON a.path = n.path AND a.status = 'A')"""
+
+
+@query("changed_files", duck(_SNAP, CHANGED + " SELECT status, path, old_path, lpad(coalesce(old_mode, '0'), 6, '0') AS old_mode, lpad(coalesce(new_mode, '0'), 6, '0') AS new_mode FROM changed"))
 def changed_files(spark, sf):
     mode = lambda c: F.lpad(F.coalesce(c, F.lit("0")), 6, "0").alias(c)
-    return S.detect_renames(_diff(spark, sf)).select("status", "path", "old_path", mode("old_mode"), mode("new_mode"))
+    return S.changed_files(_texts(spark, sf, "snap_base"), _texts(spark, sf, "snap_tip")).select("status", "path", "old_path", mode("old_mode"), mode("new_mode"))
 
 
 @query("non_text", duck(_SNAP, DIFF + " SELECT path, coalesce(old_mode NOT IN ('100644', '100755'), false) OR coalesce(new_mode NOT IN ('100644', '100755'), false) OR (ord(substr(path, 5, 1)) % 2 = 0 AND new_mode IS NOT NULL) AS non_text FROM rows_ WHERE status <> '='"))

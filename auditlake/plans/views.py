@@ -103,7 +103,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "rev_pairs": (["rev_commits"], "SELECT id AS pair, first_parent AS old_commit, id AS new_commit, 'commit' AS what FROM rev_commits UNION ALL SELECT concat(bundle_id, '#', n - 2), concat(bundle_id, '/r1'), id, 'head' FROM rev_commits WHERE n > 1"),
     "forked": (
         ["docs"],
-        """SELECT doc_id, source AS bundle_id, (doc_id DIV 20) % 10 AS k, concat('d', doc_id, '.txt') AS path, text,
+        """SELECT doc_id, source AS bundle_id, (doc_id DIV 20) % 10 AS k, concat('t', doc_id % 3, CASE WHEN doc_id % 2 = 0 THEN '/d/' WHEN doc_id % 5 = 0 THEN '.' ELSE '/' END, 'd', doc_id, '.txt') AS path, text,
              CASE WHEN doc_id % 7 <> 0 THEN text END AS base,
              CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN concat(text, chr(10), 'ours tail') ELSE text END AS ours,
              CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN text END WHEN doc_id % 11 = 0 THEN text
@@ -160,6 +160,14 @@ def duck(names: list[str], body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{views}{',' if more else ''}\n{body[1:] if more else body}"
 
 
+def alike(deleted: str, added: str, out: str) -> str:
+    """DuckDB views that end in out(pair, gone, path, score): texts of deleted(pair, path, text) and added(pair, path, text) alike by half, taken by falling score."""
+    lines = lambda rows: f"(SELECT pair, path, strlen(text) + 1 AS size, line, count(*) AS n, strlen(line) + 1 AS bytes FROM (SELECT pair, path, text, unnest(string_split(text, chr(10))) AS line FROM {rows} WHERE text <> '') GROUP BY ALL)"
+    return f"""{out}_scores AS (SELECT d.pair, d.path AS gone, a.path, sum(least(d.n, a.n) * d.bytes) / greatest(any_value(d.size), any_value(a.size)) AS score FROM {lines(deleted)} d JOIN {lines(added)} a ON a.pair = d.pair AND a.line = d.line GROUP BY d.pair, d.path, a.path),
+{out}_taken AS (SELECT pair, list_reduce(list([struct_pack(gone, path, score)] ORDER BY score DESC, sha1(concat(gone, chr(10), path)) DESC), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.gone = x[1].gone OR y.path = x[1].path)) > 0 THEN acc ELSE list_concat(acc, x) END) AS l FROM {out}_scores WHERE score >= 0.5 GROUP BY pair),
+{out} AS (SELECT pair, u.gone, u.path, u.score FROM (SELECT pair, unnest(l) AS u FROM {out}_taken))"""
+
+
 def view(spark, sf_dir: str, name: str) -> DataFrame:
     """The named view as a DataFrame; tables are read by Spark from sf_dir."""
     needed = _needed([name], [])

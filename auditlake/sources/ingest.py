@@ -1,4 +1,4 @@
-"""Reading package files: headers, members of archives, pack entries. One package is one row and one unit of work."""
+"""Reading package files: headers, members of archives, pack entries. A package is read by one task; its deltas are rebuilt by joins."""
 
 from __future__ import annotations
 
@@ -9,9 +9,13 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.columns import object_id
+from auditlake.operators.iterate import checkpointed
+
 #: Entry types of a pack, and the bytes that end it.
 KINDS = {1: "commit", 2: "tree", 3: "blob", 4: "tag", 6: "ofs-delta", 7: "ref-delta"}
 TRAILER = 20
@@ -119,13 +123,17 @@ def _rebuilt(base: bytes, delta: bytes) -> bytes:
     return bytes(out)
 
 
-def _entries(pack: bytes, baseline: dict[str, tuple[str, bytes]]) -> Iterator[dict]:
-    """Entries in order; the last has an error if the pack cannot be read on."""
-    declared = int.from_bytes(pack[8:12], "big")
-    at, by_offset, by_oid, view = 12, {}, {}, memoryview(pack)
+RAW = "bundle_id string, idx long, offs long, end_offs long, kind string, out_size long, base_distance long, base_offset long, base_oid string, error string, data binary"
+LEDGER = "bundle_id string, idx long, offs long, end_offs long, kind string, out_size long, reconstructed_size long, base_distance long, base_offset long, base_oid string, result_oid string, result_kind string, resolved_via string, error string, content binary"
+#: Bytes of inflated entries that a task sends on at once.
+SENT = 4 * 1024 * 1024
+
+
+def _scanned(bundle: str, pack: bytes) -> Iterator[dict]:
+    """Entries in order as they are stored, each with where it ends; the last has an error if the pack cannot be read on."""
+    declared, at, view = int.from_bytes(pack[8:12], "big"), 12, memoryview(pack)
     for idx in range(declared):
-        row = dict.fromkeys(("kind", "out_size", "reconstructed_size", "base_distance", "base_offset", "base_oid", "result_oid", "result_kind", "resolved_via", "error", "content"))
-        row |= {"idx": idx, "offs": at}
+        row = dict.fromkeys(c.split()[0] for c in RAW.split(", ")) | {"bundle_id": bundle, "idx": idx, "offs": at}
         try:
             if at >= len(pack) - TRAILER:
                 raise ValueError("pack ends before its declared entries")
@@ -137,7 +145,6 @@ def _entries(pack: bytes, baseline: dict[str, tuple[str, bytes]]) -> Iterator[di
             if code not in KINDS:
                 raise ValueError(f"entry type {code} is unknown")
             row |= {"kind": KINDS[code], "out_size": size}
-            base, via = None, "in-pack"
             if code == 6:
                 byte, pos = pack[pos], pos + 1
                 distance = byte & 127
@@ -145,17 +152,8 @@ def _entries(pack: bytes, baseline: dict[str, tuple[str, bytes]]) -> Iterator[di
                     byte, pos = pack[pos], pos + 1
                     distance = (distance + 1) << 7 | byte & 127
                 row |= {"base_distance": distance, "base_offset": at - distance if distance <= at else None}
-                base = by_offset.get(at - distance)
-                if base is None:
-                    raise ValueError("ofs-delta base offset underflow" if distance > at else f"ofs-delta references unresolved base at distance {distance} (external dependency/thin pack)")
             elif code == 7:
-                oid, pos = pack[pos : pos + 20].hex(), pos + 20
-                row["base_oid"] = oid
-                base = by_oid.get(oid)
-                if base is None and oid in baseline:
-                    base, via = baseline[oid], "baseline"
-                if base is None:
-                    raise ValueError(f"ref-delta references unresolved base object {oid} (external dependency/thin pack)")
+                row["base_oid"], pos = pack[pos : pos + 20].hex(), pos + 20
             z, data, end = zlib.decompressobj(), bytearray(), len(pack) - TRAILER
             while not z.eof and len(data) <= size:
                 part = view[pos : min(pos + STEP, end)]
@@ -165,11 +163,8 @@ def _entries(pack: bytes, baseline: dict[str, tuple[str, bytes]]) -> Iterator[di
                 pos += len(part)
             if len(data) != size:
                 raise ValueError(f"entry inflates to {len(data)} bytes, its header says {size}")
-            at, data = pos - len(z.unused_data), bytes(data)
-            kind, content = (KINDS[code], data) if base is None else (base[0], _rebuilt(base[1], data))
-            oid = hashlib.sha1(f"{kind} {len(content)}\0".encode() + content).hexdigest()
-            by_offset[row["offs"]] = by_oid[oid] = (kind, content)
-            row |= {"reconstructed_size": len(content) if base is not None else None, "result_oid": oid, "result_kind": kind, "resolved_via": via, "content": content}
+            at = pos - len(z.unused_data)
+            row |= {"end_offs": at, "data": bytes(data)}
         except (ValueError, IndexError, zlib.error) as e:
             row["error"] = str(e)
             yield row
@@ -177,67 +172,80 @@ def _entries(pack: bytes, baseline: dict[str, tuple[str, bytes]]) -> Iterator[di
         yield row
 
 
-LEDGER = "bundle_id string, idx long, offs long, kind string, out_size long, reconstructed_size long, base_distance long, base_offset long, base_oid string, result_oid string, result_kind string, resolved_via string, error string, content binary"
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bundle, pack in zip(batch.column("bundle_id"), batch.column("pack"), strict=True):
+            rows, held = [], 0
+            for row in _scanned(bundle.as_py(), pack.as_py()):
+                rows.append(row)
+                held += len(row["data"] or b"")
+                if held > SENT:
+                    yield pa.RecordBatch.from_pylist(rows, _RAW)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, _RAW)
 
 
-def _named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ids of the bases that packs name, and do not hold before."""
-    for frame in frames:
-        for bundle, pack in zip(frame["bundle_id"], frame["pack"], strict=True):
-            ids = list(dict.fromkeys(_bases(bytes(pack))))
-            yield pd.DataFrame({"bundle_id": [bundle] * len(ids), "oid": ids})
+_RAW = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in RAW.split(", "))])
 
 
-def _bases(pack: bytes) -> Iterator[str]:
-    """Ids that a pack's reference deltas name, as far as its entries can be told apart."""
-    at, view, end = 12, memoryview(pack), len(pack) - TRAILER
-    for _ in range(int.from_bytes(pack[8:12], "big")):
-        if at >= end:
-            return
-        byte, pos = pack[at], at + 1
-        code = byte >> 4 & 7
-        while byte >= 128 and pos < end:
-            byte, pos = pack[pos], pos + 1
-        if code == 6:
-            while pos < end and pack[pos] >= 128:
-                pos += 1
-            pos += 1
-        elif code == 7:
-            yield pack[pos : pos + 20].hex()
-            pos += 20
-        z = zlib.decompressobj()
-        try:
-            while not z.eof and pos < end:
-                part = view[pos : min(pos + STEP, end)]
-                z.decompress(part)
-                pos += len(part)
-        except zlib.error:
-            return
-        if not z.eof:
-            return
-        at = pos - len(z.unused_data)
+def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The content of each delta, or why it cannot be applied."""
+    for batch in batches:
+        for part in (batch.slice(k, 100) for k in range(0, len(batch), 100)):
+            content, error = [], []
+            for base, delta in zip(part.column("base"), part.column("data"), strict=True):
+                try:
+                    content.append(_rebuilt(base.as_py(), delta.as_py()))
+                    error.append(None)
+                except (ValueError, IndexError) as e:
+                    content.append(None)
+                    error.append(str(e))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("bundle_id", "idx", "offs", "kind")), pa.array(content, pa.binary()), pa.array(error, pa.string())], names=["bundle_id", "idx", "offs", "kind", "content", "error"])
 
 
 def ingest_packs(bundles: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     """Ledger rows with content of bundles(bundle_id, pack), many packages in parallel; a package's first failure ends it with an error row.
 
-    baseline(bundle_id, oid, kind, content) has the receiver's objects that a package may build upon. Those of them that the
-    package's deltas name are joined to its row beforehand, so that no task looks anything up.
+    A scan tells a package's entries apart, one after the other, as an entry's end is known only after inflating it. Deltas
+    are then rebuilt a level of their chains at a time, by joins with their bases, so that what is costly is spread by entry and no
+    task holds a package's objects. An offset names an entry, an id an earlier entry of that id or else an object of
+    the receiver, baseline(bundle_id, oid, kind, content).
     """
-    if baseline is not None:
-        named = bundles.select("bundle_id", "pack").mapInPandas(_named, "bundle_id string, oid string")
-        wanted = baseline.join(named, ["bundle_id", "oid"], "left_semi")
-        known = wanted.groupBy("bundle_id").agg(F.collect_list(F.struct("oid", "kind", "content")).alias("known"))
-        rows = bundles.select("bundle_id", "pack").join(known, "bundle_id", "left")
-    else:
-        rows = bundles.select("bundle_id", "pack", F.expr("cast(array() as array<struct<oid: string, kind: string, content: binary>>)").alias("known"))
-    names = [c.split()[0] for c in LEDGER.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for bundle, pack, known in zip(frame["bundle_id"], frame["pack"], frame["known"], strict=True):
-                objects = {k["oid"]: (k["kind"], bytes(k["content"])) for k in (known if known is not None else [])}
-                out = pd.DataFrame([{"bundle_id": bundle} | e for e in _entries(bytes(pack), objects)], columns=names)
-                yield out.astype({c: "Int64" for c in ("idx", "offs", "out_size", "reconstructed_size", "base_distance", "base_offset")})
-
-    return rows.mapInPandas(run, LEDGER)
+    raw = checkpointed(bundles.select(F.col("bundle_id").cast("string").alias("bundle_id"), "pack").mapInArrow(_scan, RAW))
+    delta = F.col("kind").isin("ofs-delta", "ref-delta")
+    with_id = lambda rows: rows.withColumn("oid", F.when(F.col("error").isNull(), object_id("kind", "content")))
+    fresh = checkpointed(with_id(raw.where("error is null").where(~delta).select("bundle_id", "idx", "offs", "kind", F.col("data").alias("content"), "error")))
+    deltas = raw.where("error is null").where(delta).select("bundle_id", "idx", "offs", "base_offset", "base_oid", "data")
+    done, left, asked = fresh, deltas, False
+    while True:
+        ready = fresh.where("error is null")
+        at = ready.select("bundle_id", F.col("offs").alias("base_offset"), "kind", F.col("content").alias("base"))
+        first = ready.groupBy("bundle_id", "oid").agg(F.min("idx").alias("base_idx"))
+        named = first.join(ready.select("bundle_id", F.col("idx").alias("base_idx"), "kind", F.col("content").alias("base")), ["bundle_id", "base_idx"]).withColumnRenamed("oid", "base_oid")
+        columns = ["bundle_id", "idx", "offs", "kind", "base", "data"]
+        met = left.join(at, ["bundle_id", "base_offset"]).select(*columns).unionByName(left.join(named, ["bundle_id", "base_oid"]).where("base_idx < idx").select(*columns))
+        fresh = checkpointed(with_id(met.mapInArrow(_applied, "bundle_id string, idx long, offs long, kind string, content binary, error string")))
+        if fresh.isEmpty():
+            if asked or baseline is None:
+                break
+            # What no earlier entry gives is taken from the receiver, once all is known that the package gives by itself.
+            asked = True
+            outer = baseline.select("bundle_id", F.col("oid").alias("base_oid"), "kind", F.col("content").alias("base")).dropDuplicates(["bundle_id", "base_oid"])
+            fresh = checkpointed(with_id(left.join(outer, ["bundle_id", "base_oid"]).select(*columns).mapInArrow(_applied, "bundle_id string, idx long, offs long, kind string, content binary, error string")))
+            if fresh.isEmpty():
+                break
+        done = done.unionByName(fresh)
+        left = checkpointed(left.join(fresh.select("bundle_id", "idx"), ["bundle_id", "idx"], "left_anti"))
+    made = done.select("bundle_id", "idx", F.col("kind").alias("result_kind"), "content", F.col("oid").alias("result_oid"), F.col("error").alias("bad_delta"))
+    earliest = done.where("oid is not null").groupBy("bundle_id", F.col("oid").alias("base_oid")).agg(F.min("idx").alias("base_idx"))
+    rows = raw.drop("data").join(made, ["bundle_id", "idx"], "left").join(earliest, ["bundle_id", "base_oid"], "left")
+    said = F.lit(" (external dependency/thin pack)")
+    lost = F.when(F.col("result_kind").isNull() & F.col("error").isNull(), F.when(F.col("kind") == "ref-delta", F.concat(F.lit("ref-delta references unresolved base object "), "base_oid", said)).when(F.col("base_offset").isNull(), "ofs-delta base offset underflow").otherwise(F.concat(F.lit("ofs-delta references unresolved base at distance "), F.col("base_distance").cast("string"), said)))
+    rows = rows.withColumn("error", F.coalesce("error", "bad_delta", lost))
+    good = F.col("error").isNull()
+    via = F.when(good & (F.col("kind") == "ref-delta") & F.coalesce(F.col("base_idx") >= F.col("idx"), F.lit(True)), "baseline").when(good, "in-pack")
+    size = F.when(good & delta, F.octet_length("content").cast("long"))
+    told = rows.withColumns({"resolved_via": via, "reconstructed_size": size, "content": F.when(good, F.col("content")), "result_kind": F.when(good, F.col("result_kind"))})
+    # A package's first failure ends its ledger.
+    failed = rows.where(~good).groupBy("bundle_id").agg(F.min("idx").alias("failed_idx"))
+    return told.join(failed, "bundle_id", "left").where("failed_idx is null or idx <= failed_idx").select(*[c.split()[0] for c in LEDGER.split(", ")])
