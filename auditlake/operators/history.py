@@ -8,106 +8,96 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from auditlake.functions.columns import decoration_label, decoration_rank
-from auditlake.operators.iterate import ROUNDS, checkpointed, closure, followed, generations, hops, least_reaching
+from auditlake.operators.chains import Reach, chain_places, crossings, first_visits, in_order
+from auditlake.operators.iterate import checkpointed, followed, generations, least_reaching
 
 MISSING_SUBJECT = "<prerequisite commit unavailable>"
 
 
 def ancestors(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(start, node) for starts(start); a start is its own ancestor."""
-    return closure(starts, edges)
+    reach = Reach(edges)
+    return reach.nodes(reach.labels(starts.select("start", F.col("start").alias("node"))))
 
 
 def commit_range(ranges: DataFrame, edges: DataFrame) -> DataFrame:
     """(range_id, node): ancestors of each range's tips without those of its hidden commits. ranges(range_id, tip, hidden)."""
-    steps = hops(edges)
-    side = lambda c: closure(ranges.where(F.col(c).isNotNull()).select(F.col("range_id").alias("start"), F.col(c).alias("node")), edges, steps)
-    return side("tip").join(side("hidden"), ["start", "node"], "left_anti").withColumnRenamed("start", "range_id")
+    reach = Reach(edges)
+    side = lambda c: reach.labels(ranges.where(F.col(c).isNotNull()).select(F.col("range_id").alias("start"), F.col(c).alias("node")))
+    return reach.nodes(side("tip"), side("hidden")).withColumnRenamed("start", "range_id")
 
 
 def is_descendant(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs(a, b) with `descends`: whether a is a strict descendant of b."""
-    return _related(pairs, edges).withColumn("descends", F.coalesce((F.col("a") != F.col("b")) & (F.col("merge_base") == F.col("b")), F.lit(False))).drop("merge_base")
+    return _reaching(pairs, edges).withColumn("descends", F.coalesce((F.col("a") != F.col("b")) & F.col("reaches"), F.lit(False))).drop("reaches")
 
 
 def range_guard(ranges: DataFrame, edges: DataFrame) -> DataFrame:
     """ranges(range_id, tip, base) with `linear`: the tip equals the base or descends from it."""
-    found = _related(ranges.withColumnsRenamed({"tip": "a", "base": "b"}), edges)
-    return found.withColumn("linear", F.coalesce((F.col("a") == F.col("b")) | (F.col("merge_base") == F.col("b")), F.lit(False))).withColumnsRenamed({"a": "tip", "b": "base"}).drop("merge_base")
+    found = _reaching(ranges.withColumnsRenamed({"tip": "a", "base": "b"}), edges)
+    return found.withColumn("linear", F.coalesce((F.col("a") == F.col("b")) | F.col("reaches"), F.lit(False))).withColumnsRenamed({"a": "tip", "b": "base"}).drop("reaches")
 
 
-def _related(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """pairs with a merge base, of commits that need not be listed; that of a and its ancestor b is b."""
-    ends = edges.select(F.explode(F.array("child", "parent")).alias("id")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("id"))).where("id is not null").distinct()
-    return merge_base(pairs, ends.withColumn("time", F.lit(0)), edges)
+def _reaching(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs with `reaches`, true where a is b or descends from it and null elsewhere."""
+    reach, keys = Reach(edges), pairs.select("a", "b").where("a is not null and b is not null").distinct()
+    labels = reach.labels(keys.select(F.col("a").alias("start"), F.col("a").alias("node")).distinct())
+    found = reach.covered(labels, keys.select(F.col("a").alias("start"), F.col("b").alias("node")))
+    return pairs.join(found.select(F.col("start").alias("a"), F.col("node").alias("b"), F.lit(True).alias("reaches")), ["a", "b"], "left")
 
 
 def topological(commits: DataFrame, edges: DataFrame, by: str = "repo") -> DataFrame:
     """commits(id, time, by) with generation and position within `by`, parents first; ties go by generation, time, id."""
     gen = generations(commits.select(F.col("id").alias("node")), edges).withColumnRenamed("node", "id")
-    order = W.Window.partitionBy(by).orderBy("generation", "time", "id")
-    return commits.join(gen, "id").withColumn("position", F.row_number().over(order) - 1)
+    return in_order(commits.join(gen, "id"), [by], F.col("generation"), F.col("time"), F.col("id")).withColumn("position", F.col("number") - 1).drop("number")
 
 
 def merge_base(pairs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs(a, b) with merge_base: of common ancestors the greatest by (generation, time, id), null if unrelated.
 
-    Both sides of a pair are walked at once, and no farther than to commits of the best common ancestor's generation, so a
-    pair costs what lies between its ends and that ancestor, however long the history below.
+    Two ends have in common, of each chain that both reach, what lies at or below the lower of their two positions. The commit there is the
+    chain's best, so a pair forms one row for each such chain, and an end is walked once however many pairs it is in.
     """
-    steps = checkpointed(hops(edges, 2))
-    gen = checkpointed(generations(commits.select(F.col("id").alias("node")), edges, steps).join(commits.select(F.col("id").alias("node"), "time"), "node"))
+    reach = Reach(edges, commits.select(F.col("id").alias("node")))
+    gen = generations(commits.select(F.col("id").alias("node")), edges).join(commits.select(F.col("id").alias("node"), "time"), "node")
     keys = pairs.select("a", "b").where("a is not null and b is not null").distinct()
-    key = ["a", "b", "node"]
-    start = keys.select("a", "b", F.col("a").alias("node"), F.lit(1).alias("sides")).unionByName(keys.select("a", "b", F.col("b").alias("node"), F.lit(2).alias("sides")))
-    seen = checkpointed(start.groupBy(*key).agg(F.bit_or("sides").alias("sides")).join(gen, "node").withColumn("fresh", F.col("sides")))
-    for _ in range(ROUNDS):
-        best = seen.where("sides = 3").groupBy("a", "b").agg(F.max(F.struct("generation", "time", "node")).alias("best"))
-        told = seen.join(best, ["a", "b"], "left")
-        frontier = told.where("fresh <> 0 and (best is null or generation > best.generation)")
-        if frontier.isEmpty():
-            return pairs.join(best.select("a", "b", F.col("best.node").alias("merge_base")), ["a", "b"], "left")
-        reached = frontier.join(steps.select("node", "next"), "node").groupBy("a", "b", F.col("next").alias("node")).agg(F.bit_or("fresh").alias("more"), F.max("best.generation").alias("floor"))
-        reached = reached.join(gen.withColumnsRenamed({"generation": "g", "time": "t"}), "node").where("floor is null or g >= floor").drop("floor")
-        both = told.drop("best", "fresh").join(reached, key, "full")
-        sides, more = F.coalesce("sides", F.lit(0)), F.coalesce("more", F.lit(0))
-        seen = checkpointed(both.select(*key, sides.bitwiseOR(more).alias("sides"), F.coalesce("generation", "g").alias("generation"), F.coalesce("time", "t").alias("time"), more.bitwiseAND(F.bitwise_not(sides)).alias("fresh")))
-    raise RuntimeError(f"not settled after {ROUNDS} rounds")
+    labels = reach.labels(keys.select(F.explode(F.array("a", "b")).alias("start")).distinct().withColumn("node", F.col("start")))
+    side = lambda end, pos: labels.select(F.col("start").alias(end), "chain", F.col("pos").alias(pos))
+    both = keys.join(side("a", "pos_a"), "a").join(side("b", "pos_b"), ["b", "chain"]).select("a", "b", "chain", F.least("pos_a", "pos_b").alias("pos"))
+    ranked = reach.places.join(gen, "node").select("chain", "pos", F.struct("generation", "time", "node").alias("best"))
+    best = both.join(ranked, ["chain", "pos"]).groupBy("a", "b").agg(F.max("best").alias("best"))
+    return pairs.join(best.select("a", "b", F.col("best.node").alias("merge_base")), ["a", "b"], "left")
+
+
+def _visits(heads: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
+    """(bundle_id, node, head_index, key, run) of present commits, over edges between such."""
+    here = commits.select(F.col("id").alias("node"))
+    present = edges.join(here.withColumnRenamed("node", "child"), "child", "left_semi").join(here.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    places = chain_places(here, present)
+    return checkpointed(first_visits(heads.select("bundle_id", "head_index", F.col("oid").alias("node")), places, crossings(places, present)))
 
 
 def visit_order(heads: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
     """(bundle_id, id, head_index, commit_order): first visit of each commit by depth-first pre-order from heads in order.
 
-    On an acyclic graph this is the order of the smallest path key [head, parent index, parent index, ...]; keys are
-    propagated by minimum until none changes. A commit reached from an earlier head keeps that head.
+    On an acyclic graph this is the order of the smallest path key [head, parent index, parent index, ...]; chains.first_visits finds it
+    in as many rounds as such a path changes its chain. A commit reached from an earlier head keeps that head.
     """
-    inside = commits.select(F.col("id").alias("node"))
-    now = checkpointed(heads.join(inside.withColumnRenamed("node", "oid"), "oid", "left_semi").groupBy("bundle_id", F.col("oid").alias("node")).agg(F.min(F.array(F.col("head_index").cast("int"))).alias("key")).withColumn("fresh", F.lit(True)))
-    for _ in range(ROUNDS):
-        step = now.where("fresh").join(edges.select(F.col("child").alias("node"), "parent", "parent_index"), "node").select("bundle_id", F.col("parent").alias("node"), F.concat("key", F.array(F.col("parent_index").cast("int"))).alias("key"))
-        step = step.join(inside, "node", "left_semi").groupBy("bundle_id", "node").agg(F.min("key").alias("k2"))
-        better = F.col("key").isNull() | (F.col("k2") < F.col("key"))
-        after = checkpointed(now.join(step, ["bundle_id", "node"], "full").select("bundle_id", "node", F.when(F.col("k2").isNotNull() & better, F.col("k2")).otherwise(F.col("key")).alias("key"), F.coalesce(F.col("k2").isNotNull() & better, F.lit(False)).alias("fresh")))
-        now = after
-        if after.where("fresh").isEmpty():
-            head = F.element_at("key", 1)
-            order = F.row_number().over(W.Window.partitionBy("bundle_id", head).orderBy("key"))
-            return now.select("bundle_id", F.col("node").alias("id"), head.alias("head_index"), order.alias("commit_order"))
-    raise RuntimeError(f"not settled after {ROUNDS} rounds")
+    rows = in_order(_visits(heads, commits, edges), ["bundle_id", "head_index"], F.col("key"), F.col("run"))
+    return rows.select("bundle_id", F.col("node").alias("id"), F.col("head_index").cast("int").alias("head_index"), F.col("number").alias("commit_order"))
 
 
 def display_order(heads: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
     """(bundle_id, id, row): depth-first from the last head and last parent first; commits of no head follow, newest first."""
     turned = heads.withColumn("head_index", -F.col("head_index").cast("int"))
-    seen = visit_order(turned, commits, edges.withColumn("parent_index", -F.col("parent_index")))
-    rest = commits.join(seen.select("id"), "id", "left_anti")
-    shown = seen.select("bundle_id", "id", F.lit(0).alias("part"), F.col("head_index").cast("long").alias("k1"), F.col("commit_order").cast("long").alias("k2"))
-    left = rest.select(F.col("repo").alias("bundle_id"), "id", F.lit(1).alias("part"), (-F.unix_date(F.to_date("time"))).cast("long").alias("k1"), F.col("id").cast("long").alias("k2"))
-    order = W.Window.partitionBy("bundle_id").orderBy("part", "k1", "k2")
-    return shown.unionByName(left).withColumn("row", F.row_number().over(order)).select("bundle_id", "id", "row")
+    seen = _visits(turned, commits, edges.withColumn("parent_index", -F.col("parent_index")))
+    rest = commits.join(seen.select(F.col("node").alias("id")), "id", "left_anti")
+    shown = seen.select("bundle_id", F.col("node").alias("id"), F.lit(0).alias("part"), "key", "run")
+    left = rest.select(F.col("repo").alias("bundle_id"), "id", F.lit(1).alias("part"), F.array((-F.unix_date(F.to_date("time"))).cast("long")).alias("key"), F.col("id").cast("long").alias("run"))
+    rows = in_order(shown.unionByName(left), ["bundle_id"], F.col("part"), F.col("key"), F.col("run"))
+    return rows.select("bundle_id", "id", F.col("number").alias("row"))
 
 
 def boundary(shown: DataFrame, edges: DataFrame, all_commits: DataFrame) -> DataFrame:
@@ -129,9 +119,11 @@ def decorations(refs: DataFrame, heads: DataFrame, shown: DataFrame) -> DataFram
 
 def assume_present(revs: DataFrame, tips: DataFrame, edges: DataFrame) -> DataFrame:
     """revs(range_id, pos, oid) that a receiver has: reachable from the range's tip, not its base, first of repeats. tips(range_id, tip, base)."""
-    reach = closure(tips.select(F.col("range_id").alias("start"), F.col("tip").alias("node")), edges).select(F.col("start").alias("range_id"), F.col("node").alias("oid"))
+    reach = Reach(edges)
+    labels = reach.labels(tips.select(F.col("range_id").alias("start"), F.col("tip").alias("node")))
     bases = tips.where("base is not null").select("range_id", F.col("base").alias("oid")).distinct()
-    kept = revs.join(reach, ["range_id", "oid"], "left_semi").join(bases, ["range_id", "oid"], "left_anti")
+    known = reach.covered(labels, revs.select(F.col("range_id").alias("start"), F.col("oid").alias("node"), "pos"))
+    kept = known.withColumnsRenamed({"start": "range_id", "node": "oid"}).join(bases, ["range_id", "oid"], "left_anti")
     return kept.groupBy("range_id", "oid").agg(F.min("pos").alias("pos")).select("range_id", "pos", "oid")
 
 
@@ -139,10 +131,11 @@ def _walked(heads: DataFrame, prereqs: DataFrame, here: DataFrame, edges: DataFr
     """(at, repo, oid) of commits that a package's heads reach and its prerequisites don't, over commits that its repository has."""
     place = lambda c: F.struct("repo", F.col(c).alias("oid"))
     own = here.join(heads.select("repo").distinct(), "repo", "left_semi")
-    present = edges.join(own.withColumnRenamed("oid", "child"), "child").join(own.withColumnRenamed("oid", "parent"), ["repo", "parent"], "left_semi").select(place("child").alias("child"), place("parent").alias("parent"))
-    steps = hops(present)
-    side = lambda rows: closure(rows.join(here, ["repo", "oid"], "left_semi").select(F.col("at").alias("start"), place("oid").alias("node")), present, steps)
-    return checkpointed(side(heads).join(side(prereqs), ["start", "node"], "left_anti").select(F.col("start").alias("at"), "node.repo", "node.oid"))
+    edges = edges if "parent_index" in edges.columns else edges.withColumn("parent_index", F.lit(0))
+    present = edges.join(own.withColumnRenamed("oid", "child"), "child").join(own.withColumnRenamed("oid", "parent"), ["repo", "parent"], "left_semi").select(place("child").alias("child"), place("parent").alias("parent"), "parent_index")
+    reach = Reach(present)
+    side = lambda rows: reach.labels(rows.join(here, ["repo", "oid"], "left_semi").select(F.col("at").alias("start"), place("oid").alias("node")))
+    return checkpointed(reach.nodes(side(heads), side(prereqs)).select(F.col("start").alias("at"), "node.repo", "node.oid"))
 
 
 def dangling(heads: DataFrame, prereqs: DataFrame, commits: DataFrame, edges: DataFrame, tree_entries: DataFrame | None = None, objects: DataFrame | None = None) -> DataFrame:
@@ -218,8 +211,10 @@ def head_base(heads: DataFrame, prereqs: DataFrame, edges: DataFrame) -> DataFra
     first = edges.where("parent_index = 0").select(F.col("child").alias("oid"), F.col("parent").alias("first_parent"))
     per = prereqs.groupBy("bundle_id").agg(F.count("*").alias("n"), F.min("oid").alias("only"))
     many = heads.join(per.where("n > 1").select("bundle_id"), "bundle_id", "left_semi")
-    reach = closure(many.select(F.struct("bundle_id", "oid").alias("start"), F.col("oid").alias("node")), edges)
-    hits = reach.select("start.*", "node").join(prereqs.select("bundle_id", F.col("oid").alias("node")), ["bundle_id", "node"]).groupBy("bundle_id", "oid").agg(F.count("*").alias("hits"), F.min("node").alias("hit"))
+    reach = Reach(edges)
+    labels = reach.labels(many.select(F.col("oid").alias("start"), F.col("oid").alias("node")).distinct())
+    asked = many.join(prereqs.select("bundle_id", F.col("oid").alias("node")), "bundle_id").select("bundle_id", F.col("oid").alias("start"), "node")
+    hits = reach.covered(labels, asked).groupBy("bundle_id", F.col("start").alias("oid")).agg(F.count("*").alias("hits"), F.min("node").alias("hit"))
     rows = heads.join(per, "bundle_id", "left").join(first, "oid", "left").join(hits, ["bundle_id", "oid"], "left")
     n, h = F.coalesce("n", F.lit(0)), F.coalesce("hits", F.lit(0))
     base = F.when(n == 0, F.col("first_parent")).when(n == 1, F.col("only")).when(h == 1, F.col("hit"))
@@ -239,9 +234,9 @@ def commit_chain(ranges: DataFrame, commits: DataFrame, edges: DataFrame) -> Dat
     links = edges.join(nodes.withColumnRenamed("id", "child"), "child", "left_semi").join(nodes.withColumnRenamed("id", "parent"), "parent", "left_semi")
     gen = generations(nodes.withColumnRenamed("id", "node"), links).withColumnRenamed("node", "id")
     rows = inside.join(commits, "id").join(gen, "id").join(_parents(edges), "id", "left")
-    order = F.row_number().over(W.Window.partitionBy("range_id").orderBy("generation", "time", "id")) - 1
+    rows = in_order(rows, ["range_id"], F.col("generation"), F.col("time"), F.col("id"))
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    return rows.select("range_id", order.alias("position"), F.col("id").alias("oid"), "tree_oid", F.coalesce("parent_oids", F.array().cast(dict(rows.dtypes)["parent_oids"])).alias("parent_oids"), text("subject"), text("author"), text("committer"))
+    return rows.select("range_id", (F.col("number") - 1).alias("position"), F.col("id").alias("oid"), "tree_oid", F.coalesce("parent_oids", F.array().cast(dict(rows.dtypes)["parent_oids"])).alias("parent_oids"), text("subject"), text("author"), text("committer"))
 
 
 def head_entries(heads: DataFrame, commits: DataFrame, edges: DataFrame, stats: DataFrame) -> DataFrame:

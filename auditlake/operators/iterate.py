@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-#: Rounds after which a loop is given up with an error.
-ROUNDS = 10_000
+#: Rounds after which a loop counts what it goes over, to tell a long path from a circle.
+COUNTED = 1000
 #: Rounds after which what a loop has found is written anew, in one table.
 COMPACT = 8
 
@@ -45,6 +47,14 @@ def numbered(rows: DataFrame, group: list[str], *order: str) -> DataFrame:
     return within.join(before, [*group, "part"]).withColumn("number", F.col("before") + F.col("within")).drop("part", "before", "within")
 
 
+def levels(tree_entries: DataFrame) -> Iterator[int]:
+    """Numbers of a walk's levels, without end; more levels than there are trees are an error, for then a tree holds itself."""
+    for k in count():
+        if k and k % COUNTED == 0 and k > tree_entries.select("tree_oid").distinct().count():
+            raise RuntimeError("a tree holds itself")
+        yield k
+
+
 def hops(edges: DataFrame, doublings: int = 3) -> DataFrame:
     """(node, next, d): ancestors within 2 ** doublings steps of edges(child, parent), with the longest such path's length.
 
@@ -68,7 +78,7 @@ def closure(starts: DataFrame, edges: DataFrame, steps: DataFrame | None = None)
     links = (steps if steps is not None else hops(edges)).select("node", "next")
     frontier = checkpointed(starts.select("start", F.col("node" if "node" in starts.columns else "start").alias("node")).distinct())
     seen = frontier
-    for k in range(ROUNDS):
+    for k in count():
         reached = frontier.join(links, "node").select("start", F.col("next").alias("node")).distinct()
         frontier = checkpointed(reached.join(seen, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
@@ -76,7 +86,6 @@ def closure(starts: DataFrame, edges: DataFrame, steps: DataFrame | None = None)
         seen = seen.unionByName(frontier)
         if k % COMPACT == COMPACT - 1:
             seen = checkpointed(seen)
-    raise RuntimeError(f"not closed after {ROUNDS} rounds")
 
 
 def least_reaching(starts: DataFrame, edges: DataFrame, steps: DataFrame | None = None) -> DataFrame:
@@ -91,6 +100,30 @@ def least_reaching(starts: DataFrame, edges: DataFrame, steps: DataFrame | None
             return now.drop("fresh")
 
 
+def doubled(links: DataFrame) -> DataFrame:
+    """(node, root, distance): the last node of the chain from each node over links(node, next), one successor or null each, and how far it is.
+
+    Each round follows eight times as many links at once as the one before; what has arrived is joined no more.
+    """
+    kind = dict(links.dtypes)["node"]
+    end = F.col("next").isNull()
+    now = links.select("node", "next", F.when(end, F.col("node")).cast(kind).alias("root"), F.when(end, 0).otherwise(1).cast("long").alias("distance"))
+
+    def twice(rows: DataFrame) -> DataFrame:
+        that = rows.select(F.col("node").alias("next"), F.col("next").alias("n2"), F.col("root").alias("r2"), F.col("distance").alias("d2"))
+        far = rows.where("next is not null").join(that, "next").select("node", F.col("n2").alias("next"), F.col("r2").alias("root"), (F.col("distance") + F.col("d2")).alias("distance"))
+        return rows.where("next is null").unionByName(far)
+
+    most = None
+    while True:
+        now = checkpointed(twice(twice(twice(now))))
+        if now.where("next is not null").isEmpty():
+            return now.select("node", "root", "distance")
+        most = most or 8 * now.count()
+        if not now.where(F.col("distance") > most).isEmpty():
+            raise RuntimeError("the links form a cycle")
+
+
 def followed(links: DataFrame) -> DataFrame:
     """(node, root, circular): the last node of the chain from each node, over links(node, next) with one successor or null.
 
@@ -114,10 +147,14 @@ def generations(nodes: DataFrame, edges: DataFrame, steps: DataFrame | None = No
     """
     links = steps if steps is not None else hops(edges)
     now = checkpointed(nodes.select("node").distinct().withColumns({"generation": F.lit(0).cast("long"), "grew": F.lit(True)}))
-    for _ in range(ROUNDS):
+    most = None
+    for k in count(1):
         up = links.join(now.where("grew").select(F.col("node").alias("next"), F.col("generation").alias("g")), "next").groupBy("node").agg(F.max(F.col("g") + F.col("d")).alias("g"))
         grew = F.coalesce(F.col("g") > F.col("generation"), F.lit(False))
         now = checkpointed(now.drop("grew").join(up, "node", "left").select("node", F.when(grew, F.col("g")).otherwise(F.col("generation")).alias("generation"), grew.alias("grew")))
         if now.where("grew").isEmpty():
             return now.drop("grew")
-    raise RuntimeError(f"not ordered after {ROUNDS} rounds")
+        if k % COUNTED == 0:
+            most = most or nodes.select("node").distinct().count()
+            if not now.where(F.col("generation") >= most).isEmpty():
+                raise RuntimeError("the edges form a cycle")

@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from auditlake.functions.columns import kind_rank, object_id
-from auditlake.operators.iterate import checkpointed, closure
+from auditlake.operators.chains import Reach
+from auditlake.operators.iterate import checkpointed, closure, levels
 
-#: Levels of a directory tree after which something must be wrong.
-LEVELS = 1000
 #: Blobs above this size keep a preview alone, of this many bytes.
 WHOLE, PREVIEW = 4 * 1024 * 1024, 8192
 #: Paths kept of a blob, in order of visit.
@@ -98,7 +97,9 @@ def reachable(heads: DataFrame, commits: DataFrame, edges: DataFrame, tree_entri
     present = commits.select(F.col("id").alias("oid"))
     starts = heads.join(present, "oid", "left_semi")
     own = edges.join(present.withColumnRenamed("oid", "child"), "child", "left_semi").join(present.withColumnRenamed("oid", "parent"), "parent", "left_semi")
-    seen = checkpointed(closure(starts.select(F.col("bundle_id").alias("start"), F.col("oid").alias("node")), own).select(F.col("start").alias("bundle_id"), F.col("node").alias("oid")))
+    reach = Reach(own)
+    labels = reach.labels(starts.select(F.col("bundle_id").alias("start"), F.col("oid").alias("node")))
+    seen = checkpointed(reach.nodes(labels).select(F.col("start").alias("bundle_id"), F.col("node").alias("oid")))
     return seen.withColumn("kind", F.lit("commit")).unionByName(tree_objects(seen, commits, tree_entries))
 
 
@@ -274,11 +275,10 @@ def tree_context(visits: DataFrame, commits: DataFrame, tree_entries: DataFrame)
     roots = visits.join(commits.select("id", "tree_oid"), "id").select("bundle_id", "head_index", "commit_order", F.col("tree_oid").alias("oid"), F.expr("cast(array() as array<bigint>)").alias("key"), F.lit(None).cast("string").alias("path"))
     level = checkpointed(roots.groupBy("bundle_id", "oid").agg(first.alias("f")).select("bundle_id", "oid", "f.*"))
     found, links = level, tree_entries.select(F.col("tree_oid").alias("oid"), "pos", "name", "child_oid", "child_kind")
-    for _ in range(LEVELS):
+    for _ in levels(tree_entries):
         below = level.join(links, "oid").select("bundle_id", F.col("child_oid").alias("oid"), "head_index", "commit_order", F.concat("key", F.array("pos")).alias("key"), F.concat_ws("/", "path", "name").alias("path"), (F.col("child_kind") == "tree").alias("deeper"))
         level = checkpointed(below.groupBy("bundle_id", "oid").agg(first.alias("f"), F.max("deeper").alias("deeper")).select("bundle_id", "oid", "f.*", "deeper"))
         if level.isEmpty():
             return found.groupBy("bundle_id", "oid").agg(first.alias("f")).select("bundle_id", "oid", "f.head_index", "f.commit_order", "f.path")
         found = found.unionByName(level.drop("deeper"))
         level = level.where("deeper").drop("deeper")
-    raise RuntimeError(f"a tree is deeper than {LEVELS} levels")

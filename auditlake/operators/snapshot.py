@@ -14,14 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from auditlake.operators.iterate import checkpointed, numbered
+from auditlake.operators.iterate import checkpointed, levels, numbered
 from auditlake.operators.likeness import regular, similar_renames
 from auditlake.operators.lines import line_counts
 
 #: Bytes of a file in which a NUL makes it binary.
 BINARY_WITHIN = 8000
-#: Levels of a directory tree after which something must be wrong.
-LEVELS = 1000
 
 HEADERS = ["diff --git ", "index ", "--- ", "+++ ", "new file mode ", "deleted file mode ", "similarity index ", "rename from ", "rename to "]
 
@@ -30,13 +28,12 @@ def flatten(roots: DataFrame, tree_entries: DataFrame) -> DataFrame:
     """(root, path, mode, oid, kind) of every entry below roots(root), level by level."""
     level = roots.select("root", F.col("root").alias("tree_oid"), F.lit("").alias("prefix"))
     found = None
-    for _ in range(LEVELS):
+    for _ in levels(tree_entries):
         rows = checkpointed(level.join(tree_entries, "tree_oid").select("root", F.concat("prefix", "name").alias("path"), "mode", F.col("child_oid").alias("oid"), F.col("child_kind").alias("kind")))
         if rows.isEmpty():
             return found if found is not None else rows
         found = rows if found is None else found.unionByName(rows)
         level = rows.where("kind = 'tree'").select("root", F.col("oid").alias("tree_oid"), F.concat("path", F.lit("/")).alias("prefix"))
-    raise RuntimeError(f"a tree is deeper than {LEVELS} levels")
 
 
 def file_type(mode: str) -> Column:

@@ -178,3 +178,61 @@ def test_contracts_know_json_types(spark):
     got = {r.doc_id: r.faults for r in contract_faults(spark.createDataFrame(rows, "doc_id int, json string"), "creation").collect()}
     assert {k: got[k] for k in range(len(docs))} == {k: f for k, (_, f) in enumerate(docs)}
     assert got[90] == got[91] == got[92] == ["document is no object"]
+
+
+def test_a_long_line_of_commits(spark):
+    n = 50_000
+    commits = spark.range(n).selectExpr("id", "id as time", "'r' as repo")
+    edges = spark.range(1, n).selectExpr("id as child", "id - 1 as parent", "0 as parent_index")
+    heads = spark.createDataFrame([("b", 0, n - 1), ("b", 1, n // 2)], "bundle_id string, head_index int, oid long")
+    got = H.visit_order(heads, commits, edges)
+    assert got.where(f"head_index <> 0 or commit_order <> {n} - id").count() == 0 and got.count() == n
+    pairs = spark.createDataFrame([(n - 1, 0), (0, n - 1), (7, 7)], "a long, b long")
+    assert {(r.a, r.b): r.descends for r in H.is_descendant(pairs, edges).collect()} == {(n - 1, 0): True, (0, n - 1): False, (7, 7): False}
+    ranges = spark.createDataFrame([("r", n - 1, n - 4)], "range_id string, tip long, hidden long")
+    assert {r.node for r in H.commit_range(ranges, edges).collect()} == {n - 3, n - 2, n - 1}
+
+
+def test_visits_are_those_of_a_stack_on_random_graphs(spark):
+    import random
+
+    rng, commits, edges, heads, want = random.Random(5), [], [], [], {}
+    for g in range(12):
+        n = rng.randint(2, 25)
+        parents = {k: rng.sample(range(k), min(k, rng.choice([0, 1, 1, 2, 3]))) for k in range(n)}
+        tips = rng.sample(range(n), min(n, 3))
+        commits += [(f"{g}:{k}", k) for k in range(n)]
+        edges += [(f"{g}:{k}", f"{g}:{p}", i) for k, ps in parents.items() for i, p in enumerate(ps)]
+        heads += [(g, i, f"{g}:{t}") for i, t in enumerate(tips)]
+        seen = set()
+        for i, tip in enumerate(tips):
+            stack, order = [tip], 0
+            while stack:
+                k = stack.pop()
+                if k not in seen:
+                    seen.add(k)
+                    order += 1
+                    want[g, f"{g}:{k}"] = (i, order)
+                    stack += parents[k][::-1]
+        assert seen
+    frames = (spark.createDataFrame(heads, "bundle_id int, head_index int, oid string"), spark.createDataFrame(commits, "id string, time long"), spark.createDataFrame(edges, "child string, parent string, parent_index int"))
+    assert {(r.bundle_id, r.id): (r.head_index, r.commit_order) for r in H.visit_order(*frames).collect()} == want
+
+
+def test_what_is_reached_on_random_graphs(spark):
+    import random
+
+    rng, edges = random.Random(6), []
+    for g in range(8):
+        for k in range(1, 40):
+            edges += [(g * 100 + k, g * 100 + p, i) for i, p in enumerate(rng.sample(range(k), min(k, rng.choice([1, 1, 1, 2]))))]
+    above = {}
+    for child, parent, _ in sorted(edges):
+        above.setdefault(child, {child}).update(above.get(parent, {parent}))
+    df = spark.createDataFrame(edges, "child long, parent long, parent_index int")
+    starts = sorted(above)[::3] + [100_000]
+    got = {}
+    for r in H.ancestors(spark.createDataFrame([(s,) for s in starts], "start long"), df).collect():
+        assert r.node not in got.setdefault(r.start, set())
+        got[r.start].add(r.node)
+    assert got == {s: above.get(s, {s}) for s in starts}
