@@ -51,7 +51,7 @@ def shortcuts(cross: DataFrame) -> DataFrame:
     now = asked.join(ranked.drop("pos"), ["chain", "rank"]).groupBy("chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos"))
     for _ in range(DOUBLINGS):
         far = now.join(now.toDF("to_chain", "to_pos", "c", "p"), ["to_chain", "to_pos"]).select("chain", "pos", F.col("c").alias("to_chain"), F.col("p").alias("to_pos"))
-        now = checkpointed(now.unionByName(far).where("chain <> to_chain").groupBy("chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos")))
+        now = checkpointed(now.unionByName(far).where("chain <> to_chain").groupBy("chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos")), now)
     return now
 
 
@@ -85,7 +85,7 @@ class Reach:
             met = fresh.join(hop, "chain").where("at <= pos and at > done").select("start", "to_chain", "to_pos").groupBy("start", "to_chain").agg(F.max("to_pos").alias("to_pos"))
             more = met.join(far, ["to_chain", "to_pos"], "left").select("start", F.explode(F.array(F.struct(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos")), F.struct(F.col("c").alias("chain"), F.col("p").alias("pos")))).alias("x")).select("start", "x.*").where("chain is not null")
             both = now.join(most(more).withColumnRenamed("pos", "more"), ["start", "chain"], "full")
-            now = checkpointed(both.select("start", "chain", F.greatest("pos", "more").alias("pos"), F.coalesce("pos", F.lit(-1).cast("long")).alias("done")))
+            now = checkpointed(both.select("start", "chain", F.greatest("pos", "more").alias("pos"), F.coalesce("pos", F.lit(-1).cast("long")).alias("done")), now)
 
     def nodes(self, labels: DataFrame, without: DataFrame | None = None) -> DataFrame:
         """(start, node) of all that labels cover, less what the labels `without` of the same start do."""
@@ -120,7 +120,7 @@ def first_visits(heads: DataFrame, places: DataFrame, cross: DataFrame) -> DataF
         met = fresh.join(edges, "chain").where("at <= pos and at > floor").groupBy("bundle_id", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos")).agg(F.min(step).alias("other"))
         better = F.coalesce(F.col("other") < F.col("key"), F.col("other").isNotNull())
         told = now.drop("fresh").join(met, ["bundle_id", "chain", "pos"], "full").select("bundle_id", "chain", "pos", F.when(better, F.col("other")).otherwise(F.col("key")).alias("key"), better.alias("fresh"))
-        now = checkpointed(_stretches(told).select("bundle_id", "chain", "pos", "key", "fresh"))
+        now = checkpointed(_stretches(told).select("bundle_id", "chain", "pos", "key", "fresh"), now)
         if now.where("fresh").isEmpty():
             ends = _stretches(now)
             found = ends.join(places.withColumnRenamed("pos", "at"), "chain").where("at <= pos and at > floor")

@@ -55,26 +55,61 @@ def mismatched_rows(claimed: DataFrame, actual: DataFrame, key: list[str], colum
 
 
 def build_claims(bundles: DataFrame, chain: DataFrame, files: DataFrame) -> DataFrame:
-    """(bundle_id, json): one document per bundle from chain(bundle_id, pos, ...) and files(bundle_id, pos, ...), in order."""
+    """(bundle_id, json): one document per bundle from bundles(bundle_id, ...), chain(bundle_id, pos, ...) and files(bundle_id, pos, ...), in order.
+
+    Other columns are the document's fields as they are named, null ones kept; a bundle without commits or files has empty lists.
+    """
 
     def listed(rows: DataFrame, name: str) -> DataFrame:
         inner = [c for c in rows.columns if c not in ("bundle_id", "pos")]
-        return rows.groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", *inner))), lambda x: F.struct(*[x[c].alias(c) for c in inner])).alias(name))
+        return rows.groupBy("bundle_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*inner).alias("x")))), lambda x: x["x"]).alias(name))
 
     rows = bundles.join(listed(chain, "commit_chain"), "bundle_id", "left").join(listed(files, "changed_files"), "bundle_id", "left")
-    return rows.select("bundle_id", F.to_json(F.struct(F.lit("1").alias("schema_version"), *[c for c in rows.columns if c != "bundle_id"])).alias("json"))
+    some = lambda n: F.coalesce(n, F.from_json(F.lit("[]"), rows.schema[n].dataType)).alias(n)
+    body = F.struct(F.lit("1").alias("schema_version"), *[some(c) if c in ("commit_chain", "changed_files") else F.col(c) for c in rows.columns if c != "bundle_id"])
+    return rows.select("bundle_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def entry_fields(ledger: DataFrame) -> DataFrame:
+    """Rows of read packs (sources.ingest_packs, with resolved and note) under the names that an audit document's entries have."""
+    distance = F.col("base_distance").cast("string")
+    base = F.when(F.col("kind") == "ofs-delta", F.concat_ws("@", F.concat(F.lit("ofs:"), distance), F.col("base_offset").cast("string"))).when(F.col("kind") == "ref-delta", F.concat(F.lit("oid:"), "base_oid"))
+    return ledger.select("bundle_id", "idx", F.col("offs").alias("offset"), "kind", "out_size", "reconstructed_size", base.alias("base"), "result_oid", "result_kind", "resolved", "resolved_via", "note")
+
+
+def proof_fields(proofs: DataFrame, checks: DataFrame) -> DataFrame:
+    """proofs under the names of an audit document's proof, with pack version and checksums of checks, the pack preflight's rows."""
+    own = checks.select("bundle_id", "pack_version", F.col("computed_checksum").alias("computed_pack_checksum"), F.col("trailer_checksum").alias("trailer_pack_checksum"))
+    rows = proofs.join(own, "bundle_id")
+    counts = ["entries_declared", "entries_parsed", "entries_materialized", "unique_objects_materialized", "duplicate_entry_count_materialized", "checksum_verified", "thin_pack_detected", "baseline_resolutions_count", "transfer_allowed", "blocked_reason"]
+    return rows.select("bundle_id", "verification_status", "pack_version", F.col("entries_declared").alias("declared_object_count"), F.col("entries_parsed").alias("processed_object_count"), *counts, F.lit("sha1").alias("hash_algorithm"), "computed_pack_checksum", "trailer_pack_checksum")
 
 
 def write_documents(docs: DataFrame, folder: str, name: str = "bundle_id", column: str = "json") -> None:
-    """Writes each document of docs to files of its own, in a subfolder named after its bundle."""
-    docs.select(name, column).write.partitionBy(name).option("maxRecordsPerFile", 1).text(folder)
+    """Writes docs as lines of JSON, a document and its bundle's name on each, in files of even size that appear together or not at all."""
+    docs.select(F.col(name).cast("string").alias("name"), F.col(column).alias("document")).hint("rebalance").write.json(folder)
+
+
+def read_documents(spark, folder: str, schema: str) -> DataFrame:
+    """(name, doc, error) of documents that write_documents wrote; see told_documents."""
+    return told_documents(spark.read.schema("name string, document string").json(folder), "document", schema)
 
 
 def load_claims(spark, paths, schema: str) -> DataFrame:
-    """Documents of files, one each; another schema version is refused with an error."""
-    rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("doc"))
-    bad = F.concat(F.lit("unsupported schema version: '"), F.coalesce(F.col("doc.schema_version"), F.lit("")), F.lit("'"))
-    return rows.withColumn("doc", F.when(F.coalesce(F.col("doc.schema_version"), F.lit("")) == "1", F.col("doc")).otherwise(F.raise_error(bad)))
+    """(path, doc, error) of files with one document each; see told_documents."""
+    rows = spark.read.text(paths, wholetext=True)
+    return told_documents(rows.select(rows.metadataColumn("_metadata")["file_path"].alias("path"), "value"), "value", schema)
+
+
+def told_documents(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """rows with the document in `column` read by the schema as `doc`, or null and an `error`; one bad document spoils no other.
+
+    Refused are what is no JSON, has a value of another type than the schema's, or is of another schema version.
+    """
+    read = rows.withColumn("doc", F.from_json(column, f"{schema}, _unread string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})).drop(column)
+    version = F.coalesce("doc.schema_version", F.lit(""))
+    error = F.when(F.col("doc").isNull() | F.col("doc._unread").isNotNull(), "document is not as its schema says").when(version != "1", F.concat(F.lit("unsupported schema version: '"), version, F.lit("'")))
+    return read.withColumn("error", error).withColumn("doc", F.when(F.col("error").isNull(), F.col("doc").dropFields("_unread")))
 
 
 def report_tables(proofs: DataFrame, transport: DataFrame, inventory: DataFrame) -> dict[str, DataFrame]:

@@ -32,10 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    at = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
+def checkpointed(df: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """df, written to the shared folder and read again. `after` is a table of an earlier round that only df still needed; its files go."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    old = getattr(after, "_round", None)
+    if old is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(old)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    told = spark.read.schema(df.schema).parquet(at)
+    told._round = at
+    return told
 
 
 def numbered(rows: DataFrame, group: list[str], *order: str) -> DataFrame:
@@ -64,7 +72,7 @@ def hops(edges: DataFrame, doublings: int = 3) -> DataFrame:
     now = checkpointed(edges.select(F.col("child").alias("node"), F.col("parent").alias("next")).distinct().withColumn("d", F.lit(1)))
     for _ in range(doublings):
         far = now.join(now.select(F.col("node").alias("next"), F.col("next").alias("n2"), F.col("d").alias("d2")), "next").select("node", F.col("n2").alias("next"), (F.col("d") + F.col("d2")).alias("d"))
-        now = checkpointed(now.unionByName(far).groupBy("node", "next").agg(F.max("d").alias("d")))
+        now = checkpointed(now.unionByName(far).groupBy("node", "next").agg(F.max("d").alias("d")), now)
     return now
 
 
@@ -95,7 +103,7 @@ def least_reaching(starts: DataFrame, edges: DataFrame, steps: DataFrame | None
     while True:
         met = now.where("fresh").join(links, "node").groupBy("start", F.col("next").alias("node")).agg(F.min("value").alias("other"))
         less = F.coalesce(F.col("other") < F.col("value"), F.col("other").isNotNull())
-        now = checkpointed(now.drop("fresh").join(met, ["start", "node"], "full").select("start", "node", F.when(less, F.col("other")).otherwise(F.col("value")).alias("value"), less.alias("fresh")))
+        now = checkpointed(now.drop("fresh").join(met, ["start", "node"], "full").select("start", "node", F.when(less, F.col("other")).otherwise(F.col("value")).alias("value"), less.alias("fresh")), now)
         if now.where("fresh").isEmpty():
             return now.drop("fresh")
 
@@ -116,7 +124,7 @@ def doubled(links: DataFrame) -> DataFrame:
 
     most = None
     while True:
-        now = checkpointed(twice(twice(twice(now))))
+        now = checkpointed(twice(twice(twice(now))), now)
         if now.where("next is not null").isEmpty():
             return now.select("node", "root", "distance")
         most = most or 8 * now.count()
@@ -151,7 +159,7 @@ def generations(nodes: DataFrame, edges: DataFrame, steps: DataFrame | None = No
     for k in count(1):
         up = links.join(now.where("grew").select(F.col("node").alias("next"), F.col("generation").alias("g")), "next").groupBy("node").agg(F.max(F.col("g") + F.col("d")).alias("g"))
         grew = F.coalesce(F.col("g") > F.col("generation"), F.lit(False))
-        now = checkpointed(now.drop("grew").join(up, "node", "left").select("node", F.when(grew, F.col("g")).otherwise(F.col("generation")).alias("generation"), grew.alias("grew")))
+        now = checkpointed(now.drop("grew").join(up, "node", "left").select("node", F.when(grew, F.col("g")).otherwise(F.col("generation")).alias("generation"), grew.alias("grew")), now)
         if now.where("grew").isEmpty():
             return now.drop("grew")
         if k % COUNTED == 0:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from auditlake.functions.columns import kind_rank, object_id
-from auditlake.operators.chains import Reach
+from auditlake.operators.chains import Reach, in_order
 from auditlake.operators.iterate import checkpointed, closure, levels
 
 #: Blobs above this size keep a preview alone, of this many bytes.
@@ -132,7 +132,7 @@ def object_inventory(index: DataFrame, reached: DataFrame, context: DataFrame) -
     """index with reachable, head_index, commit_order, path, and position by kind rank and oid within the bundle."""
     mark = reached.select("bundle_id", "oid").distinct().withColumn("reachable", F.lit(True))
     rows = index.join(mark, ["bundle_id", "oid"], "left").join(context, ["bundle_id", "oid"], "left").withColumn("reachable", F.coalesce("reachable", F.lit(False)))
-    return rows.withColumn("position", F.row_number().over(W.Window.partitionBy("bundle_id").orderBy(kind_rank("kind"), "oid")) - 1)
+    return in_order(rows, ["bundle_id"], kind_rank("kind"), F.col("oid")).withColumn("position", F.col("number") - 1).drop("number")
 
 
 def inventory_summary(inventory: DataFrame) -> DataFrame:
@@ -144,8 +144,8 @@ def order_inventory(inventory: DataFrame, mode: str = "context") -> DataFrame:
     """inventory with `row`: by head and commit, absent ones last, then path (absent first), kind and id; or as in the inventory."""
     if mode == "canonical":
         return inventory.withColumn("row", F.col("position"))
-    by = W.Window.partitionBy("bundle_id").orderBy(F.asc_nulls_last("head_index"), F.asc_nulls_last("commit_order"), F.asc_nulls_first("path"), kind_rank("kind"), "oid")
-    return inventory.withColumn("row", F.row_number().over(by) - 1)
+    last = lambda c: (F.col(c).isNull(), F.col(c))
+    return in_order(inventory, ["bundle_id"], *last("head_index"), *last("commit_order"), F.col("path"), kind_rank("kind"), F.col("oid")).withColumn("row", F.col("number") - 1).drop("number")
 
 
 def reachability_verdict(inventory: DataFrame) -> DataFrame:

@@ -184,11 +184,11 @@ def head_entries(spark, sf):
 # Merging
 
 _FORK = ["forked", "fork_refs"]
-MERGED = """+ told AS (SELECT *, CASE WHEN ours IS NOT DISTINCT FROM theirs THEN 'same' WHEN base IS NOT DISTINCT FROM ours THEN 'take-theirs' WHEN base IS NOT DISTINCT FROM theirs THEN 'take-ours' WHEN base IS NULL THEN 'add/add' WHEN ours IS NULL OR theirs IS NULL THEN 'modify/delete' ELSE 'both-modified' END AS kind FROM forked WHERE k % 3 <> 2 AND (base IS NOT NULL OR ours IS NOT NULL OR theirs IS NOT NULL)),
+MERGED = """+ told AS (SELECT *, CASE WHEN ours IS NOT DISTINCT FROM theirs THEN 'same' WHEN base IS NOT DISTINCT FROM ours THEN 'take-theirs' WHEN base IS NOT DISTINCT FROM theirs THEN 'take-ours' WHEN base IS NULL THEN 'add/add' WHEN ours IS NULL OR theirs IS NULL THEN 'modify/delete' ELSE 'both-modified' END AS kind FROM forked WHERE base IS NOT NULL OR ours IS NOT NULL OR theirs IS NOT NULL),
 resolved AS (SELECT *, kind IN ('add/add', 'modify/delete') OR (kind = 'both-modified' AND (k % 3 = 1 AND doc_id % 5 = 0 AND theirs LIKE '%theirs tail' OR text = '' OR (NOT contains(text, chr(10))))) AS bad,
   CASE WHEN kind IN ('same', 'take-ours') THEN ours WHEN kind = 'take-theirs' THEN theirs ELSE concat('theirs head', chr(10), ours) END AS merged FROM told),
 merge AS (SELECT r.bundle_id, r.k, r.target_ref, r.target, r.incoming, CASE WHEN r.k % 3 = 2 THEN 'unknown' WHEN count(*) FILTER (bad) > 0 THEN 'conflicted' ELSE 'clean' END AS status, coalesce(string_agg(path, ',' ORDER BY path) FILTER (bad), '') AS conflict_paths
-  FROM fork_refs r LEFT JOIN resolved m ON m.bundle_id = r.bundle_id AND m.k = r.k GROUP BY r.bundle_id, r.k, r.target_ref, r.target, r.incoming)"""
+  FROM fork_refs r LEFT JOIN resolved m ON m.bundle_id = r.bundle_id AND m.k = r.k AND r.k % 3 <> 2 GROUP BY r.bundle_id, r.k, r.target_ref, r.target, r.incoming)"""
 
 
 def _fork_plan(spark, sf):
@@ -239,7 +239,7 @@ def merge_commits(spark, sf):
 
 @query("merge_texts", duck(_FORK, MERGED + " SELECT bundle_id, path, NOT bad AS clean, CASE WHEN NOT bad THEN sha256(merged) END AS merged FROM resolved WHERE kind = 'both-modified'"))
 def merge_texts(spark, sf):
-    rows = R.merge_paths(view(spark, sf, "forked").where("k % 3 <> 2").drop("kind")).where("kind = 'both-modified'").drop("merged")
+    rows = R.merge_paths(view(spark, sf, "forked").drop("kind")).where("kind = 'both-modified'").drop("merged")
     return L.merge_texts(rows).select("bundle_id", "path", F.col("merged").isNotNull().alias("clean"), F.sha2(F.col("merged").cast("binary"), 256).alias("merged"))
 
 

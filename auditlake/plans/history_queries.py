@@ -227,7 +227,7 @@ def plan_summary(spark, sf):
 
 
 UPDATES = """+ refs AS (SELECT repo, target_ref AS ref_name, target::varchar AS oid FROM pairs WHERE target IS NOT NULL),
-updates AS (SELECT repo AS bundle_id, repo, target_ref AS ref_name, CASE WHEN cust % 41 = 0 THEN 'stale' ELSE target::varchar END AS expected_old, incoming::varchar AS new_oid FROM pairs WHERE cust % 2 = 0),
+updates AS (SELECT repo AS bundle_id, repo, target_ref AS ref_name, CASE WHEN cust % 41 = 0 AND repo % 3 = 0 THEN 'stale' ELSE target::varchar END AS expected_old, incoming::varchar AS new_oid FROM pairs),
 checked AS (SELECT u.*, r.oid, r.oid IS NOT DISTINCT FROM expected_old AS holds FROM updates u LEFT JOIN refs r USING (repo, ref_name)),
 good AS (SELECT repo, ref_name, new_oid FROM checked WHERE bundle_id NOT IN (SELECT bundle_id FROM checked WHERE NOT holds))"""
 
@@ -235,7 +235,7 @@ good AS (SELECT repo, ref_name, new_oid FROM checked WHERE bundle_id NOT IN (SEL
 def _updates(spark, sf):
     p = _pairs(spark, sf)
     refs = p.where("target is not null").select("repo", F.col("target_ref").alias("ref_name"), F.col("target").cast("string").alias("oid"))
-    updates = p.where("cust % 2 = 0").select(F.col("repo").alias("bundle_id"), "repo", F.col("target_ref").alias("ref_name"), F.when(F.col("cust") % 41 == 0, "stale").otherwise(F.col("target").cast("string")).alias("expected_old"), F.col("incoming").cast("string").alias("new_oid"))
+    updates = p.select(F.col("repo").alias("bundle_id"), "repo", F.col("target_ref").alias("ref_name"), F.when((F.col("cust") % 41 == 0) & (F.col("repo") % 3 == 0), "stale").otherwise(F.col("target").cast("string")).alias("expected_old"), F.col("incoming").cast("string").alias("new_oid"))
     return refs, updates
 
 

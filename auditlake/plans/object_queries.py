@@ -235,6 +235,6 @@ def build_claims(spark, sf):
     from pyspark.sql import window as W
 
     chain = view(spark, sf, "commits").select(F.col("repo").alias("bundle_id"), (F.row_number().over(W.Window.partitionBy("repo").orderBy("time", "id")) - 1).alias("pos"), F.col("id").alias("oid"), F.col("message").alias("subject"))
-    docs = C.build_claims(chain.select("bundle_id").distinct(), chain, chain.where("pos < 3").withColumnRenamed("subject", "path"))
+    docs = C.build_claims(chain.select("bundle_id").distinct(), chain, chain.withColumnRenamed("subject", "path"))
     read = docs.withColumn("d", F.from_json("json", "schema_version string, commit_chain array<struct<oid: long, subject: string>>"))
     return read.select("bundle_id", F.posexplode("d.commit_chain").alias("pos", "c")).select("bundle_id", "pos", "c.oid", "c.subject")

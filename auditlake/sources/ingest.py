@@ -19,6 +19,8 @@ from auditlake.operators.iterate import checkpointed
 #: Entry types of a pack, and the bytes that end it.
 KINDS = {1: "commit", 2: "tree", 3: "blob", 4: "tag", 6: "ofs-delta", 7: "ref-delta"}
 TRAILER = 20
+#: Bytes of a file in which its header is expected to end.
+HEADER = 64 * 1024
 #: Bytes of a pack that are inflated at a time.
 STEP = 64 * 1024
 
@@ -34,7 +36,10 @@ def bundle_headers(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     The header is the lines up to the first empty one; PACK must follow at once. A line that is neither a prerequisite nor
     an id and a ref makes the package an error row.
     """
-    text = F.decode("content", "ISO-8859-1")
+    # The header is looked for at the beginning; only if it does not end there, the whole file is looked at.
+    start = F.decode(F.substring("content", 1, HEADER), "ISO-8859-1")
+    ended = (F.instr(start, "\n\n") > 0) | (F.instr(start, "\n\r\n") > 0)
+    text = F.when(ended | (F.octet_length("content") <= HEADER), start).otherwise(F.decode("content", "ISO-8859-1"))
     end = F.instr(F.regexp_replace(text, "\r\n", " \n"), "\n\n")
     raw_end = F.greatest(end, F.instr(text, "\n\r\n"))
     stop = F.when(F.instr(text, "\n\r\n") > 0, F.when((F.instr(text, "\n\n") > 0) & (F.instr(text, "\n\n") < F.instr(text, "\n\r\n")), F.instr(text, "\n\n") + 2).otherwise(F.instr(text, "\n\r\n") + 3)).otherwise(F.instr(text, "\n\n") + 2)

@@ -82,3 +82,47 @@ def test_transport(spark):
     files = spark.createDataFrame([("/d/p.zip", out.getvalue()), ("/d/q.bundle", b"y")], "path string, content binary")
     got = [(r.path, r.name, r.size_bytes, r.n_bundles) for r in I.transport_inventory(files).orderBy("path", "name").collect()]
     assert got == [("/d/p.zip", "a.bundle", 1, 1), ("/d/p.zip", "b.json", 2, 1), ("/d/q.bundle", "q.bundle", 1, 1)]
+
+
+def test_deltas_on_later_and_on_spoilt_entries(spark):
+    first = entry(3, BASE)
+    early = entry(7, DELTA, bytes.fromhex(oid("blob", BASE)))
+    wrong = entry(6, bytes([len(BASE) + 1, 20, 0x90, 15, 5]) + b"12345", bytes([len(first)]))
+    deep = [first]
+    for _ in range(6):
+        # Each copies its base whole and adds a byte.
+        size = len(BASE) + len(deep) - 1
+        deep.append(entry(6, bytes([size | 128 if size > 127 else size] + ([1] if size > 127 else []) + [(size + 1) & 127 | (128 if size + 1 > 127 else 0)] + ([1] if size + 1 > 127 else []) + [0x90, size, 1]) + b"!", bytes([len(deep[-1])])))
+    packs = [("later", packed([early, first])), ("wrong", packed([first, wrong, entry(3, b"never seen")])), ("deep", packed(deep)), ("none", packed([], 0))]
+    rows = I.ingest_packs(spark.createDataFrame(packs, "bundle_id string, pack binary")).collect()
+    got = {(r.bundle_id, r.idx): r for r in rows}
+    assert "unresolved base object" in got["later", 0].error and ("later", 1) not in got
+    assert "delta is for a base of" in got["wrong", 1].error and ("wrong", 2) not in got and got["wrong", 0].error is None
+    assert [bytes(got["deep", k].content) for k in range(7)] == [BASE + b"!" * k for k in range(7)]
+    assert all(got["deep", k].end_offs == got["deep", k + 1].offs for k in range(6)) and got["deep", 6].end_offs == len(packs[2][1]) - 20
+    assert not [r for r in rows if r.bundle_id == "none"]
+    assert {r.resolved_via for r in rows if r.error is None} == {"in-pack"}
+
+
+def test_a_header_longer_than_looked_for(spark):
+    heads = "".join(f"{k:040x} refs/heads/b{k}\n" for k in range(2000))
+    pack = packed([entry(3, BASE)])
+    assert len(heads) > I.HEADER
+    bundles, _, found = I.bundle_headers(spark.createDataFrame([("long", f"# v2 git bundle\n{heads}\n".encode() + pack), ("open", f"# v2 git bundle\n{heads}".encode())], "path string, content binary"))
+    got = {r.path: r for r in bundles.collect()}
+    assert got["long"].error is None and bytes(got["long"].pack) == pack and found.count() == 2000 and got["open"].error == "header does not end"
+
+
+def test_one_bad_document_among_many(spark, tmp_path):
+    import json
+
+    from auditlake.operators import claims as C
+
+    for k in range(300):
+        (tmp_path / f"{k}.json").write_text(json.dumps({"schema_version": "1", "n": k}, indent=1) if k != 7 else '{"schema_version": "1", "n"')
+    (tmp_path / "x.json").write_text('{"schema_version": "2", "n": 1}')
+    (tmp_path / "y.json").write_text('{"schema_version": "1", "n": "many"}')
+    (tmp_path / "z.json").write_text("")
+    got = {r.path.rsplit("/", 1)[-1]: r for r in C.load_claims(spark, str(tmp_path), "schema_version string, n long").collect()}
+    assert sorted(r.doc.n for r in got.values() if r.error is None) == [k for k in range(300) if k != 7]
+    assert {k: r.error for k, r in got.items() if r.error} == {"7.json": "document is not as its schema says", "x.json": "unsupported schema version: '2'", "y.json": "document is not as its schema says", "z.json": "document is not as its schema says"}
