@@ -1,111 +1,152 @@
 """Shards of near-equal bytes by minimax contiguous partition, with DataFrame functions alone.
 
-Equal texts are atomic: they share a shard. Texts are ordered by their SHA-1; all texts whose digest begins with the
-same 16 bits form one atomic run, so there are at most 65,536 runs at any input size and a shard's excess over the
-best possible capacity is at most one run. The run sizes, one bounded array, are cut by binary search for the smallest
-capacity at which greedy filling needs no more shards than asked for, and greedy filling at that capacity gives the cuts.
-A run larger than the fair share of what is left is a shard by itself, and the others share the shards that remain.
-
-Rows of a hot text are spread over 64 cells within their run; a row's slot is the count of rows in earlier cells of
-its shard plus its rank within the cell, so that no task ranks a whole shard or a whole group of copies.
-
-Defined results: null text has size 1 and the CRC of the empty text; rows of equal doc_id are ranked by size and CRC and
-each gets its slot; null doc_ids come first; an empty table gives an empty result.
+Equal texts are an atomic group. Groups are in order of their key, the first 60 bits of their text's SHA-1 (texts that share
+these would be one group), and each shard is a contiguous range of keys. The capacity is the smallest at which greedy filling
+needs no more shards than asked for, by binary search over the groups' sizes; the cuts are then levelled within it, so that no
+shard exceeds that capacity and the last is not left light.
+
+Groups are not gathered for this. The driver searches over units, which are ranges of keys with their bytes, 65,536 at first.
+Coarse units tell between which bytes each cut must lie, whatever the groups within; the units there are divided 256-fold by another
+aggregation, until those at the cuts are single groups. So the search is that over all groups, and the driver holds some 65,536 sums
+and a few hundred times 256 more for each division, however many groups there are.
+
+Rows of a key's first 16 bits are spread over as many cells as their number calls for; a row's slot is the count of rows in
+earlier cells of its shard plus its rank within the cell, so no task ranks a whole shard or a whole group of copies.
+
+Defined results: null text has size 1 and the CRC of the empty text; rows of equal doc_id are ranked by size and CRC and each gets
+its slot; null doc_ids come first; a long text is one row's size and digest; other columns are not looked at; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from auditlake.llm.common import staged
 
-#: Cells within a run, over which the rows of one text are spread.
-CELLS = 64
-
-
-def let(value, f):
-    """f of a value that is evaluated once, however often f uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
-def minimax_cuts(runs: DataFrame, n_shards: int, size: str = "bytes") -> DataFrame:
-    """runs(run, bytes) in order of run, at most 65,536 rows, with `shard`.
-
-    The smallest capacity lies between the fair share and the fair share plus the largest run, both of which bound the
-    binary search over whole bytes.
-    """
-    # One row with one bounded array; each step is staged, so that no expression is evaluated twice.
-    sizes = runs.agg(F.array_sort(F.collect_list(F.struct("run", F.col(size).cast("long").alias("b")))).alias("all"))
-    sizes = staged(sizes, "runs")
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["b"])
-
-    # Runs above the fair share of what is left, found again until none is: at most n_shards of them.
-    state = F.struct(F.col("all").alias("rest"), F.slice("all", 1, 0).alias("alone"))
-
-    def set_apart(s, _):
-        left = F.greatest(F.lit(n_shards) - F.size(s["alone"]), F.lit(1))
-        split = lambda share: F.struct(F.filter(s["rest"], lambda x: (x["b"] <= share["v"]) | (share["left"] <= 1)).alias("rest"), F.concat(s["alone"], F.filter(s["rest"], lambda x: (x["b"] > share["v"]) & (share["left"] > 1))).alias("alone"))
-        return let(F.struct(F.ceil(total(s["rest"]) / left).alias("v"), left.alias("left")), split)
-
-    apart = sizes.select(F.aggregate(F.sequence(F.lit(1), F.lit(n_shards)), state, set_apart).alias("s"))
-    apart = staged(apart, "apart").select(F.col("s.rest").alias("rest"), F.col("s.alone").alias("alone"), (F.lit(n_shards) - F.size("s.alone")).alias("k"))
-    largest = F.coalesce(F.array_max(F.transform("rest", lambda x: x["b"])), F.lit(0))
-    fair = F.ceil(total(F.col("rest")) / F.greatest("k", F.lit(1)))
-    bounds = staged(apart.withColumns({"lo": F.greatest(fair, largest), "hi": fair + largest, "rounds": F.ceil(F.log2(largest + 2)).cast("int") + 1}), "bounds")
-
-    def needed(capacity):
-        """Shards that greedy filling takes at this capacity."""
-        filled = F.aggregate(
-            F.col("rest"),
-            F.struct(F.lit(1).alias("n"), F.lit(0).cast("long").alias("load")),
-            lambda s, x: F.when(s["load"] + x["b"] <= capacity, F.struct(s["n"].alias("n"), (s["load"] + x["b"]).alias("load"))).otherwise(F.struct((s["n"] + 1).alias("n"), x["b"].alias("load"))),
-        )
-        return filled["n"]
-
-    def halve(s, _):
-        step = lambda mid: F.when(needed(mid) <= F.col("k"), F.struct(s["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), s["hi"].alias("hi")))
-        return F.when(s["lo"] >= s["hi"], s).otherwise(let(F.floor((s["lo"] + s["hi"]) / 2).cast("long"), step))
-
-    searched = F.aggregate(F.sequence(F.lit(1), F.greatest("rounds", F.lit(1))), F.struct(F.col("lo"), F.col("hi")), halve)
-    best = staged(bounds.withColumn("capacity", searched["hi"]), "capacity")
-    cut = F.aggregate(
-        F.col("rest"),
-        F.struct(F.size("alone").alias("n"), F.lit(0).cast("long").alias("load"), F.expr("cast(array() as array<struct<run:int,shard:int>>)").alias("out")),
-        lambda s, x: F.when(
-            s["load"] + x["b"] <= F.col("capacity"),
-            F.struct(s["n"].alias("n"), (s["load"] + x["b"]).alias("load"), s["out"].alias("out")),
-        ).otherwise(F.struct((s["n"] + 1).alias("n"), x["b"].alias("load"), F.concat(s["out"], F.array(F.struct(x["run"].alias("run"), (s["n"] + 1).alias("shard")))).alias("out"))),
-    )
-    # `starts` has the first run of every shard but the first; a run belongs to the last start at or before it.
-    placed = staged(best.withColumn("starts", cut["out"]), "cuts")
-    rest = placed.select(F.explode("rest").alias("x"), "starts", F.size("alone").alias("first")).select(
-        F.col("x.run").alias("run"),
-        F.coalesce(F.array_max(F.transform(F.filter("starts", lambda t: t["run"] <= F.col("x.run")), lambda t: t["shard"])), F.col("first")).alias("shard"),
-    )
-    return rest.unionByName(placed.select(F.posexplode("alone").alias("shard", "x")).select(F.col("x.run").alias("run"), "shard"))
+#: Bits of a key, of a first unit's number, and of each division of a unit.
+BITS, FIRST, MORE = 60, 16, 8
+#: Rows of a cell, about.
+CELL_ROWS = 65_536
+
+
+class Unit(NamedTuple):
+    """A range of keys: its first key, the bits below its number, its bytes and its groups."""
+
+    key: int
+    below: int
+    size: int
+    groups: int
+
+
+def group_sizes(docs: DataFrame) -> DataFrame:
+    """(key, bytes) of each group of equal texts of docs(key, size)."""
+    return docs.groupBy("key").agg(F.sum("size").alias("bytes"))
+
+
+def _units(groups: DataFrame, below: int) -> list[Unit]:
+    number = F.shiftright("key", below)
+    rows = groups.groupBy(number.alias("u")).agg(F.sum("bytes").alias("size"), F.count("*").alias("groups")).collect()
+    return [Unit(r["u"] << below, below, r["size"], r["groups"]) for r in rows]
+
+
+def _filled(ends: list[int], capacity: int, n: int) -> list[int]:
+    """Where greedy filling ends each of n shards, over units that end at `ends`; it stays where a unit is larger than the capacity."""
+    at, out = 0, []
+    for _ in range(n):
+        k = bisect_right(ends, at + capacity)
+        at = max(at, ends[k - 1] if k else 0)
+        out.append(at)
+    return out
+
+
+def _capacity(ends: list[int], low: int, high: int, n: int) -> int:
+    """The smallest capacity from low to high at which n shards hold all; high is one."""
+    while low < high:
+        middle = (low + high) // 2
+        if _filled(ends, middle, n)[-1] == ends[-1]:
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
+def _levelled(ends: list[int], capacity: int, n: int, large: list[int]) -> list[int]:
+    """Ends of n shards of at most that capacity, as near to equal as units allow; large: sizes of groups above the fair share."""
+    total, rest, last = ends[-1], sum(large), [ends[-1]]
+    for _ in range(n - 1):
+        # Where a shard must begin at the earliest, so that the shards from there on hold what is left.
+        at = bisect_left(ends, last[-1] - capacity)
+        last.append(0 if last[-1] <= capacity else ends[at])
+    share = -(-(total - rest) // max(n - len(large), 1))
+    at, out = 0, []
+    for k in range(1, n):
+        first, most = max(last[n - k], at), at + capacity
+        i, j = bisect_left(ends, first), bisect_right(ends, most) - 1
+        k = min(max(bisect_left(ends, at + share), i), j)
+        if k > i and k - 1 >= 0 and ends[k - 1] > at and at + share - ends[k - 1] < ends[k] - at - share:
+            k -= 1
+        at = max(at, ends[k]) if 0 <= k else at
+        out.append(at)
+    return [*out, total]
+
+
+def minimax_cuts(groups: DataFrame, n_shards: int) -> tuple[list[int], int]:
+    """The first keys of the second and further shards, and the smallest capacity, for groups(key, bytes) in order of key."""
+    units = sorted(_units(groups, BITS - FIRST))
+    if not units:
+        return [], 0
+    total = sum(u.size for u in units)
+    fair = -(-total // n_shards)
+    # Fewer than there are shards.
+    large = [r["bytes"] for r in groups.where(F.col("bytes") > fair).select("bytes").collect()]
+    low = max([fair, *large])
+    if not large:
+        low = max(low, groups.agg(F.max("bytes")).first()[0])
+    while True:
+        ends = list(accumulate(u.size for u in units))
+        high = _capacity(ends, low, low + max(u.size for u in units), n_shards)
+        cuts = _levelled(ends, high, n_shards, large)
+        # A cut lies no lower than where coarse units let the least capacity come, and no higher than shards of the found one reach.
+        least = _filled(ends, low, n_shards)
+        spans = [(max(least[j - 1], total - (n_shards - j) * high), min(total, j * high)) for j in range(1, n_shards)] if high > low else []
+        open_ = set()
+        for a, b in [*spans, *((c - 1, c + 1) for c in cuts[:-1])]:
+            open_.update(range(bisect_right(ends, a), min(bisect_left(ends, b) + 1, len(units))))
+        divided = [units[k] for k in open_ if units[k].groups > 1 and units[k].below]
+        if not divided:
+            return [units[bisect_right(ends, c)].key if c < total else 1 << BITS for c in cuts[:-1]], high
+        found = {u for u in divided}
+        units = [u for u in units if u not in found]
+        for below in {u.below for u in divided}:
+            own = groups.sparkSession.createDataFrame([(u.key >> below,) for u in divided if u.below == below], "u long")
+            inside = groups.withColumn("u", F.shiftright("key", below)).join(F.broadcast(own), "u", "left_semi")
+            units += _units(inside, max(below - MORE, 0))
+        units.sort()
 
 
 def sharded(docs: DataFrame, n_shards: int) -> DataFrame:
     """Per document: doc_id, size, text_crc32, shard, slot."""
     text = F.coalesce(F.col("text"), F.lit(""))
     raw = text.cast("binary")
-    light = docs.select(
-        "doc_id",
-        (F.octet_length(raw) + 1).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        F.conv(F.substring(F.sha1(raw), 1, 4), 16, 10).cast("int").alias("run"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int").alias("cell"),
-    )
-    rows = staged(light, "sizes")
-    cells = rows.groupBy("run", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
-    cells = staged(cells, "cells")
-    shards = minimax_cuts(cells.groupBy("run").agg(F.sum("bytes").alias("bytes")), n_shards)
+    key = F.conv(F.substring(F.sha1(raw), 1, BITS // 4), 16, 10).cast("long")
+    rows = staged(docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), key.alias("key"), F.shiftright(key, BITS - FIRST).cast("int").alias("run")), "sizes")
+    starts, _ = minimax_cuts(staged(group_sizes(rows), "groups"), n_shards)
+    shard = sum(((F.col("key") >= start).cast("int") for start in starts), F.lit(0))
+    # One row for each of the first 16 bits of keys, 65,536 at most.
+    parts = rows.groupBy("run").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
+    spread = rows.join(F.broadcast(parts), "run").select("doc_id", "size", "text_crc32", "run", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts")).cast("int").alias("cell"))
+    cells = staged(spread.groupBy("shard", "run", "cell").agg(F.count("*").alias("n")), "cells")
     ordered = W.Window.partitionBy("shard").orderBy("run", "cell").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = cells.join(shards, "run").withColumn("before", F.coalesce(F.sum("n").over(ordered), F.lit(0))).select("run", "cell", "shard", "before")
-    rank = F.row_number().over(W.Window.partitionBy("run", "cell").orderBy(F.asc_nulls_first("doc_id"), "size", "text_crc32"))
-    return rows.join(starts, ["run", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + rank - 1).alias("slot"))
+    before = cells.withColumn("before", F.coalesce(F.sum("n").over(ordered), F.lit(0))).drop("n")
+    rank = F.row_number().over(W.Window.partitionBy("shard", "run", "cell").orderBy(F.asc_nulls_first("doc_id"), "size", "text_crc32"))
+    return spread.join(before, ["shard", "run", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + rank - 1).alias("slot"))
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

@@ -105,22 +105,59 @@ def test_shards(docs, none):
     assert op05_sharding.sharded(none, 4).count() == 0
 
 
-def test_minimax_against_brute_force(spark):
-    import random
+def needed(sizes, cap):
+    n, load = 1, 0
+    for s in sizes:
+        n, load = (n, load + s) if load + s <= cap else (n + 1, s)
+    return n
 
-    random.seed(3)
-    sizes = [random.randint(1, 50) for _ in range(40)]
 
-    def needed(cap):
-        n, load = 1, 0
-        for s in sizes:
-            n, load = (n, load + s) if load + s <= cap else (n + 1, s)
-        return n
+@pytest.mark.parametrize("kind", ["even", "hot", "two hot", "few"])
+def test_minimax_against_brute_force(spark, monkeypatch, kind):
+    import random
 
-    best = next(c for c in range(max(sizes), sum(sizes) + 1) if needed(c) <= 5)
-    runs = spark.createDataFrame(list(enumerate(sizes)), "run int, bytes long")
-    loads = op05_sharding.minimax_cuts(runs, 5).join(runs, "run").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()
-    assert max(r.b for r in loads) == best and len(loads) <= 5
+    rng, n = random.Random(kind), 5
+    # First units of many groups each, so that units at the cuts are divided several times.
+    monkeypatch.setattr(op05_sharding, "FIRST", 4)
+    monkeypatch.setattr(op05_sharding, "MORE", 3)
+    sizes = {rng.getrandbits(op05_sharding.BITS): rng.randint(1, 50) for _ in range(3 if kind == "few" else 400)}
+    for key in sorted(sizes)[100 : 100 + {"hot": 1, "two hot": 2}.get(kind, 0)]:
+        sizes[key] = 6000
+    starts, capacity = op05_sharding.minimax_cuts(spark.createDataFrame(list(sizes.items()), "key long, bytes long"), n)
+    in_order = [sizes[k] for k in sorted(sizes)]
+    assert capacity == next(c for c in range(max(in_order), sum(in_order) + 1) if needed(in_order, c) <= n)
+    loads = [0] * n
+    for key, size in sizes.items():
+        loads[sum(key >= s for s in starts)] += size
+    assert len(starts) == n - 1 and starts == sorted(starts) and max(loads) <= capacity
+    if kind == "even":
+        assert max(loads) - min(loads) <= 2 * max(in_order)
+
+
+def test_shards_against_a_plain_version(spark):
+    import hashlib
+    import zlib
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in op05_sharding.op5_sharding(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(rows)
+    loads, slots, shard_of = [0] * 16, {}, {}
+    for r in rows:
+        raw, g = (r.text or "").encode(), got[r.doc_id]
+        assert (g.size, g.text_crc32, g.law, g.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        assert shard_of.setdefault(raw, g.shard) == g.shard
+        loads[g.shard] += g.size
+        slots.setdefault(g.shard, []).append(g.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # Shards are contiguous in order of the texts' digests, and none exceeds the smallest capacity.
+    order = sorted(shard_of, key=lambda raw: hashlib.sha1(raw).digest())
+    assert [shard_of[raw] for raw in order] == sorted(shard_of[raw] for raw in order)
+    groups = {}
+    for r in rows:
+        raw = (r.text or "").encode()
+        groups[raw] = groups.get(raw, 0) + len(raw) + 1
+    sizes = [groups[raw] for raw in order]
+    assert needed(sizes, max(loads)) <= 16 and max(loads) <= next(c for c in range(max(max(sizes), sum(sizes) // 16), sum(sizes)) if needed(sizes, c) <= 16)
 
 
 def test_language(docs, none):
