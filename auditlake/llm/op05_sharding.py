@@ -84,9 +84,11 @@ def _levelled(ends: list[int], capacity: int, n: int, large: list[int]) -> list[
         # Where a shard must begin at the earliest, so that the shards from there on hold what is left.
         at = bisect_left(ends, last[-1] - capacity)
         last.append(0 if last[-1] <= capacity else ends[at])
-    share = -(-(total - rest) // max(n - len(large), 1))
-    at, out = 0, []
+    share, at, out = -(-(total - rest) // max(n - len(large), 1)), 0, []
     for k in range(1, n):
+        if not large:
+            # What is left is shared anew, so that what one shard lacks does not all fall to the last.
+            share = -(-(total - at) // (n - k + 1))
         first, most = max(last[n - k], at), at + capacity
         i, j = bisect_left(ends, first), bisect_right(ends, most) - 1
         k = min(max(bisect_left(ends, at + share), i), j)
