@@ -96,7 +96,7 @@ def read_documents(spark, folder: str, schema: str) -> DataFrame:
 
 
 def load_claims(spark, paths, schema: str) -> DataFrame:
-    """(path, doc, error) of files with one document each; see told_documents."""
+    """(path, doc, error) of files with one document each, but for files of no bytes, which Spark does not read; see told_documents."""
     rows = spark.read.text(paths, wholetext=True)
     return told_documents(rows.select(rows.metadataColumn("_metadata")["file_path"].alias("path"), "value"), "value", schema)
 

@@ -122,7 +122,7 @@ def test_one_bad_document_among_many(spark, tmp_path):
         (tmp_path / f"{k}.json").write_text(json.dumps({"schema_version": "1", "n": k}, indent=1) if k != 7 else '{"schema_version": "1", "n"')
     (tmp_path / "x.json").write_text('{"schema_version": "2", "n": 1}')
     (tmp_path / "y.json").write_text('{"schema_version": "1", "n": "many"}')
-    (tmp_path / "z.json").write_text("")
+    (tmp_path / "z.json").write_text(" ")
     got = {r.path.rsplit("/", 1)[-1]: r for r in C.load_claims(spark, str(tmp_path), "schema_version string, n long").collect()}
     assert sorted(r.doc.n for r in got.values() if r.error is None) == [k for k in range(300) if k != 7]
     assert {k: r.error for k, r in got.items() if r.error} == {"7.json": "document is not as its schema says", "x.json": "unsupported schema version: '2'", "y.json": "document is not as its schema says", "z.json": "document is not as its schema says"}
