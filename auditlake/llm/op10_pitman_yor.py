@@ -3,12 +3,13 @@
 A word is drawn in the restaurant of its context, a class of the word before it (its last bytes); every context restaurant
 shares one parent, the restaurant of words without context, whose base is uniform over the vocabulary and one unknown word.
 Seating follows the Chinese restaurant process: of the c customers of word w in context u, t sit at tables of their own,
-and each table is a customer of w in the parent.
+and each table is a customer of w in the parent. There these customers are seated likewise, and each of the parent's tables
+is a draw from the base.
 
 Tokens are counted by (word, context) first, in the tasks that read them and then by word, so all pairs of a word, at most
 one for each context, meet in one partition, however frequent the word. There each sweep takes every customer of every pair
-away and seats it anew; only the totals of each context, one short vector, depend on other words, and after each sweep
-these are summed over all partitions for the next. After the burn-in, table counts of several sweeps are kept and a
+away and seats it anew, then every customer of its words in the parent; only the table totals of each context and of the
+parent, one short vector, depend on other words, and after each sweep these are summed over all partitions for the next. After the burn-in, table counts of several sweeps are kept and a
 pair's predictive probability is their average. Probabilities then meet the pairs of each text, spread by pair, as a stream;
 texts sum over partitions. Nothing but the context totals and the vocabulary's size passes through the driver; counts
 cover all training documents, without bounds or pruning.
@@ -197,8 +198,8 @@ def first_tables(c: np.ndarray) -> np.ndarray:
     return np.minimum(c, np.maximum(1, np.round(c**DISCOUNT))).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
-def _alone_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _alone_tables(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The chance of sitting alone, exact up to EXACT customers, and for more its logarithm by that of customers per table."""
     log_s = np.full((EXACT + 1, EXACT + 1), -np.inf)
     log_s[1, 1] = 0.0
@@ -207,31 +208,36 @@ def _alone_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for c in range(2, EXACT + 1):
         t = np.arange(1, c + 1)
         with np.errstate(divide="ignore"):
-            stay = log_s[c - 1, t] + np.log(np.maximum(c - 1 - DISCOUNT * t, 0))
+            stay = log_s[c - 1, t] + np.log(np.maximum(c - 1 - discount * t, 0))
         log_s[c, t] = np.logaddexp(log_s[c - 1, t - 1], stay)
         exact[c, t] = np.exp(log_s[c - 1, t - 1] - log_s[c, t])
     # Saddle point of the generating function (1 - (1 - x) ** discount) ** tables, y = 1 - x.
     y = np.concatenate([1 - np.geomspace(1e-6, 0.5, 400), np.geomspace(0.5, 1e-60, 4000)[1:]])
-    per_table = DISCOUNT * (1 - y) * y ** (DISCOUNT - 1) / (1 - y**DISCOUNT)
-    return exact, np.log(per_table), (1 - DISCOUNT) * np.log(y)
+    per_table = discount * (1 - y) * y ** (discount - 1) / (1 - y**discount)
+    return exact, np.log(per_table), (1 - discount) * np.log(y)
 
 
-def alone(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+def alone(c: np.ndarray, t: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
     """The chance that a customer sits alone, given that c > 1 customers sit at t tables: a ratio of generalised Stirling numbers."""
-    exact, per_table, log_p = _alone_tables()
+    exact, per_table, log_p = _alone_tables(discount)
     few = c <= EXACT
     k = np.where(few, c, 1)
     ratio = np.log(np.maximum(c - 1, 1) / np.maximum(t - 1, 1))
     return np.where(few, exact[k, np.where(few, t, 1)], np.where(t > 1, np.exp(np.interp(ratio, per_table, log_p)), 0.0))
 
 
-def sweeps(part: Partition, tables: list[np.ndarray], vocabulary: int) -> Iterator[np.ndarray]:
-    """Table counts of each pair after each sweep; tables: those of each context in all partitions, as they were before each.
+def sweeps(part: Partition, tables: list[np.ndarray], vocabulary: int, parents: list[float] | None = None) -> Iterator[np.ndarray]:
+    """Table counts of each pair, and after them of each word in the parent, after each sweep.
+
+    tables, parents: those of each context and of the parent in all partitions, as they were before each sweep; without
+    parents, one for each word.
 
     A sweep takes every customer of every pair away and seats it anew. One taken away closes a table with the chance that
     it sat alone; it opens one in proportion to (strength + discount * tables) times the parent's probability of the word,
     and joins one in proportion to the customers less a discount for each table. Pairs of up to STEPS customers move
     them one by one; of larger ones a STEPS-th of the customers moves at once, with closed and opened tables drawn as counts.
+    A table closed or opened is a customer that leaves the parent or comes to it. At the end of a sweep the parent's
+    customers are seated anew in the same manner.
     """
     rng = np.random.default_rng(part.seed)
     t = first_tables(part.customers)
@@ -239,11 +245,13 @@ def sweeps(part: Partition, tables: list[np.ndarray], vocabulary: int) -> Iterat
     some = some[np.argsort(-part.customers[some], kind="stable")]
     c, word, context = part.customers[some], part.of_word[some], part.context[some]
     active = [int(np.searchsorted(-c, -step, "left")) for step in range(STEPS)]
-    for of_context in tables:
+    of_word = np.bincount(part.of_word, t, part.n_words).astype(np.int64)
+    of_parent = np.minimum(of_word, 1)
+    for of_context, parent in zip(tables, parents or [float(vocabulary)] * len(tables), strict=True):
         parent_total = max(float(of_context.sum()), 1.0)
+        base = (PARENT_STRENGTH + PARENT_DISCOUNT * parent) / (vocabulary + 1)
         weight = (STRENGTH + DISCOUNT * of_context)[context]
         ts = t[some]
-        of_word = np.bincount(part.of_word, t, part.n_words)
         for step, m in enumerate(active):
             if not m:
                 break
@@ -251,27 +259,58 @@ def sweeps(part: Partition, tables: list[np.ndarray], vocabulary: int) -> Iterat
             moved = (cs + STEPS - 1 - step) // STEPS
             closed = _drawn(rng, moved, alone(cs, now))
             closed = np.minimum(closed, now - 1)
-            fresh = weight[:m] * parent_probability(of_word, parent_total, vocabulary)[word[:m]]
+            left = np.bincount(word[:m], closed, part.n_words).astype(np.int64)
+            gone = np.zeros(part.n_words, np.int64)
+            at = np.flatnonzero(left)
+            gone[at] = _closed(rng, of_word[at], of_parent[at], left[at])
+            # A customer that goes does not count in the parent for its own seat.
+            own = closed / moved * (1 - PARENT_DISCOUNT * gone / np.maximum(left, 1))[word[:m]] / (PARENT_STRENGTH + parent_total)
+            fresh = weight[:m] * (parent_probability(of_word, parent_total, vocabulary, of_parent, parent)[word[:m]] - own)
             join = np.maximum(cs - 1 - DISCOUNT * np.where(moved > 1, now, now - closed), 1e-9)
             opened = _drawn(rng, moved, fresh / (fresh + join))
             after = np.minimum(now - closed + opened, cs)
-            of_word += np.bincount(word[:m], after - now, part.n_words)
+            came = np.bincount(word[:m], after - now + closed, part.n_words).astype(np.int64)
+            of_word -= left
+            of_parent -= gone
+            at = np.flatnonzero(came)
+            of_parent[at] += _opened(rng, of_word[at], of_parent[at], came[at], base)
+            of_word += came
             ts[:m] = after
         t[some] = ts
-        yield t.copy()
+        at = np.flatnonzero(of_word > 1)
+        for step in range(STEPS):
+            at = at[of_word[at] > step]
+            moved = (of_word[at] + STEPS - 1 - step) // STEPS
+            of_parent[at] -= _closed(rng, of_word[at], of_parent[at], moved)
+            of_parent[at] += _opened(rng, of_word[at] - moved, of_parent[at], moved, base)
+        yield np.concatenate([t, of_parent])
+
+
+def _closed(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Tables of words in the parent that close when `left` of their customers go, more than none and never all."""
+    closed = _drawn(rng, left, alone(c, t, PARENT_DISCOUNT))
+    return np.clip(closed, np.maximum(t - c + left, 0), t - 1)
+
+
+def _opened(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, came: np.ndarray, base: float) -> np.ndarray:
+    """Tables of words in the parent that open when customers come; base: the weight of a new table."""
+    join = c + (came - 1) / 2 - PARENT_DISCOUNT * t
+    return _drawn(rng, came, base / (base + join))
 
 
 def _drawn(rng: np.random.Generator, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Binomial counts; n falls along the array."""
-    k = int(np.searchsorted(-n, -1, "left"))
-    return np.concatenate([rng.binomial(n[:k], p[:k]), rng.random(len(n) - k) < p[k:]]).astype(np.int64)
+    """Binomial counts."""
+    out = ((rng.random(len(n)) < p) & (n > 0)).astype(np.int64)
+    many = np.flatnonzero(n > 1)
+    out[many] = rng.binomial(n[many], p[many])
+    return out
 
 
-def parent_probability(of_word: np.ndarray, total: float, vocabulary: int) -> np.ndarray:
-    """The parent's probability of each word; each word seen has one table there."""
-    seen = of_word > 0
-    own = np.where(seen, of_word - PARENT_DISCOUNT, 0.0)
-    return (own + (PARENT_STRENGTH + PARENT_DISCOUNT * vocabulary) / (vocabulary + 1)) / (PARENT_STRENGTH + total)
+def parent_probability(of_word: np.ndarray, total: float, vocabulary: int, tables: np.ndarray | None = None, parent: float | None = None) -> np.ndarray:
+    """The parent's probability of each word by its customers and tables there; parent: tables of all words. Without them, one for each word seen."""
+    tables = np.minimum(of_word, 1) if tables is None else tables
+    parent = vocabulary if parent is None else parent
+    return (of_word - PARENT_DISCOUNT * tables + (PARENT_STRENGTH + PARENT_DISCOUNT * parent) / (vocabulary + 1)) / (PARENT_STRENGTH + total)
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,15 +324,17 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _swept(shared):
-    """Tables of each context after one sweep more than the totals in `shared` are of."""
+    """Tables of each context and of the parent after one sweep more than the totals in `shared` are of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, total = shared.value, np.zeros(CONTEXTS)
+        s, total, parent = shared.value, np.zeros(CONTEXTS), 0
         for part in _partitions(batches):
-            for t in sweeps(part, s["t"], s["v"]):
+            for t in sweeps(part, s["t"], s["v"], s["p"]):
                 pass
-            total += np.bincount(part.context, t, CONTEXTS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["t"])
+            n = len(part.of_word)
+            total += np.bincount(part.context, t[:n], CONTEXTS)
+            parent += int(t[n:].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([parent], pa.int64())], names=["t", "p"])
         released()
 
     return run
@@ -307,11 +348,12 @@ def _probabilities(shared, partitions: int):
         s = shared.value
         for part in _partitions(batches):
             p = np.zeros(len(part.of_word))
-            for k, t in enumerate(sweeps(part, s["t"][:-1], s["v"])):
+            for k, both in enumerate(sweeps(part, s["t"][:-1], s["v"], s["p"][:-1])):
                 if k < BURN_IN:
                     continue
                 of_context = s["t"][k + 1]
-                parent = parent_probability(np.bincount(part.of_word, t, part.n_words), max(float(of_context.sum()), 1.0), s["v"])[part.of_word]
+                t, of_parent = both[: len(p)], both[len(p) :]
+                parent = parent_probability(np.bincount(part.of_word, t, part.n_words), max(float(of_context.sum()), 1.0), s["v"], of_parent, s["p"][k + 1])[part.of_word]
                 p += (np.maximum(part.customers - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * of_context[part.context]) * parent) / (STRENGTH + s["c"][part.context])
             w, n = part.words[part.of_word], part.count[part.of_word]
             q = _shard(w, part.context, partitions)
@@ -386,10 +428,11 @@ def pitman_yor_scores(docs: DataFrame, held: int = 2, of: int = 7) -> DataFrame:
     first = pairs.mapInArrow(_totals, "c array<double>, t array<double>, v long").collect()
     c = np.sum([r["c"] for r in first] or [np.zeros(CONTEXTS)], 0)
     shared = {"c": c, "t": [np.sum([r["t"] for r in first] or [np.zeros(CONTEXTS)], 0)], "v": sum(r["v"] for r in first), "n": int(c.sum())}
+    shared["p"] = [float(shared["v"])]
     # Sweeps are drawn again from their seeds, so that each sees the totals after the one before and no state is written.
     for _ in range(BURN_IN + KEPT):
-        sums = pairs.mapInArrow(_swept(spark.sparkContext.broadcast(shared)), "t array<double>").collect()
-        shared = {**shared, "t": [*shared["t"], np.sum([r["t"] for r in sums] or [np.zeros(CONTEXTS)], 0)]}
+        sums = pairs.mapInArrow(_swept(spark.sparkContext.broadcast(shared)), "t array<double>, p long").collect()
+        shared = {**shared, "t": [*shared["t"], np.sum([r["t"] for r in sums] or [np.zeros(CONTEXTS)], 0)], "p": [*shared["p"], float(sum(r["p"] for r in sums))]}
     known = spark.sparkContext.broadcast(shared)
     both = pairs.mapInArrow(_probabilities(known, n_parts), SCHEMA).unionByName(texts.mapInArrow(_text_pairs(n_parts), SCHEMA))
     parts = both.repartition(n_parts, "q").sortWithinPartitions("q", "kind").mapInArrow(_scorer(known), "rid long, doc_id long, train boolean, n long, known long, base double, score double")

@@ -39,6 +39,50 @@ def test_a_sweep_moves_every_customer():
     assert abs(surplus(got[-1])) < 0.1 * P.alone(np.array([c]), np.array([got[-1]]))[0]
 
 
+def stirling(c, discount):
+    """Generalised Stirling numbers: the weight of c customers at t tables, t from 0 to c."""
+    s = [1.0]
+    for n in range(c):
+        s = [(s[t - 1] if t else 0) + ((n - discount * t) * s[t] if t < len(s) else 0) for t in range(n + 2)]
+    return np.array(s)
+
+
+def test_the_parent_is_seated_as_enumeration_says():
+    # Each of n words has a pair of three customers and four pairs of one: all seatings, by tables of the pair and in the parent.
+    n = 4000
+    part = SimpleNamespace(customers=np.tile([3, 1, 1, 1, 1], n), of_word=np.repeat(np.arange(n), 5), context=np.tile(np.arange(5), n), n_words=n, seed=1)
+    tables, parent, vocabulary = np.zeros(P.CONTEXTS), 900.0, 500
+    tables[0], tables[9] = 8, 3
+    base = (P.PARENT_STRENGTH + P.PARENT_DISCOUNT * parent) / (vocabulary + 1)
+    weight = (P.STRENGTH + P.DISCOUNT * 8) / (P.PARENT_STRENGTH + 11)
+    true = np.zeros((4, 8))
+    for t in (1, 2, 3):
+        for top in range(1, t + 5):
+            true[t, top] = stirling(3, P.DISCOUNT)[t] * weight**t * stirling(t + 4, P.PARENT_DISCOUNT)[top] * base**top
+    got = np.zeros((4, 8))
+    for k, both in enumerate(P.sweeps(part, [tables] * 30, vocabulary, [parent] * 30)):
+        assert len(both) == 6 * n and both[: 5 * n].reshape(n, 5)[:, 1:].max() == 1
+        if k >= 10:
+            np.add.at(got, (both[: 5 * n : 5], both[5 * n :]), 1 / (20 * n))
+    assert abs(got - true / true.sum()).max() < 0.01
+    assert got[:, 2:].sum() > 0.5
+
+
+def test_the_parents_probabilities_sum_to_one():
+    rng = np.random.default_rng(3)
+    words = np.sort(rng.integers(0, 300, 2000) ** 2 // 300)
+    of_word = np.unique(words, return_inverse=True)[1]
+    part = SimpleNamespace(customers=rng.geometric(0.2, 2000) * rng.integers(1, 40, 2000), of_word=of_word, context=rng.integers(0, 50, 2000), n_words=int(of_word.max()) + 1, seed=2)
+    totals = np.bincount(part.context, P.first_tables(part.customers), P.CONTEXTS)
+    for both in P.sweeps(part, [totals] * 4, part.n_words, [float(part.n_words)] * 4):
+        customers, tables = np.bincount(of_word, both[:2000]), both[2000:]
+        assert (tables >= 1).all() and (tables <= customers).all()
+    assert tables.sum() > part.n_words
+    args = float(customers.sum()), part.n_words
+    p = P.parent_probability(np.append(customers, 0), *args, np.append(tables, 0), float(tables.sum()))
+    assert math.isclose(p.sum(), 1)
+
+
 def test_frequent_words_are_added_up_first(spark):
     # One word has nearly all tokens; a task sends one row for each of its contexts, and its contexts are scored apart.
     texts = pa.array(["hot " * 50 + f"w{k % 40} hot" for k in range(2000)])
