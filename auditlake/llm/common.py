@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of 8 to 24 bytes that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Rows in a batch that goes to a Python worker.
-BATCH_ROWS = 2000
+#: Rows and bytes in a batch that goes to a Python worker; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 #: Bits of a row key for the place within a file.
 FILE_BITS = 40
 #: Parts into which one hot key of a lookup is split.
@@ -53,10 +53,12 @@ def released() -> None:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches have at most BATCH_ROWS rows, so that long texts don't fill a worker's memory."""
+    """df, in a session whose Arrow batches are small, so that long texts and packs don't fill the memory of a worker, or of the JVM beside it."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

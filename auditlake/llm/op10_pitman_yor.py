@@ -42,8 +42,8 @@ DISCOUNT, STRENGTH = 0.8, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.75, 50.0
 #: Sweeps before table counts are kept, and sweeps of which they are.
 BURN_IN, KEPT = 2, 2
-#: Tokens of a partition.
-TOKENS = 3_000_000
+#: Tokens of a partition that is seated, and of one in which pairs meet the texts: fewer there, for each has a row of a text.
+TOKENS, SCORED = 1_500_000, 3_000_000
 #: At least as many partitions.
 PARTITIONS = 24
 #: Pairs of word and context that a task adds up before they are sent on.
@@ -161,6 +161,8 @@ def _text_pairs(partitions: int):
                 flags = train[own].astype(np.uint8) + 2 * null[own].astype(np.uint8)
                 rows.append((int(q[a]), 1, w[at].tobytes(), pack(c[at].astype(np.uint16).tobytes()), pack(np.diff(new).astype(np.uint32).tobytes()), pack(n[a:b].astype(np.uint32).tobytes()), pack(text.astype(np.uint32).tobytes()), pack(rid[own].astype(np.int64).tobytes()), pack(doc[own].astype(np.int64).tobytes()), pack(flags.tobytes())))
             yield _rows(rows)
+            del w, c, d, number, held, n, pair, q, order, rows
+        released()
 
     return run
 
@@ -334,6 +336,7 @@ def _swept(shared):
             n = len(part.of_word)
             total += np.bincount(part.context, t[:n], CONTEXTS)
             parent += int(t[n:].sum())
+            del part, t
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()]), pa.array([parent], pa.int64())], names=["t", "p"])
         released()
 
@@ -363,6 +366,8 @@ def _probabilities(shared, partitions: int):
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 at = order[a:b]
                 rows.append((int(q[at[0]]), 0, w[at].tobytes(), pack(part.context[at].astype(np.uint16).tobytes()), (p[at] / KEPT).tobytes(), pack(n[at].tobytes()), None, None, None, None))
+            del part, p, w, n, q, order, at
+            released()
             yield _rows(rows)
 
     return run
@@ -403,6 +408,8 @@ def _scorer(shared):
                 rid, doc, flags = np.frombuffer(get(r["rids"]), np.int64), np.frombuffer(get(r["docs"]), np.int64), np.frombuffer(get(r["flags"]), np.uint8)
                 total = lambda x, m=len(rid), text=text: np.bincount(text, x, m)
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(doc, mask=flags >= 2), pa.array(flags % 2 == 1), pa.array(total(n).astype(np.int64)), pa.array(total(n * known[at]).astype(np.int64)), pa.array(total(n * base[at])), pa.array(total(n * score[at]))], names=names)
+        rows, t = [], None
+        released()
 
     return run
 
@@ -422,7 +429,7 @@ def pitman_yor_scores(docs: DataFrame, held: int = 2, of: int = 7) -> DataFrame:
     texts = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), (~held_out).alias("train"), F.col("text").cast("string").alias("text"))
     # A token takes about six bytes of text; what matters is that a partition's size does not grow with the input.
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = max(PARTITIONS, ceil(size / 6 / TOKENS))
+    n_parts, n_scored = (max(PARTITIONS, ceil(size / 6 / n)) for n in (TOKENS, SCORED))
     pairs = staged(pair_counts(texts, n_parts).groupBy("p").applyInPandas(_packed, "words binary, times binary, contexts binary, customers binary"), "pairs")
 
     first = pairs.mapInArrow(_totals, "c array<double>, t array<double>, v long").collect()
@@ -434,8 +441,8 @@ def pitman_yor_scores(docs: DataFrame, held: int = 2, of: int = 7) -> DataFrame:
         sums = pairs.mapInArrow(_swept(spark.sparkContext.broadcast(shared)), "t array<double>, p long").collect()
         shared = {**shared, "t": [*shared["t"], np.sum([r["t"] for r in sums] or [np.zeros(CONTEXTS)], 0)], "p": [*shared["p"], float(sum(r["p"] for r in sums))]}
     known = spark.sparkContext.broadcast(shared)
-    both = pairs.mapInArrow(_probabilities(known, n_parts), SCHEMA).unionByName(texts.mapInArrow(_text_pairs(n_parts), SCHEMA))
-    parts = both.repartition(n_parts, "q").sortWithinPartitions("q", "kind").mapInArrow(_scorer(known), "rid long, doc_id long, train boolean, n long, known long, base double, score double")
+    both = pairs.mapInArrow(_probabilities(known, n_scored), SCHEMA).unionByName(texts.mapInArrow(_text_pairs(n_scored), SCHEMA))
+    parts = both.repartition(n_scored, "q").sortWithinPartitions("q", "kind").mapInArrow(_scorer(known), "rid long, doc_id long, train boolean, n long, known long, base double, score double")
     # Row keys, ids and scores come from one scan, so nothing is joined to the keys of another.
     total = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), (~F.max("train")).alias("held_out"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(shared["n"]).cast("long").alias("train_tokens"), "base_score", "score")

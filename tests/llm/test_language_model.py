@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from auditlake.llm import op10_pitman_yor as P
-from auditlake.llm.common import staged
+from auditlake.llm.common import small_batches, staged
 
 
 def test_chance_of_sitting_alone():
@@ -92,6 +92,14 @@ def test_frequent_words_are_added_up_first(spark):
     assert len(set(P._shard(np.full(50, 7, np.uint64), np.arange(50), 8))) > 4
 
 
+def test_batches_of_packs_are_small(spark):
+    # 40 packs of a megabyte in one partition come in several batches, and all of them come.
+    packs = small_batches(staged(spark.range(40).coalesce(1).selectExpr("id", "cast(repeat('x', 1 << 20) as binary) as words"), "packs"))
+    sizes = packs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches), "n long, size long").collect()
+    assert sum(r["n"] for r in sizes) == 40
+    assert max(r["size"] for r in sizes) <= 12 << 20
+
+
 def test_scores_add_up(spark):
     rows = [(k, f"a b {'c' * (k % 3 + 1)} a b") for k in range(60)] + [(None, "a b"), (61, "never seen"), (1, "a b cc a b")]
     docs = staged(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
