@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import having_ids, row_keyed, small_batches, staged
+from auditlake.llm.common import having_ids, released, row_keyed, small_batches, staged
 from auditlake.llm.fit import remainder, sampled
 from auditlake.llm.words import blocks
 
@@ -197,9 +197,12 @@ def fitted(docs: DataFrame, held: int = 2, of: int = 4, per_language: int = PER_
     langs = sorted(r["lang"] for r in ids.select("lang").distinct().collect())
     # The sample has at most about per_language rows a language, so it is broadcast; texts are read in place.
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("lang", "part", "text")
-    found = rows.mapInArrow(_counted, "lang string, part int, buckets binary, counts binary").toArrow()
+    found = rows.mapInArrow(_counted, "lang string, part int, buckets binary, counts binary").toArrow().to_pylist()
     # In an order of its own, so that the same sample gives the same model.
-    return train(sorted(found.to_pylist(), key=lambda r: (r["lang"], r["part"], r["buckets"], r["counts"])), langs)
+    model = train(sorted(found, key=lambda r: (r["lang"], r["part"], r["buckets"], r["counts"])), langs)
+    del found
+    released()
+    return model
 
 
 def identified(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
