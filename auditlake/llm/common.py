@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of 8 to 24 bytes that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Rows and bytes in a batch that goes to a Python worker; a longer row is a batch of its own.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 #: Bits of a row key for the place within a file.
 FILE_BITS = 40
 #: Parts into which one hot key of a lookup is split.
@@ -52,6 +52,12 @@ def released() -> None:
         trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver find which broadcasts and shuffles nothing needs any more, so that executors drop them before the next step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches are small, so that long texts and packs don't fill the memory of a worker, or of the JVM beside it."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -72,14 +78,30 @@ def located(docs: DataFrame, name: str) -> DataFrame:
     if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
         docs = staged(docs, "rows")
     place = docs.metadataColumn("_metadata")
-    path, row = _new_name(docs, "_path"), _new_name(docs, "_place")
-    # One row for each file, of which the driver holds the list anyway.
-    paths = sorted(r[0] for r in docs.select(place["file_path"]).distinct().collect())
-    numbers = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), f"{path} string, {name} long")
-    rows = docs.withColumns({path: place["file_path"], row: place["row_index"]}).join(F.broadcast(numbers), path)
+    file, row = _new_name(docs, "_file"), _new_name(docs, "_place")
+    seed, codes = _file_codes(docs, place["file_path"])
+    # Joined by a long: each broadcast by a string would keep a page of tens of megabytes in every executor.
+    numbers = docs.sparkSession.createDataFrame(list(zip(codes, range(len(codes)), strict=True)), f"{file} long, {name} long")
+    rows = docs.withColumns({file: _code(place["file_path"], seed), row: place["row_index"]}).join(F.broadcast(numbers), file)
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], (F.shiftleft(name, FILE_BITS) + F.col(row)).alias(name))
 
 
+def _code(path, seed: int):
+    return F.xxhash64(path, F.lit(seed))
+
+
+def _file_codes(docs: DataFrame, path) -> tuple[int, list[int]]:
+    """A seed with which no two files have the same code, and the codes in order of the paths."""
+    seed = 0
+    while True:
+        # One row for each file, of which the driver holds the list anyway.
+        files = sorted(docs.select(path.alias("path")).distinct().select("path", _code(F.col("path"), seed)).collect())
+        codes = [r[1] for r in files]
+        if len(set(codes)) == len(codes):
+            return seed, codes
+        seed += 1
+
+
 def _new_name(docs: DataFrame, name: str) -> str:
     while name.lower() in [c.lower() for c in docs.columns]:
         name += "_"

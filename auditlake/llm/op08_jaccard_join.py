@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import having_ids, keyed, lookup, released, row_keyed, staged
+from auditlake.llm.common import having_ids, keyed, let_go, lookup, released, row_keyed, staged
 from auditlake.llm.components import connected
 from auditlake.llm.words import blocks, mixed, ngrams
 
@@ -477,11 +477,13 @@ class JaccardJoin:
         ties = lookup(bins, tops, "key", "inner").select("class", "size", F.explode("probes").alias("p")).select("class", "size", "p.*").where(F.col("class") != F.col("probe")).where(_sizes_fit("size", "probe_size"))
         links = self.verify(ties.select("probe", F.col("class").alias("other")))
         known = staged(_labelled(classes, connected(links)), "known")
+        let_go(self.spark)
 
         # 3. Prefixes in the order of all counts.
         only = staged(full.select("rid").join(classes.select(F.col("class").alias("rid")), "rid", "left_anti"), "copies")
         total = classes.agg(F.sum("size")).first()[0] or 0
         prefixes = self.prefixes(having_ids(self.texts, only, "rid", "left_anti"), total)
+        let_go(self.spark)
 
         # 4. Comparisons between components.
         at = prefixes.withColumnRenamed("rid", "class").join(known, "class")
@@ -489,8 +491,10 @@ class JaccardJoin:
         at = staged(at.join(open_, "gram"), "at")
         many = at.where(F.col("n") > PAIRED)
         more = self.pairs(at.where(F.col("n") <= PAIRED))
+        let_go(self.spark)
         if not many.isEmpty():
             more = more.unionByName(self.probe(many))
+        let_go(self.spark)
 
         # Components over all links. Only rows of classes with copies or links need looking up.
         nodes = connected(links.unionByName(more))

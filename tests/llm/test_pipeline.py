@@ -71,3 +71,43 @@ def test_near_against_brute_force(spark):
     want = components(texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()}
     assert got == {d: (len(shingles(t)), want[d]) for d, t in texts.items()}
+
+
+def test_row_keys_join_no_strings(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from auditlake.llm.common import located
+
+    # An executor keeps a page of tens of megabytes for each broadcast by a string, for a long only what it needs.
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(4).write.parquet(at := str(tmp_path / "docs"))
+    rows = located(spark.read.parquet(at), "rid")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashedRelationBroadcastMode(List(input[0, bigint") == plan.count("HashedRelationBroadcastMode") == 1
+    keys = [r.rid for r in rows.collect()]
+    assert len(set(keys)) == 40 and {k >> 40 for k in keys} == set(range(4))
+
+
+def test_files_of_one_code_are_told_apart(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from auditlake.llm import common
+
+    real = common._code
+    monkeypatch.setattr(common, "_code", lambda path, seed: F.lit(7).cast("long") if seed < 2 else real(path, seed))
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(4).write.parquet(at := str(tmp_path / "docs"))
+    keys = [r.rid for r in common.located(spark.read.parquet(at), "rid").collect()]
+    assert len(set(keys)) == 40 and {k >> 40 for k in keys} == set(range(4))
+
+
+def test_batches_of_texts_are_small(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from auditlake.llm.common import small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    texts = small_batches(spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text")))
+    assert max(r.n for r in texts.mapInArrow(sizes, "n long").collect()) <= 3 << 20
