@@ -21,11 +21,14 @@ NEAR, DOUBLINGS = 4, 2
 
 
 def chain_places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, chain, pos) of nodes(node) and all ends of edges: a commit goes on the chain of its first parent, of several such children the greatest."""
-    first = edges.groupBy("child").agg(F.min_by("parent", "parent_index").alias("parent"))
+    """(node, chain, pos) of nodes(node) and all ends of edges: a commit goes on the chain of its first parent, of several such children the greatest.
+
+    Of parents with equal indexes the least is the first, so that chains are the same however often and in what order edges are read.
+    """
+    first = edges.groupBy("child").agg(F.min(F.struct("parent_index", "parent")).alias("first")).select("child", "first.parent")
     taken = first.groupBy(F.col("parent").alias("next")).agg(F.max("child").alias("node"))
     ends = nodes.select("node").unionByName(edges.select(F.explode(F.array("child", "parent")).alias("node"))).distinct()
-    return doubled(ends.join(taken, "node", "left")).select("node", F.col("root").alias("chain"), F.col("distance").cast("long").alias("pos"))
+    return doubled(checkpointed(ends.join(taken, "node", "left"))).select("node", F.col("root").alias("chain"), F.col("distance").cast("long").alias("pos"))
 
 
 def crossings(places: DataFrame, edges: DataFrame) -> DataFrame:
@@ -42,7 +45,8 @@ def shortcuts(cross: DataFrame) -> DataFrame:
     few below a place are taken, so the table grows with the crossings.
     """
     order = W.Window.partitionBy("chain").orderBy("pos")
-    ranked = cross.groupBy("chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos")).withColumn("rank", F.row_number().over(order))
+    listed = W.Window.partitionBy("chain").orderBy("pos", "to_chain")
+    ranked = cross.groupBy("chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos")).withColumn("rank", F.row_number().over(listed))
     landed = cross.select(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos")).distinct()
     # How many crossings lie at or below a place: both go by position, crossings first.
     both = ranked.select("chain", "pos", F.lit(1).alias("is_crossing")).unionByName(landed.withColumn("is_crossing", F.lit(0)))
