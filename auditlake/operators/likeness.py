@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from auditlake.operators.iterate import checkpointed, numbered
+from auditlake.operators.iterate import checkpointed
 
-#: Deleted times added texts that hold a line, up to which the line brings them together directly.
+#: Deleted times added texts that hold a line, beyond which the line is common.
 FEW = 400
+#: Pairs of texts that are settled together, and steps of the score by which more are taken apart.
+PAIRS, STEPS = 1_000_000, 64
 #: What a sum of bytes may fall short of a threshold by, being a product of fractions.
 ROUNDING = 1e-6
 
@@ -62,42 +64,29 @@ def settled(candidates: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return found
 
 
-def _by_rare_lines(shared: DataFrame, by: tuple[str, ...], threshold: float) -> DataFrame:
-    """(by, d, a, score) of all texts that are alike and share a rare line."""
-    d, a = _two(shared.where(F.col("call") & (F.col("pairs") <= FEW)), by, "path")
+def _members(shared: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, side, path, class) of texts that have a line to be looked for by; texts of one side with the same shared lines and size are a class.
+
+    Texts of a class are equally alike to any other text, so only one of them need be compared. Where no line is common, a text is its own.
+    """
+    own = F.col("path")
+    if not shared.where(F.col("call") & (F.col("pairs") > FEW)).isEmpty():
+        own = F.sha1(F.to_json(F.struct("size", "lines")).cast("binary"))
+    texts = shared.groupBy(*by, "side", "path", "size").agg(F.array_sort(F.collect_list(F.struct("line", "n"))).alias("lines"), F.bool_or("call").alias("call"))
+    return checkpointed(texts.where("call").select(*by, "side", "path", own.alias("class")))
+
+
+def _alike(shared: DataFrame, members: DataFrame, by: tuple[str, ...], threshold: float) -> DataFrame:
+    """(by, d_class, a_class, score) of all classes that are alike, by one text of each."""
+    one = members.groupBy(*by, "side", "class").agg(F.min("path").alias("path"))
+    rows = checkpointed(shared.join(one, [*by, "side", "path"]).drop("path").withColumnRenamed("class", "path"))
+    d, a = _two(rows.where("call"), by, "path")
     candidates = d.join(a, [*by, "line"]).select(*by, "d", "a").distinct()
-    d, a = _two(shared, by, "path", "n", "bytes", "size")
+    d, a = _two(rows, by, "path", "n", "bytes", "size")
     both = candidates.join(d, [*by, "d"]).join(a.drop("a_bytes"), [*by, "a", "line"])
     score = F.sum(F.least("d_n", "a_n") * F.col("d_bytes")) / F.greatest(F.max("d_size"), F.max("a_size"))
-    return both.groupBy(*by, "d", "a").agg(score.alias("score")).where(F.col("score") >= threshold)
-
-
-def _by_common_lines(shared: DataFrame, by: tuple[str, ...], threshold: float) -> DataFrame:
-    """(by, d, a, score) of texts that share common lines alone, one to one.
-
-    What such texts share depends on their common lines, so those of the same lines are one class: two classes that are alike are
-    compared once, and their texts meet in order of size, the smallest first, as the smallest are the most alike.
-    """
-    texts = shared.where(F.col("pairs") > FEW).groupBy(*by, "side", "path", "size").agg(F.array_sort(F.collect_list(F.struct("line", "n", "bytes"))).alias("lines"), F.bool_or("call").alias("call")).where("call")
-    texts = checkpointed(texts.withColumns({"class": F.sha1(F.to_json("lines").cast("binary")), "order": F.struct("size", "path")}).drop("call"))
-    classes = texts.groupBy(*by, "side", "class").agg(F.min("size").alias("size"), F.any_value("lines").alias("lines"))
-    each = classes.select(*by, "side", F.col("class").alias("path"), "size", F.explode("lines").alias("l")).select(*by, "side", "path", "size", "l.*")
-    told = checkpointed(_shared(each, by, threshold))
-    d, a = _two(told.where("call"), by, "path")
-    met = d.join(a, [*by, "line"]).select(*by, "d", "a").distinct()
-    d, a = _two(told, by, "path", "n", "bytes")
-    common = met.join(d, [*by, "d"]).join(a.drop("a_bytes"), [*by, "a", "line"]).groupBy(*by, "d", "a").agg(F.sum(F.least("d_n", "a_n") * F.col("d_bytes")).alias("bytes"))
-    common = checkpointed(common.withColumnsRenamed({"d": "d_class", "a": "a_class"}))
-    out = None
-    while True:
-        ranks = checkpointed(numbered(texts, [*by, "side", "class"], "order"))
-        side = lambda k, name: ranks.where(F.col("side") == k).select(*by, F.col("class").alias(f"{name}_class"), F.col("path").alias(name), F.col("size").alias(f"{name}_size"), "number")  # noqa: E731, B023
-        pairs = common.join(side(0, "d"), [*by, "d_class"]).join(side(1, "a"), [*by, "a_class", "number"])
-        won = settled(pairs.withColumn("score", F.col("bytes") / F.greatest("d_size", "a_size")).where(F.col("score") >= threshold), by)
-        out = won if out is None else out.unionByName(won)
-        if won.isEmpty():
-            return out
-        texts = checkpointed(_without(texts, won, by))
+    told = both.groupBy(*by, "d", "a").agg(score.alias("score")).where(F.col("score") >= threshold)
+    return checkpointed(told.withColumnsRenamed({"d": "d_class", "a": "a_class"}))
 
 
 def _without(rows: DataFrame, won: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -108,22 +97,27 @@ def _without(rows: DataFrame, won: DataFrame, by: tuple[str, ...]) -> DataFrame:
 def similar_renames(deleted: DataFrame, added: DataFrame, threshold: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, d, a, score) one to one: shared bytes of equal lines over the larger text, from deleted(by, path, text) and added(by, path, text).
 
-    Texts that share a line of few texts are paired first, by falling likeness, until none is left; then those that share only lines that
-    many texts have. Null and empty texts take no part.
+    The best pair of all is taken again and again. If pairs are many, those above a score go first: what they take leaves fewer texts
+    for the others, and as no pair below comes before one above, the pairs taken are the same. Null and empty texts take no part.
     """
-    left, out = checkpointed(_entries(deleted, 0, by).unionByName(_entries(added, 1, by))), None
+    shared = checkpointed(_shared(_entries(deleted, 0, by).unionByName(_entries(added, 1, by)), by, threshold))
+    left = _members(shared, by)
+    classes, out = _alike(shared, left, by, threshold), None
     while True:
-        shared = checkpointed(_shared(left, by, threshold))
-        common = not shared.where(F.col("call") & (F.col("pairs") > FEW)).isEmpty()
-        won = settled(_by_rare_lines(shared, by, threshold), by)
-        # Once texts are paired, a common line may have become rare.
-        again = common and not won.isEmpty()
-        if common and not again:
-            won = _by_common_lines(shared, by, threshold)
+        n = lambda side, name: left.where(F.col("side") == side).groupBy(*by, F.col("class").alias(f"{name}_class")).agg(F.count("*").alias(f"n_{name}"))  # noqa: E731, B023
+        live = checkpointed(classes.join(n(0, "d"), [*by, "d_class"]).join(n(1, "a"), [*by, "a_class"]).withColumn("step", F.floor(F.col("score") * STEPS)))
+        low, met = 0, 0
+        for step, pairs in sorted(((r["step"], r["pairs"]) for r in live.groupBy("step").agg(F.sum(F.col("n_d") * F.col("n_a")).alias("pairs")).collect()), reverse=True):
+            if met and met + pairs > PAIRS:
+                break
+            low, met = step, met + pairs
+        side = lambda k, name: left.where(F.col("side") == k).select(*by, F.col("class").alias(f"{name}_class"), F.col("path").alias(name))  # noqa: E731, B023
+        won = settled(live.where(F.col("step") >= low).join(side(0, "d"), [*by, "d_class"]).join(side(1, "a"), [*by, "a_class"]), by)
         out = won if out is None else out.unionByName(won)
-        if not again:
+        classes = live.where(F.col("step") < low).select(*by, "d_class", "a_class", "score")
+        if classes.isEmpty():
             return out
-        left = checkpointed(_without(shared.drop("pairs", "call"), won, by))
+        left = checkpointed(_without(left, won, by))
 
 
 def regular(mode: str) -> Column:

@@ -1,5 +1,11 @@
 """What showed on larger tables: order of rows, copies of texts, sizes that must not grow with a product."""
 
+import random
+
+import pytest
+from test_operators import brute_renames, found_renames
+
+from auditlake.operators import likeness
 from auditlake.operators.chains import chain_places
 
 
@@ -11,3 +17,13 @@ def test_chains_do_not_depend_on_the_order_of_edges(spark):
         df = spark.createDataFrame(edges, "child long, parent long, parent_index int").coalesce(1)
         seen.append({(r.node, r.chain, r.pos) for r in chain_places(df.select(df.child.alias("node")), df).collect()})
     assert seen[0] == seen[1]
+
+
+@pytest.mark.parametrize("pairs", [100, 1_000_000])
+def test_common_lines_do_not_change_which_texts_are_paired(spark, monkeypatch, pairs):
+    # Texts of few common lines, some of them with a rare one, which must not be paired before likelier ones that share none.
+    monkeypatch.setattr(likeness, "PAIRS", pairs, raising=False)
+    rng = random.Random(5)
+    text = lambda k: "\n".join([*[rng.choice(["a long line that many texts have", "}", "x = 1"]) for _ in range(rng.randint(1, 4))], *[f"rare {k % 30}"] * (k % 3 == 0)])
+    old, new = ([(f"{s}{k}", text(k)) for k in range(60)] for s in "da")
+    assert found_renames(spark, old, new) == brute_renames(old, new)
