@@ -106,6 +106,19 @@ class Reach:
         placed = asked.join(self.places.toDF("node", "_chain", "_at"), "node", "left").withColumns({"_chain": F.coalesce("_chain", "node"), "_at": F.coalesce("_at", F.lit(0))})
         return placed.join(labels.toDF("start", "_chain", "_top"), ["start", "_chain"]).where("_at <= _top").drop("_chain", "_at", "_top")
 
+    def counted(self, labels: DataFrame, asked: DataFrame, by: str = "bundle_id") -> DataFrame:
+        """(by, start, n, least) for each of labels(by, start, chain, pos) that covers some of asked(by, node): how many of them, and the least.
+
+        Labels and nodes go up each chain together, a label after the nodes at its position.
+        """
+        placed = asked.join(self.places, "node", "left").select(by, F.coalesce("chain", "node").alias("chain"), F.coalesce("pos", F.lit(0)).alias("pos"), "node")
+        kept = labels.join(placed.select(by, "chain").distinct(), [by, "chain"], "left_semi")
+        none = lambda rows, c: F.lit(None).cast(dict(rows.dtypes)[c]).alias(c)
+        both = placed.select(by, "chain", "pos", "node", none(labels, "start")).unionByName(kept.select(by, "chain", "pos", none(placed, "node"), "start"))
+        below = W.Window.partitionBy(by, "chain").orderBy("pos").rangeBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+        told = both.select(by, "start", F.count("node").over(below).alias("n"), F.min("node").over(below).alias("least"))
+        return told.where("start is not null and n > 0")
+
 
 def first_visits(heads: DataFrame, places: DataFrame, cross: DataFrame) -> DataFrame:
     """(bundle_id, node, head_index, key, run): where a depth-first walk from heads(bundle_id, head_index, node) meets each node first.

@@ -210,11 +210,12 @@ def head_base(heads: DataFrame, prereqs: DataFrame, edges: DataFrame) -> DataFra
     """heads with base_oid and error: the first parent without prerequisites, the one prerequisite, or of several the single ancestor."""
     first = edges.where("parent_index = 0").select(F.col("child").alias("oid"), F.col("parent").alias("first_parent"))
     per = prereqs.groupBy("bundle_id").agg(F.count("*").alias("n"), F.min("oid").alias("only"))
-    many = heads.join(per.where("n > 1").select("bundle_id"), "bundle_id", "left_semi")
+    many = heads.join(per.where("n > 1").select("bundle_id"), "bundle_id", "left_semi").select("bundle_id", F.col("oid").alias("start")).distinct()
     reach = Reach(edges)
-    labels = reach.labels(many.select(F.col("oid").alias("start"), F.col("oid").alias("node")).distinct())
-    asked = many.join(prereqs.select("bundle_id", F.col("oid").alias("node")), "bundle_id").select("bundle_id", F.col("oid").alias("start"), "node")
-    hits = reach.covered(labels, asked).groupBy("bundle_id", F.col("start").alias("oid")).agg(F.count("*").alias("hits"), F.min("node").alias("hit"))
+    labels = reach.labels(many.select("start", F.col("start").alias("node")).distinct())
+    # A chain's prerequisites are counted from its oldest commit up, so a head's label tells how many lie below it, and no pair of the two is formed.
+    asked = prereqs.join(per.where("n > 1").select("bundle_id"), "bundle_id", "left_semi").select("bundle_id", F.col("oid").alias("node"))
+    hits = reach.counted(labels.join(many, "start"), asked).groupBy("bundle_id", F.col("start").alias("oid")).agg(F.sum("n").alias("hits"), F.min("least").alias("hit"))
     rows = heads.join(per, "bundle_id", "left").join(first, "oid", "left").join(hits, ["bundle_id", "oid"], "left")
     n, h = F.coalesce("n", F.lit(0)), F.coalesce("hits", F.lit(0))
     base = F.when(n == 0, F.col("first_parent")).when(n == 1, F.col("only")).when(h == 1, F.col("hit"))

@@ -174,9 +174,9 @@ def framing_check(spark, sf):
 def ingest_thin_packs(spark, sf):
     """Packs that build upon what the receiver has, which lacks some of it."""
     packs = checkpointed(_groups(spark, sf).applyInPandas(_thin, "bundle_id string, pack binary"))
-    held = view(spark, sf, "docs").where("doc_id % 97 <> 0").select("source", X.object_id(F.lit("blob"), "text").alias("oid"), F.lit("blob").alias("kind"), F.col("text").cast("binary").alias("content"))
-    own = packs.select("bundle_id", F.split_part("bundle_id", F.lit("/"), F.lit(1)).alias("source"))
-    return I.ingest_packs(packs, own.join(held, "source").drop("source")).select("bundle_id", "idx", "base_oid", "resolved_via", "result_oid", "error")
+    held = view(spark, sf, "docs").where("doc_id % 97 <> 0").select(F.col("source").alias("receiver"), X.object_id(F.lit("blob"), "text").alias("oid"), F.lit("blob").alias("kind"), F.col("text").cast("binary").alias("content"))
+    own = packs.select("bundle_id", F.split_part("bundle_id", F.lit("/"), F.lit(1)).alias("receiver"))
+    return I.ingest_packs(packs, held, own).select("bundle_id", "idx", "base_oid", "resolved_via", "result_oid", "error")
 
 
 # Archives: ten pages each, with or without the one bundle that an archive must have.

@@ -208,13 +208,14 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("bundle_id", "idx", "offs", "kind")), pa.array(content, pa.binary()), pa.array(error, pa.string())], names=["bundle_id", "idx", "offs", "kind", "content", "error"])
 
 
-def ingest_packs(bundles: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+def ingest_packs(bundles: DataFrame, baseline: DataFrame | None = None, receivers: DataFrame | None = None) -> DataFrame:
     """Ledger rows with content of bundles(bundle_id, pack), many packages in parallel; a package's first failure ends it with an error row.
 
     A scan tells a package's entries apart, one after the other, as an entry's end is known only after inflating it. Deltas
     are then rebuilt a level of their chains at a time, by joins with their bases, so that what is costly is spread by entry and no
     task holds a package's objects. An offset names an entry, an id an earlier entry of that id or else an object of
-    the receiver, baseline(bundle_id, oid, kind, content).
+    the receiver, baseline(bundle_id, oid, kind, content). With receivers(bundle_id, receiver), many packages share what a receiver
+    has, baseline(receiver, oid, kind, content); it is looked up by the ids that they ask for.
     """
     raw = checkpointed(bundles.select(F.col("bundle_id").cast("string").alias("bundle_id"), "pack").mapInArrow(_scan, RAW))
     delta = F.col("kind").isin("ofs-delta", "ref-delta")
@@ -235,8 +236,12 @@ def ingest_packs(bundles: DataFrame, baseline: DataFrame | None = None) -> DataF
                 break
             # What no earlier entry gives is taken from the receiver, once all is known that the package gives by itself.
             asked = True
-            outer = baseline.select("bundle_id", F.col("oid").alias("base_oid"), "kind", F.col("content").alias("base")).dropDuplicates(["bundle_id", "base_oid"])
-            fresh = checkpointed(with_id(left.join(outer, ["bundle_id", "base_oid"]).select(*columns).mapInArrow(_applied, "bundle_id string, idx long, offs long, kind string, content binary, error string")))
+            whose = "bundle_id" if receivers is None else "receiver"
+            wants = left.where("base_oid is not null")
+            wants = wants if receivers is None else wants.join(receivers.select(F.col("bundle_id").cast("string").alias("bundle_id"), "receiver"), "bundle_id")
+            outer = baseline.select(whose, F.col("oid").alias("base_oid"), "kind", F.col("content").alias("base"))
+            outer = outer.join(wants.select(whose, "base_oid").distinct(), [whose, "base_oid"], "left_semi").dropDuplicates([whose, "base_oid"])
+            fresh = checkpointed(with_id(wants.join(outer, [whose, "base_oid"]).select(*columns).mapInArrow(_applied, "bundle_id string, idx long, offs long, kind string, content binary, error string")))
             if fresh.isEmpty():
                 break
         done = done.unionByName(fresh)

@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from test_ingest import BASE, DELTA, entry, packed
 from test_operators import brute_renames, found_renames
 
 from auditlake.operators import likeness
-from auditlake.operators.chains import chain_places
+from auditlake.operators.chains import Reach, chain_places
+from auditlake.sources import ingest as I
 
 
 def test_chains_do_not_depend_on_the_order_of_edges(spark):
@@ -27,3 +29,26 @@ def test_common_lines_do_not_change_which_texts_are_paired(spark, monkeypatch, p
     text = lambda k: "\n".join([*[rng.choice(["a long line that many texts have", "}", "x = 1"]) for _ in range(rng.randint(1, 4))], *[f"rare {k % 30}"] * (k % 3 == 0)])
     old, new = ([(f"{s}{k}", text(k)) for k in range(60)] for s in "da")
     assert found_renames(spark, old, new) == brute_renames(old, new)
+
+
+def test_prerequisites_are_counted_without_pairs(spark):
+    # 1 <- 2 <- 3 <- 4, 3 <- 5; 6 alone. One prerequisite is named twice, one has no edges.
+    edges = spark.createDataFrame([(2, 1, 0), (3, 2, 0), (4, 3, 0), (5, 3, 0)], "child long, parent long, parent_index int")
+    reach = Reach(edges)
+    starts = spark.createDataFrame([("b", 4), ("b", 5), ("b", 2), ("b", 6), ("c", 4)], "bundle_id string, start long")
+    asked = spark.createDataFrame([("b", 3), ("b", 3), ("b", 1), ("b", 6), ("c", 2)], "bundle_id string, node long")
+    labels = reach.labels(starts.select("start", starts.start.alias("node")).distinct())
+    got: dict = {}
+    for r in reach.counted(labels.join(starts, "start"), asked).collect():
+        n, least = got.get((r.bundle_id, r.start), (0, 99))
+        got[r.bundle_id, r.start] = (n + r.n, min(least, r.least))
+    assert got == {("b", 4): (3, 1), ("b", 5): (3, 1), ("b", 2): (1, 1), ("b", 6): (1, 6), ("c", 4): (1, 2)}
+
+
+def test_packages_of_one_receiver_share_what_it_has(spark):
+    far = lambda k: entry(7, DELTA, bytes([k]) * 20)
+    packs = spark.createDataFrame([("p", packed([far(1)])), ("q", packed([far(1), far(2)])), ("r", packed([far(1)]))], "bundle_id string, pack binary")
+    base = spark.createDataFrame([("x", "01" * 20, "blob", BASE), ("x", "03" * 20, "blob", BASE), ("y", "02" * 20, "blob", BASE)], "receiver string, oid string, kind string, content binary")
+    whose = spark.createDataFrame([("p", "x"), ("q", "x"), ("r", "y")], "bundle_id string, receiver string")
+    got = {(r.bundle_id, r.idx): r.resolved_via for r in I.ingest_packs(packs, base, whose).collect()}
+    assert got == {("p", 0): "baseline", ("q", 0): "baseline", ("q", 1): None, ("r", 0): None}
