@@ -16,8 +16,8 @@ from pyspark.sql import window as W
 
 from auditlake.operators.iterate import checkpointed, doubled, numbered
 
-#: Crossings next below a place that its shortcuts follow at once, and how often shortcuts are joined with themselves.
-NEAR, DOUBLINGS = 4, 2
+#: How often the crossings that shortcuts follow in a row are doubled.
+DOUBLINGS = 5
 
 
 def chain_places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -39,36 +39,40 @@ def crossings(places: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def shortcuts(cross: DataFrame) -> DataFrame:
-    """(chain, pos, to_chain, to_pos): where some crossings in a row lead from each place that a crossing leads to.
+    """(chain, pos, to_chain, to_pos): where 1, 2, 4 and more crossings in a row lead from each place that a crossing leads to, always by the next one below.
 
-    They hold only what is reached, so a walk that takes them finds no more, in fewer rounds; of a chain's crossings only the next
-    few below a place are taken, so the table grows with the crossings.
+    They hold only what is reached, so a walk that takes them finds no more, in fewer rounds: what a row of n crossings comes to is met
+    after as many rounds as n has powers of two. A place has one next crossing, so the table grows with the crossings alone.
     """
-    order = W.Window.partitionBy("chain").orderBy("pos")
-    listed = W.Window.partitionBy("chain").orderBy("pos", "to_chain")
-    ranked = cross.groupBy("chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos")).withColumn("rank", F.row_number().over(listed))
-    landed = cross.select(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos")).distinct()
-    # How many crossings lie at or below a place: both go by position, crossings first.
-    both = ranked.select("chain", "pos", F.lit(1).alias("is_crossing")).unionByName(landed.withColumn("is_crossing", F.lit(0)))
-    below = both.withColumn("rank", F.sum("is_crossing").over(order.rangeBetween(W.Window.unboundedPreceding, 0))).where("is_crossing = 0 and rank > 0")
-    asked = below.select("chain", "pos", F.explode(F.sequence(F.greatest(F.col("rank") - (NEAR - 1), F.lit(1).cast("long")), "rank")).alias("rank"))
-    now = asked.join(ranked.drop("pos"), ["chain", "rank"]).groupBy("chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos"))
+    order = W.Window.partitionBy("chain").orderBy("pos").rangeBetween(W.Window.unboundedPreceding, W.Window.currentRow)
+    leads = cross.groupBy("chain", "pos").agg(F.max(F.struct("to_chain", "to_pos")).alias("to"))
+    landed = cross.select(F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos")).distinct().withColumn("landed", F.lit(True))
+    both = leads.withColumn("landed", F.lit(False)).unionByName(landed.withColumn("to", F.lit(None).cast(leads.schema["to"].dataType)))
+    below = both.withColumn("to", F.last("to", True).over(order)).where("landed and to is not null")
+    now = checkpointed(below.select("chain", "pos", "to.to_chain", "to.to_pos"))
+    found = now
     for _ in range(DOUBLINGS):
-        far = now.join(now.toDF("to_chain", "to_pos", "c", "p"), ["to_chain", "to_pos"]).select("chain", "pos", F.col("c").alias("to_chain"), F.col("p").alias("to_pos"))
-        now = checkpointed(now.unionByName(far).where("chain <> to_chain").groupBy("chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos")), now)
-    return now
+        now = checkpointed(now.join(now.toDF("to_chain", "to_pos", "c", "p"), ["to_chain", "to_pos"]).select("chain", "pos", F.col("c").alias("to_chain"), F.col("p").alias("to_pos")))
+        found = found.unionByName(now)
+    return checkpointed(found.where("chain <> to_chain").groupBy("chain", "pos", "to_chain").agg(F.max("to_pos").alias("to_pos")))
 
 
 class Reach:
     """Reachability in one commit graph. Its places, crossings and shortcuts are tables, made once and asked any number of times."""
 
-    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None):
+    def __init__(self, edges: DataFrame, nodes: DataFrame | None = None, places: DataFrame | None = None):
         index = F.col("parent_index") if "parent_index" in edges.columns else F.lit(0).alias("parent_index")
         edges = checkpointed(edges.select("child", "parent", index))
         none = edges.select(F.col("child").alias("node")).where("false")
-        self.places = chain_places(none if nodes is None else nodes, edges)
+        self.places = chain_places(none if nodes is None else nodes, edges) if places is None else places
         self.cross = crossings(self.places, edges)
-        self.short = shortcuts(self.cross)
+        self._short = None
+
+    @property
+    def short(self) -> DataFrame:
+        if self._short is None:
+            self._short = shortcuts(self.cross)
+        return self._short
 
     def labels(self, starts: DataFrame) -> DataFrame:
         """(start, chain, pos): the highest position on each chain that starts(start, node) reach, themselves included.
@@ -119,6 +123,36 @@ class Reach:
         told = both.select(by, "start", F.count("node").over(below).alias("n"), F.min("node").over(below).alias("least"))
         return told.where("start is not null and n > 0")
 
+    def least(self, starts: DataFrame) -> DataFrame:
+        """(bundle_id, chain, pos, floor, key): down to which position below pos each entry's key is the least of starts(bundle_id, node, key) that reach it.
+
+        An entry is looked at only where none of a lower key leads, so a bundle is walked once whatever its starts.
+        """
+        now = checkpointed(starts.join(self.places, "node", "left").select("bundle_id", F.coalesce("chain", "node").alias("chain"), F.coalesce("pos", F.lit(0)).alias("pos"), "key").groupBy("bundle_id", "chain", "pos").agg(F.min("key").alias("key")).withColumn("fresh", F.lit(True)))
+        hop = self.cross.groupBy("chain", F.col("pos").alias("at"), "to_chain").agg(F.max("to_pos").alias("to_pos"))
+        far = self.short.toDF("to_chain", "to_pos", "c", "p")
+        while True:
+            fresh = _stretches(now).where("fresh")
+            met = fresh.join(hop, "chain").where("at <= pos and at > floor").groupBy("bundle_id", "to_chain", "to_pos").agg(F.min("key").alias("key"))
+            place = lambda c, p: F.struct(F.col(c).alias("chain"), F.col(p).alias("pos"))
+            more = met.join(far, ["to_chain", "to_pos"], "left").select("bundle_id", "key", F.explode(F.array(place("to_chain", "to_pos"), place("c", "p"))).alias("x")).select("bundle_id", "x.*", "key").where("chain is not null")
+            both = now.drop("fresh").join(more.groupBy("bundle_id", "chain", "pos").agg(F.min("key").alias("other")), ["bundle_id", "chain", "pos"], "full")
+            better = F.coalesce(F.col("other") < F.col("key"), F.col("other").isNotNull())
+            told = both.select("bundle_id", "chain", "pos", F.when(better, F.col("other")).otherwise(F.col("key")).alias("key"), better.alias("fresh"))
+            now = checkpointed(_stretches(told).select("bundle_id", "chain", "pos", "key", "fresh"), now)
+            if now.where("fresh").isEmpty():
+                return _stretches(now).drop("fresh")
+
+
+def islands(places: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, chain, pos) of own(repo, oid) by themselves: a chain of places is cut where a repository lacks a commit. Nodes and chains are named with their repository."""
+    placed = own.join(places.withColumnRenamed("node", "oid"), "oid", "left").select("repo", "oid", F.coalesce("chain", "oid").alias("line"), F.coalesce("pos", F.lit(0).cast("long")).alias("at"))
+    below = F.row_number().over(W.Window.partitionBy("repo", "line").orderBy("at"))
+    cut = placed.withColumn("island", F.col("at") - below)
+    first = F.min_by("oid", "at").over(W.Window.partitionBy("repo", "line", "island"))
+    pos = F.row_number().over(W.Window.partitionBy("repo", "line", "island").orderBy("at")).cast("long") - 1
+    return checkpointed(cut.select(F.struct("repo", "oid").alias("node"), F.struct("repo", first.alias("oid")).alias("chain"), pos.alias("pos")))
+
 
 def first_visits(heads: DataFrame, places: DataFrame, cross: DataFrame) -> DataFrame:
     """(bundle_id, node, head_index, key, run): where a depth-first walk from heads(bundle_id, head_index, node) meets each node first.

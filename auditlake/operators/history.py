@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.columns import decoration_label, decoration_rank
-from auditlake.operators.chains import Reach, chain_places, crossings, first_visits, in_order
-from auditlake.operators.iterate import checkpointed, followed, generations, least_reaching
+from auditlake.operators.chains import Reach, chain_places, crossings, first_visits, in_order, islands
+from auditlake.operators.iterate import checkpointed, followed, generations
 
 MISSING_SUBJECT = "<prerequisite commit unavailable>"
 
@@ -57,18 +57,24 @@ def topological(commits: DataFrame, edges: DataFrame, by: str = "repo") -> DataF
 def merge_base(pairs: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
     """pairs(a, b) with merge_base: of common ancestors the greatest by (generation, time, id), null if unrelated.
 
-    Two ends have in common, of each chain that both reach, what lies at or below the lower of their two positions. The commit there is the
-    chain's best, so a pair forms one row for each such chain, and an end is walked once however many pairs it is in.
+    Of two ends on one chain the lower is their base. Others have in common, of each chain that both reach, what lies at or below the lower
+    of their two positions. The commit there is the chain's best, so a pair forms one row for each such chain, and an end is walked once
+    however many pairs it is in.
     """
     reach = Reach(edges, commits.select(F.col("id").alias("node")))
-    gen = generations(commits.select(F.col("id").alias("node")), edges).join(commits.select(F.col("id").alias("node"), "time"), "node")
-    keys = pairs.select("a", "b").where("a is not null and b is not null").distinct()
+    at = lambda end: reach.places.toDF(end, f"chain_{end}", f"pos_{end}")
+    ends = checkpointed(pairs.select("a", "b").where("a is not null and b is not null").distinct().join(at("a"), "a").join(at("b"), "b"))
+    alone = F.col("chain_a") == F.col("chain_b")
+    near = ends.where(alone).select("a", "b", F.when(F.col("pos_a") < F.col("pos_b"), F.col("a")).otherwise(F.col("b")).alias("merge_base"))
+    keys = ends.where(~alone).select("a", "b")
     labels = reach.labels(keys.select(F.explode(F.array("a", "b")).alias("start")).distinct().withColumn("node", F.col("start")))
     side = lambda end, pos: labels.select(F.col("start").alias(end), "chain", F.col("pos").alias(pos))
-    both = keys.join(side("a", "pos_a"), "a").join(side("b", "pos_b"), ["b", "chain"]).select("a", "b", "chain", F.least("pos_a", "pos_b").alias("pos"))
-    ranked = reach.places.join(gen, "node").select("chain", "pos", F.struct("generation", "time", "node").alias("best"))
-    best = both.join(ranked, ["chain", "pos"]).groupBy("a", "b").agg(F.max("best").alias("best"))
-    return pairs.join(best.select("a", "b", F.col("best.node").alias("merge_base")), ["a", "b"], "left")
+    both = checkpointed(keys.join(side("a", "pos_a"), "a").join(side("b", "pos_b"), ["b", "chain"]).select("a", "b", "chain", F.least("pos_a", "pos_b").alias("pos")))
+    gen = generations(commits.select(F.col("id").alias("node")), edges).join(commits.select(F.col("id").alias("node"), "time"), "node")
+    met = reach.places.join(both.select("chain", "pos").distinct(), ["chain", "pos"]).join(gen, "node")
+    best = both.join(met.select("chain", "pos", F.struct("generation", "time", "node").alias("best")), ["chain", "pos"]).groupBy("a", "b").agg(F.max("best").alias("best"))
+    found = near.unionByName(best.select("a", "b", F.col("best.node").alias("merge_base")))
+    return pairs.join(found, ["a", "b"], "left")
 
 
 def _visits(heads: DataFrame, commits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,15 +133,32 @@ def assume_present(revs: DataFrame, tips: DataFrame, edges: DataFrame) -> DataFr
     return kept.groupBy("range_id", "oid").agg(F.min("pos").alias("pos")).select("range_id", "pos", "oid")
 
 
-def _walked(heads: DataFrame, prereqs: DataFrame, here: DataFrame, edges: DataFrame) -> DataFrame:
-    """(at, repo, oid) of commits that a package's heads reach and its prerequisites don't, over commits that its repository has."""
-    place = lambda c: F.struct("repo", F.col(c).alias("oid"))
-    own = here.join(heads.select("repo").distinct(), "repo", "left_semi")
-    edges = edges if "parent_index" in edges.columns else edges.withColumn("parent_index", F.lit(0))
-    present = edges.join(own.withColumnRenamed("oid", "child"), "child").join(own.withColumnRenamed("oid", "parent"), ["repo", "parent"], "left_semi").select(place("child").alias("child"), place("parent").alias("parent"), "parent_index")
-    reach = Reach(present)
-    side = lambda rows: reach.labels(rows.join(here, ["repo", "oid"], "left_semi").select(F.col("at").alias("start"), place("oid").alias("node")))
-    return checkpointed(reach.nodes(side(heads), side(prereqs)).select(F.col("start").alias("at"), "node.repo", "node.oid"))
+class _Walk:
+    """What a package's heads reach and its prerequisites don't, over commits that its repository has; edges to others are `missing`."""
+
+    def __init__(self, heads: DataFrame, prereqs: DataFrame, here: DataFrame, edges: DataFrame):
+        place = lambda c: F.struct("repo", F.col(c).alias("oid"))
+        own = checkpointed(here.join(heads.select("repo").distinct(), "repo", "left_semi"))
+        edges = checkpointed(edges.select("child", "parent", F.col("parent_index") if "parent_index" in edges.columns else F.lit(0).alias("parent_index")))
+        # Chains are formed once; each repository's are what it has of them.
+        places = islands(chain_places(own.select(F.col("oid").alias("node")).distinct(), edges), own)
+        known = own.select("repo", F.col("oid").alias("parent"), F.lit(True).alias("known"))
+        told = checkpointed(edges.join(own.withColumnRenamed("oid", "child"), "child").join(known, ["repo", "parent"], "left"))
+        self.missing = told.where("known is null").select("repo", "child", "parent")
+        present = told.where("known").select(place("child").alias("child"), place("parent").alias("parent"), "parent_index")
+        self.reach = Reach(present, places=places)
+        side = lambda rows: self.reach.labels(rows.join(own, ["repo", "oid"], "left_semi").select(F.col("at").alias("start"), place("oid").alias("node")))
+        self.shown, self.hidden = side(heads), side(prereqs)
+
+    def nodes(self) -> DataFrame:
+        """(at, repo, oid) of all those commits."""
+        return checkpointed(self.reach.nodes(self.shown, self.hidden).select(F.col("start").alias("at"), "node.repo", "node.oid"))
+
+    def lacking(self, heads: DataFrame) -> DataFrame:
+        """(at, repo, oid): parents that such commits have and their repository has not, told from the edges to these alone."""
+        ends = self.missing.join(heads.select("at", "repo").distinct(), "repo").select(F.col("at").alias("start"), F.struct("repo", F.col("child").alias("oid")).alias("node"), "repo", "parent")
+        met = self.reach.covered(self.shown, ends)
+        return met.join(self.reach.covered(self.hidden, met).select("start", "node").distinct(), ["start", "node"], "left_anti").select(F.col("start").alias("at"), "repo", F.col("parent").alias("oid")).distinct()
 
 
 def dangling(heads: DataFrame, prereqs: DataFrame, commits: DataFrame, edges: DataFrame, tree_entries: DataFrame | None = None, objects: DataFrame | None = None) -> DataFrame:
@@ -146,17 +169,17 @@ def dangling(heads: DataFrame, prereqs: DataFrame, commits: DataFrame, edges: Da
     tree_entries(tree_oid, child_oid, child_kind) and objects are given; commits then have tree_oid. An entry whose child_kind is null
     is of unknown kind.
     """
-    here = commits.select("repo", F.col("id").alias("oid")).distinct()
+    here = checkpointed(commits.select("repo", F.col("id").alias("oid")).distinct())
     own = checkpointed(heads.select(F.struct("bundle_id", "repo").alias("at"), "repo", "oid").distinct())
     known = prereqs.select("bundle_id", "oid").join(own.select("at.bundle_id", "at", "repo").distinct(), "bundle_id").select("at", "repo", "oid")
     lost = own.join(here, ["repo", "oid"], "left_anti").select("at", F.lit("head").alias("kind"), "oid")
-    walked = _walked(own, known, here, edges)
-    parents = walked.join(edges.select(F.col("child").alias("oid"), "parent"), "oid").select("at", "repo", F.col("parent").alias("oid")).distinct().join(here, ["repo", "oid"], "left_anti").join(known.select("at", "oid"), ["at", "oid"], "left_anti")
+    walk = _Walk(own, known, here, edges)
+    parents = walk.lacking(own).join(known.select("at", "oid"), ["at", "oid"], "left_anti")
     found = lost.unionByName(parents.select("at", F.lit("parent").alias("kind"), "oid"))
     if tree_entries is not None:
         from auditlake.operators.objects import tree_objects
 
-        met = checkpointed(tree_objects(walked.select(F.col("at").alias("bundle_id"), "oid"), commits.select("id", "tree_oid").distinct(), tree_entries).select(F.col("bundle_id").alias("at"), "bundle_id.repo", "oid", "kind"))
+        met = checkpointed(tree_objects(walk.nodes().select(F.col("at").alias("bundle_id"), "oid"), commits.select("id", "tree_oid").distinct(), tree_entries).select(F.col("bundle_id").alias("at"), "bundle_id.repo", "oid", "kind"))
         absent = met.join(objects.select("repo", "oid").distinct(), ["repo", "oid"], "left_anti").where("kind is not null")
         told = absent.select("at", F.when(F.col("kind") == "tree", "tree").otherwise("entry").alias("kind"), "oid")
         odd = met.where("kind = 'tree'").select("at", F.col("oid").alias("tree_oid")).join(tree_entries.where("child_kind is null"), "tree_oid").select("at", F.lit("unknown").alias("kind"), F.col("child_oid").alias("oid")).distinct()
@@ -167,11 +190,14 @@ def dangling(heads: DataFrame, prereqs: DataFrame, commits: DataFrame, edges: Da
 def needed_by(found: DataFrame, heads: DataFrame, edges: DataFrame) -> DataFrame:
     """found(bundle_id, kind, oid) of kind head or parent with `reference`: the first of the bundle's heads that reaches it.
 
-    The first head goes down the graph, the least of those that meet at a commit, so a bundle is walked once whatever its heads.
+    The first head goes down the chains, the least of those that meet there, so a bundle is walked once whatever its heads.
     """
+    found, reach = checkpointed(found), Reach(edges)
     ends = heads.join(found.select("bundle_id").distinct(), "bundle_id", "left_semi")
-    first = least_reaching(ends.select(F.col("bundle_id").alias("start"), F.col("oid").alias("node"), F.struct("head_index", "reference").alias("value")), edges)
-    return found.join(first.select(F.col("start").alias("bundle_id"), F.col("node").alias("oid"), "value.reference"), ["bundle_id", "oid"], "left")
+    least = reach.least(ends.select("bundle_id", F.col("oid").alias("node"), F.struct("head_index", "reference").alias("key")))
+    asked = found.select("bundle_id", "oid").distinct().join(reach.places.toDF("oid", "chain", "at"), "oid", "left").withColumns({"chain": F.coalesce("chain", "oid"), "at": F.coalesce("at", F.lit(0))})
+    first = asked.join(least, ["bundle_id", "chain"]).where("at <= pos and at > floor").select("bundle_id", "oid", "key.reference")
+    return found.join(first, ["bundle_id", "oid"], "left")
 
 
 def resolve_refs(refs: DataFrame, tags: DataFrame, commits: DataFrame) -> DataFrame:

@@ -96,18 +96,6 @@ def closure(starts: DataFrame, edges: DataFrame, steps: DataFrame | None = None)
             seen = checkpointed(seen)
 
 
-def least_reaching(starts: DataFrame, edges: DataFrame, steps: DataFrame | None = None) -> DataFrame:
-    """(start, node, value): the least value of starts(start, node, value) from which each node is reached over edges(child, parent)."""
-    links = (steps if steps is not None else hops(edges)).select("node", "next")
-    now = checkpointed(starts.groupBy("start", "node").agg(F.min("value").alias("value")).withColumn("fresh", F.lit(True)))
-    while True:
-        met = now.where("fresh").join(links, "node").groupBy("start", F.col("next").alias("node")).agg(F.min("value").alias("other"))
-        less = F.coalesce(F.col("other") < F.col("value"), F.col("other").isNotNull())
-        now = checkpointed(now.drop("fresh").join(met, ["start", "node"], "full").select("start", "node", F.when(less, F.col("other")).otherwise(F.col("value")).alias("value"), less.alias("fresh")), now)
-        if now.where("fresh").isEmpty():
-            return now.drop("fresh")
-
-
 def doubled(links: DataFrame) -> DataFrame:
     """(node, root, distance): the last node of the chain from each node over links(node, next), one successor or null each, and how far it is.
 
